@@ -34,3 +34,19 @@ def build_session(cpus: int | None = None, app: str = "marlstone", **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the input folder; the path goes to Spark's reader as it is."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per session; harmless where it is installed there."""
+    if getattr(spark.sparkContext, "_marlstone_shipped", False):
+        return
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as d:
+        shutil.copytree(here, f"{d}/src/{here.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        made = shutil.make_archive(f"{tempfile.mkdtemp()}/{here.name}", "zip", f"{d}/src")
+    spark.sparkContext.addPyFile(made)
+    spark.sparkContext._marlstone_shipped = True
