@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, chat, mixing, pii, quality_rules, secrets
+from marlstone.llm import bpe, chat, mixing, ngram_join, pii, quality_rules, secrets
 from marlstone.llm.common import joined_spans
 from marlstone.session import table
 
@@ -100,3 +100,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdicts of all documents; cutoffs are certified on all labelled documents."""
     out = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents under 5-word shingles and a Jaccard similarity of 0.8, with numbers of links."""
+    return ngram_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
