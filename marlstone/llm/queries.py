@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, chat, mixing, ngram_join, pii, quality_rules, secrets
+from marlstone.llm import ann, bpe, chat, mixing, ngram_join, pii, quality_rules, secrets
 from marlstone.llm.common import joined_spans
 from marlstone.session import table
 
@@ -106,3 +106,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all documents under 5-word shingles and a Jaccard similarity of 0.8, with numbers of links."""
     return ngram_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+@query
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every vector whose id is divisible by 20."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
