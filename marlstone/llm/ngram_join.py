@@ -69,8 +69,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def shingles(texts: list[str | None], n: int) -> list[np.ndarray]:
-    """Of each text the sorted distinct hashes of its n-word shingles (of the whole sequence, if it is shorter).
+def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and where the words of each text begin (one more entry at the end).
 
     Words are maximal runs of other than space and 9-13, with A-Z lower-cased. All texts are hashed in one sweep
     over their bytes: a word's hash is a difference of running sums of byte codes times powers of an odd base.
@@ -85,8 +85,18 @@ def shingles(texts: list[str | None], n: int) -> list[np.ndarray]:
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
     words = _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _BASE)
-    begins = np.cumsum([1] + [len(r) + 1 for r in raw])
-    first = np.searchsorted(starts, begins)
+    return words, np.searchsorted(starts, np.cumsum([1] + [len(r) + 1 for r in raw]))
+
+
+def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """Of each text the hashes of its words, in order."""
+    words, first = _words(texts)
+    return [words[first[i] : first[i + 1]] for i in range(len(texts))]
+
+
+def shingles(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its n-word shingles (of the whole sequence, if it is shorter)."""
+    words, first = _words(texts)
     whole = len(words) - n + 1
     if whole > 0:
         rolled = np.zeros(whole, dtype=np.uint64)
@@ -94,7 +104,7 @@ def shingles(texts: list[str | None], n: int) -> list[np.ndarray]:
             rolled += words[k : k + whole] * _PLACES[k]
         rolled = _mixed(rolled)
     out = []
-    for i in range(len(raw)):
+    for i in range(len(texts)):
         a, b = int(first[i]), int(first[i + 1])
         if b - a >= n:
             h = np.sort(rolled[a : b - n + 1])

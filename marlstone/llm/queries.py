@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import ann, bpe, chat, mixing, ngram_join, pii, quality_rules, secrets
+from marlstone.llm import ann, bpe, chat, licenses, mixing, ngram_join, pii, quality_classifier, quality_rules, secrets
 from marlstone.llm.common import joined_spans
 from marlstone.session import table
 
@@ -112,3 +112,16 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest by inner product of every vector whose id is divisible by 20."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents; a document's path is its source and id."""
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    return licenses.scan_licenses(docs).select("doc_id", "path", "license", F.round("own_score", 6).alias("own_score"), "from_dir")
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by co-trained views of text and metadata."""
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
