@@ -305,7 +305,9 @@ def _verified(j: Join):
 
 
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", join: Join | None = None) -> DataFrame:
-    """id, tkey, n_shingles, component_id, n_links of every document; tkey is xxhash64 of its text.
+    """id, tkey, root, n_shingles, component_id, n_links of every document.
+
+    tkey is xxhash64 of the text; root names the component (null without shingles).
 
     n_links: other documents whose similarity is at least percent / 100, copies counted one by one.
     component_id: smallest id that links reach, its own included. Null, empty or blank texts have no shingles, no
@@ -348,12 +350,33 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", join: J
     roots = owners.join(comp, owners["owner"] == comp["node"], "left").select("owner", F.coalesce("root", "owner").alias("root"), "least", "copies")
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     degree = found.filter("links is not null").groupBy(F.col("a").alias("owner")).agg(F.sum("links").alias("links"))
-    told = roots.join(least, "root").join(degree, "owner", "left").select("owner", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = full.join(told, "owner").select("id", "tkey", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
-    none = held.filter("n = 0").select("id", "tkey", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    told = roots.join(least, "root").join(degree, "owner", "left").select("owner", "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = full.join(told, "owner").select("id", "tkey", "root", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
+    none = held.filter("n = 0").select("id", "tkey", F.lit(None).cast("long").alias("root"), F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(none).withColumnRenamed("id", id_col)
 
 
+def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", join: Join | None = None) -> DataFrame:
+    """docs with one row of each component: that of the smallest id (of the smallest text hash, among null ids).
+
+    Rows without words are components of their own. Of rows that repeat the kept id and text, one stays.
+    """
+    names = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    i, t = F.col(names[id_col]).cast("long"), text_of(F.col(names[text]))
+    c = cut(classes(docs, text, id_col, join).filter("root is not null").groupBy(F.col(id_col).alias("id"), "tkey", "root").agg(F.count("*").alias("rows")))
+    first = c.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "tkey")).alias("f")).select("root", F.col("f.id").alias("fid"), F.col("f.tkey").alias("ftkey"))
+    told = c.join(first, "root").withColumn("kept", F.col("id").eqNullSafe(F.col("fid")) & (F.col("tkey") == F.col("ftkey")))
+    out = cut(told.filter("not kept or rows > 1").select("id", "tkey", "kept"))
+    hint = F.broadcast if out.count() <= BROADCAST_ROWS else (lambda d: d)
+    match = lambda k: (F.xxhash64(t) == k["tkey"]) & i.eqNullSafe(k["id"])
+    result = own.join(hint(out), match(out), "left_anti")
+    again = out.filter("kept")
+    if not again.isEmpty():
+        result = result.unionByName(own.join(hint(again), match(again), "left_semi").dropDuplicates([names[id_col], names[text]]))
+    return result.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def _arrays(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
