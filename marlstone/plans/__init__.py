@@ -1,4 +1,7 @@
 """Registered queries: name -> (spark, sf_dir) -> DataFrame, and their DuckDB SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from marlstone.plans import registry
+from marlstone.plans import chunks, graphs, lifecycle, relational, retrieval, rules, streams  # noqa: F401  (registration)
+
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLES
