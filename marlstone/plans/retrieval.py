@@ -1 +1,207 @@
-"""Placeholder."""
+"""Ranked retrieval over documents and embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.functions import text as tx
+from marlstone.operators import retrieval as r
+from marlstone.plans.registry import ORACLES, plan, sql
+from marlstone.session import table
+
+QUESTIONS = ("the thing of threads", "ouble edout whhe", "and is nded be enhe", "der die das ungen", "que les aux entre")
+_Q = " UNION ALL ".join(f"SELECT {i} AS qid, '{t}' AS text" for i, t in enumerate(QUESTIONS))
+_TOK = "regexp_extract_all(lower(text), '[a-zA-Z0-9_]+')"
+_BM = f"""
+WITH q AS (SELECT DISTINCT qid, unnest({_TOK}) AS term FROM ({_Q}) x),
+t AS (SELECT doc_id AS cid, {_TOK} AS ts FROM documents),
+d AS (SELECT cid, len(ts) AS dl, len(list_distinct(ts)) AS du FROM t),
+c AS (SELECT count(*) AS n, avg(du) AS avgdl FROM d),
+p AS (SELECT term, cid, count(*) AS tf FROM (SELECT cid, unnest(ts) AS term FROM t) z WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+i AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, c GROUP BY term, n),
+s AS (SELECT qid, cid, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM p JOIN q USING (term) JOIN i USING (term) JOIN d USING (cid), c GROUP BY qid, cid)"""
+
+
+def _queries(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, t) for i, t in enumerate(QUESTIONS)], "qid long, text string")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> dict:
+    return r.index(table(spark, sf_dir, "documents"), cid="doc_id")
+
+
+def _top(df: DataFrame) -> DataFrame:
+    return df.select("qid", "cid", F.round("score", 6).alias("score"))
+
+
+@plan("r1_bm25_search", _BM + " SELECT qid::BIGINT AS qid, cid, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cid) <= 10")
+def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents of each question by BM25."""
+    return _top(r.bm25(_index(spark, sf_dir), _queries(spark), 10))
+
+
+sql("a11_bm25_statistics", "SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, explode(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+', 0)) AS term FROM {documents}) x GROUP BY term HAVING count(*) > 20",
+    f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents) x GROUP BY term HAVING count(*) > 20")
+_COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+_DENSE = f"""SELECT a.vec_id AS qid, b.vec_id AS cid, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 3
+QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= {{k}}"""
+
+
+def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    q = e.filter("vec_id % 50 = 3").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    return r.dense(e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("v")), q, k)
+
+
+@plan("r2_dense_search", _DENSE.format(k=10))
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors by cosine of every fiftieth vector."""
+    return _top(_dense(spark, sf_dir, 10))
+
+
+def _candidates(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    hits = _dense(spark, sf_dir, k)
+    return hits.join(e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("v")), "cid").join(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), "qid")
+
+
+@plan("r3_dense_mmr")
+def dense_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifteen nearest, of which five diverse ones."""
+    return r.mmr(_candidates(spark, sf_dir, 15), 5)
+
+
+@plan("r4_mmr")
+def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal marginal relevance that minds relevance more than diversity."""
+    return r.mmr(_candidates(spark, sf_dir, 30), 10, 0.7)
+
+
+def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two ranked lists per question: BM25, and by length of the document (a stand-in with ids in common)."""
+    idx = _index(spark, sf_dir)
+    lex = r.bm25(idx, _queries(spark), 15)
+    other = r.ranked(r.bm25(idx, _queries(spark), 40).drop("rank").withColumn("score", (F.col("cid") * 7919 % 1009).cast("double")), 15)
+    return other, lex
+
+
+_LISTS = """,
+l AS (SELECT qid::BIGINT AS qid, cid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cid) AS rank FROM s QUALIFY rank <= 40),
+o AS (SELECT qid, cid, row_number() OVER (PARTITION BY qid ORDER BY cid * 7919 % 1009 DESC, cid) AS rank FROM l QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cid * 7919 % 1009 DESC, cid) <= 15),
+x AS (SELECT qid, cid, rank, 1 AS path FROM l WHERE rank <= 15 UNION ALL SELECT qid, cid, rank, 0 FROM o),
+f AS (SELECT qid, cid, sum(1.0::DOUBLE / (60 + rank)) AS score, min({'path': path, 'rank': rank}) AS seen FROM x GROUP BY qid, cid)"""
+
+
+@plan("r5_rrf", _BM + _LISTS + " SELECT qid, cid, round(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, seen, cid) <= 5")
+def rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reciprocal rank fusion of two lists."""
+    return _top(r.rrf(list(_two(spark, sf_dir)), 5))
+
+
+@plan("r7_provenance", _BM + _LISTS + """ SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.cid, b.cid) AS cid, a.rank AS dense_rank, b.rank AS sparse_rank,
+CASE WHEN a.rank IS NULL THEN 'sparse' WHEN b.rank IS NULL THEN 'dense' ELSE 'both' END AS found_by
+FROM o a FULL OUTER JOIN (SELECT * FROM l WHERE rank <= 15) b ON a.qid = b.qid AND a.cid = b.cid""")
+def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which list found what, at which rank."""
+    return r.provenance(*_two(spark, sf_dir))
+
+
+def _reranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cid"), F.col("text").alias("content"))
+    q = _queries(spark).select("qid", tx.tokens(F.col("text")).alias("terms"))
+    return r.rerank(r.bm25(_index(spark, sf_dir), _queries(spark), 20).join(docs, "cid").join(q, "qid"), k)
+
+
+@plan("r8_lexical_rerank", _BM + f""",
+l AS (SELECT qid, cid, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cid) AS rank, max(score) OVER (PARTITION BY qid) AS top FROM s QUALIFY rank <= 20),
+n AS (SELECT l.qid, cid, rank, 0.6 * len(list_filter({_TOK.replace('text', 'x.text')}, lambda t: contains(lower(documents.text), t))) / len({_TOK.replace('text', 'x.text')}) + 0.4 * least(score / top, 1.0) AS score
+  FROM l JOIN ({_Q}) x ON x.qid = l.qid JOIN documents ON doc_id = cid)
+SELECT qid::BIGINT AS qid, cid, round(score, 6)::DOUBLE AS score FROM n QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, rank) <= 5""")
+def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical rerank of twenty candidates."""
+    return _top(_reranked(spark, sf_dir, 5))
+
+
+@plan("r6_hybrid")
+def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two paths, fused, reranked, children replaced by parents."""
+    docs = table(spark, sf_dir, "documents")
+    fused = r.rrf(list(_two(spark, sf_dir)), 15)
+    q = _queries(spark).select("qid", tx.tokens(F.col("text")).alias("terms"))
+    hits = r.rerank(fused.join(docs.select(F.col("doc_id").alias("cid"), F.col("text").alias("content")), "cid").join(q, "qid"), 8)
+    parents = docs.select(F.col("doc_id").alias("cid"), (F.col("doc_id") - F.col("doc_id") % 3).alias("parent"))
+    return _top(r.expand_parents(hits, parents))
+
+
+@plan("r11_cache_tiers")
+def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fortieth user turn looked up among earlier ones: exact, similar, near."""
+    c = table(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.substring("text", 1, 120).alias("text"), "turn")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rows = c.join(e, F.col("id") % 400 == F.col("vec_id")).withColumn("at", F.col("turn") * 60)
+    q = rows.filter("id % 40 = 0").select(F.col("id").alias("qid"), "text", F.col("embedding").alias("qv"), (F.col("at") + 600).alias("at"))
+    entries = rows.filter("id % 3 = 0").select(F.col("id").alias("key"), "text", F.col("embedding").alias("v"), F.col("at").alias("created"))
+    return r.cache_lookup(q, entries, lambda a, b: tx.cache_similarity(a, b, [["the", "les"]], [], {"buy": ("buy",), "sell": ("sell",)}))
+
+
+@plan("r13_memory_recall", f"""SELECT a.vec_id AS qid, b.vec_id AS cid, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 1
+QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 2""")
+def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two nearest memories of the same user (label)."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.filter("vec_id % 100 = 1").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), "label")
+    pairs = e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("v"), "label").join(q, "label").filter("qid <> cid")
+    return _top(r.ranked(pairs.select("qid", "cid", tx.cosine(F.col("v"), F.col("qv")).alias("score")), 2))
+
+
+@plan("r14_centroid_clusters")
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy centroid clusters within each label."""
+    return r.centroid_clusters(table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("part"), F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.3)
+
+
+@plan("j5_theta_near_duplicates", f"""SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_COS} >= 0.25""")
+def theta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one label whose cosine is 0.25 or more."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("block"))
+    return r.near_duplicates(e, 0.25).select("a", "b", F.round("score", 6).alias("score"))
+
+
+ORACLES["l4_top_pairs"] = f"""SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_COS} >= 0.3
+ORDER BY {_COS} DESC, a.vec_id, b.vec_id LIMIT 200"""
+
+
+@plan("l4_top_pairs", ORACLES["l4_top_pairs"])
+def top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 200 nearest pairs."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("block"))
+    return r.near_duplicates(e, 0.3).orderBy(F.desc("score"), "a", "b").limit(200).select("a", "b", F.round("score", 6).alias("score"))
+
+
+_WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+'))"
+
+
+@plan("j13_leak", f"""WITH b AS (SELECT item_id, unnest({_WORDS}) AS w FROM benchmark), bn AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1),
+d AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents), dn AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
+i AS (SELECT item_id, doc_id, count(*) AS c FROM b JOIN d USING (w) GROUP BY 1, 2)
+SELECT item_id, round(max(c / (bn.n + dn.n - c)::DOUBLE), 6) AS best FROM i JOIN bn USING (item_id) JOIN dn USING (doc_id) GROUP BY item_id""")
+def leak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best word Jaccard of each benchmark item with any document, by an inverted index join."""
+    words = lambda d, k: d.select(k, F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("w"))
+    b, d = words(table(spark, sf_dir, "benchmark"), "item_id"), words(table(spark, sf_dir, "documents"), "doc_id")
+    bn, dn = b.groupBy("item_id").agg(F.count("*").alias("bn")), d.groupBy("doc_id").agg(F.count("*").alias("dn"))
+    both = b.join(d, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("c")).join(bn, "item_id").join(dn, "doc_id")
+    return both.groupBy("item_id").agg(F.round(F.max(F.col("c") / (F.col("bn") + F.col("dn") - F.col("c"))), 6).alias("best"))
+
+
+sql("j10_golden_rank", """
+WITH g AS (SELECT vec_id, label FROM {embeddings}), ret AS (SELECT label AS qid, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rank FROM {embeddings})
+SELECT ret.qid, min(rank) AS first_rank, count(*) AS overlap FROM ret JOIN g ON g.vec_id = ret.vec_id AND g.vec_id % 4 = 0 GROUP BY ret.qid""")
+sql("j11_evidence_hashes", """
+WITH g AS (SELECT doc_id, md5(text) AS h FROM {documents} WHERE doc_id % 10 = 0), now AS (SELECT doc_id, md5(CASE WHEN doc_id % 20 = 0 THEN 'x' ELSE text END) AS h FROM {documents} WHERE doc_id % 30 <> 0)
+SELECT g.doc_id, CASE WHEN now.doc_id IS NULL THEN 'missing' WHEN now.h <> g.h THEN 'stale' ELSE 'ok' END AS state FROM g LEFT JOIN now ON g.doc_id = now.doc_id""")
+sql("j17_ticket_context", """
+SELECT conv_id, turn, role FROM (SELECT c.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM {conversations} c
+  WHERE conv_id IN (SELECT conv_id FROM {conversations} WHERE role = 'system')) x WHERE rn <= 6""")

@@ -1 +1,283 @@
-"""Placeholder."""
+"""Rule plans over conversations, orders and parts, with the fixture lexicon."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from marlstone.functions import rules as ru
+from marlstone.functions import text as tx
+from marlstone.functions.rules import FIXTURE as LEX
+from marlstone.plans.registry import plan, sql
+from marlstone.session import table
+
+
+def _any(col: str, words) -> str:
+    return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")" if words else "false"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations")
+
+
+_NEG = _any("text", LEX.complaint + LEX.anxiety)
+_STREAK = f"""WITH f AS (SELECT *, CASE WHEN {_NEG} THEN 1 ELSE 0 END AS bad FROM conversations),
+g AS (SELECT *, sum(1 - bad) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS grp FROM f),
+h AS (SELECT *, sum(bad) OVER (PARTITION BY conv_id, grp ORDER BY turn ROWS UNBOUNDED PRECEDING) AS streak FROM g)"""
+
+
+def _streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    bad = tx.any_of(F.col("text"), LEX.complaint + LEX.anxiety).cast("int")
+    c = _turns(spark, sf_dir).withColumn("bad", bad).withColumn("grp", F.sum(1 - F.col("bad")).over(w))
+    return c.withColumn("streak", F.sum("bad").over(Window.partitionBy("conv_id", "grp").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+@plan("f15_emotion", _STREAK + f""" SELECT conv_id, turn, CASE WHEN {_any('text', LEX.complaint)} THEN 'complaint' WHEN {_any('text', LEX.anxiety)} THEN 'anxiety'
+WHEN {_any('text', LEX.confusion)} THEN 'confusion' WHEN streak >= 2 THEN 'anxiety' ELSE 'normal' END AS mood FROM h""")
+def emotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mood of every turn, with the streak of negative turns."""
+    return _streaks(spark, sf_dir).select("conv_id", "turn", ru.emotion(F.col("text"), F.col("streak"), LEX).alias("mood"))
+
+
+@plan("f16_handoff", _STREAK + f""" SELECT conv_id, turn, {_any('text', LEX.complaint)} OR streak >= 2 OR (turn >= 3 AND ({_any('text', LEX.anxiety)} OR {_any('text', LEX.confusion)})) AS handoff FROM h""")
+def handoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a turn calls for a human."""
+    s = _streaks(spark, sf_dir)
+    return s.select("conv_id", "turn", ru.suggest_handoff(ru.emotion(F.col("text"), F.col("streak"), LEX), F.col("turn"), F.col("streak")).alias("handoff"))
+
+
+@plan("f17_greeting", f"SELECT conv_id, turn, length(trim(text)) <= 12 AND {_any('lower(text)', LEX.greeting)} AS greets FROM conversations")
+def greeting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).select("conv_id", "turn", ru.greeting(F.col("text"), LEX).alias("greets"))
+
+
+_PREV = "CASE turn % 3 WHEN 0 THEN 'buy_process' WHEN 1 THEN 'hold_redeem' ELSE 'other' END"
+_CONFIRM = " OR ".join(f"starts_with(trim(text), '{w}')" for w in LEX.confirm)
+
+
+@plan("f18_intent_inheritance", f"""SELECT conv_id, turn, CASE WHEN trim(text) = '' OR {_any('trim(text)', LEX.topic_switch)} THEN NULL
+WHEN {_PREV} <> 'other' AND ({_CONFIRM}) THEN {_PREV}
+WHEN {_PREV} <> 'other' AND length(regexp_replace(trim(text), '[，。？！、\\s]', '', 'g')) < 10 AND NOT regexp_matches(text, '{LEX.new_topic}') THEN {_PREV} END AS kept FROM conversations""")
+def inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intent that a follow-up keeps from the turn before."""
+    prev = F.when(F.col("turn") % 3 == 0, "buy_process").when(F.col("turn") % 3 == 1, "hold_redeem").otherwise("other")
+    return _turns(spark, sf_dir).select("conv_id", "turn", ru.inherited_intent(F.col("text"), prev, F.lit(None).cast("string"), LEX).alias("kept"))
+
+
+def _strong(col: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_any(f'lower({col})', ws)} THEN '{i}'" for i, ws in LEX.strong) + " END"
+
+
+@plan("f19_strong_signal", f"SELECT conv_id, turn, {_strong('text')} AS intent FROM conversations")
+def strong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).select("conv_id", "turn", ru.strong_signal(F.col("text"), LEX).alias("intent"))
+
+
+_FALL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{i}'" for i, p in LEX.fallback) + " ELSE 'unknown' END"
+
+
+@plan("f20_fallback_router", f"SELECT conv_id, turn, {_FALL} AS intent, CASE WHEN {_FALL} = 'unknown' THEN 0.30 ELSE 0.55 END::DOUBLE AS confidence FROM conversations")
+def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).select("conv_id", "turn", ru.fallback_intent(F.col("text"), LEX).alias("x")).select("conv_id", "turn", "x.*")
+
+
+@plan("p8_fast_path", f"""SELECT conv_id, turn, CASE WHEN coalesce({_strong('text')} IN ('fraud_report', 'complaint'), false) THEN 'handoff' WHEN {_any('text', LEX.private)} THEN 'private_data'
+WHEN {_FALL} NOT IN ('product_compare', 'fee_rule', 'income_question') THEN 'intent_not_informational' WHEN (conv_id % 10) / 10.0 < 0.6 THEN 'no_kb_evidence' ELSE 'pass' END AS gate FROM conversations""")
+def fast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first gate that stops a fast answer."""
+    c = _turns(spark, sf_dir)
+    t = F.col("text")
+    gate = ru.fast_path(ru.fallback_intent(t, LEX)["intent"], (F.col("conv_id") % 10) / 10.0, t, ru.strong_signal(t, LEX), LEX, ("product_compare", "fee_rule", "income_question"))
+    return c.select("conv_id", "turn", gate.alias("gate"))
+
+
+@plan("p9_cache_privacy", f"SELECT conv_id, turn, regexp_matches(text, '[0-9]{{6}}') OR {_any('text', LEX.private)} AS private FROM conversations")
+def privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a question holds private data and so must not be cached."""
+    return _turns(spark, sf_dir).select("conv_id", "turn", (F.rlike("text", F.lit("[0-9]{6}")) | tx.any_of(F.col("text"), LEX.private)).alias("private"))
+
+
+@plan("p12_missing_slots", f"SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 AND regexp_matches(text, '[0-9]') AND NOT {_any('text', LEX.products)} THEN 'product' ELSE '' END AS missing FROM conversations")
+def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot to ask for, where an order names an amount and no product."""
+    s = F.struct(F.when(F.rlike("text", F.lit("[0-9]")), 1.0).alias("amount"), F.when(tx.any_of(F.col("text"), LEX.products), F.lit("x")).alias("product"))
+    intent = F.when(F.col("conv_id") % 2 == 0, "buy_process").otherwise("other")
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.array_join(ru.missing_slots(intent, s), ",").alias("missing"))
+
+
+sql("p13_subscribe_entry", "SELECT o_orderkey, o_orderstatus = 'O' AND o_totalprice > 1000 AND o_custkey IS NOT NULL AS enters FROM {orders}")
+
+
+@plan("p17_product_guard", f"""WITH m AS (SELECT conv_id, p, max(contains(text, p)::INT) AS found FROM conversations, (SELECT unnest({list(LEX.products)}) AS p) x GROUP BY 1, 2)
+SELECT conv_id, sum(found)::BIGINT AS found, sum(found) = 0 AS dropped FROM m GROUP BY conv_id""")
+def product_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the wanted products a result set has; it is dropped if it has none."""
+    c = _turns(spark, sf_dir).select("conv_id", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.contains("text", F.lit(p)).cast("int").alias("hit")) for p in LEX.products])).alias("x"))
+    m = c.groupBy("conv_id", "x.p").agg(F.max("x.hit").alias("found"))
+    return m.groupBy("conv_id").agg(F.sum("found").alias("found")).withColumn("dropped", F.col("found") == 0)
+
+
+def _grams(text: str, n: int) -> str:
+    return f"list_distinct(list_transform(range(1, greatest(length({text}) - {n - 2}, 1)), lambda i: substr({text}, i::INT, {n})))"
+
+
+_NORM = "regexp_replace(lower(trim(text)), '[^a-z0-9]', '', 'g')"
+
+
+@plan("f1_tokens", "SELECT doc_id, len(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+')) AS n, list_aggregate(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+'), 'string_agg', ' ') AS tokens FROM documents WHERE lang = 'en'")
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    return d.select("doc_id", F.size(tx.tokens(F.col("text"))).cast("long").alias("n"), F.array_join(tx.tokens(F.col("text")), " ").alias("tokens"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.substring("text", 1, 80), "[^A-Za-z0-9 ]", "").alias("t"))
+    return b.alias("x").join(b.alias("y"), F.expr("x.item_id + 1 = y.item_id")).select(F.col("x.item_id").alias("item_id"), F.col("x.t").alias("a"), F.col("y.t").alias("b"))
+
+
+_PAIR = "WITH s AS (SELECT item_id, regexp_replace(substring(text, 1, 80), '[^A-Za-z0-9 ]', '', 'g') AS text FROM benchmark), g AS (SELECT item_id, {g2} AS g2, {g3} AS g3, {low2} AS b2 FROM s)".format(g2=_grams(_NORM, 2), g3=_grams(_NORM, 3), low2=_grams("text", 2))
+_J = lambda c: f"len(list_intersect(x.{c}, y.{c})) / len(list_distinct(list_concat(x.{c}, y.{c})))::DOUBLE"
+_ON = " FROM g x JOIN g y ON x.item_id + 1 = y.item_id"
+
+
+@plan("f2_char_ngrams", _PAIR + f" SELECT x.item_id, round({_J('g3')}, 6) AS sim" + _ON)
+def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda c: tx.ngrams(tx.normalised(F.col(c)), 3)
+    return _pairs(spark, sf_dir).select("item_id", F.round(tx.jaccard(n("a"), n("b")), 6).alias("sim"))
+
+
+@plan("f3_keyword_jaccard")
+def keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("item_id", F.round(tx.jaccard(tx.with_synonyms(tx.keywords(F.col("a")), [["th", "he"]]), tx.with_synonyms(tx.keywords(F.col("b")), [["th", "he"]])), 6).alias("sim"))
+
+
+@plan("f4_cache_similarity")
+def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("item_id", F.round(tx.cache_similarity(F.col("a"), F.col("b"), [["th", "he"]], list(LEX.products), {"in": ("thing",), "out": ("ouble",)}), 6).alias("sim"))
+
+
+@plan("f5_dice", _PAIR + " SELECT x.item_id, round(2.0::DOUBLE * len(list_intersect(x.b2, y.b2)) / (len(x.b2) + len(y.b2)), 6) AS sim" + _ON)
+def dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("item_id", F.round(tx.dice(tx.ngrams(F.col("a"), 2), tx.ngrams(F.col("b"), 2)), 6).alias("sim"))
+
+
+@plan("f6_containment", _PAIR + " SELECT x.item_id, len(list_intersect(x.b2, y.b2)) >= 0.4 * least(len(x.b2), len(y.b2)) AS inside" + _ON)
+def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("item_id", tx.contained(tx.ngrams(F.col("a"), 2), tx.ngrams(F.col("b"), 2)).alias("inside"))
+
+
+@plan("f8_bigram_jaccard", _PAIR + f" SELECT x.item_id, round({_J('b2')}, 6) AS sim" + _ON)
+def bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("item_id", F.round(tx.jaccard(tx.ngrams(F.col("a"), 2), tx.ngrams(F.col("b"), 2)), 6).alias("sim"))
+
+
+@plan("f7_signature")
+def signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.signature(F.col("text")), ",").alias("signature"))
+
+
+sql("f9_key", "SELECT item_id, md5(regexp_replace(lower(trim(text)), '[^a-z0-9]', '')) AS key FROM {benchmark}", "SELECT item_id, md5(regexp_replace(lower(trim(text)), '[^a-z0-9]', '', 'g')) AS key FROM benchmark")
+
+
+@plan("f10_pii_mask")
+def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(ru.mask_pii(F.col("text")).cast("binary")).alias("masked"))
+
+
+_STAR = "text"
+for _w in LEX.banned:
+    _STAR = f"replace({_STAR}, '{_w}', '{'*' * len(_w)}')"
+_HITS = "concat_ws(',', " + ", ".join(f"CASE WHEN contains(text, '{w}') THEN '{w}' END" for w in LEX.banned) + ")"
+
+
+@plan("f11_banned_words", f"SELECT doc_id, {_HITS} AS hits, md5({_STAR}) AS masked FROM documents")
+def banned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(ru.banned_hits(t, LEX.banned), ",").alias("hits"), F.md5(ru.mask_words(t, LEX.banned).cast("binary")).alias("masked"))
+
+
+@plan("f12_compliance")
+def comply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", ru.comply(F.col("text"), LEX.banned).alias("c")).select("doc_id", "c.clean", F.size("c.hits").alias("n_hits"), F.length("c.final").alias("n_final"))
+
+
+_PROD = "CASE " + " ".join(f"WHEN contains(text, '{p}') THEN '{p}'" for p in sorted(LEX.products, key=lambda p: (-len(p), p))) + " END"
+_TYPE = "CASE " + " ".join(f"WHEN contains(text, '{k}') THEN '{v}'" for k, v in LEX.types) + " END"
+
+
+@plan("f13_slots", f"SELECT conv_id, turn, {_PROD} AS product, {_TYPE} AS product_type FROM conversations")
+def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).select("conv_id", "turn", ru.slots(F.col("text"), LEX).alias("s")).select("conv_id", "turn", "s.product", "s.product_type")
+
+
+@plan("f14_domain", f"SELECT conv_id, turn, CASE {_TYPE} WHEN 'deposit' THEN 'd' WHEN 'fund' THEN 'f' ELSE 'common' END AS domain FROM conversations")
+def domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).select("conv_id", "turn", ru.domain(ru.slots(F.col("text"), LEX)["product_type"], {"deposit": "d", "fund": "f"}).alias("domain"))
+
+
+@plan("f21_rewrite")
+def rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _turns(spark, sf_dir)
+    carried = F.last(ru.slots(F.col("text"), LEX)["product"], ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    return c.withColumn("focus", carried).select("conv_id", "turn", F.md5(ru.rewrite(F.col("text"), F.col("focus"), LEX).cast("binary")).alias("rewritten"))
+
+
+@plan("f22_multi_question", "SELECT conv_id, turn, length(text) - length(replace(replace(text, '?', ''), '？', '')) >= 2 OR contains(text, 'edes') AS many FROM conversations")
+def multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).select("conv_id", "turn", ru.multi_question(F.col("text"), "edes").alias("many"))
+
+
+@plan("f23_query_terms")
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.filter(tx.tokens(F.col("text")), lambda t: (F.length(t) >= 4) & ~t.isin("that", "this", "with")), " ").alias("terms"))
+
+
+@plan("f24_number_grounding")
+def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.array_join(ru.ungrounded_numbers(F.col("text"), F.substring("text", 1, 500), r"\d+(?:\.\d+)+"), ",").alias("missing"))
+
+
+@plan("f25_answer_support", """WITH t AS (SELECT item_id, text, list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+')) AS ws FROM benchmark)
+SELECT item_id, round(len(list_filter(ws, lambda w: NOT contains(lower(substring(text, 1, 200)), w))) / greatest(len(ws), 1)::DOUBLE, 6) AS missing FROM t""")
+def support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array_distinct(tx.tokens(F.col("text")))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.round(ru.unsupported(words, F.lower(F.substring("text", 1, 200))), 6).alias("missing"))
+
+
+sql("f26_verbalise", "SELECT s_name, concat(s_name, ' is located in ', n_name) AS sentence FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey")
+sql("f27_parent_id", "SELECT o_orderkey, regexp_extract(concat('doc_', CAST(o_orderkey AS STRING), '_c', CAST(o_custkey AS STRING)), '^(.+)_c[0-9]+$', 1) AS parent FROM {orders}")
+sql("f28_strip_suffix", "SELECT o_orderkey, regexp_replace(concat('doc_', CAST(o_orderkey AS STRING), '_c', CAST(o_custkey AS STRING)), '_c[0-9]+$', '') AS stem FROM {orders}")
+sql("f29_triple_id", "SELECT s_suppkey, substring(md5(concat_ws('|', s_name, 'in', n_name)), 1, 12) AS id FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey")
+sql("f30_json", "SELECT event_id, from_json(props, 'k INT').k AS k FROM {events}", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+sql("f31_ctime", "SELECT o_orderkey, CAST(to_timestamp(substring(date_format(o_orderdate, 'EEE MMM dd HH:mm:ss yyyy'), 5), 'MMM dd HH:mm:ss yyyy') AS TIMESTAMP_NTZ) AS at FROM {orders}", "SELECT o_orderkey, o_orderdate AS at FROM orders")
+
+
+@plan("f32_redact")
+def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(ru.redact(F.col("text")).cast("binary")).alias("redacted"))
+
+
+sql("f33_kb_version", "SELECT substring(sha2(array_join(array_sort(collect_list(concat(source, ':', h))), ';'), 256), 1, 12) AS version FROM (SELECT source, md5(CAST(sum(n_chars) AS STRING)) AS h FROM {documents} GROUP BY source) x",
+    "SELECT substring(sha256(list_aggregate(list_sort(list(source || ':' || h)), 'string_agg', ';')), 1, 12) AS version FROM (SELECT source, md5(CAST(sum(n_chars) AS VARCHAR)) AS h FROM documents GROUP BY source) x")
+sql("f34_evidence_hash", "SELECT source, sha2(array_join(array_sort(collect_list(md5(text))), '|'), 256) AS h FROM {documents} GROUP BY source",
+    "SELECT source, sha256(list_aggregate(list_sort(list(md5(text))), 'string_agg', '|')) AS h FROM documents GROUP BY source")
+
+
+@plan("f35_order_rules", "SELECT o_orderkey, CASE WHEN o_totalprice >= 99 THEN 0.0 ELSE 8.0 END::DOUBLE AS fee, date_diff('day', o_orderdate::DATE, DATE '1998-01-01') BETWEEN 0 AND 7 AS refundable FROM orders")
+def order_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", ru.shipping_fee(F.col("o_totalprice")).alias("fee"), ru.refundable(F.col("o_orderdate"), F.to_date(F.lit("1998-01-01"))).alias("refundable"))
+
+
+sql("f36_next_id", "SELECT max(CAST(regexp_extract(concat('bad_', CAST(doc_id AS STRING)), '([0-9]+)$', 1) AS BIGINT)) + 1 AS next_id FROM {documents}")
+
+
+@plan("f37_trend", "SELECT doc_id, CASE WHEN contains(substring(text, 1, 200), 'edst') THEN 'up' WHEN contains(substring(text, 1, 200), 'tiea') THEN 'down' ELSE 'flat' END AS trend FROM documents")
+def trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", ru.trend(F.col("text"), ("edst",), ("tiea",)).alias("trend"))
+
+
+sql("f38_settings_diff", "SELECT k FROM (SELECT explode(array_sort(map_keys(map_filter(map('size', 350, 'overlap', 70, 'k', 60), (k, v) -> v <> map('size', 350, 'overlap', 30, 'k', 10)[k])))) AS k) x", "SELECT unnest(['k', 'overlap']) AS k")
+sql("u4_ordered_distinct", "SELECT conv_id, array_join(array_distinct(transform(array_sort(collect_list(struct(turn, role))), x -> x.role)), ',') AS roles FROM {conversations} GROUP BY conv_id",
+    "SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY 1, 2) x GROUP BY conv_id")
