@@ -26,7 +26,7 @@ class Search:
     """k: neighbours; fit_rows: vectors that centroids are fitted on, the first by a hash of their id; lists: of the
     index (None: the root of the number of vectors, 4,096 at most); probes: share of lists that a query probes
     (None: as many as hold the share recall of the sample's own neighbours, tried with trial_queries of its rows);
-    columns: of a block; epsilon: of the test (larger: fewer wrong abandonments); chunk: vectors, and queries, of a
+    lead: nearest lists that are scanned first; columns: of a block; epsilon: of the test (larger: fewer wrong abandonments); chunk: vectors, and queries, of a
     task's group."""
 
     k: int = 20
@@ -35,6 +35,7 @@ class Search:
     probes: float | None = None
     recall: float = 0.97
     trial_queries: int = 500
+    lead: int = 3
     columns: int = 16
     epsilon: float = 2.1
     chunk: int = 4096
@@ -61,9 +62,10 @@ def fit(sample: np.ndarray, lists: int, seed: int, rounds: int = 12) -> np.ndarr
     c = sample[rng.choice(len(sample), lists, replace=False)]
     for _ in range(rounds):
         near = np.argmax(sample @ c.T - 0.5 * np.einsum("ij,ij->i", c, c), axis=1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, near, sample)
         n = np.bincount(near, minlength=lists)
+        order = np.argsort(near, kind="stable")
+        sums = np.zeros_like(c)
+        sums[n > 0] = np.add.reduceat(sample[order], (np.cumsum(n) - n)[n > 0])
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], sample[rng.integers(0, len(sample), lists)])
     return c
 
@@ -89,13 +91,13 @@ def _stacked(col: pd.Series) -> np.ndarray:
     return np.stack(col.to_numpy()).astype(np.float64)
 
 
-def scan(vec_ids: np.ndarray, vecs: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, rotation: np.ndarray, longest: float, s: Search) -> pd.DataFrame:
-    """Of each query the k nearest of the vectors (but its own): query_id, vec_id, score."""
+def scan(vec_ids: np.ndarray, vecs: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, known: np.ndarray, rotation: np.ndarray, longest: float, s: Search) -> pd.DataFrame:
+    """Of each query the k nearest of the vectors (but its own) that are no worse than its known bound: query_id, vec_id, score."""
     v = _longer(vecs, longest) @ rotation
     q = np.hstack([queries, np.zeros((len(queries), 1))]) @ rotation
     dims = v.shape[1]
     square = np.einsum("ij,ij->i", queries, queries) + longest * longest
-    tau = np.full(len(queries), np.inf)
+    tau = square - 2 * known  # squared distance of the k-th nearest so far
     best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     for at in range(0, len(v), 256):
         part = v[at : at + 256]
@@ -123,7 +125,7 @@ def scan(vec_ids: np.ndarray, vecs: np.ndarray, query_ids: np.ndarray, queries:
         rank = np.arange(len(order)) - np.searchsorted(best[0], best[0])
         best = [x[rank < s.k] for x in best]
         last = np.flatnonzero(rank[rank < s.k] == s.k - 1)
-        tau[best[0][last]] = square[best[0][last]] - 2 * best[2][last]
+        tau[best[0][last]] = np.minimum(tau[best[0][last]], square[best[0][last]] - 2 * best[2][last])
     return pd.DataFrame({"query_id": query_ids[best[0]], "vec_id": best[1], "score": best[2]})
 
 
@@ -163,28 +165,33 @@ def nearest(base: DataFrame, is_query: Column, id_col: str = "vec_id", vec: str
             if len(f):
                 q = _stacked(f["v"])
                 away = half - np.hstack([q, np.zeros((len(q), 1))]) @ centroids.T
-                near = np.argpartition(away, probes - 1, axis=1)[:, :probes]
+                near = np.argsort(away, axis=1, kind="stable")[:, :probes]
                 yield f.assign(list=list(near.astype(np.int32)))
 
     kept = cut(rows.mapInPandas(dealt, "vec_id long, v array<double>, q boolean, list int"))
-    asked = kept.filter("q").select("vec_id", "v").mapInPandas(probing, "vec_id long, v array<double>, list array<int>").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.explode("list").alias("list"))
-    asked = cut(asked)
-    # At most 4,096 rows: how many chunks the vectors and the queries of a list are dealt to.
-    sizes = (
-        kept.groupBy("list").agg(F.count("*").alias("n"))
-        .join(asked.groupBy("list").agg(F.count("*").alias("m")), "list")
-        .select("list", F.ceil(F.col("n") / s.chunk).cast("int").alias("vs"), F.ceil(F.col("m") / s.queries).cast("int").alias("qs"))
-    )
-    sizes = F.broadcast(cut(sizes))
-    left = kept.join(sizes, "list").select("list", F.pmod(F.xxhash64("vec_id"), "vs").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("y"), "vec_id", "v")
-    right = asked.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("x"), F.pmod(F.xxhash64("query_id"), "qs").cast("int").alias("y"), "query_id", "qv")
+    asked = kept.filter("q").select("vec_id", "v").mapInPandas(probing, "vec_id long, v array<double>, list array<int>")
+    asked = cut(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.posexplode("list").alias("place", "list")))
+    counts = cut(kept.groupBy("list").agg(F.count("*").alias("n")))  # at most 4,096 rows
+    key = ["list", "x", "y"]
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def group(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": pd.array([], "int64"), "vec_id": pd.array([], "int64"), "score": pd.array([], "float64")})
-        return scan(a["vec_id"].to_numpy(), _stacked(a["v"]), b["query_id"].to_numpy(), _stacked(b["qv"]), rotation, longest, s)
-
-    key = ["list", "x", "y"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(group, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return scan(a["vec_id"].to_numpy(), _stacked(a["v"]), b["query_id"].to_numpy(), _stacked(b["qv"]), b["known"].to_numpy(), rotation, longest, s)
+
+    def search_lists(some: DataFrame) -> DataFrame:
+        """Hits of (query_id, qv, list, known): chunks of a list's vectors meet chunks of the queries that probe it."""
+        sizes = counts.join(some.groupBy("list").agg(F.count("*").alias("m")), "list")
+        sizes = F.broadcast(cut(sizes.select("list", F.ceil(F.col("n") / s.chunk).cast("int").alias("vs"), F.ceil(F.col("m") / s.queries).cast("int").alias("qs"))))
+        left = kept.join(sizes, "list").select("list", F.pmod(F.xxhash64("vec_id"), "vs").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("y"), "vec_id", "v")
+        right = some.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("x"), F.pmod(F.xxhash64("query_id"), "qs").cast("int").alias("y"), "query_id", "qv", "known")
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(group, "query_id long, vec_id long, score double")
+
+    # The nearest lists first, in full: what they hold bounds what the others need to be looked at for.
+    lead = search_lists(asked.filter(F.col("place") < s.lead).withColumn("known", F.lit(float("-inf"))))
+    lead = cut(lead.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= s.k).drop("rank"))
+    known = lead.groupBy("query_id").agg(F.when(F.count("*") >= s.k, F.min("score")).otherwise(float("-inf")).alias("known"))
+    rest = asked.filter(F.col("place") >= s.lead).join(known, "query_id", "left").withColumn("known", F.coalesce("known", F.lit(float("-inf"))))
+    found = lead.unionByName(search_lists(cut(rest)))
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")

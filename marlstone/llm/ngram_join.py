@@ -196,10 +196,7 @@ def _shared(f: pd.DataFrame) -> pd.DataFrame:
     df = np.repeat(held, held)
     keep = df > 1
     sh, owner, size, df = sh[keep], owner[keep], size[keep], df[keep]
-    order = np.argsort(owner, kind="stable")
-    sh, owner, size, df = sh[order], owner[order], size[order], df[order]
-    at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, int)
-    return pd.DataFrame({"owner": owner[at], "n": size[at], "sh": np.split(sh, at[1:]) if len(at) else [], "df": np.split(df.astype(np.int64), at[1:]) if len(at) else []})
+    return pd.DataFrame({"owner": owner, "n": size, "sh": sh, "df": df.astype(np.int32)})
 
 
 def _prefix_positions(n: Column, percent: int) -> Column:
@@ -325,9 +322,9 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", join: J
     total = owners.agg(F.sum("n")).first()[0] or 0
     slices = max(16, -(-total // SLICE_SHINGLES))
     dealt = src.select("t").mapInArrow(_dealt(j.n, slices), "slice int, owners array<long>, sizes array<int>, counts array<int>, shingles array<long>")
-    shared = dealt.groupBy("slice").applyInPandas(_shared, "owner long, n int, sh array<long>, df array<long>")
+    shared = dealt.groupBy("slice").applyInPandas(_shared, "owner long, n int, sh long, df int")
     # Of each set: shared shingles, rarest first; those of one set only stand before them in its order.
-    per = shared.groupBy("owner", "n").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("df", "sh")))).alias("x"))
+    per = shared.groupBy("owner", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sh"))).alias("x"))
     alone = F.col("n") - F.size("x")
     per = per.select("owner", "n", alone.alias("first"), F.transform(F.slice("x", F.lit(1), F.greatest(_prefix_positions(F.col("n"), j.percent) - alone, F.lit(0)).cast("int")), lambda y: y["sh"]).alias("prefix"))
     pre = cut(per.filter("size(prefix) > 0"))
