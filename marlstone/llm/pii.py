@@ -141,8 +141,10 @@ def _slots(texts: Column, docs: DataFrame, live: DataFrame) -> DataFrame:
     two = small.filter("p like 'LL %'").select(F.substring("p", F.lit(4), F.length("p")).alias("pair"))
     two = two.select(F.substring_index("pair", " ", 1).alias("v"), F.substring_index("pair", " ", -1).alias("w"), F.lit(True).alias("hit2"))
     words = words_of(F.lower(texts))
-    pairs = let(words, lambda w: F.arrays_zip(w.alias("w"), F.concat(F.array(F.lit("")), F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0)))).alias("v")))
-    seen = docs.select(F.inline(F.transform(pairs, lambda z: F.struct(z["0"].alias("w"), z["1"].alias("v")))))
+    before = lambda w: F.concat(F.array(F.lit("")), F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))))
+    pairs = let(words, lambda w: F.zip_with(w, before(w), lambda x, v: F.struct(x.alias("w"), F.coalesce(v, F.lit("")).alias("v"))))
+    # Of a text without words, before() is one longer than the words: that row has no word.
+    seen = docs.select(F.inline(pairs)).filter("w is not null")
     seen = seen.join(hint(one), "w", "left").join(hint(two), ["v", "w"], "left").filter("hit1 or hit2")
     word = F.when(F.col("hit1"), F.col("w"))
     counted = seen.groupBy(word.alias("w1"), F.when(F.col("hit2"), F.concat_ws(" ", "v", "w")).alias("w2")).agg(F.count("*").alias("n"))
