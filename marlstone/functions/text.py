@@ -73,21 +73,36 @@ def first_of(text: Column, words: list[str] | tuple[str, ...]) -> Column:
     return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words], F.lit(None).cast("string"))
 
 
+def cache_features(text: Column, synonyms: list[list[str]], products: list[str], actions: dict[str, tuple[str, ...]]) -> Column:
+    """struct<year, content, product, acts, words, grams>: all that feature_similarity reads, computed once per text."""
+    acts = F.filter(F.array(*[F.when(any_of(text, ws), F.lit(g)) for g, ws in actions.items()]).cast("array<string>"), lambda x: x.isNotNull())
+
+    def of(norm: Column) -> Column:
+        return F.struct(
+            F.regexp_extract(text, "(20\\d{2})", 1).alias("year"),
+            let(F.regexp_replace(norm, "20\\d{2}", ""), lambda bare: F.struct((bare != "").alias("some"), ngrams(bare, 2).alias("grams"))).alias("content"),
+            (first_of(text, sorted(products, key=lambda p: -len(p))) if products else F.lit(None).cast("string")).alias("product"),
+            acts.alias("acts"),
+            with_synonyms(keywords(text), synonyms).alias("words"),
+            ngrams(norm, 3).alias("grams"),
+        )
+
+    return let(normalised(text), of)
+
+
+def feature_similarity(x: Column, y: Column) -> Column:
+    """0.6 keyword Jaccard + 0.4 trigram Jaccard of two cache_features, 0 behind any guard: years, content, products, actions."""
+    years = (x["year"] != "") & (y["year"] != "") & (x["year"] != y["year"])
+    content = x["content"]["some"] & y["content"]["some"] & ~F.arrays_overlap(x["content"]["grams"], y["content"]["grams"])
+    products = F.coalesce(x["product"] != y["product"], F.lit(False))
+    acts = (F.size(x["acts"]) > 0) & (F.size(y["acts"]) > 0) & ~F.arrays_overlap(x["acts"], y["acts"])
+    return F.when(years | content | products | acts, F.lit(0.0)).otherwise(0.6 * jaccard(x["words"], y["words"]) + 0.4 * jaccard(x["grams"], y["grams"]))
+
+
 def cache_similarity(a: Column, b: Column, synonyms: list[list[str]], products: list[str], actions: dict[str, tuple[str, ...]]) -> Column:
-    """0.6 keyword Jaccard + 0.4 trigram Jaccard, 0 behind any guard: years, content, products, actions."""
-    year = lambda t: F.regexp_extract(t, "(20\\d{2})", 1)
-    bare = lambda t: F.regexp_replace(normalised(t), "20\\d{2}", "")
-    long_first = sorted(products, key=lambda p: -len(p))
-    acts = lambda t: F.filter(F.array(*[F.when(any_of(t, ws), F.lit(g)) for g, ws in actions.items()]), lambda x: x.isNotNull())
-    years = (year(a) != "") & (year(b) != "") & (year(a) != year(b))
-    content = (bare(a) != "") & (bare(b) != "") & (F.size(F.array_intersect(ngrams(bare(a), 2), ngrams(bare(b), 2))) == 0)
-    out = F.when(years, F.lit(0.0)).when(content, F.lit(0.0))
-    if products:
-        out = out.when(F.coalesce(first_of(a, long_first) != first_of(b, long_first), F.lit(False)), F.lit(0.0))
-    if actions:
-        out = out.when((F.size(acts(a)) > 0) & (F.size(acts(b)) > 0) & (F.size(F.array_intersect(acts(a), acts(b))) == 0), F.lit(0.0))
-    kw = jaccard(with_synonyms(keywords(a), synonyms), with_synonyms(keywords(b), synonyms))
-    return out.otherwise(0.6 * kw + 0.4 * jaccard(ngrams(normalised(a), 3), ngrams(normalised(b), 3)))
+    """feature_similarity of two texts."""
+    f = lambda t: cache_features(t, synonyms, products, actions)
+    return let(F.struct(f(a).alias("x"), f(b).alias("y")), lambda p: feature_similarity(p["x"], p["y"]))
 
 
 def cache_key(text: Column) -> Column:

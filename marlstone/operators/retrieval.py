@@ -177,20 +177,21 @@ def near_duplicates(rows: DataFrame, least: float = 0.9) -> DataFrame:
     return x.join(y, "block").filter("a < b").select("a", "b", tx.cosine(F.col("va"), F.col("vb")).alias("score")).filter(F.col("score") >= least)
 
 
-def cache_lookup(queries: DataFrame, cache: DataFrame, similarity, l2_least: float = 0.5, l3_least: float = 0.9, ttl: int = 3600) -> DataFrame:
+def cache_lookup(queries: DataFrame, cache: DataFrame, features, similarity, l2_least: float = 0.5, l3_least: float = 0.9, ttl: int = 3600) -> DataFrame:
     """qid, hit, tier, score of (qid, text, qv, at) against (key, text, v, created): exact key, then similarity, then cosine.
 
     Each tier only sees what the ones before missed; entries older than ttl seconds don't count. Best match, ties
-    to the smaller key. Blocks of queries meet the live entries; the cache is bounded by its own eviction.
+    to the smaller key. features: of a text, computed once per row; similarity: of two of them. Blocks of queries
+    meet the live entries; the cache is bounded by its own eviction.
     """
     live = cache.withColumn("ckey", tx.cache_key(F.col("text")))
-    q = queries.withColumn("qkey", tx.cache_key(F.col("text")))
+    q = queries.withColumn("qkey", tx.cache_key(F.col("text"))).withColumn("qf", features(F.col("text")))
     fresh = (F.col("at") - F.col("created")).between(0, ttl)
     best = lambda d, t: d.groupBy("qid").agg(F.max_by(F.struct(F.col("key").alias("hit"), F.col("score")), F.struct("score", (-F.col("key")).alias("neg"))).alias("b")).select("qid", "b.hit", F.lit(t).alias("tier"), "b.score")
-    c = live.select("key", F.col("text").alias("ctext"), "v", "created", "ckey")
+    c = live.select("key", features(F.col("text")).alias("cf"), "v", "created", "ckey")
     l1 = best(q.join(c, q["qkey"] == c["ckey"]).filter(fresh).withColumn("score", F.lit(1.0)), 1)
     rest = q.join(l1, "qid", "left_anti")
-    l2 = best(rest.crossJoin(_hint(c)).filter(fresh).withColumn("score", similarity(F.col("text"), F.col("ctext"))).filter(F.col("score") >= l2_least), 2)
+    l2 = best(rest.crossJoin(_hint(c)).filter(fresh).withColumn("score", similarity(F.col("qf"), F.col("cf"))).filter(F.col("score") >= l2_least), 2)
     rest = rest.join(l2, "qid", "left_anti")
     l3 = best(rest.crossJoin(_hint(c)).filter(fresh).withColumn("score", tx.cosine(F.col("qv"), F.col("v"))).filter(F.col("score") >= l3_least), 3)
     return l1.unionByName(l2).unionByName(l3)

@@ -231,7 +231,7 @@ _U1 = """
 WITH w AS (SELECT DISTINCT item_id, {w} AS word FROM {{benchmark}}), pairs AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS inter FROM w a JOIN w b ON a.word = b.word AND a.item_id < b.item_id GROUP BY 1, 2),
 s AS (SELECT item_id, count(*) AS n FROM w GROUP BY item_id)
 SELECT a, b, inter, x.n + y.n - inter AS uni FROM pairs JOIN s x ON x.item_id = a JOIN s y ON y.item_id = b"""
-sql("u1_jaccard_sizes", _U1.format(w="explode(split(lower(substring(text, 1, 60)), ' '))"), _U1.format(w="unnest(string_split(lower(substring(text, 1, 60)), ' '))"))
+sql("u1_jaccard_sizes", _U1.format(w="explode(split(lower(text), ' '))"), _U1.format(w="unnest(string_split(lower(text), ' '))"))
 sql("u2_union_triples", "SELECT n_name AS head, 'in' AS relation, r_name AS tail FROM {nation} JOIN {region} ON n_regionkey = r_regionkey UNION SELECT s_name, 'in', n_name FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey")
 sql("u3_except_keys", "SELECT doc_id FROM {documents} EXCEPT SELECT doc_id FROM {labels}")
 sql("u5_merge_distinct", """

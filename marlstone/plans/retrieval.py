@@ -137,13 +137,13 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("r11_cache_tiers")
 def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fortieth user turn looked up among earlier ones: exact, similar, near."""
-    c = table(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.substring("text", 1, 120).alias("text"), "turn")
+    """The stated queries, user turns whose id is divisible by 20, looked up among all user turns: exact, similar, near."""
+    c = table(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text", "turn")
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     rows = c.join(e, F.col("id") % 400 == F.col("vec_id")).withColumn("at", F.col("turn") * 60)
-    q = rows.filter("id % 40 = 0").select(F.col("id").alias("qid"), "text", F.col("embedding").alias("qv"), (F.col("at") + 600).alias("at"))
-    entries = rows.filter("id % 3 = 0").select(F.col("id").alias("key"), "text", F.col("embedding").alias("v"), F.col("at").alias("created"))
-    return r.cache_lookup(q, entries, lambda a, b: tx.cache_similarity(a, b, [["the", "les"]], [], {"buy": ("buy",), "sell": ("sell",)}))
+    q = rows.filter("id % 20 = 0").select(F.col("id").alias("qid"), "text", F.col("embedding").alias("qv"), (F.col("at") + 600).alias("at"))
+    entries = rows.select(F.col("id").alias("key"), "text", F.col("embedding").alias("v"), F.col("at").alias("created"))
+    return r.cache_lookup(q, entries, lambda t: tx.cache_features(t, [["the", "les"]], [], {"buy": ("buy",), "sell": ("sell",)}), tx.feature_similarity)
 
 
 @plan("r13_memory_recall", f"""SELECT a.vec_id AS qid, b.vec_id AS cid, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 1

@@ -132,11 +132,11 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.substring("text", 1, 80), "[^A-Za-z0-9 ]", "").alias("t"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^A-Za-z0-9 ]", "").alias("t"))
     return b.alias("x").join(b.alias("y"), F.expr("x.item_id + 1 = y.item_id")).select(F.col("x.item_id").alias("item_id"), F.col("x.t").alias("a"), F.col("y.t").alias("b"))
 
 
-_PAIR = "WITH s AS (SELECT item_id, regexp_replace(substring(text, 1, 80), '[^A-Za-z0-9 ]', '', 'g') AS text FROM benchmark), g AS (SELECT item_id, {g2} AS g2, {g3} AS g3, {low2} AS b2 FROM s)".format(g2=_grams(_NORM, 2), g3=_grams(_NORM, 3), low2=_grams("text", 2))
+_PAIR = "WITH s AS (SELECT item_id, regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g') AS text FROM benchmark), g AS (SELECT item_id, {g2} AS g2, {g3} AS g3, {low2} AS b2 FROM s)".format(g2=_grams(_NORM, 2), g3=_grams(_NORM, 3), low2=_grams("text", 2))
 _J = lambda c: f"len(list_intersect(x.{c}, y.{c})) / len(list_distinct(list_concat(x.{c}, y.{c})))::DOUBLE"
 _ON = " FROM g x JOIN g y ON x.item_id + 1 = y.item_id"
 
