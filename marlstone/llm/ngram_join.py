@@ -6,6 +6,9 @@ are similar enough share a shingle of their prefixes. Shingles of one set only c
 the count. Sets with identical prefixes and size form a group; groups that share prefix shingles are brought
 together in blocks of bounded size, pairs of groups are filtered by size and by the position of their first
 common shingle, and the members of the pairs that stay are verified by counting common shingles.
+
+Any order that all sets agree on will do, so hot shingles are not counted: they stand last, by hash. They are found
+from summaries of frequent shingles that every task gives for its own texts.
 """
 
 from __future__ import annotations
@@ -28,10 +31,16 @@ from marlstone.session import ship
 CHUNK_BYTES = 1 << 20
 #: Shingles of one slice of the count, on average; slices are added as the corpus grows.
 SLICE_SHINGLES = 1_500_000
+#: Counters of a task's summary of frequent shingles.
+HEAVY = 32_768
+#: Documents that hold a hot shingle, at least (2 / HEAVY of all shingles, if that is more).
+HOT_DOCS = 50_000
 #: Sets of a block: two blocks and their shingles meet in a task.
 BLOCK_SETS = 512
 #: Rows up to which a table of keys (two longs) is broadcast.
 BROADCAST_ROWS = 500_000
+#: Stands for the count of a hot shingle: above all others.
+HOT_DF = (1 << 31) - 1
 
 _U = np.uint64
 _BASE, _INV = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -132,22 +141,75 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _sets(n: int):
-    """id, tkey, text -> id, tkey, owner (hash of the set), n."""
+class _Heavy:
+    """Frequent shingles of a stream of sets (Misra-Gries, in batches): counts fall short by at most seen / keep."""
+
+    def __init__(self, keep: int):
+        self.keep, self.seen = keep, 0
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.room = 1 << 20
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        size = sum(len(s) for s in sets)
+        self.waiting += sets
+        self.seen += size
+        self.room -= size
+        if self.room < 0:
+            self._merge()
+
+    def _merge(self) -> None:
+        keys, at = np.unique(np.concatenate([self.keys, *self.waiting]), return_inverse=True)
+        counts = np.bincount(at[len(self.counts) :], minlength=len(keys)).astype(np.int64)
+        counts[at[: len(self.counts)]] += self.counts
+        if len(keys) > self.keep:
+            counts -= np.partition(counts, -self.keep - 1)[-self.keep - 1]
+        self.keys, self.counts = keys[counts > 0], counts[counts > 0]
+        self.waiting, self.room = [], 1 << 20
+
+    def told(self) -> tuple[np.ndarray, np.ndarray]:
+        self._merge()
+        big = self.counts > self.seen // self.keep
+        return self.keys[big].view(np.int64), self.counts[big]
+
+
+def _sets(n: int, keep: int):
+    """id, tkey, text -> id, tkey, owner (hash of the set), n; then rows of heavy (a frequent shingle), seen."""
+    names = ["id", "tkey", "owner", "n", "heavy", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = _Heavy(keep)
         for b in batches:
             texts = b.column(2).to_pylist()
             for i, j in _chunks(texts):
                 found = shingles(texts[i:j], n)
+                heavy.add(found)
                 part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_owner(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32())], names=["id", "tkey", "owner", "n"])
+                none = pa.nulls(j - i, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_owner(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32()), none, none], names=names)
+        keys, counts = heavy.told()
+        none = pa.nulls(len(keys), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(keys), pa.int32()), pa.array(keys), pa.array(counts)], names=names)
 
     return run
 
 
-def _dealt(n: int, slices: int):
-    """text -> slice, owners, sizes, counts, shingles: a batch's sets, dealt by ranges of the shingle hash."""
+def _hot(summaries: DataFrame, total: int) -> np.ndarray:
+    """The hot shingles, sorted. By the threshold there are at most HEAVY / 2 of them.
+
+    Summaries fall short by 2 * total / HEAVY at most, so any other shingle is in at most HOT_DOCS + 2 * total / HEAVY
+    or 4 * total / HEAVY documents.
+    """
+    least = max(HOT_DOCS, 2 * total // HEAVY + 1)
+    rows = summaries.groupBy("heavy").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= least).select("heavy").collect()
+    return np.sort(np.array([r.heavy for r in rows], dtype=np.int64).view(np.uint64))
+
+
+def _dealt(n: int, slices: int, hot: np.ndarray):
+    """text -> slice, owners, sizes, counts, shingles: a batch's sets, dealt by ranges of the shingle hash.
+
+    Hot shingles go to slices of their own (below 0), where their sets are dealt too.
+    """
     width = (1 << 64) // slices + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,12 +221,28 @@ def _dealt(n: int, slices: int):
             if not found:
                 continue
             owners = np.fromiter(found, np.int64, len(found))
-            sets = list(found.values())
+            sets = all_of = list(found.values())
+            sizes = np.array([len(s) for s in sets], dtype=np.int32)
+            is_hot = None
+            if len(hot):
+                is_hot = [hot[np.searchsorted(hot[:-1], s)] == s for s in sets]
+                sets = [s[~h] for s, h in zip(sets, is_hot, strict=True)]
             edges = np.array([k * width for k in range(1, slices)], dtype=np.uint64)
             # Sets are sorted, so each slice of one is a run of it.
             cuts = np.stack([np.concatenate([[0], np.searchsorted(s, edges), [len(s)]]) for s in sets])
-            sizes = np.array([len(s) for s in sets], dtype=np.int32)
             rows = {"slice": [], "owners": [], "sizes": [], "counts": [], "shingles": []}
+            if is_hot is not None:
+                flat = np.concatenate([s[h] for s, h in zip(all_of, is_hot, strict=True)])
+                held = np.array([h.sum() for h in is_hot])
+                who, size = np.repeat(owners, held), np.repeat(sizes, held)
+                to = ((flat // _U(width)).astype(np.int64) + who % slices) % slices
+                order = np.argsort(to, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else ():
+                    rows["slice"].append(-1 - int(to[at[0]]))
+                    rows["owners"].append(who[at])
+                    rows["sizes"].append(size[at])
+                    rows["counts"].append(np.ones(len(at), dtype=np.int32))
+                    rows["shingles"].append(flat[at].view(np.int64))
             for k in range(slices):
                 counts = cuts[:, k + 1] - cuts[:, k]
                 has = np.flatnonzero(counts)
@@ -181,7 +259,10 @@ def _dealt(n: int, slices: int):
 
 
 def _shared(f: pd.DataFrame) -> pd.DataFrame:
-    """One slice: of each set the shingles that other sets hold too, and how many sets hold them."""
+    """One slice: of each set the shingles that other sets hold too, and how many sets hold them.
+
+    A slice of hot shingles gives all of them, with one high count.
+    """
     counts = np.concatenate(f["counts"].to_numpy())
     owner = np.repeat(np.concatenate(f["owners"].to_numpy()), counts)
     size = np.repeat(np.concatenate(f["sizes"].to_numpy()), counts)
@@ -191,6 +272,8 @@ def _shared(f: pd.DataFrame) -> pd.DataFrame:
     new = np.ones(len(sh), dtype=bool)  # copies in other batches are the same set
     new[1:] = (sh[1:] != sh[:-1]) | (owner[1:] != owner[:-1])
     sh, owner, size = sh[new], owner[new], size[new]
+    if f["slice"].iloc[0] < 0:
+        return pd.DataFrame({"owner": owner, "n": size, "sh": sh, "df": np.full(len(sh), HOT_DF, dtype=np.int32)})
     at = np.flatnonzero(np.concatenate([[True], sh[1:] != sh[:-1]]))
     held = np.diff(np.concatenate([at, [len(sh)]]))
     df = np.repeat(held, held)
@@ -316,12 +399,15 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", join: J
     spark = docs.sparkSession
     ship(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(F.col(text))).alias("tkey"), F.col(text).alias("t"))
-    held = cut(src.mapInArrow(_sets(j.n), "id long, tkey long, owner long, n int"))
+    sweep = cut(src.mapInArrow(_sets(j.n, HEAVY), "id long, tkey long, owner long, n int, heavy long, seen long"))
+    held = sweep.filter("heavy is null").drop("heavy", "seen")
     full = held.filter("n > 0")
     owners = cut(full.groupBy("owner").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.min(F.struct("id", "tkey")).alias("pick"), F.first("n").alias("n")))
     total = owners.agg(F.sum("n")).first()[0] or 0
     slices = max(16, -(-total // SLICE_SHINGLES))
-    dealt = src.select("t").mapInArrow(_dealt(j.n, slices), "slice int, owners array<long>, sizes array<int>, counts array<int>, shingles array<long>")
+    everywhere = full.agg(F.sum("n")).first()[0] or 0
+    hot = _hot(sweep.filter("heavy is not null"), everywhere)
+    dealt = src.select("t").mapInArrow(_dealt(j.n, slices, hot), "slice int, owners array<long>, sizes array<int>, counts array<int>, shingles array<long>")
     shared = dealt.groupBy("slice").applyInPandas(_shared, "owner long, n int, sh long, df int")
     # Of each set: shared shingles, rarest first; those of one set only stand before them in its order.
     per = shared.groupBy("owner", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sh"))).alias("x"))

@@ -54,8 +54,10 @@ def families():
     return texts
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_join_equals_all_pairs(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "hot"), [(False, None), (True, None), (False, 3), (True, 12), (True, 1)])
+def test_join_equals_all_pairs(spark, monkeypatch, small, hot):
+    if hot:  # shingles of so many documents stand last; those of one at least are all
+        monkeypatch.setattr(ngram_join, "HOT_DOCS", hot)
     if small:  # many slices, many blocks, no broadcasts
         monkeypatch.setattr(ngram_join, "SLICE_SHINGLES", 100)
         monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
@@ -66,6 +68,22 @@ def test_join_equals_all_pairs(spark, monkeypatch, small):
     assert [got[i] for i in range(len(texts))] == classes_of(texts)
 
 
+def test_summaries_tell_every_frequent_shingle():
+    r = np.random.default_rng(6)
+    heavy = ngram_join._Heavy(50)
+    heavy.room = 300
+    sets = [np.unique(np.concatenate([r.integers(1000, 1 << 60, 20), r.integers(0, 9, 2)])).astype(np.uint64) for _ in range(400)]
+    for s in sets:
+        heavy.add([s])
+    keys, counts = heavy.told()
+    true = Counter(int(x) for s in sets for x in s)
+    got = dict(zip(keys.tolist(), counts.tolist(), strict=True))
+    seen = sum(true.values())
+    assert all(true[k] - seen / 50 <= c <= true[k] for k, c in got.items())
+    assert {k for k, c in true.items() if c > 2 * seen / 50} <= set(got)
+    assert [len(x) for x in ngram_join._Heavy(5).told()] == [0, 0]
+
+
 def test_keep_one_of_each_component(spark):
     texts = families()
     d = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, owner string, id long")
