@@ -33,6 +33,8 @@ CHUNK_BYTES = 1 << 20
 SLICE_SHINGLES = 1_500_000
 #: Counters of a task's summary of frequent shingles.
 HEAVY = 32_768
+#: Shingles that wait to be summed up: few, as many small arrays held for long leave a worker's memory in pieces.
+WAITING = 1 << 17
 #: Documents that hold a hot shingle, at least (2 / HEAVY of all shingles, if that is more).
 HOT_DOCS = 50_000
 #: Sets of a block: two blocks and their shingles meet in a task.
@@ -148,7 +150,7 @@ class _Heavy:
         self.keep, self.seen = keep, 0
         self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.waiting: list[np.ndarray] = []
-        self.room = 1 << 20
+        self.room = WAITING
 
     def add(self, sets: list[np.ndarray]) -> None:
         size = sum(len(s) for s in sets)
@@ -165,7 +167,7 @@ class _Heavy:
         if len(keys) > self.keep:
             counts -= np.partition(counts, -self.keep - 1)[-self.keep - 1]
         self.keys, self.counts = keys[counts > 0], counts[counts > 0]
-        self.waiting, self.room = [], 1 << 20
+        self.waiting, self.room = [], WAITING
 
     def told(self) -> tuple[np.ndarray, np.ndarray]:
         self._merge()
