@@ -195,3 +195,22 @@ def cache_lookup(queries: DataFrame, cache: DataFrame, features, similarity, l2_
     rest = rest.join(l2, "qid", "left_anti")
     l3 = best(rest.crossJoin(_hint(c)).filter(fresh).withColumn("score", tx.cosine(F.col("qv"), F.col("v"))).filter(F.col("score") >= l3_least), 3)
     return l1.unionByName(l2).unionByName(l3)
+
+
+def gateway_lookup(queries: DataFrame, cache: DataFrame, high: float = 0.93, low: float = 0.82, share: float = 0.4, ttl: int = 86_400) -> DataFrame:
+    """qid, key, score, tier of the queries that the nearest live entry answers; ties go to the smaller key.
+
+    queries: qid, text, qv, at; cache: key, text, v, created; times in seconds. An entry lives for ttl seconds from
+    its creation. Years and order numbers must agree; below high (tier 'near'; 'same' from high on) so must a share of
+    the two-character sequences. Only the nearest entry is asked. Blank queries and zero vectors find nothing.
+    """
+    q = _hint(queries.filter(F.trim("text") != "").select("qid", F.col("text").alias("asked"), "qv", "at"))
+    score = tx.cosine(F.col("v"), F.col("qv"))
+    live = (F.col("created") <= F.col("at")) & (F.col("at") - F.col("created") <= ttl)
+    pairs = cache.join(q, live).select("qid", "key", F.round(score, 9).alias("score")).filter(F.col("score") >= low)
+    best = pairs.groupBy("qid").agg(F.max(F.struct("score", (-F.col("key")).alias("less"))).alias("x")).select("qid", F.col("x.score").alias("score"), (-F.col("x.less")).alias("key"))
+    both = best.join(queries.select("qid", F.col("text").alias("asked")), "qid").join(cache.select("key", "text"), "key")
+    x, y = tx.ngrams(F.col("asked"), 2), tx.ngrams(F.col("text"), 2)
+    tier = F.when(F.col("score") >= high, "same").when(tx.contained(x, y, share), "near")
+    agree = tx.signature(F.col("asked")) == tx.signature(F.col("text"))
+    return both.filter(agree).select("qid", "key", "score", tier.alias("tier")).filter("tier is not null")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
+from marlstone.operators import models as mo
 from marlstone.operators import retrieval as r
 from marlstone.plans.registry import ORACLES, plan, sql
 from marlstone.session import table
@@ -205,3 +206,27 @@ SELECT g.doc_id, CASE WHEN now.doc_id IS NULL THEN 'missing' WHEN now.h <> g.h T
 sql("j17_ticket_context", """
 SELECT conv_id, turn, role FROM (SELECT c.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM {conversations} c
   WHERE conv_id IN (SELECT conv_id FROM {conversations} WHERE role = 'system')) x WHERE rn <= 6""")
+
+
+@plan("r12_gateway_cache")
+def gateway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns whose id is divisible by 20, looked up among all user turns by the vectors of their texts."""
+    c = table(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("key"), "text", F.lit(0).alias("created"))
+    entries = mo.encode(c)
+    asked = entries.filter("key % 20 = 0").select(F.col("key").alias("qid"), "text", F.col("v").alias("qv"), F.lit(60).alias("at"))
+    return r.gateway_lookup(asked, entries)
+
+
+@plan("r9_pair_scores")
+def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best of the 40 BM25 candidates of each question by a scorer of pairs."""
+    hits = r.bm25(_index(spark, sf_dir), _queries(spark), 40).select("qid", "cid")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cid"), F.col("text").alias("content"))
+    return _top(mo.rescore(hits.join(docs, "cid").join(_queries(spark).withColumnRenamed("text", "query"), "qid")))
+
+
+@plan("x5_encode", "SELECT doc_id, 256 AS dims, CASE WHEN regexp_matches(lower(text), '[0-9a-z_]|[\u4e00-\u9fff]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents")
+def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all documents: their dimensions and lengths."""
+    v = mo.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return v.select("doc_id", F.size("v").alias("dims"), F.round(F.sqrt(tx.dot(F.col("v"), F.col("v"))), 5).alias("norm"))

@@ -8,6 +8,7 @@ from marlstone.functions import text as tx
 from marlstone.operators import chunking as ch
 from marlstone.operators import graph as g
 from marlstone.operators import lifecycle as lc
+from marlstone.operators import models as mo
 from marlstone.operators import retrieval as r
 from marlstone.sources import files
 from marlstone.streaming import service as st
@@ -143,3 +144,19 @@ def test_dialog_state_carries_slots_and_topics(spark):
     rows = [(1, 1, "a", "p", False), (1, 2, "b", None, True), (1, 3, "b", None, True), (1, 4, "a", "q", False)]
     got = st.dialog_state(spark.createDataFrame(rows, "conv_id long, turn int, intent string, product string, negative boolean")).orderBy("turn").collect()
     assert [(x.product, x.negative_turns, x.turn_count, x.topics) for x in got] == [("p", 0, 1, ""), ("p", 1, 1, "a"), ("p", 2, 2, "a"), ("q", 0, 1, "")]
+
+
+def test_gateway_cache_thresholds_and_guards(spark):
+    c = [(1, "fund fees in 2024", [1.0, 0.0], 0), (2, "fund fees in 2024", [1.0, 0.0], 0), (3, "old rule", [0.0, 1.0], -100_000), (4, None, [0.0, 0.0], 0), (5, "zzz", [-1.0, 0.0], 0)]
+    q = [(1, "fund fees in 2024", [1.0, 0.0], 9), (2, "fund fees in 2025", [1.0, 0.0], 9), (3, "old rule", [0.0, 1.0], 9), (4, "fund fees, 2024", [0.9, 0.436], 9), (5, "qwertyuiop 2024", [0.9, 0.436], 9), (6, " ", [1.0, 0.0], 9), (7, "x", None, 9)]
+    got = r.gateway_lookup(spark.createDataFrame(q, "qid long, text string, qv array<double>, at long"), spark.createDataFrame(c, "key long, text string, v array<double>, created long"))
+    assert sorted((x.qid, x.key, x.tier) for x in got.collect()) == [(1, 1, "same"), (4, 1, "near")]
+
+
+def test_encoder_and_pair_scorer(spark):
+    d = spark.createDataFrame([(1, "Buy funds", 0), (2, None, 0), (3, "funds buy", 0), (4, "", 0)], "id long, text string, v int")
+    v = {x.id: x.v for x in mo.encode(d).collect()}
+    assert v[1] == v[3] and len(v[1]) == 256 and abs(sum(a * a for a in v[1]) - 1) < 1e-5 and not any(v[2]) and not any(v[4])
+    assert mo.encode(d.limit(0)).count() == 0
+    pairs = spark.createDataFrame([(1, 7, "a b", "a b c"), (1, 5, "a b", "b a"), (1, 6, "a b", None), (2, 1, None, "a")], "qid long, cid long, query string, content string")
+    assert sorted((x.qid, x["rank"], x.cid, x.score) for x in mo.rescore(pairs, k=2).collect()) == [(1, 1, 5, 1.0), (1, 2, 7, 1.0), (2, 1, 1, 0.0)]
