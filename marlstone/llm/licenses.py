@@ -1,13 +1,15 @@
-"""License scans: sparse TF-IDF cosine of licence passages to templates, and inheritance from directories.
+"""License scans: sparse TF-IDF cosine of word windows to templates, and inheritance from directories.
 
-A file's passages are its lines (windows of very long ones) that speak of licences or rights; a licence file is
-one passage as a whole. Passages are told apart by their text, so a passage that a third of all files share is
-scored once. A file without a licence of its own takes that of the nearest ancestor directory with a licence
-file; directories, not files, are joined to their ancestors. DataFrame functions only.
+Templates are short notices, headers and whole licence texts (of long licences the opening, which names them). A
+file that speaks of licences or rights, and every licence file, is read in windows as long as each template, across
+line breaks, from each word that the template has too. Windows are told apart by their text, so a notice that a third
+of all files share is scored once. A file without a licence of its own takes that of the nearest ancestor directory
+with a licence file; directories, not files, are joined to their ancestors. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,9 +36,40 @@ TEMPLATES = {
     "MPL-2.0": "subject to the terms of the Mozilla Public License v 2.0",
     "Unlicense": "free and unencumbered software released into the public domain unlicense",
 }
+#: Words that a window must have to match a short notice: without them it names another licence, or none.
+NAMES = {
+    "AGPL-3.0": "affero", "Apache-2.0": "apache", "BSD-2-Clause": "redistribution", "BSD-3-Clause": "redistribution", "CC-BY-4.0": "by", "CC-BY-NC-4.0": "nc", "CC-BY-SA-4.0": "sa",
+    "CC0-1.0": "cc0", "GPL-2.0": "gnu", "GPL-3.0": "gnu", "ISC": "fee", "LGPL-3.0": "lesser", "MIT": "mit", "MIT-short": "mit", "MPL-2.0": "mozilla", "Unlicense": "unencumbered",
+}
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_END = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_COPIES = "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"
+_HEADER = "this program is free software you can redistribute it and or modify it under the terms of the gnu {} license as published by the free software foundation either version {} of the license or at your option any later version"
+#: Whole texts, openings of long texts and headers of files.
+TEXTS = {
+    "AGPL-3.0 header": _HEADER.format("affero general public", 3),
+    "AGPL-3.0 text": f"gnu affero general public license version 3 19 november 2007 copyright c 2007 free software foundation inc {_COPIES} preamble the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software",
+    "Apache-2.0 text": "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution 1 definitions license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document",
+    "Apache-2.0 header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
+    "BSD-2-Clause text": f"{_BSD} {_BSD_END}",
+    "BSD-3-Clause text": f"{_BSD} 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission {_BSD_END}",
+    "CC0-1.0 text": "creative commons legal code cc0 1 0 universal creative commons corporation is not a law firm and does not provide legal services distribution of this document does not create an attorney client relationship",
+    "GPL-2.0 header": _HEADER.format("general public", 2),
+    "GPL-2.0 text": f"gnu general public license version 2 june 1991 copyright c 1989 1991 free software foundation inc {_COPIES} preamble the licenses for most software are designed to take away your freedom to share and change it",
+    "GPL-3.0 header": _HEADER.format("general public", 3),
+    "GPL-3.0 text": f"gnu general public license version 3 29 june 2007 copyright c 2007 free software foundation inc {_COPIES} preamble the gnu general public license is a free copyleft license for software and other kinds of works",
+    "ISC text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "LGPL-3.0 header": _HEADER.format("lesser general public", 3),
+    "LGPL-3.0 text": f"gnu lesser general public license version 3 29 june 2007 copyright c 2007 free software foundation inc {_COPIES} this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below",
+    "MIT text": f"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software {_AS_IS}",
+    "MPL-2.0 header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+    "MPL-2.0 text": "mozilla public license version 2 0 1 definitions 1 1 contributor means each individual or legal entity that creates contributes to the creation of or owns covered software",
+    "Unlicense text": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+}
 #: Templates that name the same licence as another.
-SAME = {"MIT-short": "MIT"}
-HINT = r"(?i)licen[cs]e|copyright|spdx|public domain|redistribution"
+SAME = {"MIT-short": "MIT"} | {k: k.split(" ")[0] for k in TEXTS}
+HINT = r"(?i)licen[cs]e|copyright|spdx|public\s+domain|redistribution"
 #: A passage of a hinted line: the hint, with up to 200 characters before it and 300 behind.
 PASSAGE = r"(?i).{0,200}?(?:licen[cs]e|copyright|spdx|public domain|redistribution).{0,300}"
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice|unlicense)(?:[.-][^/]*)?$"
@@ -54,29 +87,45 @@ def _terms(passage: Column) -> Column:
     return F.regexp_extract_all(F.lower(passage), F.lit(TERM), F.lit(0))
 
 
-def scored(passages: DataFrame, least: float) -> DataFrame:
-    """passage, license, score: best template of each distinct passage whose cosine is at least `least`.
+def scored(hinted: DataFrame, passages: DataFrame, least: float) -> DataFrame:
+    """__row, license, score of hinted (__row, text): best template of each row whose cosine to a window is at least `least`.
 
     Document frequencies are counted over all distinct passages and the templates. Ties go to the name that
     sorts first.
     """
-    spark = passages.sparkSession
-    tmpl = spark.createDataFrame([(k, v) for k, v in TEMPLATES.items()], "name string, passage string")
+    spark = hinted.sparkSession
+    every = TEMPLATES | TEXTS
+    tmpl = spark.createDataFrame([(k, v, len(re.findall(TERM, v.lower())), [NAMES[k]] if k in NAMES else []) for k, v in every.items()], "name string, passage string, length int, names array<string>")
     tf = lambda d, key: d.select(key, F.explode(_terms(F.col("passage"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     p = cut(tf(passages.select("passage", F.xxhash64("passage").alias("h")), "h"))
     t = cut(tf(tmpl, "name"))
-    n = p.select("h").distinct().count() + len(TEMPLATES)
+    n = p.select("h").distinct().count() + len(every)
     df = p.groupBy("term").agg(F.count("*").alias("df")).unionByName(t.groupBy("term").agg(F.count("*").alias("df"))).groupBy("term").agg(F.sum("df").alias("df"))
     idf = cut(df.select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf")))
-    weigh = lambda d: d.join(idf, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    pw, tw = weigh(p), cut(weigh(t))
-    norm_p = pw.groupBy("h").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("np"))
-    norm_t = tw.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nt"))
-    # The templates are the list above: a fixed, small table.
-    dots = pw.join(F.broadcast(tw.select("term", "name", F.col("w").alias("v"))), "term").groupBy("h", "name").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    cos = dots.join(F.broadcast(norm_t), "name").join(norm_p, "h").withColumn("score", F.col("dot") / (F.col("np") * F.col("nt"))).filter(F.col("score") >= least)
+    # A window may have words that no passage has.
+    weigh = lambda d: d.join(idf, "term", "left").withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", F.log(F.lit(n + 1.0)) + 1))
+    tw = cut(weigh(t))
+    # The templates are the lists above: a fixed, small table.
+    shape = tmpl.select("name", "length", "names").join(tw.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("w") * F.col("w")))).alias("squares"), F.sum(F.col("w") * F.col("w")).alias("total")), "name")
+
+    def may(words: Column) -> Column:
+        """False only where no window within words can reach `least`: a cosine is at most the share of the template's norm on common words."""
+        common = F.aggregate(F.array_intersect(words, F.map_keys("squares")), F.lit(0.0), lambda a, x: a + F.col("squares")[x])
+        return F.forall("names", lambda x: F.array_contains(words, x)) & (common >= (least * least - 1e-9) * F.col("total"))
+
+    pairs = hinted.select("__row", _terms(F.col("text")).alias("words")).crossJoin(F.broadcast(shape)).filter(may(F.col("words")))
+    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains(F.map_keys("squares"), F.element_at("words", i)))
+    found = F.filter(F.transform(starts, lambda i: F.slice("words", i, F.col("length"))), may)
+    wins = cut(pairs.select("__row", "name", F.explode(F.array_distinct(F.transform(found, lambda x: F.array_join(x, " ")))).alias("win")).withColumn("h", F.xxhash64("name", "win")))
+    each = wins.select("h", "name", "win").distinct().select("h", "name", F.explode(F.split("win", " ")).alias("term")).groupBy("h", "name", "term").agg(F.count("*").alias("tf"))
+    ww = weigh(each).join(F.broadcast(tw.select("name", "term", F.col("w").alias("v"))), ["name", "term"], "left")
+    norm_t = shape.select("name", F.sqrt("total").alias("nt"))
+    cos = ww.groupBy("h", "name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("np"), F.sum(F.col("w") * F.col("v")).alias("dot")).join(F.broadcast(norm_t), "name")
+    cos = cos.withColumn("score", F.col("dot") / (F.col("np") * F.col("nt"))).filter(F.col("score") >= least)
     same = F.coalesce(*[F.when(F.col("name") == k, F.lit(v)) for k, v in SAME.items()], F.col("name"))
-    return cos.groupBy("h").agg(F.min(F.struct((-F.col("score")).alias("neg"), same.alias("license"))).alias("b")).select("h", F.col("b.license").alias("license"), (-F.col("b.neg")).alias("score"))
+    # Sums in another order differ in the last digits: equal scores are told by ten.
+    best = wins.select("__row", "h").join(cos.select("h", same.alias("license"), F.round("score", 10).alias("score")), "h").groupBy("__row").agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("license"))).alias("b"))
+    return best.select("__row", F.col("b.license").alias("license"), (-F.col("b.neg")).alias("score"))
 
 
 def parent(path: Column) -> Column:
@@ -87,7 +136,7 @@ def parent(path: Column) -> Column:
 def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", scan: Scan | None = None) -> DataFrame:
     """files with own_license, own_score, license and from_dir (the directory that license is inherited from, or null).
 
-    Null text: no licence of its own. Null path: nothing is inherited. Of several passages the highest score
+    Null text: no licence of its own. Null path: nothing is inherited. Of several windows the highest score
     counts, ties go to the name that sorts first; of several licence files in a directory likewise. Repeated rows
     stay. An empty table gives no rows. Columns of files that clash with the new ones are replaced.
     """
@@ -97,12 +146,10 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", scan
     t = text_of(F.col(text))
     is_file = F.coalesce(F.rlike(F.col(path), F.lit(LICENCE_FILE)), F.lit(False))
     found = F.when(is_file & (F.length(t) > 0), F.array(t)).when(F.rlike(t, F.lit(HINT)), F.flatten(F.transform(F.filter(F.split(t, "\n", -1), lambda x: F.rlike(x, F.lit(HINT))), lambda x: F.regexp_extract_all(x, F.lit(PASSAGE), F.lit(0))))).otherwise(F.array().cast("array<string>"))
-    rows = files.select(*cols).withColumns({"__row": F.monotonically_increasing_id(), "__passages": F.array_distinct(F.transform(found, lambda x: F.trim(x)))})
-    slim = cut(rows.select("__row", F.col(path).alias("path"), "__passages", is_file.alias("is_file"), *[F.col(c).alias(f"__own_{i}") for i, c in enumerate(cols) if c not in (path, text)]))
-    each = slim.select("__row", F.explode("__passages").alias("passage"))
-    best = scored(each.select("passage").distinct(), s.least)
-    own = each.select("__row", F.xxhash64("passage").alias("h")).join(best, "h").groupBy("__row").agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("license"))).alias("b"))
-    own = cut(own.select("__row", F.col("b.license").alias("own_license"), (-F.col("b.neg")).alias("own_score")))
+    rows = files.select(*cols).withColumns({"__row": F.monotonically_increasing_id(), "__passages": F.array_distinct(F.transform(found, lambda x: F.trim(x))), "__hinted": F.when((is_file & (F.length(t) > 0)) | F.rlike(t, F.lit(HINT)), t)})
+    slim = cut(rows.select("__row", F.col(path).alias("path"), "__passages", "__hinted", is_file.alias("is_file"), *[F.col(c).alias(f"__own_{i}") for i, c in enumerate(cols) if c not in (path, text)]))
+    passages = slim.select(F.explode("__passages").alias("passage")).distinct()
+    own = cut(scored(slim.filter("__hinted is not null").select("__row", F.col("__hinted").alias("text")), passages, s.least).select("__row", F.col("license").alias("own_license"), F.col("score").alias("own_score")))
     told = slim.filter("is_file and path is not null").join(own, "__row").groupBy(parent(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("own_score")).alias("neg"), F.col("own_license"))).alias("b"))
     told = told.select(F.col("dir").alias("anc"), F.col("b.own_license").alias("dir_license"))
     dirs = slim.filter("path is not null").select(parent(F.col("path")).alias("dir")).distinct()

@@ -203,3 +203,91 @@ def test_registered_digests(spark, sf):
     said = "</s>[INST] ok [/INST]"
     assert row.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
     assert row.loss_sha256 == hashlib.sha256(said.encode()).hexdigest() and row.loss_chars == len(said) and row.n_turns == 2
+
+
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2015 A. Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE.
+"""
+ISC = """Copyright (c) 2020, A. Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+"""
+BSD3 = """Copyright (c) The Regents of the University of California.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. Neither the name of the University nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS ``AS IS'' AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED.  IN NO EVENT SHALL THE REGENTS OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY
+OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF
+SUCH DAMAGE.
+"""
+BSD2 = BSD3[: BSD3.index("3. Neither")] + BSD3[BSD3.index("THIS SOFTWARE") :]
+GPL_HEADER = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU {}General Public License as published by
+ * the Free Software Foundation, either version {} of the License, or
+ * (at your option) any later version.
+"""
+
+
+def test_licenses_whole_texts_broken_headers_and_long_lines(spark):
+    import os
+
+    filler = "some quite ordinary words of a line that goes on and on about other things " * 6
+    want = {
+        "m/LICENSE": (MIT, "MIT"), "i/LICENSE": (ISC, "ISC"), "b2/LICENSE": (BSD2, "BSD-2-Clause"), "b3/COPYING": (BSD3, "BSD-3-Clause"), "m.c": ("/* " + MIT.replace("\n", "\n * ") + "*/\nint x;", "MIT"),
+        "h2.c": ("/*\n" + GPL_HEADER.format("", 2) + " */\nint x;", "GPL-2.0"), "h3.c": (filler + "\n" + GPL_HEADER.format("", 3), "GPL-3.0"), "ha.c": (GPL_HEADER.format("Affero ", 3), "AGPL-3.0"), "hl.c": (GPL_HEADER.format("Lesser ", 3), "LGPL-3.0"),
+        "long.txt": (filler + "Licensed under the Apache License, Version 2.0 " + filler, "Apache-2.0"), "cut.txt": ("copyright " + filler + "Licensed under the\n# Apache License, Version 2.0 " + filler, "Apache-2.0"),
+        "other.txt": ("Released under the Foo License. All rights reserved.", None), "plain.txt": (filler + " licence " + filler, None),
+    }
+    for name, told in (("GPL-3", "GPL-3.0"), ("GPL-2", "GPL-2.0"), ("LGPL-3", "LGPL-3.0"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(f"/usr/share/common-licenses/{name}"):
+            want[f"{name}/COPYING"] = (open(f"/usr/share/common-licenses/{name}").read(), told)
+    d = spark.createDataFrame([(k, v[0]) for k, v in want.items()], "path string, text string")
+    assert {x.path: x.own_license for x in licenses.scan_licenses(d).collect()} == {k: v[1] for k, v in want.items()}
