@@ -114,11 +114,28 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+#: A tree of directories, as path and text: licence files at two depths, one without a licence, a root without.
+LICENSE_TREE = (
+    ("tree/LICENSE", "Released under the MIT License."),
+    ("tree/main.py", "code"),
+    ("tree/a/b/deep.py", "code"),
+    ("tree/a/own.py", "# Licensed under the Apache License, Version 2.0.\ncode"),
+    ("tree/lib/COPYING", "This work is licensed under the GNU General Public License, version 3."),
+    ("tree/lib/x/y/z.py", None),
+    ("tree/lib/n/NOTICE", "Names of those who helped."),
+    ("tree/lib/n/w.py", "code"),
+    ("tree/library/v.py", "code"),
+    ("bare/u.py", "code"),
+    ("u.py", "code"),
+)
+
+
 @query
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences of all documents; a document's path is its source and id."""
-    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
-    return licenses.scan_licenses(docs).select("doc_id", "path", "license", F.round("own_score", 6).alias("own_score"), "from_dir")
+    """Licences of all documents, whose paths are source and id, and of a tree with licence files (ids from -1 down)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
+    tree = spark.createDataFrame([(-1 - i, p, t) for i, (p, t) in enumerate(LICENSE_TREE)], "doc_id long, path string, text string")
+    return licenses.scan_licenses(docs.unionByName(tree)).select("doc_id", "path", "license", F.round("own_score", 6).alias("own_score"), "from_dir")
 
 
 @query

@@ -291,3 +291,19 @@ def test_licenses_whole_texts_broken_headers_and_long_lines(spark):
             want[f"{name}/COPYING"] = (open(f"/usr/share/common-licenses/{name}").read(), told)
     d = spark.createDataFrame([(k, v[0]) for k, v in want.items()], "path string, text string")
     assert {x.path: x.own_license for x in licenses.scan_licenses(d).collect()} == {k: v[1] for k, v in want.items()}
+
+
+def test_license_query_inherits_as_brute_force_does(spark, sf):
+    rows = {x.path: x for x in q.op3_licenses(spark, sf).collect()}
+    told = {"/".join(p.split("/")[:-1]): x.license for p, x in rows.items() if x.own_score is not None and re.fullmatch("(?i)(licen[cs]e|copying|notice|unlicense)([.-].*)?", p.split("/")[-1])}
+    assert told == {"tree": "MIT", "tree/lib": "GPL-3.0"}
+    inherited = 0
+    for p, x in rows.items():
+        dirs = ["/".join(p.split("/")[:k]) for k in range(len(p.split("/")))]
+        near = max((d for d in dirs if d in told), key=len, default=None)
+        if x.own_score is None:
+            assert (x.license, x.from_dir) == (told.get(near), near)
+            inherited += near is not None
+        else:
+            assert x.from_dir is None
+    assert inherited == 6 and len(rows) == table(spark, sf, "documents").count() + len(q.LICENSE_TREE)
