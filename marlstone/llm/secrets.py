@@ -1,8 +1,9 @@
 """Secret scans: base patterns, and tokens that a battery of randomness tests can't tell from random strings.
 
-For each mixed token of an inferred encoding: a chi-squared test of uniformity over the alphabet, a runs test
-and a lag-1 serial correlation test, combined by Fisher's method. The hypothesis is that the token is random;
-Benjamini and Hochberg's procedure, run apart for each encoding and length band, decides which tokens are
+For each token of an inferred encoding (of a token that none fits, for each of its parts): a chi-squared test of
+uniformity over the alphabet, a runs test and a lag-1 serial correlation test, combined by Fisher's method; and a
+chi-squared test of the numbers of capitals, small letters and other characters, which words of letters alone fail.
+Bonferroni joins the two. The hypothesis is that the token is random; Benjamini and Hochberg's procedure, run apart for each encoding and length band, decides which tokens are
 ordinary. Those that stay are secrets: at most fdr of what a band dismisses is expected to be random.
 DataFrame functions only.
 """
@@ -23,6 +24,8 @@ ASSIGN_HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*
 ACCESS = "AKIA[A-Z0-9]++"
 HEX = "[0-9a-f]++"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: Part of a token that no encoding fits: it has characters of both 64-letter alphabets.
+PART = "[A-Za-z0-9]{16,}+={0,2}"
 SPAN = "struct<s:int,k:int,e:int,kind:string,m:string>"
 HEX_DIGITS = "0123456789abcdef"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -50,8 +53,6 @@ LOWEST = 12
 @dataclass(frozen=True)
 class Battery:
     fdr: float = 0.05
-    min_letters: int = 2
-    min_digits: int = 2
 
 
 def _normal_tail(z: Column) -> Column:
@@ -66,7 +67,7 @@ def _upper(z: Column) -> Column:
 
 
 def randomness(token: Column) -> Column:
-    """struct<encoding,p>: inferred encoding of a token and the combined p-value of the three tests; null if none fits."""
+    """struct<encoding,p>: inferred encoding of a token and the combined p-value of the tests; null if none fits."""
     bare = F.rtrim(token, F.lit("="))
     alphabet = name = None
     for n, look, letters in ENCODINGS:
@@ -100,7 +101,15 @@ def randomness(token: Column) -> Column:
             ln = lambda p: F.log(F.greatest(p, F.lit(1e-15)))
             half = -(ln(_upper(z_chi)) + ln(2 * _normal_tail(z_runs)) + ln(2 * _normal_tail(z_ser)))
             # Fisher: minus twice the sum of logs is chi-squared with six degrees; its tail has a closed form.
-            return F.least(F.lit(1.0), F.exp(-half) * (1 + half + half * half / 2))
+            return F.least(F.lit(1.0), 2 * F.least(F.exp(-half) * (1 + half + half * half / 2), classes()))
+
+        def classes() -> Column:
+            """p-value of the numbers of capitals, small letters and others; an alphabet of one case has two classes."""
+            upper, lower = ((lambda v, out=out: F.length(F.regexp_replace(v, out, "")).cast("double")) for out in ("[^A-Z]", "[^a-z]"))
+            other = lambda v: F.length(v) - upper(v) - lower(v)
+            part = lambda f: F.when(f(x["a"]) > 0, F.pow(f(x["t"]) - n * f(x["a"]) / size, F.lit(2)) / (n * f(x["a"]) / size)).otherwise(0.0)
+            chi = part(upper) + part(lower) + part(other)
+            return F.when((upper(x["a"]) > 0) & (lower(x["a"]) > 0), F.exp(-chi / 2)).otherwise(2 * _normal_tail(F.sqrt(chi)))
 
         return F.struct(x["n"].alias("encoding"), F.when(F.length(x["t"]) >= 16, let(codes, tests)).alias("p"))
 
@@ -133,12 +142,14 @@ def scan(docs: DataFrame, text: str, b: Battery) -> DataFrame:
     )
     base = F.concat("__assign", "__access", "__hex")
 
-    def mixed(x: Column) -> Column:
-        letters = F.length(F.regexp_replace(x["m"], "[^A-Za-z]", ""))
-        digits = F.length(F.regexp_replace(x["m"], "[^0-9]", ""))
-        return (letters >= b.min_letters) & (digits >= b.min_digits) & ~F.exists(base, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
+    def whole_or_parts(x: Column) -> Column:
+        parts = F.transform(spans_of(x["m"], PART), lambda y: F.struct((x["s"] + y["s"]).alias("s"), (x["s"] + y["e"]).alias("e"), y["m"].alias("m")))
+        return F.when(F.rlike(x["m"], F.lit("[+/]")) & F.rlike(x["m"], F.lit("[_-]")), parts).otherwise(F.array(x))
+
+    def free(x: Column) -> Column:
+        return ~F.exists(base, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
 
-    tokens = F.transform(F.filter(spans_of(t, TOKEN), mixed), lambda x: F.struct(x["s"], x["e"], x["m"], randomness(x["m"]).alias("r"), _band(x["m"]).alias("band")))
+    tokens = F.transform(F.filter(F.flatten(F.transform(spans_of(t, TOKEN), whole_or_parts)), free), lambda x: F.struct(x["s"], x["e"], x["m"], randomness(x["m"]).alias("r"), _band(x["m"]).alias("band")))
     return out.withColumn("__tokens", F.filter(tokens, lambda x: x["r"]["p"].isNotNull()))
 
 

@@ -307,3 +307,19 @@ def test_license_query_inherits_as_brute_force_does(spark, sf):
         else:
             assert x.from_dir is None
     assert inherited == 6 and len(rows) == table(spark, sf, "documents").count() + len(q.LICENSE_TREE)
+
+
+def test_secrets_few_digits_and_keys_behind_paths(spark):
+    r = random.Random(12)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    few = []
+    while len(few) < 40:
+        k = "".join(r.choice(chars) for _ in range(20))
+        few += [k] if sum(c.isdigit() for c in k) < 2 else []
+    behind = ["".join(r.choice(chars) for _ in range(24)) for _ in range(40)]
+    words = ["getPropertiesOfElement", "configurationmanager", "Donaudampfschiffahrt", "internationalisation", "a-well-known-hyphenated-word", "snake_case_words_in_a_row", "--------------------"]
+    d = [(i, f"see {k} here") for i, k in enumerate(few)] + [(100 + i, f"see com/some-path/{k} here") for i, k in enumerate(behind)] + [(200 + i, f"see {w} here") for i, w in enumerate(words * 20)]
+    found = {x.doc_id: [(y.s, y.m) for y in x["random"]] for x in secrets.find_secrets(spark.createDataFrame(d, "doc_id long, text string")).collect()}
+    assert sum(found[i] == [(4, k)] for i, k in enumerate(few)) >= 32
+    assert sum(found[100 + i] == [(18, k)] for i, k in enumerate(behind)) >= 32
+    assert not [found[200 + i] for i in range(len(words) * 20) if found[200 + i]]
