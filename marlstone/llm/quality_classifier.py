@@ -1,7 +1,7 @@
 """Quality classifier by co-training: a text view and a page-metadata view teach each other.
 
-Both start from labelled documents. In each round a view labels what it is sure of in an unlabelled pool for the
-other. Each is then calibrated on labelled documents kept apart, and the calibrated views are combined there.
+Both start from labelled documents. In each round tasks score all unlabelled documents, and a view labels those that
+it is surest of for the other. Each is then calibrated on labelled documents kept apart, and the calibrated views are combined there.
 Fitting takes bounded samples (parameters below) and happens once; every document is scored, by tasks.
 """
 
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import text_of
+from marlstone.llm.common import cut, text_of
 from marlstone.llm.ngram_join import word_hashes
 from marlstone.session import ship
 
@@ -26,8 +26,9 @@ CHUNK = 1 << 20
 
 @dataclass(frozen=True)
 class CoTraining:
-    """labelled, pool: rows at most that fitting takes, the first by a hash of their id; rounds; sure: least calibrated
-    probability of a pseudo-label; share: of the pool, that one view labels per round at most; threshold: of kept."""
+    """labelled: rows at most that fitting takes, the first by a hash of their id; rounds; sure: least calibrated
+    probability of a pseudo-label; share of pool: documents that one view gives one label per round at most, the surest
+    of all unlabelled ones; threshold: of kept."""
 
     labelled: int = 9000
     pool: int = 5000
@@ -145,34 +146,32 @@ class Model:
         return _prob(_logit(np.stack([a, b], axis=1), self.mix))
 
 
-def co_train(words: list[np.ndarray], form: np.ndarray, m: np.ndarray, y: np.ndarray, c: CoTraining) -> Model:
-    """y: 1 good, 0 bad, -1 unlabelled (the pool). A third of the labelled rows is kept for calibration."""
-    known = np.flatnonzero(y >= 0)
-    held, train = known[::3], np.array([i for k, i in enumerate(known) if k % 3])
-    pool = np.flatnonzero(y < 0)
+def co_train(words: list[np.ndarray], form: np.ndarray, m: np.ndarray, y: np.ndarray, c: CoTraining, surest) -> Model:
+    """y: 1 good, 0 bad. A third of the rows is kept for calibration.
+
+    surest(model): for each view its pseudo-labels of unlabelled documents, a dict from id to label, and a dict from
+    id to words, form and metadata of every id in them.
+    """
+    held, train = np.arange(len(y))[::3], np.array([i for i in range(len(y)) if i % 3])
     pick = lambda ix: [words[i] for i in ix]
     given: list[dict[int, int]] = [{}, {}]  # pseudo-labels for the text view, for the metadata view
+    known: dict[int, tuple] = {}
     ones = np.ones(len(held))
     for r in range(c.rounds + 1):
-        sets = []
-        for g in given:
-            ix = np.concatenate([train, np.fromiter(g, np.int64, len(g))]).astype(np.int64)
-            sets.append((ix, np.concatenate([y[train], np.fromiter(g.values(), np.int64, len(g))]), np.concatenate([np.ones(len(train)), np.full(len(g), 0.5)])))
-        ix, lab, w = sets[0]
-        text = TextView().fit(pick(ix), form[ix], lab, w)
-        ix, lab, w = sets[1]
-        mb = logistic(m[ix], lab, w, ridge=1.0)
+        sets = [(list(g), np.concatenate([y[train], np.fromiter(g.values(), np.int64, len(g))]), np.concatenate([np.ones(len(train)), np.full(len(g), 0.5)])) for g in given]
+        ids, lab, w = sets[0]
+        text = TextView().fit(pick(train) + [known[i][0] for i in ids], np.vstack([form[train], *[known[i][1] for i in ids]]), lab, w)
+        ids, lab, w = sets[1]
+        mb = logistic(np.vstack([m[train], *[known[i][2] for i in ids]]), lab, w, ridge=1.0)
         za, zb = text.logit(pick(held), form[held]), _logit(m[held], mb)
         scale = (logistic(za[:, None], y[held], ones), logistic(zb[:, None], y[held], ones))
         model = Model(text, mb, scale, np.zeros(3))
-        if r == c.rounds or not len(pool):
+        if r == c.rounds:
             break
-        views = [_prob(v) for v in model.views(pick(pool), form[pool], m[pool])]
-        most = max(1, int(c.share * len(pool)))
-        for teacher, p in enumerate(views):
-            for label, sure in ((1, p), (0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[:most]
-                given[1 - teacher].update({int(pool[i]): label for i in best if sure[i] >= c.sure})
+        told, features = surest(model)
+        known |= features
+        for teacher, labels in enumerate(told):
+            given[1 - teacher].update(labels)
     a, b = model.views(pick(held), form[held], m[held])
     model.mix = logistic(np.stack([a, b], axis=1), y[held], ones)
     return model
@@ -193,11 +192,9 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_of(F.col(text)).alias("t"), *[F.col(x).alias(f"m{i}") for i, x in enumerate(metadata)])
     names = tuple(f"m{i}" for i in range(len(metadata)))
     first = lambda d, n: d.orderBy(F.xxhash64("id"), "id").limit(n)
-    # Both samples are bounded by parameters, so their ids may be broadcast and their rows may come to the driver.
+    # The sample is bounded by a parameter, so its ids may be broadcast and its rows, one for each id, may come to the driver.
     some = first(told.join(src.select("id").distinct(), "id", "left_semi"), c.labelled).select("id", "y")
-    pool = first(src.filter("id is not null").select("id").distinct().join(told, "id", "left_anti"), c.pool).select("id", F.lit(-1).alias("y"))
-    chosen = F.broadcast(some.unionByName(pool))
-    rows = src.join(chosen, "id")
+    key = F.xxhash64("t", *names)
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -205,14 +202,43 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
                 words, form = content(f["t"].tolist())
                 yield pd.DataFrame({"id": f["id"], "y": f["y"], "words": [np.unique(w) for w in words], "form": list(form), "meta": list(meta(f, names))})
 
-    got = rows.mapInPandas(features, "id long, y int, words array<int>, form array<double>, meta array<double>").toPandas()
-    got = got.drop_duplicates("id").sort_values("id", kind="stable")
+    def collected(chosen: DataFrame) -> pd.DataFrame:
+        """Features of the chosen (id, y), of one row for each id."""
+        rows = src.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by(F.struct("t", *names), key).alias("x")).select("id", "y", "x.*")
+        return rows.mapInPandas(features, "id long, y int, words array<int>, form array<double>, meta array<double>").toPandas().sort_values("id", kind="stable")
+
+    def surest(model: Model) -> tuple[list[dict], dict]:
+        """What each view is surest of among all unlabelled documents."""
+        sent = spark.sparkContext.broadcast(model)
+
+        def views(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if len(f):
+                    words, form = content(f["t"].tolist())
+                    a, b = sent.value.views(words, form, meta(f, names))
+                    yield pd.DataFrame({"id": f["id"], "key": f["key"], "p0": _prob(a), "p1": _prob(b)})
+
+        every = src.filter("id is not null").withColumn("key", key).mapInPandas(views, "id long, key long, p0 double, p1 double")
+        scored = cut(every.groupBy("id").agg(F.min_by(F.struct("p0", "p1"), "key").alias("p")).select("id", "p.*").join(told.select("id"), "id", "left_anti"))
+        most = max(1, int(c.share * c.pool))
+        out: list[dict] = [{}, {}]
+        for teacher in (0, 1):
+            for label in (1, 0):
+                sure = F.col(f"p{teacher}") if label else 1 - F.col(f"p{teacher}")
+                best = scored.select("id", sure.alias("sure")).filter(F.col("sure") >= c.sure).orderBy(F.desc("sure"), F.xxhash64("id"), "id").limit(most)
+                out[teacher].update({x.id: label for x in best.collect()})  # at most share of pool
+        ids = sorted(out[0].keys() | out[1].keys())
+        got = collected(spark.createDataFrame([(i, -1) for i in ids], "id long, y int")) if ids else pd.DataFrame(columns=["id", "words", "form", "meta"])
+        sent.unpersist()
+        return out, {int(i): (np.asarray(w, np.int64), np.asarray(f), np.asarray(v)) for i, w, f, v in zip(got["id"], got["words"], got["form"], got["meta"], strict=True)}
+
+    got = collected(some)
     y = got["y"].to_numpy()
     out = "id long, p_text double, p_meta double, score double, kept boolean"
     if not len(got) or (y == 1).sum() < 10 or (y == 0).sum() < 10:
         null = F.lit(None).cast("double")
         return src.select(F.col("id").alias(id_col), null.alias("p_text"), null.alias("p_meta"), null.alias("score"), F.lit(True).alias("kept"))
-    model = co_train([np.asarray(w, np.int64) for w in got["words"]], np.stack(got["form"].to_numpy()), np.stack(got["meta"].to_numpy()), y, c)
+    model = co_train([np.asarray(w, np.int64) for w in got["words"]], np.stack(got["form"].to_numpy()), np.stack(got["meta"].to_numpy()), y, c, surest)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS floats and a few hundred weights
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -209,3 +209,34 @@ def test_pipeline_takes_effect_stage_by_stage(spark, sf):
     assert Counter(x.doc_id for x in out) == copies
     final = {x.doc_id: x.text for x in masked.collect()}
     assert all(list(x.ids) == tok.encode(final[x.doc_id], add_special_tokens=False).ids and x.n_tokens == len(x.ids) for x in out)
+
+
+def test_classifier_takes_the_surest_of_all_unlabelled_documents(spark, monkeypatch):
+    r = random.Random(13)
+    rows = []
+    for i in range(1200):
+        y, rare = i % 2, i >= 1000 and i % 20 == 0
+        t = " ".join(r.choice("rare" if rare else ("good" if y else "bad") if r.random() < 0.4 else "both") + str(r.randint(0, 200)) for _ in range(40))
+        lang = "zz" if rare or (i < 400 and not y and i % 5) else "en"
+        rows.append((i, t, lang, "a" if y and r.random() < 0.7 else "c", len(t)))
+    d = spark.createDataFrame(rows + rows[:1] * 300, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    seen, own = [], quality_classifier.co_train
+
+    def spied(words, form, m, y, c, surest):
+        def told(model):
+            out = surest(model)
+            seen.append(out[0])
+            assert set(out[1]) == set(out[0][0]) | set(out[0][1])
+            return out
+
+        assert len(y) == 400
+        return own(words, form, m, y, c, told)
+
+    monkeypatch.setattr(quality_classifier, "co_train", spied)
+    co = quality_classifier.CoTraining(pool=60, share=0.1, sure=0.6)
+    assert quality_classifier.classify(d, labels, co=co).count() == len(rows) + 300
+    rare = {x[0] for x in rows if x[0] >= 1000 and x[2] == "zz"}
+    bad = {i for i, label in seen[0][1].items() if label == 0}
+    assert len(rare) == 10 and len(bad) == 6 and bad <= rare
+    assert all(len(labels) <= 2 * 6 and min(labels, default=400) >= 400 for told in seen for labels in told)
