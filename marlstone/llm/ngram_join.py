@@ -1,18 +1,22 @@
 """N-gram Jaccard self-join by a grouped prefix join.
 
-A document is its set of word shingles, held as sorted 64-bit hashes. Sets are compared by hash, so copies are
-one set from the start. Shingles are ordered by the number of sets that hold them, rarest first; two sets that
-are similar enough share a shingle of their prefixes. Shingles of one set only can't be shared and never leave
-the count. Sets with identical prefixes and size form a group; groups that share prefix shingles are brought
-together in blocks of bounded size, pairs of groups are filtered by size and by the position of their first
-common shingle, and the members of the pairs that stay are verified by counting common shingles.
-
-Any order that all sets agree on will do, so hot shingles are not counted: they stand last, by hash. They are found
-from summaries of frequent shingles that every task gives for its own texts.
+A document is its set of word shingles, held as sorted 64-bit hashes; documents with the same set (told by 128 bits)
+are one set from the start. All shingles have one order, rarest first by a count sketch of fixed size, then by hash;
+two sets that are similar enough share a shingle of their prefixes in that order. Sets with identical prefixes and
+size form a group. Prefix shingles are dealt to slices by hash; what several groups of fitting sizes share makes a
+place, and shingles that the same groups share make the same place. Only there do groups meet: pairs of groups are
+filtered by size, each pair is taken at the first place that both have, and then the members of the pairs that stay
+are fetched and verified by counting common shingles. Large places are split into blocks of bounded size.
+
+Any order that all sets agree on gives the same links: the sketch only decides how much there is to do.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,27 +34,18 @@ from marlstone.session import ship
 
 #: Bytes of text hashed at once: bounds a worker's memory.
 CHUNK_BYTES = 1 << 20
-#: Shingles of one slice of the count, on average; slices are added as the corpus grows.
-SLICE_SHINGLES = 1_500_000
-#: Counters of a task's summary of frequent shingles.
-HEAVY = 32_768
-#: Shingles that wait to be summed up: few, as many small arrays held for long leave a worker's memory in pieces.
-WAITING = 1 << 17
-#: Documents that hold a hot shingle, at least (2 / HEAVY of all shingles, if that is more).
-HOT_DOCS = 50_000
-#: Sets of a block: two blocks and their shingles meet in a task.
-BLOCK_SETS = 512
-#: Rows up to which a table of keys (two longs) is broadcast.
-BROADCAST_ROWS = 500_000
-#: Stands for the count of a hot shingle: above all others.
-HOT_DF = (1 << 31) - 1
+#: Parts that the sketch is summed up in, and sketches that are summed at once.
+PARTS, FAN_IN = 16, 64
+#: Steps of a count's binary logarithm by which shingles are ordered.
+STEPS = 256
 
 _U = np.uint64
-_BASE, _INV = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _rng = np.random.default_rng(20240229)
-_BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_PLACES = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
-_powers: list = []
+_PLACES = _rng.integers(1, 1 << 63, (64, 2), dtype=np.uint64) * _U(2) + _U(1)
+_SPACE = re.compile(rb"[ \t-\r]")
+ENTRY = np.dtype([("t", "<u4"), ("g", "<u8"), ("n", "<u4")])
+HOT = np.dtype([("t", "<u8"), ("g", "<u8"), ("n", "<u4")])
+SET = np.dtype([("o", "V16"), ("g", "<u8"), ("n", "<u4")])
 
 
 @dataclass(frozen=True)
@@ -59,9 +55,23 @@ class Join:
     n: int = 5
     percent: int = 80
 
-    def least(self, size: np.ndarray) -> np.ndarray:
-        """Common shingles that a set of this size has with any similar set, at least."""
-        return -(-self.percent * size // 100)
+
+@dataclass(frozen=True)
+class Tuning:
+    """Sizes that change the work, never the result.
+
+    counters: of the sketch, which is broadcast (2 bytes each); slice_entries: prefix shingles of a slice, on average;
+    hot: count from which a shingle's sets are dealt over slices (8 times the mean counter, if that is more);
+    block_sets, block_shingles: sets, and shingles of sets, in a block; broadcast_rows: rows up to which a table of
+    keys (two longs) is broadcast.
+    """
+
+    counters: int = 1 << 22
+    slice_entries: int = 1 << 20
+    hot: int = 1 << 18
+    block_sets: int = 512
+    block_shingles: int = 1 << 19
+    broadcast_rows: int = 500_000
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -72,321 +82,398 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        up, down = np.full(n, _BASE), np.full(n, _INV)
-        up[0] = down[0] = 1
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0], _powers[1]
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """raw in pieces of about CHUNK_BYTES, cut at white space."""
+    at = 0
+    while at < len(raw):
+        gap = _SPACE.search(raw, at + CHUNK_BYTES) if len(raw) - at > CHUNK_BYTES else None
+        to = gap.start() if gap else len(raw)
+        yield raw[at:to]
+        at = to
 
 
-def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and where the words of each text begin (one more entry at the end).
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the words of all texts, and where the words of each text begin (one more entry at the end).
 
-    Words are maximal runs of other than space and 9-13, with A-Z lower-cased. All texts are hashed in one sweep
-    over their bytes: a word's hash is a difference of running sums of byte codes times powers of an odd base.
+    Words are maximal runs of other than space and 9-13, with A-Z lower-cased: what bytes are split and lowered by.
     """
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", dtype=np.uint8)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    codes = np.where((data >= 65) & (data <= 90), data + 32, data)
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[codes] * up[: len(data)], out=sums[1:])
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    words = _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _BASE)
-    return words, np.searchsorted(starts, np.cumsum([1] + [len(r) + 1 for r in raw]))
+    number: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    found, first = [np.zeros(0, np.int32)], np.zeros(len(texts) + 1, np.int64)
+    for i, raw in enumerate(texts):
+        n = 0
+        for piece in _pieces(raw):
+            words = piece.lower().split()
+            found.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+            n += len(words)
+        first[i + 1] = first[i] + n
+    told = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, number)), np.uint64).reshape(-1, 2)
+    which = np.concatenate(found)
+    return told[which, 0], told[which, 1], first
 
 
 def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
     """Of each text the hashes of its words, in order."""
-    words, first = _words(texts)
+    words, _, first = _words([(t or "").encode("utf-8", "surrogatepass") for t in texts])
     return [words[first[i] : first[i + 1]] for i in range(len(texts))]
 
 
-def shingles(texts: list[str | None], n: int) -> list[np.ndarray]:
-    """Of each text the sorted distinct hashes of its n-word shingles (of the whole sequence, if it is shorter)."""
-    words, first = _words(texts)
-    whole = len(words) - n + 1
-    if whole > 0:
-        rolled = np.zeros(whole, dtype=np.uint64)
-        for k in range(n):
-            rolled += words[k : k + whole] * _PLACES[k]
-        rolled = _mixed(rolled)
+def shingle_sets(texts: list[bytes], n: int) -> list[tuple[np.ndarray, bytes]]:
+    """Of each text the sorted distinct hashes of its n-word shingles (of the whole sequence, if it is shorter), and
+    16 bytes that tell the set, from both hashes of every shingle."""
+    low, high, first = _words(texts)
+    whole = max(len(low) - n + 1, 0)
+    rolled = [np.zeros(whole, np.uint64), np.zeros(whole, np.uint64)]
+    for lane, words in enumerate((low, high)):
+        for k in range(n if whole else 0):
+            rolled[lane] += words[k : k + whole] * _PLACES[k, lane]
+        rolled[lane] = _mixed(rolled[lane])
     out = []
     for i in range(len(texts)):
         a, b = int(first[i]), int(first[i + 1])
         if b - a >= n:
-            h = np.sort(rolled[a : b - n + 1])
-            out.append(h[np.concatenate([[True], h[1:] != h[:-1]])])
+            h = rolled[0][a : b - n + 1]
+            order = np.argsort(h)
+            h = h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            h, more = h[new], rolled[1][a : b - n + 1][order[new]].sum(dtype=np.uint64)
         elif b > a:
             # A sequence shorter than a shingle is unlike any shingle: its length takes part.
-            out.append(_mixed((words[a:b] * _PLACES[: b - a]).sum(keepdims=True, dtype=np.uint64) + _PLACES[n + b - a]))
+            k = b - a
+            h, more = (_mixed((w[a:b] * _PLACES[:k, lane]).sum(keepdims=True, dtype=np.uint64) + _PLACES[n + k, lane]) for lane, w in enumerate((low, high)))
         else:
-            out.append(np.zeros(0, dtype=np.uint64))
+            h, more = np.zeros(0, np.uint64), _U(0)
+        out.append((h, xxhash.xxh3_128_digest(h.tobytes() + more.tobytes())))
     return out
 
 
-def _owner(s: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())))) if len(s) else 0
-
-
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     i = 0
     while i < len(texts):
         j, size = i, 0
-        while j < len(texts) and (j == i or size + 4 * len(texts[j] or "") <= 4 * CHUNK_BYTES):
-            size += 4 * len(texts[j] or "")
+        while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK_BYTES):
+            size += len(texts[j])
             j += 1
         yield i, j
         i = j
 
 
-class _Heavy:
-    """Frequent shingles of a stream of sets (Misra-Gries, in batches): counts fall short by at most seen / keep."""
+def _bytes(column: pa.Array) -> list[bytes]:
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
-    def __init__(self, keep: int):
-        self.keep, self.seen = keep, 0
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.waiting: list[np.ndarray] = []
-        self.room = WAITING
 
-    def add(self, sets: list[np.ndarray]) -> None:
-        size = sum(len(s) for s in sets)
-        self.waiting += sets
-        self.seen += size
-        self.room -= size
-        if self.room < 0:
-            self._merge()
+def _packed(at: np.ndarray, counts: np.ndarray) -> bytes:
+    return zlib.compress(np.diff(at, prepend=0).astype("<u4").tobytes() + counts.astype("<u8").tobytes(), 1)
 
-    def _merge(self) -> None:
-        keys, at = np.unique(np.concatenate([self.keys, *self.waiting]), return_inverse=True)
-        counts = np.bincount(at[len(self.counts) :], minlength=len(keys)).astype(np.int64)
-        counts[at[: len(self.counts)]] += self.counts
-        if len(keys) > self.keep:
-            counts -= np.partition(counts, -self.keep - 1)[-self.keep - 1]
-        self.keys, self.counts = keys[counts > 0], counts[counts > 0]
-        self.waiting, self.room = [], WAITING
 
-    def told(self) -> tuple[np.ndarray, np.ndarray]:
-        self._merge()
-        big = self.counts > self.seen // self.keep
-        return self.keys[big].view(np.int64), self.counts[big]
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(data)
+    m = len(raw) // 12
+    return np.cumsum(np.frombuffer(raw, "<u4", m).astype(np.int64)), np.frombuffer(raw, "<u8", m, 4 * m)
 
 
-def _sets(n: int, keep: int):
-    """id, tkey, text -> id, tkey, owner (hash of the set), n; then rows of heavy (a frequent shingle), seen."""
-    names = ["id", "tkey", "owner", "n", "heavy", "seen"]
+def _sweep(n: int, counters: int):
+    """id, tkey, text -> id, tkey, owner (of the set), n; then a task's counts of shingles by part of the sketch."""
+    names = ["id", "tkey", "owner", "n", "slot", "part", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = _Heavy(keep)
+        total = np.zeros(counters, np.uint32)
+        waiting: list[np.ndarray] = []
+        room = 1 << 20
+
+        def count() -> None:
+            if waiting:
+                total[:] += np.bincount((np.concatenate(waiting) & _U(counters - 1)).astype(np.int64), minlength=counters).astype(np.uint32)
+                waiting.clear()
+
         for b in batches:
-            texts = b.column(2).to_pylist()
+            texts = _bytes(b.column(2))
             for i, j in _chunks(texts):
-                found = shingles(texts[i:j], n)
-                heavy.add(found)
+                found = shingle_sets(texts[i:j], n)
+                waiting += [s for s, _ in found]
+                room -= sum(len(s) for s, _ in found)
+                if room < 0:
+                    count()
+                    room = 1 << 20
                 part = b.slice(i, j - i)
-                none = pa.nulls(j - i, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_owner(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32()), none, none], names=names)
-        keys, counts = heavy.told()
-        none = pa.nulls(len(keys), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(keys), pa.int32()), pa.array(keys), pa.array(counts)], names=names)
+                none = pa.nulls(j - i, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([o for _, o in found], pa.binary()), pa.array([len(s) for s, _ in found], pa.int32()), none, none, pa.nulls(j - i, pa.binary())], names=names)
+        count()
+        width = counters // PARTS
+        for p in range(PARTS):
+            own = total[p * width : (p + 1) * width]
+            at = np.flatnonzero(own)
+            if len(at):
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([p], pa.int32()), pa.array([_packed(at, own[at])], pa.binary())], names=names)
 
     return run
 
 
-def _hot(summaries: DataFrame, total: int) -> np.ndarray:
-    """The hot shingles, sorted. By the threshold there are at most HEAVY / 2 of them.
+def _levels(sketches: DataFrame, t: Tuning) -> np.ndarray:
+    """Level of each counter: STEPS times the binary logarithm of 1 + its sum over all tasks.
 
-    Summaries fall short by 2 * total / HEAVY at most, so any other shingle is in at most HOT_DOCS + 2 * total / HEAVY
-    or 4 * total / HEAVY documents.
+    Tasks' sketches are summed FAN_IN at a time; the driver gets two bytes of each counter.
     """
-    least = max(HOT_DOCS, 2 * total // HEAVY + 1)
-    rows = summaries.groupBy("heavy").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= least).select("heavy").collect()
-    return np.sort(np.array([r.heavy for r in rows], dtype=np.int64).view(np.uint64))
+    width = t.counters // PARTS
+
+    def summed(f: pd.DataFrame) -> np.ndarray:
+        out = np.zeros(width, np.uint64)
+        for data in f["counts"]:
+            at, c = _unpacked(data)
+            out[at] += c
+        return out
+
+    def more(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        out = summed(f)
+        at = np.flatnonzero(out)
+        return pd.DataFrame({"slot": [key[0]], "part": [key[1]], "counts": [_packed(at, out[at])]})
+
+    def last(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [key[0]], "level": [np.round(STEPS * np.log2(1 + summed(f).astype(np.float64))).astype("<u2").tobytes()]})
+
+    rows = sketches.select("slot", "part", "counts")
+    slots = (rows.agg(F.max("slot")).first()[0] or 0) + 1
+    while slots > FAN_IN:
+        rows = rows.withColumn("slot", F.floor(F.col("slot") / FAN_IN).cast("int")).groupBy("slot", "part").applyInPandas(more, "slot int, part int, counts binary")
+        slots = -(-slots // FAN_IN)
+    out = np.zeros(t.counters, np.uint16)
+    for r in rows.groupBy("part").applyInPandas(last, "part int, level binary").collect():  # PARTS rows
+        out[r.part * width : (r.part + 1) * width] = np.frombuffer(r.level, "<u2")
+    return out
+
+
+def _slice_of(h: np.ndarray, slices: int) -> np.ndarray:
+    return (((h >> _U(32)) * _U(slices)) >> _U(32)).astype(np.int64)
 
 
-def _dealt(n: int, slices: int, hot: np.ndarray):
-    """text -> slice, owners, sizes, counts, shingles: a batch's sets, dealt by ranges of the shingle hash.
+def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a sorted set: so many that a similar set must share one."""
+    key = (levels[s & _U(len(levels) - 1)].astype(np.uint64) << _U(48)) | (s >> _U(16))
+    return s[np.argsort(key, kind="stable")[: len(s) - -(-percent * len(s) // 100) + 1]]
 
-    Hot shingles go to slices of their own (below 0), where their sets are dealt too.
+
+def _prefixes(j: Join, slices: int, levels, hot_level: int):
+    """text -> slice, entries (shingle, group, size), sets (owner, group, size): prefixes dealt by ranges of the hash.
+
+    A hot shingle's entries go to slices of their own (below 0), by group. levels: a broadcast.
     """
-    width = (1 << 64) // slices + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = levels.value
+        seen: set[bytes] = set()
+        pre: list[np.ndarray] = []
+        told: list[tuple[bytes, int, int]] = []
+
+        def dealt() -> pa.RecordBatch:
+            sets = np.array(told, SET)
+            flat, lens = np.concatenate(pre), np.array([len(p) for p in pre])
+            g, n = np.repeat(sets["g"], lens), np.repeat(sets["n"], lens)
+            is_hot = level[flat & _U(len(level) - 1)] >= hot_level
+            to = np.where(is_hot, -1 - _slice_of(g, slices), _slice_of(flat, slices))
+            out: dict[int, list[bytes]] = {}
+            for at in _runs(to):
+                k = int(to[at[0]])
+                e = np.empty(len(at), HOT if k < 0 else ENTRY)
+                e["t"], e["g"], e["n"] = flat[at] if k < 0 else flat[at] & _U(0xFFFFFFFF), g[at], n[at]
+                out[k] = [e.tobytes(), b""]
+            to = _slice_of(sets["g"], slices)
+            for at in _runs(to):
+                out.setdefault(int(to[at[0]]), [b"", b""])[1] = sets[at].tobytes()
+            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x[0] for x in out.values()], pa.binary()), pa.array([x[1] for x in out.values()], pa.binary())], names=["slice", "entries", "sets"])
+
         for b in batches:
-            texts = b.column(0).to_pylist()
-            found = {}
-            for i, j in _chunks(texts):
-                found.update((_owner(s), s) for s in shingles(texts[i:j], n) if len(s))
-            if not found:
-                continue
-            owners = np.fromiter(found, np.int64, len(found))
-            sets = all_of = list(found.values())
-            sizes = np.array([len(s) for s in sets], dtype=np.int32)
-            is_hot = None
-            if len(hot):
-                is_hot = [hot[np.searchsorted(hot[:-1], s)] == s for s in sets]
-                sets = [s[~h] for s, h in zip(sets, is_hot, strict=True)]
-            edges = np.array([k * width for k in range(1, slices)], dtype=np.uint64)
-            # Sets are sorted, so each slice of one is a run of it.
-            cuts = np.stack([np.concatenate([[0], np.searchsorted(s, edges), [len(s)]]) for s in sets])
-            rows = {"slice": [], "owners": [], "sizes": [], "counts": [], "shingles": []}
-            if is_hot is not None:
-                flat = np.concatenate([s[h] for s, h in zip(all_of, is_hot, strict=True)])
-                held = np.array([h.sum() for h in is_hot])
-                who, size = np.repeat(owners, held), np.repeat(sizes, held)
-                to = ((flat // _U(width)).astype(np.int64) + who % slices) % slices
-                order = np.argsort(to, kind="stable")
-                for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else ():
-                    rows["slice"].append(-1 - int(to[at[0]]))
-                    rows["owners"].append(who[at])
-                    rows["sizes"].append(size[at])
-                    rows["counts"].append(np.ones(len(at), dtype=np.int32))
-                    rows["shingles"].append(flat[at].view(np.int64))
-            for k in range(slices):
-                counts = cuts[:, k + 1] - cuts[:, k]
-                has = np.flatnonzero(counts)
-                if len(has):
-                    rows["slice"].append(k)
-                    rows["owners"].append(owners[has])
-                    rows["sizes"].append(sizes[has])
-                    rows["counts"].append(counts[has].astype(np.int32))
-                    rows["shingles"].append(np.concatenate([sets[i][cuts[i, k] : cuts[i, k + 1]] for i in has]).view(np.int64))
-            kinds = {"slice": pa.int32(), "owners": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "counts": pa.list_(pa.int32()), "shingles": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays([pa.array(rows[c], t) for c, t in kinds.items()], names=list(kinds))
+            texts = _bytes(b.column(0))
+            for i, k in _chunks(texts):
+                for s, owner in shingle_sets(texts[i:k], j.n):
+                    if len(s) and owner not in seen:
+                        if len(seen) >= 1 << 18:
+                            seen.clear()
+                        seen.add(owner)
+                        p = prefix(s, level, j.percent)
+                        pre.append(p)
+                        told.append((owner, xxhash.xxh3_64_intdigest(p.tobytes() + len(s).to_bytes(8, "little")), len(s)))
+                if sum(map(len, pre)) > 1 << 20:
+                    yield dealt()
+                    pre, told = [], []
+        if pre:
+            yield dealt()
 
     return run
 
 
-def _shared(f: pd.DataFrame) -> pd.DataFrame:
-    """One slice: of each set the shingles that other sets hold too, and how many sets hold them.
+def _runs(keys: np.ndarray) -> list[np.ndarray]:
+    """Positions of equal keys, one array for each key."""
+    if not len(keys):
+        return []
+    order = np.argsort(keys, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(keys[order])) + 1)
 
-    A slice of hot shingles gives all of them, with one high count.
+
+def _places(percent: int):
+    """One slice -> rows of kind 0: a set's owner, group and size; of kind 1: a group and a place that it shares.
+
+    Groups that share a shingle stand by size; where one is too large for the one before it, the list ends and
+    another begins. The place of a list is a hash of its groups, so shingles with the same list have the same place.
     """
-    counts = np.concatenate(f["counts"].to_numpy())
-    owner = np.repeat(np.concatenate(f["owners"].to_numpy()), counts)
-    size = np.repeat(np.concatenate(f["sizes"].to_numpy()), counts)
-    sh = np.concatenate(f["shingles"].to_numpy())
-    order = np.lexsort((owner, sh))
-    sh, owner, size = sh[order], owner[order], size[order]
-    new = np.ones(len(sh), dtype=bool)  # copies in other batches are the same set
-    new[1:] = (sh[1:] != sh[:-1]) | (owner[1:] != owner[:-1])
-    sh, owner, size = sh[new], owner[new], size[new]
-    if f["slice"].iloc[0] < 0:
-        return pd.DataFrame({"owner": owner, "n": size, "sh": sh, "df": np.full(len(sh), HOT_DF, dtype=np.int32)})
-    at = np.flatnonzero(np.concatenate([[True], sh[1:] != sh[:-1]]))
-    held = np.diff(np.concatenate([at, [len(sh)]]))
-    df = np.repeat(held, held)
-    keep = df > 1
-    sh, owner, size, df = sh[keep], owner[keep], size[keep], df[keep]
-    return pd.DataFrame({"owner": owner, "n": size, "sh": sh, "df": df.astype(np.int32)})
-
-
-def _prefix_positions(n: Column, percent: int) -> Column:
-    return n - F.ceil(n * percent / 100) + 1
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        hot = f["slice"].iloc[0] < 0
+        e = np.frombuffer(b"".join(f["entries"]), HOT if hot else ENTRY)
+        s = np.frombuffer(b"".join(f["sets"]), SET)
+        if len(s):  # a set found in several batches
+            s = s[np.unique(np.frombuffer(s["o"].tobytes(), "<u8").reshape(-1, 2), axis=0, return_index=True)[1]]
+        t, g, n = (np.ascontiguousarray(e[c]) for c in ("t", "g", "n"))
+        if hot:
+            place = _mixed(t)
+        else:
+            order = np.lexsort((g, n, t))
+            t, g, n = t[order], g[order], n[order].astype(np.int64)
+            new = np.ones(len(t), bool)  # a group found in several batches
+            new[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
+            t, g, n = t[new], g[new], n[new]
+            head = np.ones(len(t), bool)
+            head[1:] = (t[1:] != t[:-1]) | (n[:-1] * 100 < percent * n[1:])
+            at = np.flatnonzero(head)
+            size = np.diff(np.append(at, len(t)))
+            place = _mixed(np.add.reduceat(_mixed(g), at) + size.astype(np.uint64)) if len(t) else np.zeros(0, np.uint64)
+            g, place = g[np.repeat(size > 1, size)], np.repeat(place[size > 1], size[size > 1])
+        both = np.unique(np.stack([g, place], axis=1), axis=0) if len(g) else np.zeros((0, 2), np.uint64)
+        return pd.DataFrame(
+            {
+                "kind": np.repeat([0, 1], [len(s), len(both)]).astype(np.int32),
+                "owner": [x.tobytes() for x in s["o"]] + [None] * len(both),
+                "g": np.concatenate([s["g"], both[:, 0]]).view(np.int64),
+                "n": np.concatenate([s["n"].astype(np.int32), np.zeros(len(both), np.int32)]),
+                "place": np.concatenate([np.zeros(len(s), np.uint64), both[:, 1]]).view(np.int64),
+            }
+        )
+
+    return run
+
+
+def _earlier(places: list[np.ndarray], place: int, number: dict[int, int]) -> np.ndarray:
+    """Matrix of groups by those of the numbered places that stand before place."""
+    out = np.zeros((len(places), len(number)), np.float32)
+    for i, p in enumerate(places):
+        at = [number[x] for x in p[p < place].tolist() if x in number]
+        out[i, at] = 1
+    return out
+
+
+def _meet(na: np.ndarray, pa_: list[np.ndarray], nb: np.ndarray, pb: list[np.ndarray], place: int, percent: int) -> np.ndarray:
+    """Which groups of a meet which of b at a place: sizes fit, and no earlier place is common."""
+    ok = (na[:, None] * 100 >= percent * nb[None]) & (nb[None] * 100 >= percent * na[:, None])
+    sides = [set(np.concatenate([x[x < place] for x in p]).tolist()) for p in (pa_, pb)]
+    common = sorted(sides[0] & sides[1])
+    for k in range(0, len(common), 4096):
+        number = {x: i for i, x in enumerate(common[k : k + 4096])}
+        ok &= _earlier(pa_, place, number) @ _earlier(pb, place, number).T == 0
+    return ok
+
+
+def _filtered(percent: int):
+    """Groups at a pair of blocks of a place -> those that meet another there (or whose members meet)."""
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        place, x, y = key
+        a, b = f[f["block"] == x], f[f["block"] == y]
+        arrays = lambda d: [np.asarray(p, np.int64) for p in d["places"]]
+        ok = _meet(a["n"].to_numpy(np.int64), arrays(a), b["n"].to_numpy(np.int64), arrays(b), place, percent)
+        if x == y:
+            ok[np.diag_indices(len(a))] &= a["c"].to_numpy() > 1
+        some = [a[ok.any(axis=1) | (ok.any(axis=0) if x == y else False)]] + ([b[ok.any(axis=0)]] if x != y else [])
+        return pd.concat(some)[["place", "x", "y", "block", "g"]]
+
+    return run
 
 
 class _Block:
-    """Sets of a block, with local shingle numbers."""
+    """Sets of a block, with their groups."""
 
     def __init__(self, f: pd.DataFrame):
-        self.owner = f["owner"].to_numpy()
+        self.sid = f["sid"].to_numpy()
         self.weight = f["copies"].to_numpy()
         self.n = f["n"].to_numpy().astype(np.int64)
-        self.first = f["first"].to_numpy().astype(np.int64)  # position of prefix[0] in the set's order
-        self.sets = [np.asarray(x, np.int64) for x in f["shingles"]]
-        self.prefix = [np.asarray(x, np.int64) for x in f["prefix"]]
-        # Groups: identical prefixes and size.
-        keys = {}
-        self.group = np.array([keys.setdefault((x.tobytes(), int(k)), len(keys)) for x, k in zip(self.prefix, self.n, strict=True)])
-        self.head = np.unique(self.group, return_index=True)[1]
+        self.sets = [np.frombuffer(x, np.uint64) for x in f["shingles"]]
+        _, head, self.group = np.unique(f["g"].to_numpy(), return_index=True, return_inverse=True)
+        self.group_n = self.n[head]
+        self.group_places = [np.asarray(f["places"].iloc[h], np.int64) for h in head]
 
 
-def _links(a: _Block, b: _Block, same: bool, j: Join) -> tuple[list, dict]:
+def _links(a: _Block, b: _Block, place: int, percent: int) -> tuple[list, dict]:
     """Edges that span the links between two blocks (or within one), and each set's number of linked documents."""
-    tokens, number = np.unique(np.concatenate([*a.sets, *b.sets]), return_inverse=True)
-    ends_a = np.cumsum([len(s) for s in a.sets])
-    local_a = np.split(number[: ends_a[-1]], ends_a[:-1])
-    flat_b = number[ends_a[-1] :]
-    starts_b = np.concatenate([[0], np.cumsum([len(s) for s in b.sets])])
-    heads = b.head
-    pre_b = [b.prefix[h] for h in heads]
-    pre_starts = np.concatenate([[0], np.cumsum([len(p) for p in pre_b])])
-    pre_flat = np.searchsorted(tokens, np.concatenate(pre_b))
-    pre_at = np.concatenate([b.first[h] + np.arange(len(p)) for h, p in zip(heads, pre_b, strict=True)])
-    nb = b.n[heads]
-    far = np.int64(1 << 40)
-    where = np.full(len(tokens), far)
-    flag = np.zeros(len(tokens), dtype=np.int32)
-    edges, degree = [], {}
-    for g, h in enumerate(a.head):
-        na = a.n[h]
-        mine = np.searchsorted(tokens, a.prefix[h])
-        where[mine] = a.first[h] + np.arange(len(mine))
-        i = np.minimum.reduceat(where[pre_flat], pre_starts[:-1])
-        k = np.minimum.reduceat(np.where(where[pre_flat] < far, pre_at, far), pre_starts[:-1])
-        where[mine] = far
-        # |A n B| >= p / (100 + p) * (|A| + |B|) is what the similarity asks for.
-        need = -(-j.percent * (na + nb) // (100 + j.percent))
-        most = 1 + np.minimum(na - i - 1, nb - k - 1)
-        ok = (i < far) & (np.minimum(na, nb) * 100 >= j.percent * np.maximum(na, nb)) & (most >= need)
-        wanted = np.flatnonzero(ok[b.group])
+    same = a is b
+    ok = _meet(a.group_n, a.group_places, b.group_n, b.group_places, place, percent)
+    every = a.sets if same else [*a.sets, *b.sets]
+    ends = np.cumsum([len(s) for s in every])
+    number = np.unique(np.concatenate(every), return_inverse=True)[1]
+    local = np.split(number, ends[:-1])
+    to = 0 if same else len(a.sets)  # where b's sets begin
+    flag = np.zeros(number.max() + 1, np.int32)
+    label = np.arange(len(every))
+    degree = np.zeros(len(every), np.int64)
+    edges = []
+    for g in range(len(a.group_n)):
+        wanted = np.flatnonzero(ok[g][b.group])
         if not len(wanted):
             continue
-        pieces = [flat_b[starts_b[w] : starts_b[w + 1]] for w in wanted]
-        flat = np.concatenate(pieces)
-        cuts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]])
-        for m in np.flatnonzero(a.group == g):
-            flag[local_a[m]] = 1
-            common = np.add.reduceat(flag[flat], cuts)
-            flag[local_a[m]] = 0
-            hit = wanted[100 * common.astype(np.int64) >= j.percent * (na + b.n[wanted] - common)]
-            hit = hit[b.owner[hit] != a.owner[m]]
-            if len(hit):
-                me = int(a.owner[m])
-                degree[me] = degree.get(me, 0) + int(b.weight[hit].sum())
-                for w in hit:
-                    other = int(b.owner[w])
-                    if not same:
-                        degree[other] = degree.get(other, 0) + int(a.weight[m])
-                    edges.append((me, other))
-    return _forest(edges), degree
-
-
-def _forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """As few of the edges as connect the same nodes."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    out = []
-    for x, y in edges:
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            up[rx] = ry
-            out.append((x, y))
-    return out
-
-
-def _verified(j: Join):
+        mine = np.flatnonzero(a.group == g)
+        # As many at once as a block has shingles.
+        flat = np.concatenate([local[to + w] for w in wanted])
+        cuts = np.concatenate([[0], np.cumsum(b.n[wanted])[:-1]])
+        for m in mine:
+            flag[local[m]] = 1
+            common = np.add.reduceat(flag[flat], cuts).astype(np.int64)
+            flag[local[m]] = 0
+            hit = wanted[100 * common >= percent * (a.n[m] + b.n[wanted] - common)]
+            hit = hit[b.sid[hit] != a.sid[m]]
+            if not len(hit):
+                continue
+            degree[m] += b.weight[hit].sum()
+            if not same:
+                degree[to + hit] += a.weight[m]
+            for other in np.unique(label[to + hit]):
+                if other != label[m]:
+                    w = hit[label[to + hit] == other][0]
+                    edges.append((int(a.sid[m]), int(b.sid[w])))
+                    label[label == other] = label[m]
+    sid = a.sid if same else np.concatenate([a.sid, b.sid])
+    return edges, {int(sid[i]): int(degree[i]) for i in np.flatnonzero(degree)}
+
+
+def _verified(percent: int):
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        _, x, y = key
+        place, x, y = key
         a = _Block(f[f["block"] == x])
-        edges, degree = _links(a, a if x == y else _Block(f[f["block"] == y]), x == y, j)
+        edges, degree = _links(a, a if x == y else _Block(f[f["block"] == y]), place, percent)
         whole = {"a": [e[0] for e in edges] + list(degree), "b": [e[1] for e in edges] + [None] * len(degree), "links": [None] * len(edges) + list(degree.values())}
-        # Nullable integers: as floats, 64-bit hashes would lose their last digits.
+        # Nullable integers: as floats, long ids would lose their last digits.
         return pd.DataFrame({c: pd.array(v, dtype="Int64") for c, v in whole.items()})
 
     return run
 
 
-def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", join: Join | None = None) -> DataFrame:
+def _blocked(members: DataFrame, percent: int, t: Tuning) -> DataFrame:
+    """members (place, sid, g, n) dealt to pairs of blocks: once for every block that their own block is to meet.
+
+    Blocks are bounded in sets and in shingles. The block of a set counts the sets of its place in smaller size
+    classes, by a window over the (few) size classes of a place; within a class, sets are dealt by hash.
+    """
+    weight = F.greatest(F.col("n"), F.lit(max(1, t.block_shingles // t.block_sets))).cast("long")
+    per = members.groupBy("place", "n").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum(F.col("c") * weight).over(Window.partitionBy("place").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    m = members.join(per.withColumn("before", before), ["place", "n"])
+    m = cut(m.select("place", "sid", "g", "n", F.floor((F.col("before") + F.pmod(F.xxhash64("sid"), "c") * weight) / t.block_shingles).cast("int").alias("block")))
+    ranges = cut(m.groupBy("place", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m")))
+    other = ranges.select("place", F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("m").alias("m2"))
+    # Pairs of blocks whose sizes can be similar at all; a set alone meets nobody.
+    meet = ranges.join(other, "place").filter((F.col("block") <= F.col("other")) & (F.col("hi") * 100 >= percent * F.col("lo2")) & ((F.col("block") != F.col("other")) | (F.col("m") > 1))).select("place", F.col("block").alias("x"), F.col("other").alias("y"))
+    sides = meet.select("place", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    return m.join(sides, ["place", "block"]).select("place", "x", "y", "block", "sid", "g", "n")
+
+
+def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", join: Join | None = None, tuning: Tuning | None = None) -> DataFrame:
     """id, tkey, root, n_shingles, component_id, n_links of every document.
 
     tkey is xxhash64 of the text; root names the component (null without shingles).
@@ -397,63 +484,57 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", join: J
     and text are documents of their own, and copies of each other. Other columns are not read. An empty table
     gives no rows.
     """
-    j = join or Join()
+    j, t = join or Join(), tuning or Tuning()
     spark = docs.sparkSession
     ship(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(F.col(text))).alias("tkey"), F.col(text).alias("t"))
-    sweep = cut(src.mapInArrow(_sets(j.n, HEAVY), "id long, tkey long, owner long, n int, heavy long, seen long"))
-    held = sweep.filter("heavy is null").drop("heavy", "seen")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(F.col(text))).alias("tkey"), F.col(text).cast("string").alias("t"))
+    swept = cut(src.mapInArrow(_sweep(j.n, t.counters), "id long, tkey long, owner binary, n int, slot int, part int, counts binary"))
+    held = swept.filter("part is null").select("id", "tkey", "owner", "n")
     full = held.filter("n > 0")
-    owners = cut(full.groupBy("owner").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.min(F.struct("id", "tkey")).alias("pick"), F.first("n").alias("n")))
-    total = owners.agg(F.sum("n")).first()[0] or 0
-    slices = max(16, -(-total // SLICE_SHINGLES))
-    everywhere = full.agg(F.sum("n")).first()[0] or 0
-    hot = _hot(sweep.filter("heavy is not null"), everywhere)
-    dealt = src.select("t").mapInArrow(_dealt(j.n, slices, hot), "slice int, owners array<long>, sizes array<int>, counts array<int>, shingles array<long>")
-    shared = dealt.groupBy("slice").applyInPandas(_shared, "owner long, n int, sh long, df int")
-    # Of each set: shared shingles, rarest first; those of one set only stand before them in its order.
-    per = shared.groupBy("owner", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sh"))).alias("x"))
-    alone = F.col("n") - F.size("x")
-    per = per.select("owner", "n", alone.alias("first"), F.transform(F.slice("x", F.lit(1), F.greatest(_prefix_positions(F.col("n"), j.percent) - alone, F.lit(0)).cast("int")), lambda y: y["sh"]).alias("prefix"))
-    pre = cut(per.filter("size(prefix) > 0"))
-    # Groups of identical prefix and size, then what shares a prefix shingle: stars around the least group.
-    grouped = pre.withColumn("gid", F.xxhash64("prefix", "n"))
-    lists = grouped.select("gid", F.explode("prefix").alias("sh")).distinct()
-    stars = lists.join(lists.groupBy("sh").agg(F.min("gid").alias("hub")), "sh").select(F.col("gid").alias("a"), F.col("hub").alias("b"))
-    blobs = components(stars).withColumnRenamed("node", "gid").withColumnRenamed("root", "blob")
-    members = cut(grouped.join(blobs, "gid").drop("gid"))
-    sizes = members.groupBy("blob").agg(F.count("*").alias("m")).filter("m > 1")
-    members = members.join(sizes, "blob")
-    # Blocks: sets of like size stand together. Few blobs need more than one; their sets are ranked by range counts.
-    blocks = _blocked(members, j.percent)
-    picked = _texts_of(src, members.join(owners.select("owner", "pick", "copies"), "owner"))
-    arrays = picked.mapInArrow(_arrays(j.n), "owner long, shingles array<long>").dropDuplicates(["owner"])
-    rows = blocks.join(arrays, "owner").join(owners.select("owner", "copies"), "owner")
-    pairs = rows.groupBy("blob", "x", "y").applyInPandas(_verified(j), "a long, b long, links long")
-    found = cut(pairs)
-    comp = components(found.filter("b is not null").select("a", "b"))
-    roots = owners.join(comp, owners["owner"] == comp["node"], "left").select("owner", F.coalesce("root", "owner").alias("root"), "least", "copies")
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    degree = found.filter("links is not null").groupBy(F.col("a").alias("owner")).agg(F.sum("links").alias("links"))
-    told = roots.join(least, "root").join(degree, "owner", "left").select("owner", "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    owners = cut(full.groupBy("owner").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.min(F.struct("id", "tkey")).alias("pick"), F.first("n").alias("n")).withColumn("sid", F.monotonically_increasing_id()))
+    levels = _levels(swept.filter("part is not null"), t)
+    total, everywhere = (owners.agg(F.sum("n"), F.sum(F.col("n") * F.col("copies"))).first()[i] or 0 for i in (0, 1))
+    slices = max(16, -(-total * (100 - j.percent) // 100 // t.slice_entries))
+    hot_level = int(STEPS * np.log2(1 + max(t.hot, 8 * everywhere // t.counters)))
+    packed = src.select("t").mapInArrow(_prefixes(j, slices, spark.sparkContext.broadcast(levels), hot_level), "slice int, entries binary, sets binary")
+    found = cut(packed.groupBy("slice").applyInPandas(_places(j.percent), "kind int, owner binary, g long, n int, place long"))
+    # Of each group the places where it meets others, sorted; of these groups the member sets.
+    live = cut(found.filter("kind = 1").groupBy("g").agg(F.array_sort(F.collect_set("place")).alias("places")))
+    members = cut(found.filter("kind = 0").select("owner", "g", "n").join(live, "g").join(owners.select("owner", "sid", "pick", "copies"), "owner"))
+    rows = cut(_blocked(members.select("sid", "g", "n", F.explode("places").alias("place")), j.percent, t))
+    spot = ["place", "x", "y", "block", "g"]
+    groups = rows.groupBy(*spot).agg(F.count("*").alias("c"), F.first("n").alias("n")).join(live, "g")
+    needed = cut(groups.groupBy("place", "x", "y").applyInPandas(_filtered(j.percent), "place long, x int, y int, block int, g long"))
+    meeting = rows.join(needed, spot, "left_semi")
+    wanted = cut(members.join(meeting.select("sid").distinct(), "sid", "left_semi"))
+    arrays = _texts_of(src, wanted, t).mapInArrow(_arrays(j.n), "owner binary, shingles binary").dropDuplicates(["owner"])
+    full_rows = meeting.join(wanted.join(arrays, "owner").select("sid", "copies", "places", "shingles"), "sid")
+    links = cut(full_rows.groupBy("place", "x", "y").applyInPandas(_verified(j.percent), "a long, b long, links long"))
+    comp = components(links.filter("b is not null").select("a", "b"))
+    roots = cut(owners.join(comp, owners["sid"] == comp["node"], "left").select("owner", "sid", F.coalesce("root", "sid").alias("root"), F.col("root").isNotNull().alias("linked"), "least", "copies"))
+    least = roots.filter("linked").groupBy("root").agg(F.min("least").alias("component_id"))
+    degree = links.filter("links is not null").groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
+    told = roots.join(least, "root", "left").join(degree, "sid", "left")
+    told = told.select("owner", "root", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = full.join(told, "owner").select("id", "tkey", "root", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
     none = held.filter("n = 0").select("id", "tkey", F.lit(None).cast("long").alias("root"), F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(none).withColumnRenamed("id", id_col)
 
 
-def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", join: Join | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", join: Join | None = None, tuning: Tuning | None = None) -> DataFrame:
     """docs with one row of each component: that of the smallest id (of the smallest text hash, among null ids).
 
     Rows without words are components of their own. Of rows that repeat the kept id and text, one stays.
     """
+    tune = tuning or Tuning()
     names = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
     own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     i, t = F.col(names[id_col]).cast("long"), text_of(F.col(names[text]))
-    c = cut(classes(docs, text, id_col, join).filter("root is not null").groupBy(F.col(id_col).alias("id"), "tkey", "root").agg(F.count("*").alias("rows")))
+    c = cut(classes(docs, text, id_col, join, tune).filter("root is not null").groupBy(F.col(id_col).alias("id"), "tkey", "root").agg(F.count("*").alias("rows")))
     first = c.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "tkey")).alias("f")).select("root", F.col("f.id").alias("fid"), F.col("f.tkey").alias("ftkey"))
     told = c.join(first, "root").withColumn("kept", F.col("id").eqNullSafe(F.col("fid")) & (F.col("tkey") == F.col("ftkey")))
     out = cut(told.filter("not kept or rows > 1").select("id", "tkey", "kept"))
-    hint = F.broadcast if out.count() <= BROADCAST_ROWS else (lambda d: d)
+    hint = F.broadcast if out.count() <= tune.broadcast_rows else (lambda d: d)
     match = lambda k: (F.xxhash64(t) == k["tkey"]) & i.eqNullSafe(k["id"])
     result = own.join(hint(out), match(out), "left_anti")
     again = out.filter("kept")
@@ -465,35 +546,16 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", join:
 def _arrays(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).to_pylist()
+            texts = _bytes(b.column(0))
             for i, k in _chunks(texts):
-                found = shingles(texts[i:k], n)
-                yield pa.RecordBatch.from_arrays([pa.array([_owner(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["owner", "shingles"])
+                found = shingle_sets(texts[i:k], n)
+                yield pa.RecordBatch.from_arrays([pa.array([o for _, o in found], pa.binary()), pa.array([s.tobytes() for s, _ in found], pa.binary())], names=["owner", "shingles"])
 
     return run
 
 
-def _texts_of(src: DataFrame, members: DataFrame) -> DataFrame:
+def _texts_of(src: DataFrame, members: DataFrame, t: Tuning) -> DataFrame:
     """Texts of one document of each member set. Few keys are broadcast; more of them are joined by a shuffle."""
     keys = cut(members.select(F.col("pick.id").alias("kid"), F.col("pick.tkey").alias("ktkey")).distinct())
-    hint = F.broadcast if keys.count() <= BROADCAST_ROWS else (lambda d: d)
+    hint = F.broadcast if keys.count() <= t.broadcast_rows else (lambda d: d)
     return src.join(hint(keys), (F.col("tkey") == F.col("ktkey")) & F.col("id").eqNullSafe(F.col("kid")), "left_semi").select("t")
-
-
-def _blocked(members: DataFrame, percent: int) -> DataFrame:
-    """members dealt to pairs of blocks: each row once for every block its own block is to meet, in size order.
-
-    The block of a set counts the sets of its blob in smaller size classes, by a window over the (few) size
-    classes of a blob; within a class, sets are dealt by hash.
-    """
-    per = members.groupBy("blob", "n").agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy("blob").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.withColumn("before", before)
-    m = members.join(per, ["blob", "n"])
-    m = m.withColumn("block", F.floor((F.col("before") + F.pmod(F.xxhash64("owner"), F.col("c"))) / BLOCK_SETS).cast("int"))
-    ranges = cut(m.groupBy("blob", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
-    other = ranges.select("blob", F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    # Pairs of blocks whose sizes can be similar at all.
-    meet = ranges.join(other, "blob").filter((F.col("block") <= F.col("other")) & (F.col("hi") * 100 >= percent * F.col("lo2"))).select("blob", F.col("block").alias("x"), F.col("other").alias("y"))
-    sides = meet.select("blob", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    return m.join(sides, ["blob", "block"]).select("blob", "x", "y", "block", "owner", "n", "first", "prefix")

@@ -54,34 +54,53 @@ def families():
     return texts
 
 
-@pytest.mark.parametrize(("small", "hot"), [(False, None), (True, None), (False, 3), (True, 12), (True, 1)])
-def test_join_equals_all_pairs(spark, monkeypatch, small, hot):
-    if hot:  # shingles of so many documents stand last; those of one at least are all
-        monkeypatch.setattr(ngram_join, "HOT_DOCS", hot)
-    if small:  # many slices, many blocks, no broadcasts
-        monkeypatch.setattr(ngram_join, "SLICE_SHINGLES", 100)
-        monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
-        monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+@pytest.mark.parametrize(
+    "tuning",
+    [
+        ngram_join.Tuning(),
+        ngram_join.Tuning(counters=64, slice_entries=100, block_sets=4, block_shingles=200, broadcast_rows=0),
+        ngram_join.Tuning(hot=3),
+        ngram_join.Tuning(counters=1024, hot=0, slice_entries=100, block_sets=4, block_shingles=100, broadcast_rows=0),
+    ],
+)
+def test_join_equals_all_pairs(spark, tuning):
     texts = families()
-    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, owner string")
-    got = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in ngram_join.classes(d).collect()}
+    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, owner string").repartition(7)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in ngram_join.classes(d, tuning=tuning).collect()}
     assert [got[i] for i in range(len(texts))] == classes_of(texts)
 
 
-def test_summaries_tell_every_frequent_shingle():
+def test_join_tells_long_words_and_large_sets_apart(spark):
+    def thue_morse(n):
+        return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+    texts = []
+    for n in (1024, 2048, 4096):
+        w = thue_morse(n)
+        texts += [w, w.translate(str.maketrans("ab", "ba")), w + " one two three four", w.translate(str.maketrans("ab", "ba")) + " one two three four"]
+    r = random.Random(8)
+    long = [f"w{r.randint(0, 10**9)}" for _ in range(60_000)]
+    near = list(long)
+    for i in r.sample(range(len(near)), 500):
+        near[i] = "other"
+    far = long[:30_000] + [f"v{i}" for i in range(30_000)]
+    texts += [" ".join(x) for x in (long, near, far)] + ["q" * 3_000_000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in ngram_join.classes(d, tuning=ngram_join.Tuning(block_shingles=10_000)).collect()}
+    assert [got[i] for i in range(len(texts))] == classes_of(texts)
+
+
+def test_sketches_sum_over_many_tasks(spark):
     r = np.random.default_rng(6)
-    heavy = ngram_join._Heavy(50)
-    heavy.room = 300
-    sets = [np.unique(np.concatenate([r.integers(1000, 1 << 60, 20), r.integers(0, 9, 2)])).astype(np.uint64) for _ in range(400)]
-    for s in sets:
-        heavy.add([s])
-    keys, counts = heavy.told()
-    true = Counter(int(x) for s in sets for x in s)
-    got = dict(zip(keys.tolist(), counts.tolist(), strict=True))
-    seen = sum(true.values())
-    assert all(true[k] - seen / 50 <= c <= true[k] for k, c in got.items())
-    assert {k for k, c in true.items() if c > 2 * seen / 50} <= set(got)
-    assert [len(x) for x in ngram_join._Heavy(5).told()] == [0, 0]
+    t = ngram_join.Tuning(counters=256)
+    whole, rows = np.zeros(256, np.int64), []
+    for slot in range(150):
+        c = r.integers(0, 3, 256) * r.integers(0, 2, 256)
+        whole += c
+        rows += [(slot, p, ngram_join._packed(np.flatnonzero(x), x[x > 0])) for p, x in enumerate(c.reshape(16, 16)) if x.any()]
+    got = ngram_join._levels(spark.createDataFrame(rows, "slot int, part int, counts binary"), t)
+    assert got.tolist() == np.round(256 * np.log2(1 + whole)).astype(int).tolist()
+    assert not ngram_join._levels(spark.createDataFrame([], "slot int, part int, counts binary"), t).any()
 
 
 def test_keep_one_of_each_component(spark):
