@@ -372,18 +372,32 @@ def _meet(na: np.ndarray, pa_: list[np.ndarray], nb: np.ndarray, pb: list[np.nda
     return ok
 
 
+def _segments(f: pd.DataFrame) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """place, x, y and positions of each pair of blocks in f."""
+    order = np.lexsort((f["y"], f["x"], f["place"]))
+    place, x, y = (f[c].to_numpy()[order] for c in ("place", "x", "y"))
+    new = np.flatnonzero((place[1:] != place[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+    for at in np.split(order, new) if len(order) else ():
+        i = at[0]
+        yield int(f["place"].iat[i]), int(f["x"].iat[i]), int(f["y"].iat[i]), at
+
+
 def _filtered(percent: int):
-    """Groups at a pair of blocks of a place -> those that meet another there (or whose members meet)."""
-
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        place, x, y = key
-        a, b = f[f["block"] == x], f[f["block"] == y]
-        arrays = lambda d: [np.asarray(p, np.int64) for p in d["places"]]
-        ok = _meet(a["n"].to_numpy(np.int64), arrays(a), b["n"].to_numpy(np.int64), arrays(b), place, percent)
-        if x == y:
-            ok[np.diag_indices(len(a))] &= a["c"].to_numpy() > 1
-        some = [a[ok.any(axis=1) | (ok.any(axis=0) if x == y else False)]] + ([b[ok.any(axis=0)]] if x != y else [])
-        return pd.concat(some)[["place", "x", "y", "block", "g"]]
+    """Groups at pairs of blocks of places -> those that meet another there (or whose members meet)."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        block, n, c = f["block"].to_numpy(), f["n"].to_numpy(np.int64), f["c"].to_numpy()
+        places = [np.asarray(p, np.int64) for p in f["places"]]
+        some = [np.zeros(0, np.int64)]
+        for place, x, y, at in _segments(f):
+            a, b = at[block[at] == x], at[block[at] == y]
+            ok = _meet(n[a], [places[i] for i in a], n[b], [places[i] for i in b], place, percent)
+            if x == y:
+                ok[np.diag_indices(len(a))] &= c[a] > 1
+                some.append(a[ok.any(axis=1) | ok.any(axis=0)])
+            else:
+                some += [a[ok.any(axis=1)], b[ok.any(axis=0)]]
+        return f.iloc[np.concatenate(some)][["place", "x", "y", "block", "g"]]
 
     return run
 
@@ -443,17 +457,26 @@ def _links(a: _Block, b: _Block, place: int, percent: int) -> tuple[list, dict]:
 
 
 def _verified(percent: int):
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        place, x, y = key
-        a = _Block(f[f["block"] == x])
-        edges, degree = _links(a, a if x == y else _Block(f[f["block"] == y]), place, percent)
-        whole = {"a": [e[0] for e in edges] + list(degree), "b": [e[1] for e in edges] + [None] * len(degree), "links": [None] * len(edges) + list(degree.values())}
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        edges, degree = [], []
+        for place, x, y, at in _segments(f):
+            rows = f.iloc[at]
+            a = _Block(rows[rows["block"] == x])
+            more, told = _links(a, a if x == y else _Block(rows[rows["block"] == y]), place, percent)
+            edges += more
+            degree += told.items()
+        whole = {"a": [e[0] for e in edges] + [d[0] for d in degree], "b": [e[1] for e in edges] + [None] * len(degree), "links": [None] * len(edges) + [d[1] for d in degree]}
         # Nullable integers: as floats, long ids would lose their last digits.
         return pd.DataFrame({c: pd.array(v, dtype="Int64") for c, v in whole.items()})
 
     return run
 
 
+def _dealt(rows: DataFrame, groups: int) -> DataFrame:
+    """rows with key: pairs of blocks dealt to so many groups, as a task's call for each pair would cost more than the pair."""
+    return rows.withColumn("key", F.pmod(F.xxhash64("place", "x", "y"), F.lit(max(1, groups))))
+
+
 def _blocked(members: DataFrame, percent: int, t: Tuning) -> DataFrame:
     """members (place, sid, g, n) dealt to pairs of blocks: once for every block that their own block is to meet.
 
@@ -465,7 +488,7 @@ def _blocked(members: DataFrame, percent: int, t: Tuning) -> DataFrame:
     before = F.coalesce(F.sum(F.col("c") * weight).over(Window.partitionBy("place").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     m = members.join(per.withColumn("before", before), ["place", "n"])
     m = cut(m.select("place", "sid", "g", "n", F.floor((F.col("before") + F.pmod(F.xxhash64("sid"), "c") * weight) / t.block_shingles).cast("int").alias("block")))
-    ranges = cut(m.groupBy("place", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m")))
+    ranges = m.groupBy("place", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m"))
     other = ranges.select("place", F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("m").alias("m2"))
     # Pairs of blocks whose sizes can be similar at all; a set alone meets nobody.
     meet = ranges.join(other, "place").filter((F.col("block") <= F.col("other")) & (F.col("hi") * 100 >= percent * F.col("lo2")) & ((F.col("block") != F.col("other")) | (F.col("m") > 1))).select("place", F.col("block").alias("x"), F.col("other").alias("y"))
@@ -504,12 +527,13 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", join: J
     rows = cut(_blocked(members.select("sid", "g", "n", F.explode("places").alias("place")), j.percent, t))
     spot = ["place", "x", "y", "block", "g"]
     groups = rows.groupBy(*spot).agg(F.count("*").alias("c"), F.first("n").alias("n")).join(live, "g")
-    needed = cut(groups.groupBy("place", "x", "y").applyInPandas(_filtered(j.percent), "place long, x int, y int, block int, g long"))
+    n_rows, n_shingles = (rows.agg(F.count("*"), F.sum(F.col("n").cast("long"))).first()[i] or 0 for i in (0, 1))
+    needed = cut(_dealt(groups, n_rows // (4 * t.block_sets)).groupBy("key").applyInPandas(_filtered(j.percent), "place long, x int, y int, block int, g long"))
     meeting = rows.join(needed, spot, "left_semi")
     wanted = cut(members.join(meeting.select("sid").distinct(), "sid", "left_semi"))
     arrays = _texts_of(src, wanted, t).mapInArrow(_arrays(j.n), "owner binary, shingles binary").dropDuplicates(["owner"])
     full_rows = meeting.join(wanted.join(arrays, "owner").select("sid", "copies", "places", "shingles"), "sid")
-    links = cut(full_rows.groupBy("place", "x", "y").applyInPandas(_verified(j.percent), "a long, b long, links long"))
+    links = cut(_dealt(full_rows, n_shingles // t.block_shingles).groupBy("key").applyInPandas(_verified(j.percent), "a long, b long, links long"))
     comp = components(links.filter("b is not null").select("a", "b"))
     roots = cut(owners.join(comp, owners["sid"] == comp["node"], "left").select("owner", "sid", F.coalesce("root", "sid").alias("root"), F.col("root").isNotNull().alias("linked"), "least", "copies"))
     least = roots.filter("linked").groupBy("root").agg(F.min("least").alias("component_id"))
