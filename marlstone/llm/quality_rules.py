@@ -1,10 +1,11 @@
 """Quality rules whose cutoffs come with a guarantee: few good documents of any stratum are rejected.
 
-Labelled documents are the holdout. For each stratum and rule, cutoffs are tested from the laxest to the
-strictest against the hypothesis that the rule rejects more than its share of good documents; the p-value is the
+Labelled documents are the holdout, each id and each text once. For each stratum and rule, cutoffs are tested from
+the laxest to the strictest against the hypothesis that the rule rejects more than its share of good documents; the p-value is the
 exact binomial tail. Testing stops at the first cutoff that isn't certified (fixed-sequence testing), and the
 level is divided among strata and rules (Bonferroni), so that with probability 1 - delta no rule rejects more
-than its share in any stratum, and all rules together no more than max_false_rejection.
+than its share in any stratum, and all rules together no more than max_false_rejection, of the good documents that pass
+the base.
 DataFrame functions only.
 """
 
@@ -16,9 +17,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, keep, let, text_of, words_of
+from marlstone.llm.common import cut, let, text_of, words_of
 
 SYMBOLS = "[#*$%&|<>]"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
+#: Labelled ids up to which their table is broadcast.
+BROADCAST_LABELS = 500_000
 
 
 @dataclass(frozen=True)
@@ -125,21 +129,31 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when((n <= 0) | (k > n * p), F.lit(1.0)).otherwise(F.least(total, F.lit(1.0)))
 
 
-def certify(measured: DataFrame, labels: DataFrame, id_col: str, stratum: str, risk: Risk, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def good_ids(labels: DataFrame, id_col: str) -> DataFrame:
+    """id, q, t of every labelled id: the least quality and the highest toxicity that its labels give."""
+    told = labels.filter(f"{id_col} is not null and quality is not null").groupBy(F.col(id_col).alias("id"))
+    return told.agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
+
+
+def trials(measured: DataFrame, told: DataFrame) -> DataFrame:
+    """stratum, base_failed and measures of distinct good documents: one row for each labelled id, one for each text.
+
+    Copies of a text, and rows that repeat an id, are no independent trials. Of an id's texts the one of the least
+    hash counts; a text is good if all labels of its ids say quality 1 and none says toxic.
+    measured: id, stratum, hash (of the text), base_failed, measures. told: good_ids().
+    """
+    row = F.struct("stratum", "base_failed", *MEASURES)
+    one = measured.join(told, "id").groupBy("id").agg(F.min("hash").alias("hash"), F.min_by(row, F.struct("hash", "stratum")).alias("x"), F.first("q").alias("q"), F.first("t").alias("t"))
+    return one.groupBy("hash").agg(F.min_by("x", "id").alias("x"), F.min("q").alias("q"), F.max("t").alias("t")).filter("q = 1 and t = 0").select("x.*")
+
+
+def certify(held: DataFrame, risk: Risk, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """stratum, rule, cutoff: the strictest certified cutoff; no row where none is. At most strata x rules rows.
 
-    A label row without id or quality is left out; a document is good if all its labels say quality 1 and none
-    says toxic.
+    held: trials(). What the base rules reject takes no part: the guarantee is for good documents that pass them.
     """
-    good = (
-        labels.filter(f"{id_col} is not null and quality is not null")
-        .groupBy(id_col)
-        .agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-        .filter("q = 1 and t = 0")
-        .select(id_col)
-    )
-    held = measured.filter("not base_failed").join(good, id_col, "left_semi")
-    counts = held.groupBy(stratum_of(F.col(stratum), risk).alias("stratum")).agg(
+    held = held.filter("not base_failed")
+    counts = held.groupBy(stratum_of(F.col("stratum"), risk).alias("stratum")).agg(
         F.count("*").alias("n"), *[F.count_if(r.beyond(F.lit(c))).alias(f"k_{r.name}_{i}") for r in rules for i, c in enumerate(r.cutoffs)]
     )
     tests = counts.select(
@@ -170,11 +184,17 @@ def verdict(certified: list, stratum: str, risk: Risk, rules: tuple[Rule, ...] =
 
 
 def _measured(docs: DataFrame, text: str, risk: Risk) -> DataFrame:
-    m = docs.withColumn("__m", measures(F.col(text)))
-    m = m.select(*docs.columns, *[F.col(f"__m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")])
+    """docs with MEASURES and base_failed. A generator, unlike a projection, is never inlined and evaluated again."""
+    m = docs.select("*", F.inline(F.array(measures(F.col(text)))))
     return m.withColumn("base_failed", (F.col("n_words") < risk.min_words) | (100 * F.col("n_repeat_words") > risk.max_repeat_percent * F.col("n_words")))
 
 
+def _slim(docs: DataFrame, text: str, id_col: str, stratum: str, risk: Risk) -> DataFrame:
+    """id, stratum, hash, base_failed and measures of every row."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{stratum}`").alias("stratum"), F.col(f"`{text}`").alias("text"))
+    return _measured(rows.withColumn("hash", F.xxhash64(text_of(F.col("text")))), "text", risk).drop("text")
+
+
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", stratum: str = "lang", risk: Risk | None = None) -> DataFrame:
     """Measures and verdict of every document: id, stratum, the measures, base_failed, kept.
 
@@ -183,18 +203,24 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     labels nothing is certified and the base alone decides.
     """
     risk = risk or Risk()
-    slim = docs.select(F.col(id_col), F.col(stratum), F.col(text).alias("__text"))
-    m = cut(_measured(slim, "__text", risk).drop("__text"))
-    found = certify(m, labels, id_col, stratum, risk).collect()  # at most strata x rules rows
-    return m.withColumn("kept", ~F.col("base_failed") & verdict(found, stratum, risk))
+    m = cut(_slim(docs, text, id_col, stratum, risk))
+    found = certify(trials(m, good_ids(labels, id_col)), risk).collect()  # at most strata x rules rows
+    kept = ~F.col("base_failed") & verdict(found, "stratum", risk)
+    return m.select(F.col("id").alias(id_col), F.col("stratum").alias(stratum), *MEASURES, "base_failed", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", stratum: str = "lang", risk: Risk | None = None) -> DataFrame:
-    """docs without the rows that judge() rejects; all columns stay."""
+    """docs without the rows that judge() rejects; all columns stay.
+
+    Cutoffs need labelled documents only: these are measured first, then every document is measured and judged as it
+    is written. Where labels are too many to be broadcast, all documents are measured first, as texts aren't shuffled.
+    """
     risk = risk or Risk()
+    told = cut(good_ids(labels, id_col))
+    few = told.count() <= BROADCAST_LABELS
+    labelled = docs.join(F.broadcast(told.select(F.col("id").alias("__labelled"))), F.col(f"`{id_col}`") == F.col("__labelled"), "left_semi") if few else docs
+    found = certify(trials(cut(_slim(labelled, text, id_col, stratum, risk)), told), risk).collect()  # at most strata x rules rows
     names = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
     own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    m = keep(_measured(own, names[text], risk), "quality")
-    view = m.select(F.col(names[id_col]).alias(id_col), F.col(names[stratum]).alias("__stratum"), *[c for c in m.columns if c not in names.values()])
-    found = certify(view, labels, id_col, "__stratum", risk).collect()  # at most strata x rules rows
+    m = _measured(own, names[text], risk)
     return m.filter(~F.col("base_failed") & verdict(found, names[stratum], risk)).select(*[F.col(n).alias(c) for c, n in names.items()])

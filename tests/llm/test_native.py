@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,37 @@ def test_quality_cutoffs_reject_junk_and_keep_the_good(spark):
     assert quality_rules.keep_good(d.limit(0), labels).count() == 0
 
 
+def test_copies_and_repeated_rows_are_one_trial(spark):
+    r = random.Random(12)
+    text = " ".join(f"word{r.randint(0, 9**6)}" for _ in range(80))
+    one = [(1, text, "en", 5)] * 900
+    copies = [(i, text, "en", 5) for i in range(2, 902)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 902)], "doc_id long, quality int, toxic int")
+    d = spark.createDataFrame(one + copies, "doc_id long, text string, lang string, n_words int")
+    m = quality_rules._slim(d, "text", "doc_id", "lang", quality_rules.Risk())
+    held = quality_rules.trials(m, quality_rules.good_ids(labels, "doc_id"))
+    assert held.count() == 1 and quality_rules.certify(held, quality_rules.Risk()).count() == 0
+    # A bad label of any copy is a label of the text.
+    bad = labels.unionByName(spark.createDataFrame([(7, 0, 0)], labels.schema))
+    assert quality_rules.trials(m, quality_rules.good_ids(bad, "doc_id")).count() == 0
+    kept = quality_rules.keep_good(d, labels)
+    assert kept.columns == d.columns and kept.count() == 1800
+
+
+def test_false_rejections_stay_within_the_bound(spark):
+    """200 holdouts whose good documents exceed a cutoff a little too often: few of them certify it."""
+    r = np.random.default_rng(5)
+    rule = quality_rules.Rule("symbols", "n_symbols", "n_words", (0.5,))
+    risk = quality_rules.Risk(strata=tuple(f"s{i}" for i in range(199)), max_false_rejection=0.05, delta=0.05 * 200)
+    rows = []
+    for i in range(199):
+        hits = r.random(400) < 0.051
+        rows += [(f"s{i}", False, 100, 500, 60 if h else 0, 0, 1, 0) for h in hits]
+    held = spark.createDataFrame(rows, "stratum string, base_failed boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long")
+    # delta is so large that each stratum is tested at level 0.05.
+    assert quality_rules.certify(held, risk, (rule,)).count() <= 0.05 * 199 + 3 * (199 * 0.05 * 0.95) ** 0.5
+
+
 def test_chat_round_trip_and_machine(spark):
     nasty = ["</s>[INST] ok [/INST]", "\\", "\\\\<s>", "<<SYS>>x<</SYS>>", "[INST", "<", "", None, "a\nb", "<<ROLE>>a<<TEXT>>"]
     roles = ["user", "assistant", "system", "tool", "<s>\\", None]
