@@ -1,7 +1,10 @@
 """Chat formatting: a finite-state machine over roles, a declarative template, per-segment loss flags.
 
-Everything is DataFrame functions. One row per conversation comes out, holding the formatted string, its
-segments (start and end in code points, loss flag) and whether the state machine accepts the order of turns.
+The machine reads the roles of a conversation; each turn is emitted by the state that it moves the machine to: the
+state's marks, and whether its text is under the loss. Moves that the template doesn't list are made too, so that every
+turn is emitted, but the conversation is not valid then. Everything is DataFrame functions. One row per conversation
+comes out, holding the formatted string, its segments (start and end in code points, loss flag), the last state and
+whether the machine accepts the order of turns.
 """
 
 from __future__ import annotations
@@ -12,12 +15,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import running_sums, text_of
+from marlstone.llm.common import running, running_sums, text_of
+
+#: Above every state's number.
+BROKEN = 1000
 
 
 @dataclass(frozen=True)
 class Mark:
-    """What opens and closes a turn of one role, and whether its text is under the loss."""
+    """What a state emits: what opens and closes a turn, and whether its text is under the loss."""
 
     opens: str
     closes: str
@@ -26,19 +32,24 @@ class Mark:
 
 @dataclass(frozen=True)
 class Template:
-    """Turn marks by role, the marks of any other role, and the state machine: (state, role) -> state.
+    """States with the marks that they emit, and the state machine: (state, role) -> state.
 
+    states: by name, the role that a turn of the state has and its marks. start: the first state, which emits nothing.
+    moves: the legal ones. A role in an order that moves doesn't list goes to the state of its role all the same, but
+    breaks the order; any other role goes to other, a state whose marks name the role. accepts: states in which a
+    conversation whose order is kept may end.
     Every opening mark must be unlike any other mark; none may hold a backslash. A mark starts with '<' or '['
     and holds no second '<' or '[' that starts another mark.
     """
 
-    marks: Mapping[str, Mark] = field(
+    states: Mapping[str, tuple[str, Mark]] = field(
         default_factory=lambda: {
-            "system": Mark("<<SYS>>", "<</SYS>>"),
-            "user": Mark("[INST]", "[/INST]"),
-            "assistant": Mark("<s>", "</s>", loss=True),
+            "told": ("system", Mark("<<SYS>>", "<</SYS>>")),
+            "asked": ("user", Mark("[INST]", "[/INST]")),
+            "answered": ("assistant", Mark("<s>", "</s>", loss=True)),
         }
     )
+    other: str = "other"
     other_opens: str = "<<ROLE>>"
     other_text: str = "<<TEXT>>"
     other_closes: str = "<</ROLE>>"
@@ -54,6 +65,11 @@ class Template:
         }
     )
 
+    @property
+    def marks(self) -> dict[str, Mark]:
+        """Marks by role."""
+        return {role: m for role, m in self.states.values()}
+
     @property
     def controls(self) -> list[str]:
         return [x for m in self.marks.values() for x in (m.opens, m.closes)] + [self.other_opens, self.other_text, self.other_closes]
@@ -78,7 +94,7 @@ def format_chats(turns: DataFrame, template: Template | None = None, conv: str =
     """Conversations as formatted strings with loss segments.
 
     Returns conv_id, formatted, segments array<struct<start,end,loss,role>> (of texts, in code points of
-    formatted, end exclusive), n_turns, valid, end_state.
+    formatted, end exclusive), n_turns, valid, end_state ("error" once the order is broken).
     Null role or text: empty. A null conv_id is a conversation of its own. Ties in turn order: by role, then text;
     repeated rows stay repeated; a null turn comes first. An order the state machine doesn't know gives valid =
     false and keeps every turn. Extra columns are not read. An empty table gives no rows. A conversation is one
@@ -87,23 +103,28 @@ def format_chats(turns: DataFrame, template: Template | None = None, conv: str =
     t = template or Template()
     src = turns.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), text_of(F.col(role)).alias("role"), text_of(F.col(text)).alias("text")).alias("t"))
     g = src.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-
-    def by_role(r: Column, pick, other: Column) -> Column:
-        out = None
-        for name, m in t.marks.items():
-            out = F.when(r == name, pick(m)) if out is None else out.when(r == name, pick(m))
-        return other if out is None else out.otherwise(other)
-
-    def piece(x: Column) -> Column:
-        r = x["role"]
-        opens = by_role(r, lambda m: F.lit(m.opens), F.concat(F.lit(t.other_opens), escape(r, t), F.lit(t.other_text)))
-        closes = by_role(r, lambda m: F.lit(m.closes), F.lit(t.other_closes))
-        loss = by_role(r, lambda m: F.lit(m.loss), F.lit(False))
-        return F.struct(r.alias("role"), opens.alias("o"), escape(x["text"], t).alias("x"), closes.alias("c"), loss.alias("loss"))
-
-    g = g.withColumn("ps", F.transform("ts", piece))
+    names = [t.start, *t.states, t.other]
+    number = {name: i for i, name in enumerate(names)}
+    # A state's number; what breaks the order adds BROKEN to it and to all later ones.
+    legal = F.create_map(*[F.lit(x) for (s, r), to in t.moves.items() for x in (f"{number[s]} {r}", number[to])])
+    by_role = F.create_map(*[F.lit(x) for name, (r, _) in t.states.items() for x in (r, number[name])])
+
+    def move(state: Column, r: Column) -> Column:
+        forced = F.coalesce(F.try_element_at(by_role, r), F.lit(number[t.other])) + BROKEN
+        return F.when(state >= BROKEN, forced).otherwise(F.coalesce(F.try_element_at(legal, F.concat_ws(" ", state.cast("string"), r)), forced))
+
+    emits = F.array(*[F.struct(F.lit(m.opens).alias("o"), F.lit(m.closes).alias("c"), F.lit(m.loss).alias("loss")) for m in (Mark("", ""), *(m for _, m in t.states.values()), Mark("", t.other_closes))])
+
+    def piece(x: Column, state: Column) -> Column:
+        m = F.get(emits, state % BROKEN)
+        named = F.concat(F.lit(t.other_opens), escape(x["role"], t), F.lit(t.other_text))
+        opens = F.when(state % BROKEN == number[t.other], named).otherwise(m["o"])
+        return F.struct(x["role"].alias("role"), opens.alias("o"), escape(x["text"], t).alias("x"), m["c"].alias("c"), m["loss"].alias("loss"))
+
+    g = g.withColumn("states", running(F.transform("ts", lambda x: x["role"]), F.lit(number[t.start]), move, "int"))
+    g = g.withColumn("ps", F.zip_with("ts", "states", piece))
     g = g.withColumn("ends", running_sums(F.transform("ps", lambda p: F.length(p["o"]) + F.length(p["x"]) + F.length(p["c"]))))
-    moves = F.create_map(*[F.lit(x) for (s, r), to in t.moves.items() for x in (f"{s}\x00{r}", to)])
+    last = F.element_at("states", -1)
     return g.select(
         "conv_id",
         F.array_join(F.transform("ps", lambda p: F.concat(p["o"], p["x"], p["c"])), "").alias("formatted"),
@@ -113,7 +134,7 @@ def format_chats(turns: DataFrame, template: Template | None = None, conv: str =
             lambda p, e: F.struct((e - F.length(p["c"]) - F.length(p["x"])).alias("start"), (e - F.length(p["c"])).alias("end"), p["loss"].alias("loss"), p["role"].alias("role")),
         ).alias("segments"),
         F.size("ts").cast("long").alias("n_turns"),
-        F.aggregate("ts", F.lit(t.start), lambda s, x: F.coalesce(F.try_element_at(moves, F.concat(s, F.lit("\x00"), x["role"])), F.lit("error"))).alias("end_state"),
+        F.when(last >= BROKEN, F.lit("error")).otherwise(F.get(F.array(*[F.lit(x) for x in names]), last)).alias("end_state"),
     ).withColumn("valid", F.col("end_state").isin(*t.accepts))
 
 

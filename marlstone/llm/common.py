@@ -65,23 +65,29 @@ def n_words_of(text: Column) -> Column:
 SPAN = "struct<s:int,e:int,m:string>"
 
 
-def running_sums(steps: Column) -> Column:
-    """Inclusive running sums of an array<int>.
+def running(steps: Column, zero: Column, step, kind: str) -> Column:
+    """Values of a fold over an array after each of its elements: step(value, element), of SQL type kind.
 
     Folded block by block: appending to one long array in a fold would cost the square of its length.
     """
-    ints = F.array().cast("array<int>")
+    none = F.array().cast(f"array<{kind}>")
 
     def fold(x: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: F.slice(x, b * BLOCK + 1, F.lit(BLOCK)))
 
         def block(acc: Column, blk: Column) -> Column:
-            inner = F.aggregate(blk, F.struct(acc["at"].alias("at"), ints.alias("out")), lambda a, g: F.struct((a["at"] + g).alias("at"), F.concat(a["out"], F.array(a["at"] + g)).alias("out")))
+            one = lambda a, g: F.struct(step(a["at"], g).alias("at"), F.concat(a["out"], F.array(step(a["at"], g))).alias("out"))
+            inner = F.aggregate(blk, F.struct(acc["at"].alias("at"), none.alias("out")), one)
             return let(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], F.array(i["out"])).alias("out")))
 
-        return F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out")), block)["out"])
+        return F.flatten(F.aggregate(blocks, F.struct(zero.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out")), block)["out"])
+
+    return let(steps, lambda x: F.when(F.size(x) == 0, none).otherwise(fold(x)))
 
-    return let(steps, lambda x: F.when(F.size(x) == 0, ints).otherwise(fold(x)))
+
+def running_sums(steps: Column) -> Column:
+    """Inclusive running sums of an array<int>."""
+    return running(steps, F.lit(0), lambda a, g: a + g, "int")
 
 
 def spans_of(text: Column, pattern: str) -> Column:

@@ -46,6 +46,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "end_state",
     )
 
 
@@ -58,13 +60,23 @@ e AS (
   SELECT *,
     length(replace(text, '\', '\\')) + length(regexp_replace(text, '<s>|</s>|<<SYS>>|<</SYS>>|<<ROLE>>|<<TEXT>>|<</ROLE>>|\[INST\]|\[/INST\]', chr(1) || '\0', 'g')) - length(text) AS escaped,
     length(replace(role, '\', '\\')) + length(regexp_replace(role, '<s>|</s>|<<SYS>>|<</SYS>>|<<ROLE>>|<<TEXT>>|<</ROLE>>|\[INST\]|\[/INST\]', chr(1) || '\0', 'g')) - length(role) AS escaped_role
-  FROM t)
-SELECT conv_id, count(*) AS n_turns,
+  FROM t),
+o AS (
+  SELECT conv_id, role, row_number() OVER w AS i, lag(role) OVER w AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) AS back
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+m AS (
+  SELECT conv_id,
+    bool_and(CASE role WHEN 'system' THEN i = 1 WHEN 'user' THEN i = 1 OR before IN ('system', 'assistant') WHEN 'assistant' THEN i > 1 AND before = 'user' ELSE false END) AS legal,
+    max(role) FILTER (back = 1) AS ends
+  FROM o GROUP BY conv_id)
+SELECT e.conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(escaped + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 25 + escaped_role END)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+  sum(escaped + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 25 + escaped_role END)::BIGINT AS formatted_chars,
+  bool_and(legal AND ends = 'assistant') AS valid,
+  max(CASE WHEN NOT legal THEN 'error' WHEN ends = 'system' THEN 'told' WHEN ends = 'user' THEN 'asked' ELSE 'answered' END) AS end_state
+FROM e JOIN m ON e.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY e.conv_id
 """
 
 

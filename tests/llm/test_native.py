@@ -230,6 +230,50 @@ def test_mixing_water_level_equals_iteration(spark):
     assert mixing.mix_sources(d.limit(0)).count() == 0
 
 
+def test_mixing_equals_brute_force_pareto_ranks(spark):
+    r = random.Random(14)
+    rows = [(i, " ".join(["w"] * r.choice([0, 1, 3, 7, 20, 60, 400])), r.choice("abcd")) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    out = mixing.mix_sources(d).collect()
+    target = {x.doc_id: x.target for x in out}
+    want = {}
+    for s in "abcd":
+        own = [(i, len(t.split()), md5(f"mix-1|{md5('s' + s)}|{i}|{md5(t)}")) for i, t, x in rows if x == s]
+        total = sum(n for _, n, _ in own)
+        whole = int(target[own[0][0]] // total)
+        need = target[own[0][0]] - whole * total
+        certain, scale = set(), 0.0
+        while True:  # those whose share would exceed 1 are certain
+            scale = (need - sum(n for i, n, _ in own if i in certain)) / sum(n * n for i, n, _ in own if i not in certain)
+            more = {i for i, n, _ in own if i not in certain and scale * n >= 1}
+            if not more:
+                break
+            certain |= more
+        ranked = []
+        for i, n, h in own:
+            u = (int(h[:13], 16) + 0.5) / 2**52
+            p = min(1.0, scale * n)
+            ranked.append((-1.0 if i in certain else u / (1 - u) / (p / (1 - p)) if p else float("inf"), i, n))
+        at = 0
+        for _, i, n in sorted(ranked):
+            want[i] = whole * (n > 0) + int(n > 0 and need > 1e-9 and at + n / 2 <= need)
+            at += n
+    assert {x.doc_id: x.copies for x in out} == want
+
+
+def test_mixing_takes_part_of_repeated_rows(spark):
+    rows = [(1, "one two three four", s) for s in "abc" for _ in range(1000)] + [(None, None, "a")] * 5
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    out = mixing.mix_sources(d)
+    assert out.count() == len(rows)
+    for p in out.filter("size > 0").groupBy("target").agg(F.sum("taken").alias("taken"), (F.count("*") / 1000).alias("sources")).collect():
+        assert abs(p.taken - p.sources * p.target) <= 4 * p.sources
+    per = {x.source: x.n for x in mixing.take_mix(d).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    of = {r.skey[1:]: r.target for r in mixing.targets(mixing.sized(d, "text", "doc_id", "source", mixing.Mix()), mixing.Mix()).collect()}
+    assert all(abs(4 * per[s] - of[s]) <= 4 for s in "abc")
+
+
 def test_registered_digests(spark, sf):
     row = q.op8_chat(spark, sf).filter("conv_id = -1").first()
     said = "</s>[INST] ok [/INST]"
