@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.llm.common import keep
 from marlstone.session import ship
 
-
 #: Characters of a batch that one call encodes: bounds a Python worker's memory.
 BATCH_CHARS = 1 << 20
 #: Bytes next to a cut whose boundaries aren't trusted: more than any special token, and than what a split looks ahead.
@@ -181,15 +181,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", pie
     long = F.coalesce(F.length(t) > piece_chars, F.lit(False))
     schema = T.StructType([*own.schema.fields, T.StructField("__ids", T.ArrayType(T.IntegerType(), False))])
     short = own.filter(~long).mapInArrow(_encoded(path, t, "__ids"), schema)
-    # Halving until no piece is longer makes a power of two of equal pieces.
-    n = F.pow(F.lit(2.0), F.ceil(F.log2(F.length(t) / piece_chars))).cast("long")
+    # Long texts are written once, with a row number of their own: pieces must find their text again, whatever runs twice.
+    big = keep(own.filter(long).withColumn("__row", F.monotonically_increasing_id()), "long")
+    # Halving until no piece is longer makes a power of two of equal pieces; one pass over the text cuts them all.
+    n = F.pow(F.lit(2.0), F.ceil(F.log2(F.length(t) / piece_chars)))
     width = F.ceil(F.length(t) / n).cast("int")
-    halves = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct(i.alias("k"), F.substring(t, (i * width + 1).cast("int"), width).alias("piece")))
-    big = own.filter(long).withColumn("__row", F.monotonically_increasing_id())
-    pieces = big.select("__row", F.explode(halves).alias("x")).select("__row", "x.k", "x.piece").filter("piece <> ''")
+    cuts = F.regexp_extract_all(t, F.concat(F.lit("(?s).{1,"), width.cast("string"), F.lit("}")), F.lit(0))
+    pieces = big.select("__row", F.posexplode(cuts).alias("k", "piece"))
     # Dealt anew: the pieces of one text go to many tasks.
     pieces = pieces.repartition("__row", "k")
-    kinds = "__row long, k long, data binary, ids array<int>, starts array<long>, opens array<boolean>"
+    kinds = "__row long, k int, data binary, ids array<int>, starts array<long>, opens array<boolean>"
 
     def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
