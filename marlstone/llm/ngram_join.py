@@ -5,8 +5,8 @@ are one set from the start. All shingles have one order, rarest first by a count
 two sets that are similar enough share a shingle of their prefixes in that order. Sets with identical prefixes and
 size form a group. Prefix shingles are dealt to slices by hash; what several groups of fitting sizes share makes a
 place, and shingles that the same groups share make the same place. Only there do groups meet: pairs of groups are
-filtered by size, each pair is taken at the first place that both have, and then the members of the pairs that stay
-are fetched and verified by counting common shingles. Large places are split into blocks of bounded size.
+filtered by size and by what their prefixes have in common, each pair is taken at the first place that both have, and
+then the members of the pairs that stay are fetched and verified by counting common shingles. Large places are split into blocks of bounded size.
 
 Any order that all sets agree on gives the same links: the sketch only decides how much there is to do.
 """
@@ -45,7 +45,7 @@ _PLACES = _rng.integers(1, 1 << 63, (64, 2), dtype=np.uint64) * _U(2) + _U(1)
 _SPACE = re.compile(rb"[ \t-\r]")
 ENTRY = np.dtype([("t", "<u4"), ("g", "<u8"), ("n", "<u4")])
 HOT = np.dtype([("t", "<u8"), ("g", "<u8"), ("n", "<u4")])
-SET = np.dtype([("o", "V16"), ("g", "<u8"), ("n", "<u4")])
+SET = np.dtype([("o", "V16"), ("g", "<u8"), ("n", "<u4"), ("end", "<u8")])
 
 
 @dataclass(frozen=True)
@@ -247,14 +247,15 @@ def _slice_of(h: np.ndarray, slices: int) -> np.ndarray:
     return (((h >> _U(32)) * _U(slices)) >> _U(32)).astype(np.int64)
 
 
-def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a sorted set: so many that a similar set must share one."""
+def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The first shingles of a sorted set, so many that a similar set must share one, and the place of the last in the order."""
     key = (levels[s & _U(len(levels) - 1)].astype(np.uint64) << _U(48)) | (s >> _U(16))
-    return s[np.argsort(key, kind="stable")[: len(s) - -(-percent * len(s) // 100) + 1]]
+    first = np.argsort(key, kind="stable")[: len(s) - -(-percent * len(s) // 100) + 1]
+    return s[first], int(key[first[-1]])
 
 
 def _prefixes(j: Join, slices: int, levels, hot_level: int):
-    """text -> slice, entries (shingle, group, size), sets (owner, group, size): prefixes dealt by ranges of the hash.
+    """text -> slice, entries (shingle, group, size), sets (owner, group, size, end): prefixes dealt by ranges of the hash.
 
     A hot shingle's entries go to slices of their own (below 0), by group. levels: a broadcast.
     """
@@ -263,7 +264,7 @@ def _prefixes(j: Join, slices: int, levels, hot_level: int):
         level = levels.value
         seen: set[bytes] = set()
         pre: list[np.ndarray] = []
-        told: list[tuple[bytes, int, int]] = []
+        told: list[tuple[bytes, int, int, int]] = []
 
         def dealt() -> pa.RecordBatch:
             sets = np.array(told, SET)
@@ -290,9 +291,9 @@ def _prefixes(j: Join, slices: int, levels, hot_level: int):
                         if len(seen) >= 1 << 18:
                             seen.clear()
                         seen.add(owner)
-                        p = prefix(s, level, j.percent)
+                        p, end = prefix(s, level, j.percent)
                         pre.append(p)
-                        told.append((owner, xxhash.xxh3_64_intdigest(p.tobytes() + len(s).to_bytes(8, "little")), len(s)))
+                        told.append((owner, xxhash.xxh3_64_intdigest(p.tobytes() + len(s).to_bytes(8, "little")), len(s), end))
                 if sum(map(len, pre)) > 1 << 20:
                     yield dealt()
                     pre, told = [], []
@@ -311,7 +312,8 @@ def _runs(keys: np.ndarray) -> list[np.ndarray]:
 
 
 def _places(percent: int):
-    """One slice -> rows of kind 0: a set's owner, group and size; of kind 1: a group and a place that it shares.
+    """One slice -> rows of kind 0: a set's owner, group, size and end; of kind 1: a group, a place that it shares, and
+    for how many shingles the place stands.
 
     Groups that share a shingle stand by size; where one is too large for the one before it, the list ends and
     another begins. The place of a list is a hash of its groups, so shingles with the same list have the same place.
@@ -338,13 +340,14 @@ def _places(percent: int):
             size = np.diff(np.append(at, len(t)))
             place = _mixed(np.add.reduceat(_mixed(g), at) + size.astype(np.uint64)) if len(t) else np.zeros(0, np.uint64)
             g, place = g[np.repeat(size > 1, size)], np.repeat(place[size > 1], size[size > 1])
-        both = np.unique(np.stack([g, place], axis=1), axis=0) if len(g) else np.zeros((0, 2), np.uint64)
+        both, times = np.unique(np.stack([g, place], axis=1), axis=0, return_counts=True) if len(g) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
         return pd.DataFrame(
             {
                 "kind": np.repeat([0, 1], [len(s), len(both)]).astype(np.int32),
                 "owner": [x.tobytes() for x in s["o"]] + [None] * len(both),
                 "g": np.concatenate([s["g"], both[:, 0]]).view(np.int64),
-                "n": np.concatenate([s["n"].astype(np.int32), np.zeros(len(both), np.int32)]),
+                "n": np.concatenate([s["n"], times]).astype(np.int32),
+                "end": np.concatenate([s["end"], np.zeros(len(both), np.uint64)]).view(np.int64),
                 "place": np.concatenate([np.zeros(len(s), np.uint64), both[:, 1]]).view(np.int64),
             }
         )
@@ -352,24 +355,47 @@ def _places(percent: int):
     return run
 
 
-def _earlier(places: list[np.ndarray], place: int, number: dict[int, int]) -> np.ndarray:
-    """Matrix of groups by those of the numbered places that stand before place."""
-    out = np.zeros((len(places), len(number)), np.float32)
-    for i, p in enumerate(places):
-        at = [number[x] for x in p[p < place].tolist() if x in number]
-        out[i, at] = 1
-    return out
+class _Groups:
+    """Groups at a place: sizes, ends of prefixes, and of each the places that it has and how many shingles these stand for."""
+
+    def __init__(self, f: pd.DataFrame, at: np.ndarray):
+        part = f.iloc[at]
+        self.n = part["n"].to_numpy(np.int64)
+        self.end = part["end"].to_numpy().view(np.uint64)
+        self.places = [np.asarray(p, np.int64) for p in part["places"]]
+        self.times = [np.asarray(p, np.float32) for p in part["times"]]
+
+    def matrix(self, some: np.ndarray) -> np.ndarray:
+        """Groups by some places (sorted): how many shingles of the group each stands for."""
+        out = np.zeros((len(self.n), len(some)), np.float32)
+        for i, (p, t) in enumerate(zip(self.places, self.times, strict=True)):
+            at = np.searchsorted(some, p)
+            has = some[np.minimum(at, len(some) - 1)] == p
+            out[i, at[has]] = t[has]
+        return out
 
 
-def _meet(na: np.ndarray, pa_: list[np.ndarray], nb: np.ndarray, pb: list[np.ndarray], place: int, percent: int) -> np.ndarray:
-    """Which groups of a meet which of b at a place: sizes fit, and no earlier place is common."""
-    ok = (na[:, None] * 100 >= percent * nb[None]) & (nb[None] * 100 >= percent * na[:, None])
-    sides = [set(np.concatenate([x[x < place] for x in p]).tolist()) for p in (pa_, pb)]
-    common = sorted(sides[0] & sides[1])
+def _meet(a: _Groups, b: _Groups, place: int, percent: int) -> np.ndarray:
+    """Which groups of a meet which of b at a place: none of the places before it is common, sizes fit, and prefixes
+    have enough in common.
+
+    All that two sets share up to where the first of their prefixes ends is in both prefixes, so their common shingles
+    are those of the prefixes and, at most, what the one with that prefix has behind it.
+    """
+    ok = (a.n[:, None] * 100 >= percent * b.n[None]) & (b.n[None] * 100 >= percent * a.n[:, None])
+    behind_a, behind_b = (-(-percent * x.n // 100) - 1 for x in (a, b))
+    behind = np.where(a.end[:, None] < b.end[None], behind_a[:, None], np.where(a.end[:, None] > b.end[None], behind_b[None], np.maximum(behind_a[:, None], behind_b[None])))
+    need = -(-percent * (a.n[:, None] + b.n[None]) // (100 + percent)) - behind
+    common = np.intersect1d(np.concatenate(a.places), np.concatenate(b.places))
+    shared = np.zeros(ok.shape, np.float64)
     for k in range(0, len(common), 4096):
-        number = {x: i for i, x in enumerate(common[k : k + 4096])}
-        ok &= _earlier(pa_, place, number) @ _earlier(pb, place, number).T == 0
-    return ok
+        some = common[k : k + 4096]
+        left, right = a.matrix(some), b.matrix(some) > 0
+        shared += left @ right.T.astype(np.float32)
+        before = int(np.searchsorted(some, place))
+        if before:
+            ok &= (left[:, :before] > 0).astype(np.float32) @ right[:, :before].T.astype(np.float32) == 0
+    return ok & (shared >= need)
 
 
 def _segments(f: pd.DataFrame) -> Iterator[tuple[int, int, int, np.ndarray]]:
@@ -386,12 +412,11 @@ def _filtered(percent: int):
     """Groups at pairs of blocks of places -> those that meet another there (or whose members meet)."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        block, n, c = f["block"].to_numpy(), f["n"].to_numpy(np.int64), f["c"].to_numpy()
-        places = [np.asarray(p, np.int64) for p in f["places"]]
+        block, c = f["block"].to_numpy(), f["c"].to_numpy()
         some = [np.zeros(0, np.int64)]
         for place, x, y, at in _segments(f):
             a, b = at[block[at] == x], at[block[at] == y]
-            ok = _meet(n[a], [places[i] for i in a], n[b], [places[i] for i in b], place, percent)
+            ok = _meet(_Groups(f, a), _Groups(f, b), place, percent)
             if x == y:
                 ok[np.diag_indices(len(a))] &= c[a] > 1
                 some.append(a[ok.any(axis=1) | ok.any(axis=0)])
@@ -411,14 +436,13 @@ class _Block:
         self.n = f["n"].to_numpy().astype(np.int64)
         self.sets = [np.frombuffer(x, np.uint64) for x in f["shingles"]]
         _, head, self.group = np.unique(f["g"].to_numpy(), return_index=True, return_inverse=True)
-        self.group_n = self.n[head]
-        self.group_places = [np.asarray(f["places"].iloc[h], np.int64) for h in head]
+        self.groups = _Groups(f, head)
 
 
 def _links(a: _Block, b: _Block, place: int, percent: int) -> tuple[list, dict]:
     """Edges that span the links between two blocks (or within one), and each set's number of linked documents."""
     same = a is b
-    ok = _meet(a.group_n, a.group_places, b.group_n, b.group_places, place, percent)
+    ok = _meet(a.groups, b.groups, place, percent)
     every = a.sets if same else [*a.sets, *b.sets]
     ends = np.cumsum([len(s) for s in every])
     number = np.unique(np.concatenate(every), return_inverse=True)[1]
@@ -428,7 +452,7 @@ def _links(a: _Block, b: _Block, place: int, percent: int) -> tuple[list, dict]:
     label = np.arange(len(every))
     degree = np.zeros(len(every), np.int64)
     edges = []
-    for g in range(len(a.group_n)):
+    for g in range(len(a.groups.n)):
         wanted = np.flatnonzero(ok[g][b.group])
         if not len(wanted):
             continue
@@ -520,19 +544,21 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", join: J
     slices = max(16, -(-total * (100 - j.percent) // 100 // t.slice_entries))
     hot_level = int(STEPS * np.log2(1 + max(t.hot, 8 * everywhere // t.counters)))
     packed = src.select("t").mapInArrow(_prefixes(j, slices, spark.sparkContext.broadcast(levels), hot_level), "slice int, entries binary, sets binary")
-    found = cut(packed.groupBy("slice").applyInPandas(_places(j.percent), "kind int, owner binary, g long, n int, place long"))
+    found = cut(packed.groupBy("slice").applyInPandas(_places(j.percent), "kind int, owner binary, g long, n int, end long, place long"))
     # Of each group the places where it meets others, sorted; of these groups the member sets.
-    live = cut(found.filter("kind = 1").groupBy("g").agg(F.array_sort(F.collect_set("place")).alias("places")))
-    members = cut(found.filter("kind = 0").select("owner", "g", "n").join(live, "g").join(owners.select("owner", "sid", "pick", "copies"), "owner"))
+    live = found.filter("kind = 1").groupBy("g", "place").agg(F.sum("n").cast("int").alias("k")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("place", "k"))).alias("x"))
+    live = live.select("g", F.transform("x", lambda y: y["place"]).alias("places"), F.transform("x", lambda y: y["k"]).alias("times"))
+    members = cut(found.filter("kind = 0").select("owner", "g", "n", "end").join(live, "g").join(owners.select("owner", "sid", "pick", "copies"), "owner"))
     rows = cut(_blocked(members.select("sid", "g", "n", F.explode("places").alias("place")), j.percent, t))
     spot = ["place", "x", "y", "block", "g"]
-    groups = rows.groupBy(*spot).agg(F.count("*").alias("c"), F.first("n").alias("n")).join(live, "g")
+    groups = rows.groupBy(*spot).agg(F.count("*").alias("c"), F.min("sid").alias("sid")).join(members.select("sid", "n", "end", "places", "times"), "sid")
     n_rows, n_shingles = (rows.agg(F.count("*"), F.sum(F.col("n").cast("long"))).first()[i] or 0 for i in (0, 1))
     needed = cut(_dealt(groups, n_rows // (4 * t.block_sets)).groupBy("key").applyInPandas(_filtered(j.percent), "place long, x int, y int, block int, g long"))
     meeting = rows.join(needed, spot, "left_semi")
-    wanted = cut(members.join(meeting.select("sid").distinct(), "sid", "left_semi"))
-    arrays = _texts_of(src, wanted, t).mapInArrow(_arrays(j.n), "owner binary, shingles binary").dropDuplicates(["owner"])
-    full_rows = meeting.join(wanted.join(arrays, "owner").select("sid", "copies", "places", "shingles"), "sid")
+    wanted = cut(members.join(meeting.select("sid").distinct(), "sid", "left_semi").drop("owner", "g", "n"))
+    # A text that stands twice with its id gives the same set twice.
+    arrays = _texts_of(src, wanted, t).mapInArrow(_arrays(j.n), "sid long, shingles binary").dropDuplicates(["sid"])
+    full_rows = meeting.join(arrays.join(wanted.drop("pick"), "sid"), "sid")
     links = cut(_dealt(full_rows, n_shingles // t.block_shingles).groupBy("key").applyInPandas(_verified(j.percent), "a long, b long, links long"))
     comp = components(links.filter("b is not null").select("a", "b"))
     roots = cut(owners.join(comp, owners["sid"] == comp["node"], "left").select("owner", "sid", F.coalesce("root", "sid").alias("root"), F.col("root").isNotNull().alias("linked"), "least", "copies"))
@@ -568,18 +594,20 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", join:
 
 
 def _arrays(n: int):
+    """sid, text -> sid, shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = _bytes(b.column(0))
+            texts = _bytes(b.column(1))
             for i, k in _chunks(texts):
                 found = shingle_sets(texts[i:k], n)
-                yield pa.RecordBatch.from_arrays([pa.array([o for _, o in found], pa.binary()), pa.array([s.tobytes() for s, _ in found], pa.binary())], names=["owner", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, k - i), pa.array([s.tobytes() for s, _ in found], pa.binary())], names=["sid", "shingles"])
 
     return run
 
 
 def _texts_of(src: DataFrame, members: DataFrame, t: Tuning) -> DataFrame:
-    """Texts of one document of each member set. Few keys are broadcast; more of them are joined by a shuffle."""
-    keys = cut(members.select(F.col("pick.id").alias("kid"), F.col("pick.tkey").alias("ktkey")).distinct())
+    """sid and text of one document of each member set. Few keys are broadcast; more of them are joined by a shuffle."""
+    keys = members.select("sid", F.col("pick.id").alias("kid"), F.col("pick.tkey").alias("ktkey"))
     hint = F.broadcast if keys.count() <= t.broadcast_rows else (lambda d: d)
-    return src.join(hint(keys), (F.col("tkey") == F.col("ktkey")) & F.col("id").eqNullSafe(F.col("kid")), "left_semi").select("t")
+    return src.join(hint(keys), (F.col("tkey") == F.col("ktkey")) & F.col("id").eqNullSafe(F.col("kid"))).select("sid", "t")
