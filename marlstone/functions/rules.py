@@ -135,8 +135,11 @@ def fast_path(intent: Column, score: Column, text: Column, strong: Column, lex:
 def mask_pii(text: Column) -> Column:
     """Phones, ids and card numbers masked, first three and last four characters kept."""
     t = F.regexp_replace(text, r"(?<!\d)(1[3-9]\d)\d{4}(\d{4})(?!\d)", "$1****$2")
-    t = F.regexp_replace(t, r"(?<=(?<!\d)(?=\d{17}[\dXx](?!\d))\d{3,13})\d(?=\d{3}[\dXx]|\d{4})", "*")
-    return F.regexp_replace(t, r"(?<=(?<!\d)(?=\d{13,19}(?!\d))\d{3,14})\d(?=\d{4})", "*")
+    t = F.regexp_replace(t, r"(?<!\d)(\d{3})\d{11}(\d{3}[\dXx])(?!\d)", "$1" + "*" * 11 + "$2")
+    cards = t
+    for n in range(13, 20):
+        cards = F.regexp_replace(cards, rf"(?<!\d)(\d{{3}})\d{{{n - 7}}}(\d{{4}})(?!\d)", "$1" + "*" * (n - 7) + "$2")
+    return F.when(F.rlike(t, F.lit(r"\d{13}")), cards).otherwise(t)
 
 
 def banned_hits(text: Column, words: tuple[str, ...]) -> Column:

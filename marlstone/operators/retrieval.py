@@ -22,13 +22,17 @@ def _hint(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def index(chunks: DataFrame, cid: str = "cid", text: str = "text", avgdl: str = "distinct") -> dict[str, DataFrame]:
+def index(chunks: DataFrame, cid: str = "cid", text: str = "text", avgdl: str = "distinct", only: DataFrame | None = None) -> dict[str, DataFrame]:
     """BM25 statistics: postings(term, cid, tf), terms(term, df, idf), docs(cid, dl, du), corpus(n, avgdl).
 
-    avgdl: 'distinct' averages numbers of distinct terms, 'total' lengths.
+    avgdl: 'distinct' averages numbers of distinct terms, 'total' lengths. only: queries (text) whose terms are all that
+    the index is asked for; no other token is counted or shuffled then.
     """
     toks = chunks.select(F.col(cid).alias("cid"), tx.tokens(F.coalesce(text, F.lit(""))).alias("ts"))
-    postings = toks.select("cid", F.explode("ts").alias("term")).groupBy("term", "cid").agg(F.count("*").alias("tf"))
+    found = toks.select("cid", F.explode("ts").alias("term"))
+    if only is not None:
+        found = found.join(_hint(only.select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()), "term", "left_semi")
+    postings = found.groupBy("term", "cid").agg(F.count("*").alias("tf"))
     docs = toks.select("cid", F.size("ts").cast("long").alias("dl"), F.size(F.array_distinct("ts")).cast("long").alias("du"))
     corpus = docs.agg(F.count("*").alias("n"), F.avg("du" if avgdl == "distinct" else "dl").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))

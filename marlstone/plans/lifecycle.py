@@ -27,13 +27,13 @@ def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan("o2_approve", """WITH p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'approved' WHEN doc_id % 3 = 1 THEN 'rejected' ELSE 'pending' END AS status FROM documents WHERE doc_id % 2 = 0)
-SELECT doc_id, 'old' AS origin FROM documents WHERE doc_id % 5 = 0 AND doc_id NOT IN (SELECT doc_id FROM p WHERE status = 'approved') UNION ALL SELECT doc_id, 'new' FROM p WHERE status = 'approved'""")
+SELECT doc_id, 'old' AS origin FROM documents WHERE (doc_id % 2 <> 0 OR doc_id % 5 = 0) AND doc_id NOT IN (SELECT doc_id FROM p WHERE status = 'approved') UNION ALL SELECT doc_id, 'new' FROM p WHERE status = 'approved'""")
 def approve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store after decisions on pending documents."""
     d = table(spark, sf_dir, "documents").select("doc_id")
     pending = d.filter("doc_id % 2 = 0").withColumn("origin", F.lit("new"))
     said = d.filter("doc_id % 3 < 2").withColumn("decision", F.when(F.col("doc_id") % 3 == 0, "approved").otherwise("rejected"))
-    return lc.approve(pending, said, d.filter("doc_id % 5 = 0").withColumn("origin", F.lit("old")))[1]
+    return lc.approve(pending, said, d.filter("doc_id % 2 <> 0 or doc_id % 5 = 0").withColumn("origin", F.lit("old")))[1]
 
 
 @plan("o3_rebuild", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR source = 'src2'")

@@ -30,7 +30,7 @@ def _queries(spark: SparkSession) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> dict:
-    return r.index(table(spark, sf_dir, "documents"), cid="doc_id")
+    return r.index(table(spark, sf_dir, "documents"), cid="doc_id", only=_queries(spark))
 
 
 def _top(df: DataFrame) -> DataFrame:
@@ -141,18 +141,18 @@ def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated queries, user turns whose id is divisible by 20, looked up among all user turns: exact, similar, near."""
     c = table(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text", "turn")
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    rows = c.join(e, F.col("id") % 400 == F.col("vec_id")).withColumn("at", F.col("turn") * 60)
+    rows = c.join(e, F.col("id") % max(1, e.count()) == F.col("vec_id")).withColumn("at", F.col("turn") * 60)
     q = rows.filter("id % 20 = 0").select(F.col("id").alias("qid"), "text", F.col("embedding").alias("qv"), (F.col("at") + 600).alias("at"))
     entries = rows.select(F.col("id").alias("key"), "text", F.col("embedding").alias("v"), F.col("at").alias("created"))
     return r.cache_lookup(q, entries, lambda t: tx.cache_features(t, [["the", "les"]], [], {"buy": ("buy",), "sell": ("sell",)}), tx.feature_similarity)
 
 
-@plan("r13_memory_recall", f"""SELECT a.vec_id AS qid, b.vec_id AS cid, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 1
+@plan("r13_memory_recall", f"""SELECT a.vec_id AS qid, b.vec_id AS cid, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 2""")
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two nearest memories of the same user (label)."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 100 = 1").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), "label")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), "label")
     pairs = e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("v"), "label").join(q, "label").filter("qid <> cid")
     return _top(r.ranked(pairs.select("qid", "cid", tx.cosine(F.col("v"), F.col("qv")).alias("score")), 2))
 
@@ -201,7 +201,7 @@ sql("j10_golden_rank", """
 WITH g AS (SELECT vec_id, label FROM {embeddings}), ret AS (SELECT label AS qid, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rank FROM {embeddings})
 SELECT ret.qid, min(rank) AS first_rank, count(*) AS overlap FROM ret JOIN g ON g.vec_id = ret.vec_id AND g.vec_id % 4 = 0 GROUP BY ret.qid""")
 sql("j11_evidence_hashes", """
-WITH g AS (SELECT doc_id, md5(text) AS h FROM {documents} WHERE doc_id % 10 = 0), now AS (SELECT doc_id, md5(CASE WHEN doc_id % 20 = 0 THEN 'x' ELSE text END) AS h FROM {documents} WHERE doc_id % 30 <> 0)
+WITH g AS (SELECT doc_id, md5(text) AS h FROM {documents}), now AS (SELECT doc_id, md5(CASE WHEN doc_id % 20 = 0 THEN 'x' ELSE text END) AS h FROM {documents} WHERE doc_id % 30 <> 0)
 SELECT g.doc_id, CASE WHEN now.doc_id IS NULL THEN 'missing' WHEN now.h <> g.h THEN 'stale' ELSE 'ok' END AS state FROM g LEFT JOIN now ON g.doc_id = now.doc_id""")
 sql("j17_ticket_context", """
 SELECT conv_id, turn, role FROM (SELECT c.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM {conversations} c

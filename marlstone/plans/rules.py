@@ -125,9 +125,9 @@ def _grams(text: str, n: int) -> str:
 _NORM = "regexp_replace(lower(trim(text)), '[^a-z0-9]', '', 'g')"
 
 
-@plan("f1_tokens", "SELECT doc_id, len(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+')) AS n, list_aggregate(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+'), 'string_agg', ' ') AS tokens FROM documents WHERE lang = 'en'")
+@plan("f1_tokens", "SELECT doc_id, len(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+')) AS n, list_aggregate(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+'), 'string_agg', ' ') AS tokens FROM documents")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.size(tx.tokens(F.col("text"))).cast("long").alias("n"), F.array_join(tx.tokens(F.col("text")), " ").alias("tokens"))
 
 
@@ -235,15 +235,19 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("f24_number_grounding")
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.array_join(ru.ungrounded_numbers(F.col("text"), F.substring("text", 1, 500), r"\d+(?:\.\d+)+"), ",").alias("missing"))
+    """Numbers of a document that the page of its id lacks."""
+    d, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages").select("page_id", "html")
+    context = F.coalesce("html", F.lit(""))
+    return d.join(p, d["doc_id"] == p["page_id"], "left").select("doc_id", F.array_join(ru.ungrounded_numbers(F.col("text"), context, r"\d+(?:\.\d+)+"), ",").alias("missing"))
 
 
-@plan("f25_answer_support", """WITH t AS (SELECT item_id, text, list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+')) AS ws FROM benchmark)
-SELECT item_id, round(len(list_filter(ws, lambda w: NOT contains(lower(substring(text, 1, 200)), w))) / greatest(len(ws), 1)::DOUBLE, 6) AS missing FROM t""")
+@plan("f25_answer_support", """WITH t AS (SELECT b.item_id, coalesce(lower(d.text), '') AS context, list_distinct(regexp_extract_all(lower(b.text), '[a-zA-Z0-9_]+')) AS ws FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id)
+SELECT item_id, round(len(list_filter(ws, lambda w: NOT contains(context, w))) / greatest(len(ws), 1)::DOUBLE, 6) AS missing FROM t""")
 def support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of a benchmark item's words that the document of its id lacks."""
     words = F.array_distinct(tx.tokens(F.col("text")))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.round(ru.unsupported(words, F.lower(F.substring("text", 1, 200))), 6).alias("missing"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.lower("text").alias("context"))
+    return table(spark, sf_dir, "benchmark").join(d, "item_id", "left").select("item_id", F.round(ru.unsupported(words, F.coalesce("context", F.lit(""))), 6).alias("missing"))
 
 
 sql("f26_verbalise", "SELECT s_name, concat(s_name, ' is located in ', n_name) AS sentence FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey")
