@@ -1,10 +1,12 @@
 """Secret scans: base patterns, and tokens that a battery of randomness tests can't tell from random strings.
 
 For each token of an inferred encoding (of a token that none fits, for each of its parts): a chi-squared test of
-uniformity over the alphabet, a runs test and a lag-1 serial correlation test, combined by Fisher's method; and a
-chi-squared test of the numbers of capitals, small letters and other characters, which words of letters alone fail.
-Bonferroni joins the two. The hypothesis is that the token is random; Benjamini and Hochberg's procedure, run apart for each encoding and length band, decides which tokens are
-ordinary. Those that stay are secrets: at most fdr of what a band dismisses is expected to be random.
+uniformity over the alphabet, a runs test and a lag-1 serial correlation test, combined by Fisher's method; a
+chi-squared test of the numbers of capitals, small letters and other characters, which words of letters alone fail; and
+a test of the number of changes between these classes and digits, which identifiers of several words and paths fail.
+Bonferroni joins the three. The hypothesis is that the token is random; Benjamini and Hochberg's procedure, run apart for each encoding and length
+band, decides which tokens are ordinary. Those that stay are secrets: at most fdr of what a band dismisses is expected to
+be random. That bounds what is missed, not what is flagged: ordinary tokens that look random in all tests are flagged too.
 DataFrame functions only.
 """
 
@@ -101,7 +103,7 @@ def randomness(token: Column) -> Column:
             ln = lambda p: F.log(F.greatest(p, F.lit(1e-15)))
             half = -(ln(_upper(z_chi)) + ln(2 * _normal_tail(z_runs)) + ln(2 * _normal_tail(z_ser)))
             # Fisher: minus twice the sum of logs is chi-squared with six degrees; its tail has a closed form.
-            return F.least(F.lit(1.0), 2 * F.least(F.exp(-half) * (1 + half + half * half / 2), classes()))
+            return F.least(F.lit(1.0), 3 * F.least(F.exp(-half) * (1 + half + half * half / 2), classes(), switches()))
 
         def classes() -> Column:
             """p-value of the numbers of capitals, small letters and others; an alphabet of one case has two classes."""
@@ -111,6 +113,17 @@ def randomness(token: Column) -> Column:
             chi = part(upper) + part(lower) + part(other)
             return F.when((upper(x["a"]) > 0) & (lower(x["a"]) > 0), F.exp(-chi / 2)).otherwise(2 * _normal_tail(F.sqrt(chi)))
 
+        def switches() -> Column:
+            """p-value of few changes between capitals, small letters, digits and others: identifiers keep to a class for long."""
+            kinds = ("[A-Z]", "[a-z]", "[0-9]", "[^A-Za-z0-9]")
+            runs = F.regexp_count(x["t"], F.lit("|".join(f"{k}++" for k in kinds))).cast("double")
+            share = [F.regexp_count(x["a"], F.lit(k)) / size for k in kinds]
+            # One pair changes with probability q, two neighbouring pairs both with probability both.
+            q = 1 - sum((f * f for f in share), F.lit(0.0))
+            both = sum((f * (1 - f) * (1 - f) for f in share), F.lit(0.0))
+            z = let(F.struct(q.alias("q"), both.alias("b")), lambda y: (((n - 1) * y["q"] - (runs - 1)) / F.sqrt((n - 1) * y["q"] * (1 - y["q"]) + 2 * (n - 2) * (y["b"] - y["q"] * y["q"]))))
+            return _upper(z)
+
         return F.struct(x["n"].alias("encoding"), F.when(F.length(x["t"]) >= 16, let(codes, tests)).alias("p"))
 
     return F.when(alphabet.isNotNull(), let(F.struct(bare.alias("t"), alphabet.alias("a"), name.alias("n")), battery))
