@@ -52,17 +52,27 @@ TEXTS = {
     "AGPL-3.0 text": f"gnu affero general public license version 3 19 november 2007 copyright c 2007 free software foundation inc {_COPIES} preamble the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software",
     "Apache-2.0 text": "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution 1 definitions license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document",
     "Apache-2.0 header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
+    "Artistic-1.0 text": "the artistic license preamble the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control over the development of the package",
     "BSD-2-Clause text": f"{_BSD} {_BSD_END}",
     "BSD-3-Clause text": f"{_BSD} 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission {_BSD_END}",
     "CC0-1.0 text": "creative commons legal code cc0 1 0 universal creative commons corporation is not a law firm and does not provide legal services distribution of this document does not create an attorney client relationship",
+    "GFDL-1.2 text": f"gnu free documentation license version 1 2 november 2002 copyright c 2000 2001 2002 free software foundation inc {_COPIES} 0 preamble the purpose of this license is to make a manual textbook or other functional and useful document free in the sense of freedom",
+    "GFDL-1.3 text": f"gnu free documentation license version 1 3 3 november 2008 copyright c 2000 2001 2002 2007 2008 free software foundation inc {_COPIES} 0 preamble the purpose of this license is to make a manual textbook or other functional and useful document free in the sense of freedom",
+    "GPL-1.0 header": _HEADER.format("general public", 1),
+    "GPL-1.0 text": f"gnu general public license version 1 february 1989 copyright c 1989 free software foundation inc {_COPIES} preamble the license agreements of most software companies try to keep users at the mercy of those companies",
     "GPL-2.0 header": _HEADER.format("general public", 2),
     "GPL-2.0 text": f"gnu general public license version 2 june 1991 copyright c 1989 1991 free software foundation inc {_COPIES} preamble the licenses for most software are designed to take away your freedom to share and change it",
     "GPL-3.0 header": _HEADER.format("general public", 3),
     "GPL-3.0 text": f"gnu general public license version 3 29 june 2007 copyright c 2007 free software foundation inc {_COPIES} preamble the gnu general public license is a free copyleft license for software and other kinds of works",
     "ISC text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "LGPL-2.0 header": _HEADER.format("library general public", 2),
+    "LGPL-2.0 text": f"gnu library general public license version 2 june 1991 copyright c 1991 free software foundation inc {_COPIES} this is the first released version of the library gpl it is numbered 2 because it goes with version 2 of the ordinary gpl",
+    "LGPL-2.1 header": _HEADER.format("lesser general public", "2 1"),
+    "LGPL-2.1 text": f"gnu lesser general public license version 2 1 february 1999 copyright c 1991 1999 free software foundation inc {_COPIES} this is the first released version of the lesser gpl it also counts as the successor of the gnu library public license version 2 hence the version number 2 1",
     "LGPL-3.0 header": _HEADER.format("lesser general public", 3),
     "LGPL-3.0 text": f"gnu lesser general public license version 3 29 june 2007 copyright c 2007 free software foundation inc {_COPIES} this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below",
     "MIT text": f"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software {_AS_IS}",
+    "MPL-1.1 text": "mozilla public license version 1 1 1 definitions 1 0 1 commercial use means distribution or otherwise making the covered code available to a third party",
     "MPL-2.0 header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
     "MPL-2.0 text": "mozilla public license version 2 0 1 definitions 1 1 contributor means each individual or legal entity that creates contributes to the creation of or owns covered software",
     "Unlicense text": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",

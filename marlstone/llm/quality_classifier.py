@@ -27,7 +27,7 @@ CHUNK = 1 << 20
 @dataclass(frozen=True)
 class CoTraining:
     """labelled: rows at most that fitting takes, the first by a hash of their id; rounds; sure: least calibrated
-    probability of a pseudo-label; share of pool: documents that one view gives one label per round at most, the surest
+    probability of a pseudo-label; share of pool (500): documents that one view gives one label per round at most, the surest
     of all unlabelled ones; threshold: of kept."""
 
     labelled: int = 9000
@@ -181,9 +181,9 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
     """id, p_text, p_meta (calibrated views), score, kept of every document.
 
     A document is good if all its labels say quality 1 and none says toxic; label rows without id or quality are
-    left out. Null text: empty. Null metadata is a value of its own. Repeated rows are scored alike. Without good
-    and bad labels nothing can be learnt: scores are null and every document is kept. Extra columns are not
-    read. An empty table gives no rows.
+    left out. Null text: empty. Null metadata is a value of its own. Repeated rows are scored alike. With fewer than
+    10 good or 10 bad labelled documents nothing can be learnt: scores are null and every document is kept. Extra
+    columns are not read. An empty table gives no rows.
     """
     c = co or CoTraining()
     spark = docs.sparkSession

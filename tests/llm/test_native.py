@@ -399,3 +399,16 @@ def test_secrets_few_digits_and_keys_behind_paths(spark):
     assert sum(found[i] == [(4, k)] for i, k in enumerate(few)) >= 32
     assert sum(found[100 + i] == [(18, k)] for i, k in enumerate(behind)) >= 32
     assert not [found[200 + i] for i in range(len(words) * 20) if found[200 + i]]
+
+
+def test_stock_licences_are_told_by_version_and_inherited(spark):
+    """The system's own licence files, where it has them."""
+    from pathlib import Path
+
+    stock = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    texts = {k: Path("/usr/share/common-licenses", k).read_text(errors="replace") for k in stock if Path("/usr/share/common-licenses", k).exists()}
+    if not texts:
+        pytest.skip("no licence files on this system")
+    rows = [(f"{k}/LICENSE", t) for k, t in texts.items()] + [(f"{k}/a/b/x.py", "code") for k in texts]
+    got = {x.path: x.license for x in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {f"{k}/{p}": stock[k] for k in texts for p in ("LICENSE", "a/b/x.py")}
