@@ -6,10 +6,15 @@ of its document until it is exploded.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import let, short_hash
+from marlstone.session import ship
 
 # What headings look like, by level, and what is none.
 HEADING_LEVELS = (
@@ -20,6 +25,7 @@ HEADING_LEVELS = (
 NO_HEADING = "[。，；！？…]|^\\d{4}[-/]\\d{1,2}[-/]\\d{1,2}|^\\d+$|^第\\d+页$"
 SENTENCE_END = "(?<=[。！？；\\n])"
 LATIN_SENTENCE_END = "(?<=[.!?\\n])"
+SEPARATORS = ("\n\n", "\n", "。", ".", " ", "")
 
 
 def windows(docs: DataFrame, size: int = 350, overlap: int = 70, least: int = 30, keep_short: bool = False, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -32,6 +38,54 @@ def windows(docs: DataFrame, size: int = 350, overlap: int = 70, least: int = 30
     return out if keep_short else out.filter(F.length(F.trim("content")) >= least)
 
 
+def _packed(pieces: list[str], sep: str, size: int, overlap: int) -> Iterator[str]:
+    """Runs of pieces joined by sep: as long as size allows, each beginning with at most overlap characters of the last."""
+    ends = np.concatenate([[0], np.cumsum([len(p) + len(sep) for p in pieces])])
+    width = lambda a, b: int(ends[b] - ends[a]) - len(sep)
+    a = 0
+    for b in range(len(pieces)):
+        if b > a and width(a, b + 1) > size:
+            yield sep.join(pieces[a:b])
+            while a < b and (width(a, b) > overlap or width(a, b + 1) > size):
+                a += 1
+    if a < len(pieces):
+        yield sep.join(pieces[a:])
+
+
+def split_text(text: str, size: int = 350, overlap: int = 70, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Stripped pieces of one text: cut at the first separator that occurs in it; parts of size and more at the next ones."""
+    at = next((i for i, x in enumerate(separators) if x in text), len(separators) - 1)
+    sep, finer = separators[at], separators[at + 1 :]
+    out: list[str] = []
+    short: list[str] = []
+    for part in filter(None, text.split(sep) if sep else text):
+        if len(part) < size:
+            short.append(part)
+            continue
+        out += _packed(short, sep, size, overlap)
+        short = []
+        out += split_text(part, size, overlap, finer) if finer else [part]
+    out += _packed(short, sep, size, overlap)
+    return [x for x in map(str.strip, out) if x]
+
+
+def recursive_chunks(chunks: DataFrame, size: int = 350, overlap: int = 70, least: int = 30, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
+    """chunk_id, source, page, content: chunks (chunk_id string, source, page, content) cut anew at separators, coarse ones first.
+
+    Pieces are numbered within their chunk before short ones go. A null source is empty, a null page 0; null and blank
+    contents give nothing.
+    """
+    ship(chunks.sparkSession)
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(f"{c}_{i:02d}", s, p, x) for c, s, p, t in f.itertuples(index=False) for i, x in enumerate(split_text(t, size, overlap, separators)) if len(x) >= least]
+            yield pd.DataFrame(rows, columns=["chunk_id", "source", "page", "content"])
+
+    whole = chunks.select("chunk_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.col("page").cast("int"), F.lit(0)).alias("page"), F.coalesce("content", F.lit("")).alias("content"))
+    return whole.mapInPandas(cut, "chunk_id string, source string, page int, content string")
+
+
 def headings(docs: DataFrame, doc: str = "doc_id", text: str = "text", levels=HEADING_LEVELS, excluded: str = NO_HEADING) -> DataFrame:
     """doc, start, level, title of every heading line; a title repeated within 200 characters of the last kept heading goes."""
     lines = docs.select(F.col(doc), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("i", "line"))

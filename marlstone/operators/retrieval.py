@@ -63,6 +63,15 @@ def bm25(idx: dict[str, DataFrame], queries: DataFrame, k: int = 10, k1: float =
     return ranked(hits.groupBy("qid", "cid").agg(F.sum(part).alias("score")).filter("score > 0"), k)
 
 
+def canary(idx: dict[str, DataFrame], probe: str) -> None:
+    """Raises RuntimeError where the index is empty or its probe, a text that it must answer, finds nothing."""
+    spark = idx["corpus"].sparkSession
+    if not idx["corpus"].first()["n"]:
+        raise RuntimeError("the index holds no chunk")
+    if bm25(idx, spark.createDataFrame([(0, probe)], "qid long, text string"), 1).isEmpty():
+        raise RuntimeError(f"the index finds nothing for its probe {probe!r}")
+
+
 def dense(chunks: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:
     """qid, cid, score, rank by cosine: chunks (cid, v) against queries (qid, qv), exact, over every pair.
 

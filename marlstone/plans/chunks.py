@@ -119,6 +119,13 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 sql("c17_min_length", "SELECT doc_id FROM {documents} WHERE length(trim(text)) >= 60")
 
 
+@plan("c12_recursive_chunks")
+def recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut anew at paragraphs, lines, sentences and words."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "source", F.lit(1).alias("page"), F.col("text").alias("content"))
+    return ch.recursive_chunks(d).select("chunk_id", "source", F.md5(F.col("content").cast("binary")).alias("h"))
+
+
 @plan("c18_weighted_choice")
 def choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event kind for each customer by weight."""

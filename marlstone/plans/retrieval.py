@@ -43,6 +43,14 @@ def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(r.bm25(_index(spark, sf_dir), _queries(spark), 10))
 
 
+@plan("r10_canary", _BM + " SELECT (SELECT n FROM c) AS chunks, EXISTS (SELECT 1 FROM s WHERE qid = 0) AS answered")
+def canary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of an index that answers its probe; an empty or silent index is an error."""
+    idx = _index(spark, sf_dir)
+    r.canary(idx, QUESTIONS[0])
+    return idx["corpus"].select(F.col("n").alias("chunks"), F.lit(True).alias("answered"))
+
+
 sql("a11_bm25_statistics", "SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, explode(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+', 0)) AS term FROM {documents}) x GROUP BY term HAVING count(*) > 20",
     f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents) x GROUP BY term HAVING count(*) > 20")
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"

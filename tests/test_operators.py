@@ -1,6 +1,8 @@
 """Operators on literal frames and edge cases."""
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st_
 from pyspark.sql import functions as F
 
 from marlstone.functions import rules
@@ -160,3 +162,53 @@ def test_encoder_and_pair_scorer(spark):
     assert mo.encode(d.limit(0)).count() == 0
     pairs = spark.createDataFrame([(1, 7, "a b", "a b c"), (1, 5, "a b", "b a"), (1, 6, "a b", None), (2, 1, None, "a")], "qid long, cid long, query string, content string")
     assert sorted((x.qid, x["rank"], x.cid, x.score) for x in mo.rescore(pairs, k=2).collect()) == [(1, 1, 5, 1.0), (1, 2, 7, 1.0), (2, 1, 1, 0.0)]
+
+
+def test_recursive_splitter_goes_from_coarse_to_fine():
+    f = lambda s, size, overlap: ch.split_text(s, size, overlap)
+    assert f("aaa\n\nbbb\n\nccc", 8, 0) == ["aaa\n\nbbb", "ccc"]
+    assert f("aaa bbb ccc", 7, 3) == ["aaa bbb", "bbb ccc"]
+    assert f("one two\n\nabcdefghij", 8, 0) == ["one two", "abcdefgh", "ij"]
+    assert f("", 8, 2) == [] and f(" \n\n ", 8, 2) == []
+    assert f("甲乙。丙丁。戊己", 6, 0) == ["甲乙。丙丁", "戊己"]
+
+
+def _by_queue(pieces, sep, size, overlap):
+    """The same packing, one piece after the other: a queue that is emptied from the front."""
+    out, held = [], []
+    for p in pieces:
+        if held and len(sep.join([*held, p])) > size:
+            out.append(sep.join(held))
+            while held and (len(sep.join(held)) > overlap or len(sep.join([*held, p])) > size):
+                held.pop(0)
+        held.append(p)
+    return out + ([sep.join(held)] if held else [])
+
+
+@given(st_.lists(st_.text("ab", min_size=1, max_size=9), max_size=30), st_.sampled_from(["", " ", "\n\n"]), st_.integers(10, 25), st_.integers(0, 9))
+def test_packing_equals_a_queue(pieces, sep, size, overlap):
+    assert list(ch._packed(pieces, sep, size, overlap)) == _by_queue(pieces, sep, size, overlap)
+
+
+@given(st_.text("ab .\n。", max_size=200), st_.integers(5, 40))
+def test_recursive_pieces_fit_and_keep_every_letter(text, size):
+    got = ch.split_text(text, size, 0)
+    assert all(0 < len(x) <= size for x in got)
+    assert [c for x in got for c in x if c in "ab"] == [c for c in text if c in "ab"]
+
+
+def test_recursive_chunks_number_before_short_ones_go(spark):
+    rows = [("d", "s", 2, "x\n\n" + "y" * 12 + "\n\n" + "z" * 12), ("e", None, None, None), ("f", None, None, "w" * 12)]
+    d = spark.createDataFrame(rows, "chunk_id string, source string, page int, content string").withColumn("h", F.lit(1))
+    got = [tuple(x) for x in ch.recursive_chunks(d, 13, 0, 12).orderBy("chunk_id").collect()]
+    assert got == [("d_01", "s", 2, "y" * 12), ("d_02", "s", 2, "z" * 12), ("f_00", "", 0, "w" * 12)]
+    assert ch.recursive_chunks(d.limit(0)).count() == 0
+
+
+def test_canary_is_loud(spark):
+    d = spark.createDataFrame([(1, "gold fund"), (2, "bond")], "cid long, text string")
+    r.canary(r.index(d), "gold")
+    with pytest.raises(RuntimeError, match="finds nothing"):
+        r.canary(r.index(d), "silver")
+    with pytest.raises(RuntimeError, match="no chunk"):
+        r.canary(r.index(d.limit(0)), "gold")
