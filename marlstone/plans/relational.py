@@ -36,16 +36,6 @@ sql("s20_log_scan", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT)
 
 # --- projections and filters ---------------------------------------------------------------------------------------
 sql("p1_chunk_browse", "SELECT doc_id, source, substring(text, 1, 40) AS head FROM {documents} WHERE source = 'src3' AND text LIKE '%the%' ORDER BY doc_id LIMIT 20 OFFSET 5")
-sql("p2_product_filter", "SELECT p_partkey, p_name, p_type FROM {part} WHERE p_type LIKE '%A%' AND upper(concat('r', CAST(p_size % 5 + 1 AS STRING))) = 'R3' AND (p_name LIKE '%1%' OR p_type LIKE '%1%')")
-sql("p3_product_lookup", "SELECT p_partkey, p_name FROM {part} WHERE p_partkey = 17 OR p_name LIKE '%17%' ORDER BY p_partkey LIMIT 1")
-sql("p4_suitability", """
-SELECT c.c_custkey, p.p_partkey, CASE WHEN c.c_mktsegment IS NULL THEN 0 ELSE c.c_custkey % 5 + 1 END >= coalesce(p.p_size % 5 + 1, 5) AS suitable
-FROM (SELECT DISTINCT o_custkey, l_partkey FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey) x JOIN {customer} c ON c.c_custkey = x.o_custkey JOIN {part} p ON p.p_partkey = x.l_partkey""")
-sql("p5_subscription_gate", """
-SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'login' WHEN c_acctbal < 0 THEN 'suitability'
-  WHEN o_totalprice < 1000 THEN 'below_minimum' WHEN o_totalprice > 400000 THEN 'balance'
-  WHEN o_orderstatus = 'P' THEN 'code' ELSE 'ok' END AS gate
-FROM {orders} LEFT JOIN {customer} ON o_custkey = c_custkey""")
 sql("p6_orders_by_status", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM {orders} WHERE o_orderstatus = 'O' ORDER BY o_orderkey")
 sql("p10_cache_admissible", "SELECT event_id, event_type FROM {events} WHERE event_type NOT IN ('error', 'signup') AND value > 0 AND props NOT LIKE 'Error%'")
 sql("p11_low_confidence_queue", """
@@ -103,69 +93,14 @@ sql("a2_totals", "SELECT count(*) AS n, coalesce(sum(o_totalprice), 0) AS total
 sql("a3_status_counts", "SELECT o_orderstatus, count(*) AS n FROM {orders} GROUP BY o_orderstatus")
 sql("a4_handoff_rate", "SELECT round(count(*) FILTER (WHERE event_type = 'error') * 100.0D / greatest(count(*), 1), 1) AS rate FROM {events}",
     "SELECT round(count(*) FILTER (WHERE event_type = 'error') * 100.0 / greatest(count(*), 1), 1)::DOUBLE AS rate FROM events")
-_P = "CAST(least(count(*) - 1, floor(count(*) * {p})) AS INT)"
-_SLI_S = "sort_array(collect_list(value))[CAST(least(count(*) - 1, floor(count(*) * %s)) AS INT)]"
-_SLI_D = "list_sort(list(value))[1 + CAST(least(count(*) - 1, floor(count(*) * %s::DOUBLE)) AS INT)]"
-
-
-def _sli(p: str, trunc: str) -> str:
-    return f"""SELECT {trunc} AS hour, count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS ok,
-  round(avg(value), 6) AS mean, {p % '0.5D' if 'collect' in p else p % '0.5'} AS p50, {p % '0.9D' if 'collect' in p else p % '0.9'} AS p90, {p % '0.99D' if 'collect' in p else p % '0.99'} AS p99
-FROM {{events}} GROUP BY 1"""
-
-
-sql("a5_sli_by_hour", _sli(_SLI_S, "date_trunc('HOUR', ts)"), _sli(_SLI_D, "date_trunc('hour', ts)"))
-sql("a6_percentile_floor_index", f"SELECT event_type, {_SLI_S % '0.95D'} AS p95 FROM {{events}} GROUP BY event_type", f"SELECT event_type, {_SLI_D % '0.95'} AS p95 FROM events GROUP BY event_type")
 sql("a7_percentile_linear", "SELECT event_type, round(percentile(value, 0.5), 6) AS p50, round(percentile(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean, min(value) AS lo, max(value) AS hi FROM {events} GROUP BY event_type",
     "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type")
-_BAD = """
-SELECT d.doc_id, m.rating, concat_ws(',', CASE WHEN m.rating = 0 THEN 'downvoted' END, CASE WHEN d.n_chars < 200 THEN 'short' END,
-  CASE WHEN d.lang IS NULL THEN 'unknown_intent' END) AS reasons
-FROM {documents} d LEFT JOIN (SELECT doc_id, min(quality) AS rating FROM {labels} GROUP BY doc_id) m ON m.doc_id = d.doc_id
-WHERE m.rating = 0 OR d.n_chars < 200"""
-sql("a8_badcase_view", _BAD)
-sql("a9_reason_counts", "SELECT reason, count(*) AS n FROM (SELECT explode(split(reasons, ',')) AS reason FROM (" + _BAD + ") v) x GROUP BY reason",
-    "SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, ',')) AS reason FROM (" + _BAD + ") v) x GROUP BY reason")
 sql("a10_ticket_sla", """
 SELECT round(avg(CASE WHEN days >= 0 THEN days END), 6) AS mean_days, round(avg(CASE WHEN days >= 0 THEN CASE WHEN days <= 30 THEN 1.0D ELSE 0.0D END END), 6) AS within
 FROM (SELECT datediff(l_shipdate, o_orderdate) AS days FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey) x""", """
 SELECT round(avg(CASE WHEN days >= 0 THEN days END), 6) AS mean_days, round(avg(CASE WHEN days >= 0 THEN CASE WHEN days <= 30 THEN 1.0 ELSE 0.0 END END)::DOUBLE, 6) AS within
 FROM (SELECT date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x""")
 sql("a12_duplicate_groups", "SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS first_id FROM {documents} GROUP BY md5(text) HAVING count(*) > 1")
-sql("a13_recall_mrr", """
-WITH r AS (SELECT vec_id, CASE WHEN label = 9 THEN NULL ELSE label + 1 END AS rank FROM {embeddings})
-SELECT k, round(avg(CASE WHEN rank <= k THEN 1.0D ELSE 0.0D END), 6) AS recall, round(avg(coalesce(1.0D / rank, 0.0D)), 6) AS mrr
-FROM r CROSS JOIN (SELECT explode(sequence(1, 5)) AS k) ks GROUP BY k""", """
-WITH r AS (SELECT vec_id, CASE WHEN label = 9 THEN NULL ELSE label + 1 END AS rank FROM embeddings)
-SELECT k, round(avg(CASE WHEN rank <= k THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS recall, round(avg(coalesce(1.0::DOUBLE / rank, 0.0)), 6) AS mrr
-FROM r CROSS JOIN (SELECT unnest(range(1, 6))::INT AS k) ks GROUP BY k""")
-sql("a14_rewrite_delta", "SELECT count(*) FILTER (WHERE toxic < quality) AS improved, count(*) FILTER (WHERE toxic > quality) AS downgraded, count(*) AS n FROM {labels}")
-sql("a15_offline_metrics", """
-SELECT round(avg(CAST(quality AS DOUBLE)), 6) AS coverage, round(avg(CASE WHEN toxic = 1 THEN CAST(quality AS DOUBLE) END), 6) AS path_consistency,
-  round(sum(toxic) / nullif(CAST(count(*) FILTER (WHERE quality = 5) AS DOUBLE), 0), 6) AS trigger_ratio FROM {labels}""")
-sql("a16_online_metrics", "SELECT round(avg(CASE WHEN event_type IN ('view', 'click') THEN 1.0D ELSE 0.0D END), 6) AS accuracy, round(avg(CASE WHEN value > 10 THEN 1.0D ELSE 0.0D END), 6) AS compliance FROM {events}",
-    "SELECT round(avg(CASE WHEN event_type IN ('view', 'click') THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS accuracy, round(avg(CASE WHEN value > 10 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS compliance FROM events")
-sql("a17_session_eval", """
-SELECT count(DISTINCT conv_id) AS sessions, count(*) AS turns, round(avg(CASE WHEN role = 'user' THEN 1.0D ELSE 0.0D END), 6) AS user_share,
-  round(avg(CASE WHEN turn > 0 THEN CASE WHEN role = 'assistant' THEN 1.0D ELSE 0.0D END END), 6) AS followup FROM {conversations}""", """
-SELECT count(DISTINCT conv_id) AS sessions, count(*) AS turns, round(avg(CASE WHEN role = 'user' THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS user_share,
-  round(avg(CASE WHEN turn > 0 THEN CASE WHEN role = 'assistant' THEN 1.0 ELSE 0.0 END END)::DOUBLE, 6) AS followup FROM conversations""")
-sql("a18_per_intent_accuracy", "SELECT lang, count(*) AS n, round(avg(CAST(quality AS DOUBLE)), 6) AS accuracy FROM {documents} JOIN {labels} USING (doc_id) GROUP BY lang")
-sql("a19_judge_aggregate", """
-SELECT coalesce(event_type, 'all') AS category, count(*) AS n, round(avg(value), 6) AS mean, round(avg(CASE WHEN value >= 60 THEN 1.0D ELSE 0.0D END), 6) AS pass
-FROM {events} GROUP BY ROLLUP (event_type)""", """
-SELECT coalesce(event_type, 'all') AS category, count(*) AS n, round(avg(value), 6) AS mean, round(avg(CASE WHEN value >= 60 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS pass
-FROM events GROUP BY ROLLUP (event_type)""")
-_SWEEP = """SELECT t, count(*) FILTER (WHERE score >= t) AS fast, round(count(*) FILTER (WHERE score >= t) / CAST(count(*) AS DOUBLE), 6) AS coverage,
-  count(*) FILTER (WHERE score >= t AND quality = 0) AS wrong,
-  round(count(*) FILTER (WHERE score >= t AND quality = 0) / nullif(CAST(count(*) FILTER (WHERE score >= t) AS DOUBLE), 0), 6) AS wrong_rate
-FROM (SELECT quality, (doc_id %% 100) / CAST(100 AS DOUBLE) AS score FROM {labels}) x CROSS JOIN (%s) ts GROUP BY t"""
-sql("a20_threshold_sweep", _SWEEP % "SELECT explode(array(0.2D, 0.4D, 0.6D, 0.8D)) AS t", _SWEEP % "SELECT unnest([0.2, 0.4, 0.6, 0.8]::DOUBLE[]) AS t")
-sql("a21_hotspots", "SELECT user_id, count(*) AS n, count(*) < 60 AS gap FROM {events} GROUP BY user_id")
-sql("a22_kb_gap", """
-SELECT p.p_partkey, count(l.l_orderkey) AS n FROM {part} p LEFT JOIN {lineitem} l ON l.l_partkey = p.p_partkey AND l.l_returnflag = 'A' GROUP BY p.p_partkey HAVING count(l.l_orderkey) < 8""")
-sql("a23_endpoint_latency", f"SELECT event_type, count(*) AS n, {_SLI_S % '0.5D'} AS p50, {_SLI_S % '0.9D'} AS p90, {_SLI_S % '0.95D'} AS p95, {_SLI_S % '0.99D'} AS p99, max(value) AS hi FROM {{events}} GROUP BY event_type HAVING count(*) >= 5",
-    f"SELECT event_type, count(*) AS n, {_SLI_D % '0.5'} AS p50, {_SLI_D % '0.9'} AS p90, {_SLI_D % '0.95'} AS p95, {_SLI_D % '0.99'} AS p99, max(value) AS hi FROM events GROUP BY event_type HAVING count(*) >= 5")
 sql("a24_version_history", "SELECT source, max(doc_id) AS doc_id, max_by(n_chars, doc_id) AS n_chars FROM {documents} GROUP BY source")
 sql("a25_theme_vote", """
 SELECT conv_id, theme, votes FROM (SELECT conv_id, role AS theme, count(*) AS votes, row_number() OVER (PARTITION BY conv_id ORDER BY count(*) DESC, role) AS rn
