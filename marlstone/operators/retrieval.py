@@ -139,6 +139,28 @@ def mmr(candidates: DataFrame, k: int = 5, weight: float = 0.5) -> DataFrame:
     return candidates.groupBy("qid").applyInPandas(pick, "qid long, cid long, score double, rank int")
 
 
+def hybrid(dense_list: DataFrame, sparse_list: DataFrame, chunks: DataFrame, questions: DataFrame, entries: DataFrame, parents: DataFrame | None = None, k: int = 5, pool: int = 20, c: int = 60, inject: int = 3) -> DataFrame:
+    """qid, rank, cid, source, origin, sparse_empty: both lists fused to a pool, reranked to k, graph evidence behind.
+
+    chunks: cid, source, content; questions: qid, terms, relational; entries: qid, pos, source of graph paths; parents:
+    cid, parent. Relational questions get up to `inject` entries, by pos, whose source isn't among their k chunks; those
+    have no cid. Chunks give way to their parents, once each. sparse_empty tells a question without lexical hits from
+    one that has them; whether the index answers at all is for `canary`. A question that nothing answers has no row.
+    """
+    fused = rrf([dense_list, sparse_list], pool, c)
+    best = rerank(fused.join(chunks.select("cid", "content"), "cid").join(questions.select("qid", "terms"), "qid"), k)
+    sources = chunks.select("cid", "source")
+    seen = best.join(sources, "cid").select("qid", "source").distinct()
+    asked = entries.join(questions.filter("relational").select("qid"), "qid", "left_semi").join(seen, ["qid", "source"], "left_anti")
+    extra = asked.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("pos", "source"))).filter(F.col("n") <= inject)
+    local = best if parents is None else expand_parents(best, parents)
+    rows = local.join(sources, "cid", "left").select("qid", F.col("rank").alias("at"), "cid", "source", F.lit("text").alias("origin"))
+    rows = rows.unionByName(extra.select("qid", (F.col("n") + k).alias("at"), F.lit(None).cast(dict(chunks.dtypes)["cid"]).alias("cid"), "source", F.lit("graph").alias("origin")))
+    found = sparse_list.select("qid").distinct().withColumn("has", F.lit(True))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("at"))
+    return rows.withColumn("rank", place).join(found, "qid", "left").select("qid", "rank", "cid", "source", "origin", F.col("has").isNull().alias("sparse_empty"))
+
+
 def expand_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
     """hits (qid, cid, score, rank) with each child replaced by its parent, first place kept; parents: cid, parent."""
     up = hits.join(parents, "cid", "left").withColumn("pid", F.coalesce("parent", "cid"))

@@ -88,30 +88,32 @@ def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.mmr(_candidates(spark, sf_dir, 30), 10, 0.7)
 
 
-def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two ranked lists per question: BM25, and by length of the document (a stand-in with ids in common)."""
-    idx = _index(spark, sf_dir)
-    lex = r.bm25(idx, _queries(spark), 15)
-    other = r.ranked(r.bm25(idx, _queries(spark), 40).drop("rank").withColumn("score", (F.col("cid") * 7919 % 1009).cast("double")), 15)
-    return other, lex
+def _two(spark: SparkSession, sf_dir: str, k: int = 15) -> tuple[DataFrame, DataFrame]:
+    """Two ranked lists per question: the vectors nearest to the question's (that of id 20 times its own), and BM25."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.filter(F.col("vec_id").isin([20 * i for i in range(len(QUESTIONS))])).select((F.col("vec_id") / 20).cast("long").alias("qid"), F.col("embedding").alias("qv"))
+    near = r.dense(e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("v")), asked, k)
+    return near, r.bm25(_index(spark, sf_dir), _queries(spark), k)
 
 
-_LISTS = """,
-l AS (SELECT qid::BIGINT AS qid, cid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cid) AS rank FROM s QUALIFY rank <= 40),
-o AS (SELECT qid, cid, row_number() OVER (PARTITION BY qid ORDER BY cid * 7919 % 1009 DESC, cid) AS rank FROM l QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cid * 7919 % 1009 DESC, cid) <= 15),
-x AS (SELECT qid, cid, rank, 1 AS path FROM l WHERE rank <= 15 UNION ALL SELECT qid, cid, rank, 0 FROM o),
-f AS (SELECT qid, cid, sum(1.0::DOUBLE / (60 + rank)) AS score, min({'path': path, 'rank': rank}) AS seen FROM x GROUP BY qid, cid)"""
+def _lists(k: int) -> str:
+    return f""",
+l AS (SELECT qid::BIGINT AS qid, cid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cid) AS rank FROM s QUALIFY rank <= {k}),
+o AS (SELECT a.vec_id // 20 AS qid, b.vec_id AS cid, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b
+  WHERE a.vec_id % 20 = 0 AND a.vec_id < {20 * len(QUESTIONS)} QUALIFY rank <= {k}),
+x AS (SELECT qid, cid, rank, 1 AS path FROM l UNION ALL SELECT qid, cid, rank, 0 FROM o),
+f AS (SELECT qid, cid, sum(1.0::DOUBLE / (60 + rank)) AS score, min({{'path': path, 'rank': rank}}) AS seen FROM x GROUP BY qid, cid)"""
 
 
-@plan("r5_rrf", _BM + _LISTS + " SELECT qid, cid, round(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, seen, cid) <= 5")
+@plan("r5_rrf", _BM + _lists(15) + " SELECT qid, cid, round(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, seen, cid) <= 5")
 def rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reciprocal rank fusion of two lists."""
     return _top(r.rrf(list(_two(spark, sf_dir)), 5))
 
 
-@plan("r7_provenance", _BM + _LISTS + """ SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.cid, b.cid) AS cid, a.rank AS dense_rank, b.rank AS sparse_rank,
+@plan("r7_provenance", _BM + _lists(15) + """ SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.cid, b.cid) AS cid, a.rank AS dense_rank, b.rank AS sparse_rank,
 CASE WHEN a.rank IS NULL THEN 'sparse' WHEN b.rank IS NULL THEN 'dense' ELSE 'both' END AS found_by
-FROM o a FULL OUTER JOIN (SELECT * FROM l WHERE rank <= 15) b ON a.qid = b.qid AND a.cid = b.cid""")
+FROM o a FULL OUTER JOIN l b ON a.qid = b.qid AND a.cid = b.cid""")
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which list found what, at which rank."""
     return r.provenance(*_two(spark, sf_dir))
@@ -133,15 +135,27 @@ def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(_reranked(spark, sf_dir, 5))
 
 
-@plan("r6_hybrid")
+_XTOK = _TOK.replace("text", "y.text")
+
+
+@plan("r6_hybrid", _BM + _lists(60) + f""",
+pool AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, seen, cid) AS rank FROM f QUALIFY rank <= 20),
+n AS (SELECT pool.qid, cid, source, rank, count(*) OVER (PARTITION BY pool.qid) AS n, score AS old,
+  0.6 * len(list_filter({_XTOK}, lambda t: contains(lower(documents.text), t))) / len({_XTOK}) + 0.4 * least(score / max(score) OVER (PARTITION BY pool.qid), 1.0) AS new FROM pool JOIN ({_Q}) y ON y.qid = pool.qid JOIN documents ON doc_id = cid),
+b AS (SELECT qid, cid, source, row_number() OVER (PARTITION BY qid ORDER BY round(CASE WHEN n <= 5 THEN old ELSE new END, 12) DESC, rank) AS at_rank FROM n QUALIFY at_rank <= 5),
+e AS (SELECT n_nationkey % 5 AS qid, n_nationkey AS pos, 'src' || n_nationkey AS source FROM nation WHERE n_nationkey % 2 = 0),
+g AS (SELECT qid, source, 5 + row_number() OVER (PARTITION BY qid ORDER BY pos) AS place FROM e WHERE qid <> 3 AND NOT EXISTS (SELECT 1 FROM b WHERE b.qid = e.qid AND b.source = e.source)),
+u AS (SELECT qid, cid - cid % 3 AS cid, min(at_rank) AS place FROM b GROUP BY 1, 2),
+z AS (SELECT u.qid, place, u.cid, source, 'text' AS origin FROM u LEFT JOIN documents ON doc_id = u.cid UNION ALL SELECT qid, place, NULL, source, 'graph' FROM g WHERE place <= 8)
+SELECT qid::BIGINT AS qid, row_number() OVER (PARTITION BY qid ORDER BY place) AS rank, cid, source, origin, qid NOT IN (SELECT qid FROM l) AS sparse_empty FROM z""")
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two paths, fused, reranked, children replaced by parents."""
+    """Dense and lexical lists, fused, reranked, graph entries added, children replaced by parents."""
     docs = table(spark, sf_dir, "documents")
-    fused = r.rrf(list(_two(spark, sf_dir)), 15)
-    q = _queries(spark).select("qid", tx.tokens(F.col("text")).alias("terms"))
-    hits = r.rerank(fused.join(docs.select(F.col("doc_id").alias("cid"), F.col("text").alias("content")), "cid").join(q, "qid"), 8)
+    chunks = docs.select(F.col("doc_id").alias("cid"), "source", F.col("text").alias("content"))
     parents = docs.select(F.col("doc_id").alias("cid"), (F.col("doc_id") - F.col("doc_id") % 3).alias("parent"))
-    return _top(r.expand_parents(hits, parents))
+    entries = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select((F.col("n_nationkey") % 5).cast("long").alias("qid"), F.col("n_nationkey").alias("pos"), F.concat(F.lit("src"), F.col("n_nationkey")).alias("source"))
+    q = _queries(spark).select("qid", tx.tokens(F.col("text")).alias("terms"), (F.col("qid") != 3).alias("relational"))
+    return r.hybrid(*_two(spark, sf_dir, 60), chunks, q, entries, parents)
 
 
 @plan("r11_cache_tiers")

@@ -212,3 +212,15 @@ def test_canary_is_loud(spark):
         r.canary(r.index(d), "silver")
     with pytest.raises(RuntimeError, match="no chunk"):
         r.canary(r.index(d.limit(0)), "gold")
+
+
+def test_hybrid_flags_graph_entries_and_parents(spark):
+    ranked = "qid long, cid long, score double, rank int"
+    dense = spark.createDataFrame([(0, 1, 0.9, 1), (0, 2, 0.8, 2), (1, 3, 0.5, 1)], ranked)
+    sparse = spark.createDataFrame([(0, 2, 5.0, 1)], ranked)
+    chunks = spark.createDataFrame([(1, "a", "gold"), (2, "b", "fund"), (3, "c", None), (9, "b", "whole")], "cid long, source string, content string")
+    asked = spark.createDataFrame([(0, ["gold"], True), (1, ["x"], False), (2, ["y"], None)], "qid long, terms array<string>, relational boolean")
+    entries = spark.createDataFrame([(0, i, s) for i, s in enumerate("gagxyz")] + [(1, 0, "g")], "qid long, pos int, source string")
+    parents = spark.createDataFrame([(2, 9), (1, 9)], "cid long, parent long")
+    got = [tuple(x) for x in r.hybrid(dense, sparse, chunks, asked, entries, parents).orderBy("qid", "rank").collect()]
+    assert got == [(0, 1, 9, "b", "text", False), (0, 2, None, "g", "graph", False), (0, 3, None, "g", "graph", False), (0, 4, None, "x", "graph", False), (1, 1, 3, "c", "text", True)]
