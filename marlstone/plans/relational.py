@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from marlstone.plans.registry import sql
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.operators import lifecycle as lc
+from marlstone.plans.registry import plan, sql
+from marlstone.session import table
+from marlstone.sources import files
 
 # --- sources and sinks over tables -------------------------------------------------------------------------------
-sql("s6_product_chunks", """
-SELECT p_partkey, 0 AS section_no, concat('[', p_name, '] ', p_type, ' ', p_brand) AS content FROM {part}
-UNION ALL SELECT p_partkey, 1, concat('[', p_name, '] size ', CAST(p_size AS STRING)) FROM {part}
-UNION ALL SELECT p_partkey, 2, concat('[', p_name, '] risk R', CAST(p_size % 5 + 1 AS STRING)) FROM {part}""")
+
+
+@plan("s6_product_chunks", """
+SELECT p_partkey || '_0' AS chunk_id, 'overview' AS section, concat('[', p_name, '] ', p_type, ' R', p_size % 5 + 1) AS content FROM part
+UNION ALL SELECT p_partkey || '_1', 'brand', concat('[', p_name, '] ', p_brand) FROM part
+UNION ALL SELECT p_partkey || '_2', 'size', concat('[', p_name, '] size ', p_size) FROM part""")
+def product_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as products: a head, and a chunk each of brand and size."""
+    part = lambda title, body: F.struct(F.lit(title).alias("title"), body.alias("body"))
+    sections = F.array(part("brand", F.col("p_brand")), part("size", F.concat(F.lit("size "), F.col("p_size"))))
+    risk = F.concat(F.lit("R"), (F.col("p_size") % 5 + 1).cast("string"))
+    return files.render_products(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), risk.alias("risk"), sections.alias("sections")))
+
+
 sql("s7_product_triples", """
 SELECT p_name AS head, 'is_type' AS relation, p_type AS tail FROM {part}
 UNION SELECT p_name, 'has_brand', p_brand FROM {part}
@@ -17,14 +33,26 @@ UNION SELECT s_name, 'is_a', 'supplier' FROM {supplier}""")
 sql("s8_schema_evolution", """
 SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, CAST(NULL AS INT) AS nation FROM {customer}
 UNION ALL SELECT s_suppkey, s_name, CAST(NULL AS STRING), s_nationkey FROM {supplier}""")
-_UPSERT = """
-WITH incoming AS (SELECT vec_id, label + 100 AS label FROM {embeddings} WHERE vec_id % 7 = 0
-  UNION ALL SELECT vec_id + 1000000, label FROM {embeddings} WHERE vec_id % 50 = 0)
-SELECT e.vec_id, e.label FROM {embeddings} e WHERE NOT EXISTS (SELECT 1 FROM incoming i WHERE i.vec_id = e.vec_id)
-UNION ALL SELECT vec_id, label FROM incoming"""
-sql("s10_vector_upsert", _UPSERT)
-sql("s11_delete_by_document", "SELECT d.doc_id, d.source FROM {documents} d LEFT ANTI JOIN (SELECT doc_id FROM {labels} WHERE toxic = 1) x ON d.doc_id = x.doc_id",
-    "SELECT d.doc_id, d.source FROM documents d ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) x ON d.doc_id = x.doc_id")
+
+
+@plan("s10_vector_upsert", """
+WITH incoming AS (SELECT vec_id, label + 100 AS label FROM embeddings WHERE vec_id % 7 = 0
+  UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE vec_id % 50 = 0)
+SELECT e.vec_id, e.label FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM incoming i WHERE i.vec_id = e.vec_id)
+UNION ALL SELECT vec_id, label FROM incoming""")
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with every seventh replaced and others added."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    new = e.filter("vec_id % 7 = 0").withColumn("label", F.col("label") + 100).unionByName(e.filter("vec_id % 50 = 0").withColumn("vec_id", F.col("vec_id") + 1000000))
+    return lc.upsert(e, new, "vec_id")
+
+
+@plan("s11_delete_by_document", "SELECT d.doc_id, d.source FROM documents d ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) x ON d.doc_id = x.doc_id")
+def delete_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the toxic ones."""
+    return lc.delete(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"), "doc_id")
+
+
 sql("s13_true_count", "SELECT count(*) AS total, count(*) FILTER (WHERE label = 3) AS soft_deleted, count(*) FILTER (WHERE label <> 3) AS live FROM {embeddings}")
 sql("s17_upload_checks", """
 SELECT doc_id, sha2(text, 256) AS content_hash, length(text) > 4000 AS too_large,
@@ -64,14 +92,33 @@ SELECT o_orderkey, o_custkey, l_linenumber FROM (
   SELECT o_orderkey, o_custkey, l_linenumber, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) AS rn
   FROM {lineitem} LEFT JOIN {orders} ON l_orderkey = o_orderkey) x WHERE rn = 1 AND o_orderkey IS NOT NULL""")
 sql("j7_anti_known", "SELECT n_name FROM {nation} n WHERE NOT EXISTS (SELECT 1 FROM {supplier} s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 9000)")
-sql("j8_keep_uploads", """
-SELECT doc_id, 'rebuilt' AS origin FROM {documents} WHERE source <> 'src1'
-UNION ALL SELECT d.doc_id, 'upload' FROM {documents} d WHERE d.source = 'src1' AND NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)""")
-sql("j9_full_outer_diff", """
-WITH a AS (SELECT doc_id, md5(text) AS h FROM {documents} WHERE doc_id % 5 <> 0),
-     b AS (SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN concat(text, '!') ELSE text END) AS h FROM {documents} WHERE doc_id % 3 <> 0 OR doc_id % 5 = 0)
+
+
+@plan("j8_keep_uploads", """
+SELECT doc_id, 'rebuilt' AS origin FROM documents WHERE source <> 'src1' OR quality_seen
+UNION ALL SELECT doc_id, 'upload' FROM documents WHERE source = 'src1' AND NOT quality_seen""".replace("FROM documents", "FROM (SELECT d.doc_id, source, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AS quality_seen FROM documents d) t"))
+def keep_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rebuild of all documents but those of one source without a label, which are kept as its uploads."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    seen = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    built = d.filter("source <> 'src1'").unionByName(d.filter("source = 'src1'").join(seen, "doc_id", "left_semi")).select("doc_id", F.lit("rebuilt").alias("origin"), F.lit(False).alias("is_upload"))
+    store = d.select("doc_id", F.lit("upload").alias("origin"), (F.col("source") == "src1").alias("is_upload"))
+    return lc.rebuild(built, store, "doc_id").select("doc_id", "origin")
+
+
+@plan("j9_full_outer_diff", """
+WITH a AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 5 <> 0),
+     b AS (SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN concat(text, '!') ELSE text END) AS h FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 5 = 0)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed'
   WHEN a.h <> b.h THEN 'modified' ELSE 'same' END AS change FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id""")
+def full_outer_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed between two states of the documents; every document is in one or both."""
+    d = table(spark, sf_dir, "documents")
+    old = d.filter("doc_id % 5 <> 0").select("doc_id", F.md5("text").alias("h"))
+    new = d.filter("doc_id % 3 <> 0 OR doc_id % 5 = 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("h"))
+    return lc.diff(old, new, "doc_id", "h")
+
+
 sql("j12_report_compare", """
 WITH base AS (SELECT o_custkey AS id, avg(o_totalprice) AS m FROM {orders} WHERE o_orderkey % 2 = 0 GROUP BY o_custkey),
      new AS (SELECT o_custkey AS id, avg(o_totalprice) AS m FROM {orders} WHERE o_orderkey % 2 = 1 GROUP BY o_custkey)
