@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.rules import FIXTURE as LEX
 from marlstone.functions.rules import fallback_intent, slots
 from marlstone.functions.text import any_of
-from marlstone.plans.registry import plan, sql
+from marlstone.plans.registry import plan
 from marlstone.session import table
 from marlstone.streaming import service as st
 
@@ -42,8 +42,18 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.sessions(table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("stop", F.col("stop").cast("timestamp_ntz"))
 
 
-sql("m5_ttl", "SELECT event_id FROM {events} WHERE ts > TIMESTAMP '2024-01-15 00:00:00' AND ts <= TIMESTAMP '2024-01-15 01:00:00'")
-sql("m6_version_invalidation", "SELECT doc_id FROM {documents} WHERE doc_id % 3 = (SELECT max(doc_id % 3) FROM {documents})")
+@plan("m5_ttl", "SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-15 00:00:00' AND TIMESTAMP '2024-01-15 01:00:00'")
+def ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that are an hour old at most."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").cast("double").alias("created"))
+    return st.live_entries(e, F.lit("2024-01-15 01:00:00").cast("timestamp").cast("double")).select("event_id")
+
+
+@plan("m6_version_invalidation", "SELECT doc_id FROM documents WHERE doc_id % 3 = 2")
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the current version; the other two thirds are stale."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3).cast("string").alias("version"), F.lit(0).alias("created"))
+    return st.live_entries(d, F.lit(0), version="2").select("doc_id")
 
 
 @plan("m8_stream_split", "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) FILTER (WHERE event_type <> 'view') AS n, round(avg(value) FILTER (WHERE event_type <> 'view'), 6) AS mean, round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS first_mean FROM events GROUP BY 1")
