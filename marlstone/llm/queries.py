@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import ann, bpe, chat, licenses, mixing, ngram_join, pii, quality_classifier, quality_rules, secrets
+from marlstone.llm import ann, bpe, chat, decontaminate, licenses, mixing, ngram_join, pii, quality_classifier, quality_rules, secrets
 from marlstone.llm.common import joined_spans
 from marlstone.session import table
 
@@ -154,3 +154,36 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by co-trained views of text and metadata."""
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside windows of benchmark items, and the items that occur, exactly and in proximity."""
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+    )
+
+
+ORACLES["op11_decontamination"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+b AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM benchmark),
+p AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
+q AS (SELECT item, item_id, len(ws) AS m, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM b),
+a AS (SELECT r, item, item_id, m, i, p - i AS off FROM p JOIN q USING (w)),
+s AS (SELECT DISTINCT r, item, item_id, m, i, off - t.k AS start, t.k = 0 AS exact FROM a, (VALUES (0), (1), (2), (3)) t(k)),
+u AS (SELECT r, item, item_id, m, i, start, true AS exact FROM s WHERE exact UNION ALL SELECT DISTINCT r, item, item_id, m, i, start, false FROM s),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY r, item, start, exact ORDER BY i) AS run FROM u),
+o AS (SELECT r, item, item_id, start, exact, min(i) AS lo, max(i) AS hi FROM g GROUP BY r, item, item_id, m, start, exact, run HAVING count(*) >= least(m, 10)),
+h AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(start + lo, start + hi + 1)) AS x FROM o WHERE exact) GROUP BY r),
+n AS (SELECT r, count(DISTINCT item_id) FILTER (exact) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) FILTER (exact) AS ids, count(DISTINCT item_id) AS n_near FROM o GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)
+"""
