@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import ann, bpe, chat, decontaminate, fill_middle, licenses, mixing, ngram_join, pii, quality_classifier, quality_rules, secrets
-from marlstone.llm.common import joined_spans
+from marlstone.llm import ann, bpe, chat, decontaminate, fill_middle, licenses, mixing, ngram_join, pii, quality_classifier, quality_rules, secrets, vector_codes
+from marlstone.llm.common import joined_spans, keep
 from marlstone.session import table
 
 QUERIES = {}
@@ -209,3 +211,35 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS pre
   sha256(t) AS restored_sha256
 FROM c
 """
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by 16 codebooks of 64 entries after two rounds, with errors and a digest of the codebooks."""
+    coded, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    told = ",".join(str(x) for b in books for x in b.ravel())
+    out = vector_codes.label_errors(keep(coded, "codes"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(hashlib.sha256(told.encode()).hexdigest()).alias("codebooks_sha256"))
+
+
+def _books_sql() -> str:
+    """Two rounds of assignment and floored means after the first codebooks b0, then the last assignment a2."""
+    near = """
+a{n} AS MATERIALIZED (SELECT r, part, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM (
+  SELECT r, part, entry, sum((x - c) * (x - c)) AS d FROM p JOIN b{n} USING (part, i) GROUP BY r, part, entry) GROUP BY r, part)"""
+    means = """
+b{m} AS MATERIALIZED (SELECT part, entry, i, coalesce((s - ((s % n) + n) % n) // n, c)::BIGINT AS c FROM b{n} LEFT JOIN (
+  SELECT part, entry, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{n} JOIN p USING (r, part) GROUP BY part, entry, i) USING (part, entry, i))"""
+    return ",".join(x.format(n=n, m=n + 1) for n in range(3) for x in (near, means)[: 1 if n == 2 else 2])
+
+
+ORACLES["op13_vector_codes"] = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, embedding AS e, len(embedding) // 16 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, (k - 1) // w AS part, (k - 1) % w AS i, floor(256 * e[k]::DOUBLE)::BIGINT AS x FROM (SELECT r, w, e, unnest(generate_series(1, len(e))) AS k FROM v)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, i, x AS c FROM p WHERE r <= 64),{_books_sql()},
+o AS (SELECT r, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r),
+l AS (SELECT label, sum(error)::BIGINT AS label_error FROM o JOIN v USING (r) GROUP BY label)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, i)) FROM b2) AS codebooks_sha256
+FROM o JOIN v USING (r) JOIN l ON v.label IS NOT DISTINCT FROM l.label
+"""
