@@ -43,8 +43,7 @@ _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _PLACES = _rng.integers(1, 1 << 63, (64, 2), dtype=np.uint64) * _U(2) + _U(1)
 _SPACE = re.compile(rb"[ \t-\r]")
-ENTRY = np.dtype([("t", "<u4"), ("g", "<u8"), ("n", "<u4")])
-HOT = np.dtype([("t", "<u8"), ("g", "<u8"), ("n", "<u4")])
+ENTRY = np.dtype([("t", "<u8"), ("g", "<u8"), ("n", "<u4")])
 SET = np.dtype([("o", "V16"), ("g", "<u8"), ("n", "<u4"), ("end", "<u8")])
 
 
@@ -248,7 +247,11 @@ def _slice_of(h: np.ndarray, slices: int) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The first shingles of a sorted set, so many that a similar set must share one, and the place of the last in the order."""
+    """The first shingles of a sorted set, so many that a similar set must share one, and the place of the last in the order.
+
+    The place leaves out the last bits of the hash, which the order (of a sorted set, by a stable sort) doesn't: of two
+    prefixes with equal places either may end first, and the filter then takes the larger of both bounds.
+    """
     key = (levels[s & _U(len(levels) - 1)].astype(np.uint64) << _U(48)) | (s >> _U(16))
     first = np.argsort(key, kind="stable")[: len(s) - -(-percent * len(s) // 100) + 1]
     return s[first], int(key[first[-1]])
@@ -275,8 +278,8 @@ def _prefixes(j: Join, slices: int, levels, hot_level: int):
             out: dict[int, list[bytes]] = {}
             for at in _runs(to):
                 k = int(to[at[0]])
-                e = np.empty(len(at), HOT if k < 0 else ENTRY)
-                e["t"], e["g"], e["n"] = flat[at] if k < 0 else flat[at] & _U(0xFFFFFFFF), g[at], n[at]
+                e = np.empty(len(at), ENTRY)
+                e["t"], e["g"], e["n"] = flat[at], g[at], n[at]
                 out[k] = [e.tobytes(), b""]
             to = _slice_of(sets["g"], slices)
             for at in _runs(to):
@@ -321,7 +324,7 @@ def _places(percent: int):
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         hot = f["slice"].iloc[0] < 0
-        e = np.frombuffer(b"".join(f["entries"]), HOT if hot else ENTRY)
+        e = np.frombuffer(b"".join(f["entries"]), ENTRY)
         s = np.frombuffer(b"".join(f["sets"]), SET)
         if len(s):  # a set found in several batches
             s = s[np.unique(np.frombuffer(s["o"].tobytes(), "<u8").reshape(-1, 2), axis=0, return_index=True)[1]]
@@ -331,7 +334,7 @@ def _places(percent: int):
         else:
             order = np.lexsort((g, n, t))
             t, g, n = t[order], g[order], n[order].astype(np.int64)
-            new = np.ones(len(t), bool)  # a group found in several batches
+            new = np.ones(len(t), bool)  # a group found in several batches: equal in the whole shingle, as counts must not fall short
             new[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
             t, g, n = t[new], g[new], n[new]
             head = np.ones(len(t), bool)

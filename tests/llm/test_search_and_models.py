@@ -259,3 +259,14 @@ def test_classifier_takes_the_surest_of_all_unlabelled_documents(spark, monkeypa
     bad = {i for i, label in seen[0][1].items() if label == 0}
     assert len(rare) == 10 and len(bad) == 6 and bad <= rare
     assert all(len(labels) <= 2 * 6 and min(labels, default=400) >= 400 for told in seen for labels in told)
+
+
+def test_jaccard_places_count_shingles_with_equal_low_halves():
+    """Two groups share two shingles that differ in their high halves only: both count."""
+    import pandas as pd
+
+    entries = np.array([(t, g, 10) for g in (7, 8) for t in ((1 << 40) + 5, (2 << 40) + 5)], ngram_join.ENTRY)
+    told = ngram_join._places(80)(pd.DataFrame({"slice": [3, 3], "entries": [entries[:2].tobytes(), entries[2:].tobytes()], "sets": [b"", b""]}))
+    assert told[told["kind"] == 1].groupby("g")["n"].sum().to_dict() == {7: 2, 8: 2}
+    again = ngram_join._places(80)(pd.DataFrame({"slice": [3, 3], "entries": [entries.tobytes()] * 2, "sets": [b"", b""]}))
+    assert again[again["kind"] == 1].groupby("g")["n"].sum().to_dict() == {7: 2, 8: 2}
