@@ -5,7 +5,7 @@ Every lexicon is a parameter; REFERENCE holds the Chinese one, FIXTURE one that
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import any_of, let
 
 
+@dataclass(frozen=True)
+class Route:
+    """An intent and what calls for it: one of words, one of patterns ('.' is any character but a line feed), or one
+    of each list of both."""
+
+    intent: str
+    words: tuple[str, ...] = ()
+    patterns: tuple[str, ...] = ()
+    both: tuple[tuple[str, ...], ...] = ()
+
+
 @dataclass(frozen=True)
 class Lexicon:
     complaint: tuple[str, ...] = ()
@@ -28,7 +39,7 @@ class Lexicon:
     references: tuple[str, ...] = ()
     aliases: tuple[tuple[str, str], ...] = ()
     strong: tuple[tuple[str, tuple[str, ...]], ...] = ()
-    fallback: tuple[tuple[str, str], ...] = field(default_factory=tuple)
+    fallback: tuple[Route, ...] = ()
     new_topic: str = "(什么是|怎么|为什么|如何|哪些|哪里|有没有|是否)"
     greeting: tuple[str, ...] = ()
 
@@ -50,18 +61,20 @@ REFERENCE = Lexicon(
     strong=(("fraud_report", ("假理财", "飞单", "被骗", "诈骗", "内部高收益", "稳赚不赔", "内部渠道", "安全账户", "点击链接核实", "核实真伪", "高收益理财宣传", "内部理财渠道", "保本高收益")),
             ("complaint", ("投诉", "不满", "不满意", "太差了")),
             ("deposit_insurance", ("存款保险", "偿付限额", "受存款保险", "存款保险赔", "存款保险保障", "是存款吗", "算存款吗", "受保障吗", "受存款保障"))),
-    fallback=(("fraud_report", "假理财|飞单|被骗|诈骗|举报|内部渠道|内部高收益|稳赚不赔|高收益.{0,6}(可靠|真|假|吗|靠谱)|(内部|私下|非正规|陌生).{0,6}(渠道|产品|理财|靠谱)"),
-              ("product_compare", "对比|区别|哪个好|哪个合适|哪个适合|哪个收益|哪款好|推荐|和.{0,8}(哪个|哪款|比)"),
-              ("complaint", "投诉|不满"),
-              ("service_policy", "转人工|人工坐席|人工客服|客服会|客服不会|客服能|服务范围|客服边界|隐私|个人信息|信息泄露|工单"),
-              ("deposit_insurance", "存款保险|是存款吗|是不是存款|保不保|受保护|偿付|保障范围|50万.*(赔|保|偿付)|(赔|保|偿付).*50万"),
-              ("risk_suitability", "风险等级|测评|风险承受|适当性|(?U)\\b[rR][1-5]\\b|(能买|可以买|适合买).*(风险|等级|稳健|保守)|(风险|等级|稳健|保守).*(能买|可以买|适合买)"),
-              ("fee_rule", "费率|手续费|管理费|赎回费|申购费|费用.*(收|怎么算|谁出|多少)|(收|怎么算|谁出|多少).*费用"),
-              ("hold_redeem", "赎回|到期|净值|撤单|持仓|提前支取"),
-              ("buy_process", "怎么买|购买|申购|流程|门槛|起购|冷静期|双录"),
-              ("income_question", "收益|年化|利息|保本|亏损|赚|利率|计息|业绩比较基准"),
-              ("product_consult", "平衡增利|私银|大额存单|结构性存款|纯债|混合基金|增额|终身寿|年金|基金|理财|存款"),
-              ("chitchat", "你是谁|你是啥|介绍一下你|在吗|你好|您好|谢谢|hello|hi")),
+    fallback=(
+        Route("fraud_report", ("假理财", "飞单", "被骗", "诈骗", "举报", "内部渠道", "内部高收益", "稳赚不赔"), ("高收益.{0,6}(可靠|真|假|吗|靠谱)", "(内部|私下|非正规|陌生).{0,6}(渠道|产品|理财|靠谱)")),
+        Route("product_compare", ("对比", "区别", "哪个好", "哪个合适", "哪个适合", "哪个收益", "哪款好", "推荐"), ("和.{0,8}(哪个|哪款|比)",)),
+        Route("complaint", ("投诉", "不满", "不满意")),
+        Route("service_policy", ("转人工", "人工坐席", "人工客服", "客服会", "客服不会", "客服能", "服务范围", "客服边界", "隐私", "个人信息", "信息泄露", "工单")),
+        Route("deposit_insurance", ("存款保险", "是存款吗", "是不是存款", "保不保", "受保护", "偿付", "保障范围"), (), (("50万",), ("赔", "保", "保障", "偿付"))),
+        Route("risk_suitability", ("风险等级", "测评", "风险承受", "适当性"), ("(?U)\\br[1-5]\\b",), (("能买", "可以买", "适合买"), ("R", "风险", "测评", "等级", "稳健", "保守"))),
+        Route("fee_rule", ("费率", "手续费", "管理费", "赎回费", "申购费"), (), (("费用",), ("收", "怎么算", "谁出", "多少", "收取"))),
+        Route("hold_redeem", ("赎回", "到期", "净值", "撤单", "持仓", "提前支取")),
+        Route("buy_process", ("怎么买", "购买", "申购", "流程", "门槛", "起购", "冷静期", "双录")),
+        Route("income_question", ("收益", "年化", "利息", "保本", "亏损", "赚", "利率", "计息", "业绩比较基准")),
+        Route("product_consult", ("日日盈", "现金管理", "稳盈", "添利", "安心固收", "固收", "平衡增利", "私银", "大额存单", "结构性存款", "纯债", "混合基金", "增额", "终身寿", "年金", "基金", "理财", "存款")),
+        Route("chitchat", ("你是谁", "你是啥", "介绍一下你", "在吗", "你好呀", "你好", "您好", "谢谢", "hello", "hi")),
+    ),
     greeting=("你好", "您好", "谢谢", "在吗", "hello", "hi"),
 )
 FIXTURE = Lexicon(
@@ -70,7 +83,12 @@ FIXTURE = Lexicon(
     products=("ouble", "keiten", "ement"), types=(("thing", "deposit"), ("ung", "fund"), ("tion", "bond")), references=("this", "that", "it"),
     aliases=(("oner", "onerous"), ("ther", "thermal")),
     strong=(("fraud_report", ("whthe", "pfpf")), ("complaint", ("stupid", "edbl"))),
-    fallback=(("product_compare", "erer|ungun"), ("fee_rule", "ble.{0,6}the"), ("income_question", "inre|stst"), ("chitchat", "hele|hein")),
+    fallback=(
+        Route("product_compare", ("erer", "ungun")),
+        Route("fee_rule", (), ("ble.{0,6}the",)),
+        Route("income_question", ("inre", "stst"), (), (("ouble",), ("ement", "ungen"))),
+        Route("chitchat", ("hele", "hein")),
+    ),
     new_topic="(what|which|was)", greeting=("the", "der"),
 )
 
@@ -113,11 +131,23 @@ def strong_signal(text: Column, lex: Lexicon) -> Column:
 
 
 def fallback_intent(text: Column, lex: Lexicon) -> Column:
-    """struct<intent, confidence>: the first pattern that fires (.55), else unknown (.30)."""
-    q = F.lower(text)
+    """struct<intent, confidence>: the first route that fires on the text in lower case (.55), else unknown (.30)."""
+    q = F.lower(F.coalesce(text, F.lit("")))
+
+    def fires(r: Route) -> Column:
+        hit = any_of(q, r.words)
+        for p in r.patterns:
+            hit = hit | F.rlike(q, F.lit("(?d)" + p))
+        if r.both:
+            every = F.lit(True)
+            for words in r.both:
+                every = every & any_of(q, words)
+            hit = hit | every
+        return hit
+
     out = F.struct(F.lit("unknown").alias("intent"), F.lit(0.30).alias("confidence"))
-    for intent, pattern in reversed(lex.fallback):
-        out = F.when(F.rlike(q, F.lit(pattern)), F.struct(F.lit(intent).alias("intent"), F.lit(0.55).alias("confidence"))).otherwise(out)
+    for r in reversed(lex.fallback):
+        out = F.when(fires(r), F.struct(F.lit(r.intent).alias("intent"), F.lit(0.55).alias("confidence"))).otherwise(out)
     return out
 
 
@@ -219,26 +249,26 @@ def multi_question(text: Column, connectors: str = "另外|还有|以及|同时|
     return (marks >= 2) | F.rlike(text, F.lit(connectors))
 
 
-def ungrounded_numbers(answer: Column, context: Column, pattern: str = r"\d+(?:\.\d+)?\s*(?:%|万元|元|天|个月|年)") -> Column:
-    """Numbers with units in answer that context doesn't hold."""
-    bare = F.regexp_replace(context, "\\s", "")
-    return F.filter(F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(pattern), F.lit(0)), lambda n: F.regexp_replace(n, "\\s", ""))), lambda n: ~F.contains(bare, n))
+# Words of a direction, in the order they are looked for.
+TREND = (("增长", "up"), ("上升", "up"), ("下降", "down"), ("下滑", "down"), ("持平", "stable"), ("波动", "volatile"))
 
 
-def unsupported(answer_terms: Column, context: Column) -> Column:
-    """Share of an answer's terms that the context doesn't hold."""
-    return F.size(F.filter(answer_terms, lambda t: ~F.contains(context, t))) / F.greatest(F.size(answer_terms), F.lit(1))
+def trend(text: Column, words: tuple[tuple[str, str], ...] = TREND) -> Column:
+    """Direction of the first word of the list that the first 200 characters hold; unknown without one."""
+    head = F.substring(F.coalesce(text, F.lit("")), 1, 200)
+    return F.coalesce(*[F.when(F.contains(head, F.lit(w)), F.lit(d)) for w, d in words], F.lit("unknown"))
 
 
-def trend(text: Column, up: tuple[str, ...], down: tuple[str, ...]) -> Column:
-    """Direction named in the first 200 characters: up before down before flat."""
-    head = F.substring(text, 1, 200)
-    return F.when(any_of(head, up), "up").when(any_of(head, down), "down").otherwise("flat")
+# Names of secrets in log lines, what their values end at, and what stands for them.
+SECRETS = (("api_key", "\"'\\s"), ("password", "\"'\\s"), ("token", "\"'\\s,}"))
+REDACTED = "***REDACTED***"
 
 
-def redact(line: Column) -> Column:
-    """Log line with secrets starred."""
-    return F.regexp_replace(line, r"(?i)((?:api[_-]?key|token|password|secret)\s*[=:]\s*)\S+", "$1***")
+def redact(line: Column, secrets: tuple[tuple[str, str], ...] = SECRETS) -> Column:
+    """Log line with the values of secrets redacted, in plain lines and quoted as JSON: name, colon or equals sign, value."""
+    for name, ends in secrets:
+        line = F.regexp_replace(line, f"(?i)({name}[\"']?\\s*[:=]\\s*[\"']?)[^{ends}]+", f"$1{REDACTED}")
+    return line
 
 
 def shipping_fee(total: Column, free_from: float = 99.0, fee: float = 8.0) -> Column:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions import checks as ck
 from marlstone.functions import rules as ru
+from marlstone.functions import terms as te
 from marlstone.functions import text as tx
 from marlstone.functions.rules import FIXTURE as LEX
+from marlstone.operators import graph as g
 from marlstone.plans.registry import plan, sql
 from marlstone.session import table
 
@@ -74,7 +77,14 @@ def strong(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("conv_id", "turn", ru.strong_signal(F.col("text"), LEX).alias("intent"))
 
 
-_FALL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{i}'" for i, p in LEX.fallback) + " ELSE 'unknown' END"
+def _route(r) -> str:
+    parts = [f"regexp_matches(lower(text), '{p}')" for p in r.patterns]
+    parts += [_any("lower(text)", r.words)] if r.words else []
+    parts += ["(" + " AND ".join(_any("lower(text)", ws) for ws in r.both) + ")"] if r.both else []
+    return " OR ".join(parts)
+
+
+_FALL = "CASE " + " ".join(f"WHEN {_route(r)} THEN '{r.intent}'" for r in LEX.fallback) + " ELSE 'unknown' END"
 
 
 @plan("f20_fallback_router", f"SELECT conv_id, turn, {_FALL} AS intent, CASE WHEN {_FALL} = 'unknown' THEN 0.30 ELSE 0.55 END::DOUBLE AS confidence FROM conversations")
@@ -228,29 +238,90 @@ def multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("conv_id", "turn", ru.multi_question(F.col("text"), "edes").alias("many"))
 
 
-@plan("f23_query_terms")
-def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.filter(tx.tokens(F.col("text")), lambda t: (F.length(t) >= 4) & ~t.isin("that", "this", "with")), " ").alias("terms"))
+#: A vocabulary that fires on the synthetic texts: Latin pieces between frequent words.
+VOCABULARY = te.Vocabulary(names=("ouble", "oubles", "thing", "the thing"), core=("tion", "edble", "ungen"), stop=("the", "that", "and", "in", "es", "a"), risk="R[1-5]|low|high", span=r"[0-9]+(?:\.[0-9]+)?\s*(?:%|eur)?", latin="[A-Z][A-Za-z0-9]{2,}", script="[a-z]")
+_IN = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-@plan("f24_number_grounding")
+@plan("f23_query_terms", f"""WITH t AS (SELECT item_id, coalesce(text, '') AS t FROM benchmark),
+x AS (SELECT item_id, t, list_filter({_IN(VOCABULARY.names)}, lambda n: contains(t, n)) AS held FROM t)
+SELECT item_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(held, lambda n: len(list_filter(held, lambda o: o <> n AND contains(o, n))) = 0), regexp_extract_all(t, '{VOCABULARY.risk}'),
+  list_filter(list_transform(regexp_extract_all(t, '{VOCABULARY.span}'), lambda s: trim(s)), lambda s: s <> '')))), '|') AS strong,
+ array_to_string(list_sort(list_distinct(list_concat(list_filter({_IN(VOCABULARY.core)}, lambda c: contains(t, c)), list_transform(regexp_extract_all(t, '{VOCABULARY.latin}'), lambda s: lower(s)),
+  list_filter(list_transform(string_split_regex(t, '{VOCABULARY.cuts()}'), lambda p: trim(regexp_replace(p, '^\\s+|\\s+$', '', 'g'), '{VOCABULARY.trimmed}')), lambda p: length(p) BETWEEN 2 AND 8 AND regexp_matches(p, '[a-z]'))))), '|') AS terms FROM x""")
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strong signals and terms of benchmark items."""
+    return table(spark, sf_dir, "benchmark").select("item_id", te.asked(F.col("text"), VOCABULARY).alias("x")).select("item_id", F.array_join("x.strong", "|").alias("strong"), F.array_join("x.terms", "|").alias("terms"))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer for each order, and what was retrieved for it: its lines."""
+    o, i = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    held = i.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("数量 "), F.col("l_quantity").cast("long").cast("string"), F.lit(" 件"))), ), " ").alias("context"),
+        F.collect_set(F.concat(F.lit("S"), (F.col("l_suppkey") % 5).cast("string"))).alias("sources"),
+        F.count("*").alias("n"),
+    )
+    said = F.concat(
+        F.lit("共 "), (F.col("o_custkey") % 50).cast("string"), F.lit(" 件, 保期 "), (F.col("o_orderkey") % 9).cast("string"), F.lit(" 年"),
+        F.when(F.col("o_orderstatus") == "P", " 未找到").otherwise(""),
+        F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit(" [来源: S"), (F.col("o_custkey") % 5).cast("string"), F.lit("]"))).otherwise(""),
+        F.when(F.col("o_orderkey") % 2 == 0, F.repeat("o_orderpriority", F.lit(15))).otherwise(""),
+    )
+    return o.select("o_orderkey", said.alias("answer")).join(held, "o_orderkey", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+_GROUND = ck.Grounding()
+
+
+@plan("f24_number_grounding", f"""WITH h AS (SELECT l_orderkey AS o_orderkey, list_aggregate(list_sort(list('数量 ' || l_quantity::BIGINT || ' 件')), 'string_agg', ' ') AS context, list_distinct(list('S' || l_suppkey % 5)) AS sources, count(*) AS n FROM lineitem GROUP BY 1),
+a AS (SELECT o_orderkey, '共 ' || o_custkey % 50 || ' 件, 保期 ' || o_orderkey % 9 || ' 年' || CASE WHEN o_orderstatus = 'P' THEN ' 未找到' ELSE '' END || CASE WHEN o_orderkey % 4 <> 0 THEN ' [来源: S' || o_custkey % 5 || ']' ELSE '' END
+  || CASE WHEN o_orderkey % 2 = 0 THEN repeat(o_orderpriority, 15) ELSE '' END AS a, coalesce(context, '') AS c, coalesce(sources, []) AS s, coalesce(n, 0) AS n FROM orders LEFT JOIN h USING (o_orderkey)),
+x AS (SELECT *, regexp_extract_all(a, '{_GROUND.number}', 1) AS ns, regexp_extract_all(a, '{_GROUND.number}', 2) AS us, regexp_extract_all(a, '{_GROUND.citation}', 1) AS cs, contains(a, '未找到') AS says FROM a),
+y AS (SELECT *, list_concat(list_transform(list_filter(range(1, len(ns) + 1), lambda k: NOT contains(c, ns[k])), lambda k: 'number:' || ns[k] || us[k]), list_transform(list_filter(cs, lambda z: NOT list_contains(s, z)), lambda z: 'source:' || z),
+  CASE WHEN says AND n >= 3 THEN ['not_found:'] ELSE [] END, CASE WHEN n > 0 AND length(a) > 80 AND len(cs) = 0 AND NOT says THEN ['uncited:'] ELSE [] END) AS issues FROM x)
+SELECT o_orderkey, coalesce(array_to_string(issues, ';'), '') AS issues, CASE WHEN len(issues) > 0 THEN 'flag' ELSE 'pass' END AS verdict FROM y""")
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of a document that the page of its id lacks."""
-    d, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages").select("page_id", "html")
-    context = F.coalesce("html", F.lit(""))
-    return d.join(p, d["doc_id"] == p["page_id"], "left").select("doc_id", F.array_join(ru.ungrounded_numbers(F.col("text"), context, r"\d+(?:\.\d+)+"), ",").alias("missing"))
+    """What is wrong with the answer for each order, given its lines as contexts."""
+    x = _answers(spark, sf_dir).select("o_orderkey", ck.answer_issues(F.col("answer"), F.col("context"), F.col("sources"), F.col("n")).alias("i"))
+    return x.select("o_orderkey", F.array_join(F.transform("i", lambda z: F.concat(z["kind"], F.lit(":"), z["value"])), ";").alias("issues"), F.when(F.size("i") > 0, "flag").otherwise("pass").alias("verdict"))
 
 
-@plan("f25_answer_support", """WITH t AS (SELECT b.item_id, coalesce(lower(d.text), '') AS context, list_distinct(regexp_extract_all(lower(b.text), '[a-zA-Z0-9_]+')) AS ws FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id)
-SELECT item_id, round(len(list_filter(ws, lambda w: NOT contains(context, w))) / greatest(len(ws), 1)::DOUBLE, 6) AS missing FROM t""")
+@plan("f25_answer_support", r"""WITH t AS (SELECT b.item_id, coalesce(d.text, '') AS c, list_distinct(list_filter(list_transform(string_split_regex(coalesce(b.text, ''), '[\s，。！？；：、,.!?;:\d]+'), lambda p: trim(p)), lambda p: length(p) BETWEEN 2 AND 12 AND regexp_matches(p, '[a-z]') AND p NOT IN ('the', 'that', 'and'))) AS ws
+  FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id),
+m AS (SELECT *, list_filter(ws, lambda w: NOT contains(c, w)) AS missing FROM t)
+SELECT item_id, len(missing) <= len(ws) * 0.4 AS supported, len(missing)::BIGINT AS n_missing, len(ws)::BIGINT AS n_terms FROM m""")
 def support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of a benchmark item's words that the document of its id lacks."""
-    words = F.array_distinct(tx.tokens(F.col("text")))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.lower("text").alias("context"))
-    return table(spark, sf_dir, "benchmark").join(d, "item_id", "left").select("item_id", F.round(ru.unsupported(words, F.coalesce("context", F.lit(""))), 6).alias("missing"))
+    """Whether the document of its id supports a benchmark item's terms."""
+    terms = ck.answer_terms(F.col("text"), stop=("the", "that", "and"), script="[a-z]")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("context"))
+    x = table(spark, sf_dir, "benchmark").join(d, "item_id", "left").select("item_id", terms.alias("t"), "context")
+    return x.select("item_id", ck.support(F.col("t"), F.col("context")).alias("s"), F.size("t").cast("long").alias("n_terms")).select("item_id", "s.supported", F.size("s.missing").cast("long").alias("n_missing"), "n_terms")
+
+
+@plan("f25_question_leak", f"""WITH x AS (SELECT l_orderkey, l_linenumber, '第 ' || l_linenumber || ' 行, 商品 ' || l_partkey AS q, '共 ' || l_quantity::BIGINT || ' 件, ' || l_linenumber || ' 号' AS a FROM lineitem),
+y AS (SELECT *, list_filter(regexp_extract_all(a, '{ck.LEAK_NUMBER}', 1), lambda n: contains(regexp_replace(q, '[,\\s]', '', 'g'), replace(n, ',', ''))) AS leaked FROM x)
+SELECT l_orderkey, l_linenumber, coalesce(array_to_string(leaked, ','), '') AS leaked FROM y""")
+def leak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of an answer about an order's line that its question gives away."""
+    q = F.concat(F.lit("第 "), F.col("l_linenumber").cast("string"), F.lit(" 行, 商品 "), F.col("l_partkey").cast("string"))
+    a = F.concat(F.lit("共 "), F.col("l_quantity").cast("long").cast("string"), F.lit(" 件, "), F.col("l_linenumber").cast("string"), F.lit(" 号"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(ck.leaked_numbers(q, a), ",").alias("leaked"))
+
+
+@plan("f26_verbalise", """WITH e AS (SELECT s_name AS head, 'in_nation' AS relation, n_name AS tail FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT n_name, 'in_region', r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+b AS (SELECT head AS node, tail AS other, relation, 'out' AS direction, 0 AS o FROM e UNION ALL SELECT tail, head, relation, 'in', 1 FROM e)
+SELECT node, other, direction, CASE direction WHEN 'out' THEN node ELSE other END || CASE relation WHEN 'in_nation' THEN ' is located in ' ELSE ' in_region ' END || CASE direction WHEN 'out' THEN other ELSE node END AS sentence
+FROM b WHERE node IN (SELECT n_name FROM nation) QUALIFY row_number() OVER (PARTITION BY node ORDER BY o, relation, other) <= 8""")
+def verbalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known around every nation in words: edges that lead to it keep their direction."""
+    t = lambda n: table(spark, sf_dir, n)
+    one = t("supplier").join(t("nation"), F.expr("s_nationkey = n_nationkey")).select(F.col("s_name").alias("head"), F.lit("in_nation").alias("relation"), F.col("n_name").alias("tail"))
+    two = t("nation").join(t("region"), F.expr("n_regionkey = r_regionkey")).select(F.col("n_name").alias("head"), F.lit("in_region").alias("relation"), F.col("r_name").alias("tail"))
+    near = g.neighbours(one.unionByName(two), t("nation").select(F.col("n_name").alias("node")), 8)
+    return g.verbalise(near, {"in_nation": "is located in"}).select("node", "other", "direction", "sentence")
 
 
-sql("f26_verbalise", "SELECT s_name, concat(s_name, ' is located in ', n_name) AS sentence FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey")
 sql("f27_parent_id", "SELECT o_orderkey, regexp_extract(concat('doc_', CAST(o_orderkey AS STRING), '_c', CAST(o_custkey AS STRING)), '^(.+)_c[0-9]+$', 1) AS parent FROM {orders}")
 sql("f28_strip_suffix", "SELECT o_orderkey, regexp_replace(concat('doc_', CAST(o_orderkey AS STRING), '_c', CAST(o_custkey AS STRING)), '_c[0-9]+$', '') AS stem FROM {orders}")
 sql("f29_triple_id", "SELECT s_suppkey, substring(md5(concat_ws('|', s_name, 'in', n_name)), 1, 12) AS id FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey")
@@ -258,9 +329,16 @@ sql("f30_json", "SELECT event_id, from_json(props, 'k INT').k AS k FROM {events}
 sql("f31_ctime", "SELECT o_orderkey, CAST(to_timestamp(substring(date_format(o_orderdate, 'EEE MMM dd HH:mm:ss yyyy'), 5), 'MMM dd HH:mm:ss yyyy') AS TIMESTAMP_NTZ) AS at FROM {orders}", "SELECT o_orderkey, o_orderdate AS at FROM orders")
 
 
-@plan("f32_redact")
+@plan("f32_redact", f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{{"user": ' || user_id || ', "Password": "***REDACTED***", "token": ***REDACTED***}}' WHEN 1 THEN 'api_key=***REDACTED*** token: ***REDACTED***, ok'
+WHEN 2 THEN 'login password = ***REDACTED*** for ' || user_id ELSE event_type || ' ' || props END AS line FROM events""")
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(ru.redact(F.col("text")).cast("binary")).alias("redacted"))
+    """Log lines of events, plain and as JSON, without their secrets."""
+    c = F.col
+    k = c("event_id") % 4
+    json = F.concat(F.lit('{"user": '), c("user_id"), F.lit(', "Password": "'), c("event_type"), c("value").cast("string"), F.lit('", "token": '), c("event_id"), F.lit("}"))
+    plain = F.concat(F.lit("api_key="), c("event_type"), c("event_id"), F.lit(" token: "), c("user_id"), F.lit(", ok"))
+    line = F.when(k == 0, json).when(k == 1, plain).when(k == 2, F.concat(F.lit("login password = "), c("event_type"), F.lit(" for "), c("user_id"))).otherwise(F.concat(c("event_type"), F.lit(" "), c("props")))
+    return table(spark, sf_dir, "events").select("event_id", ru.redact(line).alias("line"))
 
 
 sql("f33_kb_version", "SELECT substring(sha2(array_join(array_sort(collect_list(concat(source, ':', h))), ';'), 256), 1, 12) AS version FROM (SELECT source, md5(CAST(sum(n_chars) AS STRING)) AS h FROM {documents} GROUP BY source) x",
@@ -277,9 +355,13 @@ def order_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 sql("f36_next_id", "SELECT max(CAST(regexp_extract(concat('bad_', CAST(doc_id AS STRING)), '([0-9]+)$', 1) AS BIGINT)) + 1 AS next_id FROM {documents}")
 
 
-@plan("f37_trend", "SELECT doc_id, CASE WHEN contains(substring(text, 1, 200), 'edst') THEN 'up' WHEN contains(substring(text, 1, 200), 'tiea') THEN 'down' ELSE 'flat' END AS trend FROM documents")
+_WAYS = (("edst", "up"), ("tiea", "down"), ("inst", "up"), ("onen", "stable"), ("erth", "volatile"))
+
+
+@plan("f37_trend", "SELECT doc_id, CASE " + " ".join(f"WHEN contains(substring(text, 1, 200), '{w}') THEN '{d}'" for w, d in _WAYS) + " ELSE 'unknown' END AS trend FROM documents")
 def trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", ru.trend(F.col("text"), ("edst",), ("tiea",)).alias("trend"))
+    """Direction that the beginning of a document names."""
+    return table(spark, sf_dir, "documents").select("doc_id", ru.trend(F.col("text"), _WAYS).alias("trend"))
 
 
 sql("f38_settings_diff", "SELECT k FROM (SELECT explode(array_sort(map_keys(map_filter(map('size', 350, 'overlap', 70, 'k', 60), (k, v) -> v <> map('size', 350, 'overlap', 30, 'k', 10)[k])))) AS k) x", "SELECT unnest(['k', 'overlap']) AS k")

@@ -84,7 +84,7 @@ def test_paths_and_resolution(spark):
     assert {(x.a, x.b): x.hops for x in g.shortest_paths(e, p).collect()} == {("a", "d"): 2, ("a", "e"): 3}
     assert {x.action for x in g.converge(e, e.limit(2)).collect()} == {"keep", "drop"}
     t = spark.createDataFrame([(1, "the Gold Fund rises"), (2, None)], "id long, text string")
-    n = spark.createDataFrame([("gold fund", "GF"), ("silver", "S")], "alias string, entity string")
+    n = spark.createDataFrame([("Gold Fund", "GF"), ("gold fund", "lower"), ("silver", "S")], "alias string, entity string")
     assert [(x.id, x.entity) for x in g.resolve(t, n).collect()] == [(1, "GF")]
 
 
