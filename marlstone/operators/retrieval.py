@@ -40,15 +40,6 @@ def index(chunks: DataFrame, cid: str = "cid", text: str = "text", avgdl: str =
     return {"postings": postings, "terms": terms, "docs": docs, "corpus": corpus}
 
 
-def save_index(idx: dict[str, DataFrame], path: str) -> None:
-    for name, df in idx.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def load_index(spark, path: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "docs", "corpus")}
-
-
 def ranked(scores: DataFrame, k: int) -> DataFrame:
     """The k best of each query, ties by cid."""
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "cid")
@@ -63,12 +54,11 @@ def bm25(idx: dict[str, DataFrame], queries: DataFrame, k: int = 10, k1: float =
     return ranked(hits.groupBy("qid", "cid").agg(F.sum(part).alias("score")).filter("score > 0"), k)
 
 
-def canary(idx: dict[str, DataFrame], probe: str) -> None:
-    """Raises RuntimeError where the index is empty or its probe, a text that it must answer, finds nothing."""
-    spark = idx["corpus"].sparkSession
-    if not idx["corpus"].first()["n"]:
+def canary(index, probe: str) -> None:
+    """Raises RuntimeError where a TextIndex is empty or its probe, a text that it must answer, finds nothing."""
+    if not index.corpus()[0]:
         raise RuntimeError("the index holds no chunk")
-    if bm25(idx, spark.createDataFrame([(0, probe)], "qid long, text string"), 1).isEmpty():
+    if index.search(index.spark.range(1).select(F.col("id").alias("qid"), F.lit(probe).alias("text")), 1).isEmpty():
         raise RuntimeError(f"the index finds nothing for its probe {probe!r}")
 
 

@@ -122,11 +122,3 @@ def fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encode_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by a pluggable encoder (here: a number of its length)."""
     return table(spark, sf_dir, "documents").select("doc_id", (F.length("text") % 7 + 1).cast("long").alias("norm"))
-
-
-@plan("s14_index_round_trip", "SELECT count(*) AS n FROM documents")
-def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in the lexical index's document table."""
-    from marlstone.operators import retrieval
-
-    return retrieval.index(table(spark, sf_dir, "documents"), cid="doc_id")["corpus"].select("n")

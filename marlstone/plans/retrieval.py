@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions import terms as te
 from marlstone.functions import text as tx
 from marlstone.operators import models as mo
 from marlstone.operators import retrieval as r
+from marlstone.operators import textindex as ti
 from marlstone.plans.registry import ORACLES, plan, sql
-from marlstone.session import table
+from marlstone.plans.rules import VOCABULARY, strong_sql, terms_sql
+from marlstone.session import scratch, table
 
 QUESTIONS = ("the thing of threads", "ouble edout whhe", "and is nded be enhe", "der die das ungen", "que les aux entre")
 _Q = " UNION ALL ".join(f"SELECT {i} AS qid, '{t}' AS text" for i, t in enumerate(QUESTIONS))
@@ -29,8 +32,13 @@ def _queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, t) for i, t in enumerate(QUESTIONS)], "qid long, text string")
 
 
-def _index(spark: SparkSession, sf_dir: str) -> dict:
-    return r.index(table(spark, sf_dir, "documents"), cid="doc_id", only=_queries(spark))
+def _index(spark: SparkSession, sf_dir: str) -> ti.TextIndex:
+    """The stored index of the documents: made by the first query that asks for it."""
+    return ti.stored(spark, table(spark, sf_dir, "documents"), "doc_id")
+
+
+def _search(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return _index(spark, sf_dir).search(_queries(spark), k)
 
 
 def _top(df: DataFrame) -> DataFrame:
@@ -40,7 +48,7 @@ def _top(df: DataFrame) -> DataFrame:
 @plan("r1_bm25_search", _BM + " SELECT qid::BIGINT AS qid, cid, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cid) <= 10")
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best documents of each question by BM25."""
-    return _top(r.bm25(_index(spark, sf_dir), _queries(spark), 10))
+    return _top(_search(spark, sf_dir, 10))
 
 
 @plan("r10_canary", _BM + " SELECT (SELECT n FROM c) AS chunks, EXISTS (SELECT 1 FROM s WHERE qid = 0) AS answered")
@@ -48,7 +56,18 @@ def canary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The size of an index that answers its probe; an empty or silent index is an error."""
     idx = _index(spark, sf_dir)
     r.canary(idx, QUESTIONS[0])
-    return idx["corpus"].select(F.col("n").alias("chunks"), F.lit(True).alias("answered"))
+    return spark.range(1).select(F.lit(idx.corpus()[0]).cast("long").alias("chunks"), F.lit(True).alias("answered"))
+
+
+@plan("s14_index_round_trip", _BM.replace("FROM documents", "FROM documents WHERE doc_id % 10 <> 3") + " SELECT qid::BIGINT AS qid, cid, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cid) <= 10")
+def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index stored from the even documents, opened again, grown by the odd ones and some of those it had, and with a
+    tenth taken out: it answers as one made of what is left."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cid"), "text")
+    path = scratch(spark, "round-trip")
+    ti.TextIndex.create(docs.filter("cid % 2 = 0"), path)
+    grown = ti.TextIndex(spark, path).append(docs.filter("cid % 2 = 1 or cid % 6 = 0"))
+    return _top(grown.delete(docs.filter("cid % 10 = 3")).search(_queries(spark), 10))
 
 
 sql("a11_bm25_statistics", "SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, explode(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+', 0)) AS term FROM {documents}) x GROUP BY term HAVING count(*) > 20",
@@ -93,7 +112,7 @@ def _two(spark: SparkSession, sf_dir: str, k: int = 15) -> tuple[DataFrame, Data
     e = table(spark, sf_dir, "embeddings")
     asked = e.filter(F.col("vec_id").isin([20 * i for i in range(len(QUESTIONS))])).select((F.col("vec_id") / 20).cast("long").alias("qid"), F.col("embedding").alias("qv"))
     near = r.dense(e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("v")), asked, k)
-    return near, r.bm25(_index(spark, sf_dir), _queries(spark), k)
+    return near, _search(spark, sf_dir, k)
 
 
 def _lists(k: int) -> str:
@@ -121,13 +140,16 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cid"), F.col("text").alias("content"))
-    q = _queries(spark).select("qid", tx.tokens(F.col("text")).alias("terms"))
-    return r.rerank(r.bm25(_index(spark, sf_dir), _queries(spark), 20).join(docs, "cid").join(q, "qid"), k)
+    q = _queries(spark).select("qid", te.asked(F.col("text"), VOCABULARY).alias("x")).select("qid", F.concat("x.strong", "x.terms").alias("terms"))
+    return r.rerank(_search(spark, sf_dir, 20).join(docs, "cid").join(q, "qid"), k)
+
+
+_ASKED = f"list_concat({strong_sql('x.text')}, {terms_sql('x.text')})"
 
 
 @plan("r8_lexical_rerank", _BM + f""",
 l AS (SELECT qid, cid, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cid) AS rank, max(score) OVER (PARTITION BY qid) AS top FROM s QUALIFY rank <= 20),
-n AS (SELECT l.qid, cid, rank, 0.6 * len(list_filter({_TOK.replace('text', 'x.text')}, lambda t: contains(lower(documents.text), t))) / len({_TOK.replace('text', 'x.text')}) + 0.4 * least(score / top, 1.0) AS score
+n AS (SELECT l.qid, cid, rank, 0.6 * len(list_filter({_ASKED}, lambda t: contains(lower(documents.text), lower(t)))) / greatest(len({_ASKED}), 1) + 0.4 * least(score / top, 1.0) AS score
   FROM l JOIN ({_Q}) x ON x.qid = l.qid JOIN documents ON doc_id = cid)
 SELECT qid::BIGINT AS qid, cid, round(score, 6)::DOUBLE AS score FROM n QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, rank) <= 5""")
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +264,7 @@ def gateway(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan("r9_pair_scores")
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best of the 40 BM25 candidates of each question by a scorer of pairs."""
-    hits = r.bm25(_index(spark, sf_dir), _queries(spark), 40).select("qid", "cid")
+    hits = _search(spark, sf_dir, 40).select("qid", "cid")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cid"), F.col("text").alias("content"))
     return _top(mo.rescore(hits.join(docs, "cid").join(_queries(spark).withColumnRenamed("text", "query"), "qid")))
 

@@ -243,12 +243,23 @@ VOCABULARY = te.Vocabulary(names=("ouble", "oubles", "thing", "the thing"), core
 _IN = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-@plan("f23_query_terms", f"""WITH t AS (SELECT item_id, coalesce(text, '') AS t FROM benchmark),
-x AS (SELECT item_id, t, list_filter({_IN(VOCABULARY.names)}, lambda n: contains(t, n)) AS held FROM t)
-SELECT item_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(held, lambda n: len(list_filter(held, lambda o: o <> n AND contains(o, n))) = 0), regexp_extract_all(t, '{VOCABULARY.risk}'),
-  list_filter(list_transform(regexp_extract_all(t, '{VOCABULARY.span}'), lambda s: trim(s)), lambda s: s <> '')))), '|') AS strong,
- array_to_string(list_sort(list_distinct(list_concat(list_filter({_IN(VOCABULARY.core)}, lambda c: contains(t, c)), list_transform(regexp_extract_all(t, '{VOCABULARY.latin}'), lambda s: lower(s)),
-  list_filter(list_transform(string_split_regex(t, '{VOCABULARY.cuts()}'), lambda p: trim(regexp_replace(p, '^\\s+|\\s+$', '', 'g'), '{VOCABULARY.trimmed}')), lambda p: length(p) BETWEEN 2 AND 8 AND regexp_matches(p, '[a-z]'))))), '|') AS terms FROM x""")
+def strong_sql(t: str) -> str:
+    """The strong signals of a text in DuckDB SQL."""
+    held = f"list_filter({_IN(VOCABULARY.names)}, lambda n: contains({t}, n))"
+    names = f"list_filter({held}, lambda n: len(list_filter({held}, lambda o: o <> n AND contains(o, n))) = 0)"
+    spans = f"list_filter(list_transform(regexp_extract_all({t}, '{VOCABULARY.span}'), lambda s: trim(s)), lambda s: s <> '')"
+    return f"list_sort(list_distinct(list_concat({names}, regexp_extract_all({t}, '{VOCABULARY.risk}'), {spans})))"
+
+
+def terms_sql(t: str) -> str:
+    """The terms of a text in DuckDB SQL."""
+    pieces = f"list_transform(string_split_regex({t}, '{VOCABULARY.cuts()}'), lambda p: trim(regexp_replace(p, '^\\s+|\\s+$', '', 'g'), '{VOCABULARY.trimmed}'))"
+    kept = f"list_filter({pieces}, lambda p: length(p) BETWEEN 2 AND {VOCABULARY.longest} AND regexp_matches(p, '{VOCABULARY.script}'))"
+    latin = f"list_transform(regexp_extract_all({t}, '{VOCABULARY.latin}'), lambda s: lower(s))"
+    return f"list_sort(list_distinct(list_concat(list_filter({_IN(VOCABULARY.core)}, lambda c: contains({t}, c)), {latin}, {kept})))"
+
+
+@plan("f23_query_terms", f"SELECT item_id, array_to_string({strong_sql('t')}, '|') AS strong, array_to_string({terms_sql('t')}, '|') AS terms FROM (SELECT item_id, coalesce(text, '') AS t FROM benchmark) x")
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strong signals and terms of benchmark items."""
     return table(spark, sf_dir, "benchmark").select("item_id", te.asked(F.col("text"), VOCABULARY).alias("x")).select("item_id", F.array_join("x.strong", "|").alias("strong"), F.array_join("x.terms", "|").alias("terms"))

@@ -12,6 +12,7 @@ from marlstone.operators import graph as g
 from marlstone.operators import lifecycle as lc
 from marlstone.operators import models as mo
 from marlstone.operators import retrieval as r
+from marlstone.operators import textindex as ti
 from marlstone.sources import files
 from marlstone.streaming import service as st
 
@@ -205,13 +206,14 @@ def test_recursive_chunks_number_before_short_ones_go(spark):
     assert ch.recursive_chunks(d.limit(0)).count() == 0
 
 
-def test_canary_is_loud(spark):
+def test_canary_is_loud(spark, tmp_path):
+    made = lambda x, n: ti.TextIndex.create(x, f"{tmp_path}/{n}")
     d = spark.createDataFrame([(1, "gold fund"), (2, "bond")], "cid long, text string")
-    r.canary(r.index(d), "gold")
+    r.canary(made(d, "a"), "gold")
     with pytest.raises(RuntimeError, match="finds nothing"):
-        r.canary(r.index(d), "silver")
+        r.canary(made(d, "b"), "silver")
     with pytest.raises(RuntimeError, match="no chunk"):
-        r.canary(r.index(d.limit(0)), "gold")
+        r.canary(made(d.limit(0), "c"), "gold")
 
 
 def test_hybrid_flags_graph_entries_and_parents(spark):
