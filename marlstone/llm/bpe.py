@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import keep
+from marlstone.llm.common import keep, leaving_nothing
 from marlstone.session import ship
 
 #: Characters of a batch that one call encodes: bounds a Python worker's memory.
@@ -180,7 +180,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", pie
     t = names[text]
     long = F.coalesce(F.length(t) > piece_chars, F.lit(False))
     schema = T.StructType([*own.schema.fields, T.StructField("__ids", T.ArrayType(T.IntegerType(), False))])
-    short = own.filter(~long).mapInArrow(_encoded(path, t, "__ids"), schema)
+    short = own.filter(~long).mapInArrow(leaving_nothing(_encoded(path, t, "__ids")), schema)
     # Long texts are written once, with a row number of their own: pieces must find their text again, whatever runs twice.
     big = keep(own.filter(long).withColumn("__row", F.monotonically_increasing_id()), "long")
     # Halving until no piece is longer makes a power of two of equal pieces; one pass over the text cuts them all.
@@ -203,7 +203,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", pie
         parts = [Piece(bytes(d), np.asarray(i, np.int32), np.asarray(s, np.int64), np.asarray(o, bool)) for d, i, s, o in zip(f["data"], f["ids"], f["starts"], f["opens"], strict=True)]
         return pd.DataFrame({"__row": [f["__row"].iloc[0]], "__ids": [tree(path, parts).ids]})
 
-    ids = pieces.mapInPandas(one, kinds).groupBy("__row").applyInPandas(whole, "__row long, __ids array<int>")
+    ids = pieces.mapInPandas(leaving_nothing(one), kinds).groupBy("__row").applyInPandas(leaving_nothing(whole), "__row long, __ids array<int>")
     done = big.join(ids, "__row").drop("__row")
     return short.unionByName(done).select(*[F.col(n).alias(c) for c, n in names.items()], F.col("__ids").alias(out))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import os
 import tempfile
 import uuid
@@ -43,6 +44,37 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns memory that this worker has freed to the system: idle workers keep their heap otherwise."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def leaving_nothing(run):
+    """run, a function of an iterator of batches or of a group's frame, giving memory back when its task (or group) is done."""
+
+    def batches(rows):
+        try:
+            yield from run(rows)
+        finally:
+            give_back()
+
+    def group(frame):
+        try:
+            return run(frame)
+        finally:
+            give_back()
+
+    return batches if inspect.isgeneratorfunction(run) else group
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

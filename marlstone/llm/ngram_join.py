@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, text_of
+from marlstone.llm.common import cut, leaving_nothing, text_of
 from marlstone.llm.components import components
 from marlstone.session import ship
 
@@ -538,7 +538,7 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", join: J
     spark = docs.sparkSession
     ship(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(F.col(text))).alias("tkey"), F.col(text).cast("string").alias("t"))
-    swept = cut(src.mapInArrow(_sweep(j.n, t.counters), "id long, tkey long, owner binary, n int, slot int, part int, counts binary"))
+    swept = cut(src.mapInArrow(leaving_nothing(_sweep(j.n, t.counters)), "id long, tkey long, owner binary, n int, slot int, part int, counts binary"))
     held = swept.filter("part is null").select("id", "tkey", "owner", "n")
     full = held.filter("n > 0")
     owners = cut(full.groupBy("owner").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.min(F.struct("id", "tkey")).alias("pick"), F.first("n").alias("n")).withColumn("sid", F.monotonically_increasing_id()))
@@ -546,8 +546,8 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", join: J
     total, everywhere = (owners.agg(F.sum("n"), F.sum(F.col("n") * F.col("copies"))).first()[i] or 0 for i in (0, 1))
     slices = max(16, -(-total * (100 - j.percent) // 100 // t.slice_entries))
     hot_level = int(STEPS * np.log2(1 + max(t.hot, 8 * everywhere // t.counters)))
-    packed = src.select("t").mapInArrow(_prefixes(j, slices, spark.sparkContext.broadcast(levels), hot_level), "slice int, entries binary, sets binary")
-    found = cut(packed.groupBy("slice").applyInPandas(_places(j.percent), "kind int, owner binary, g long, n int, end long, place long"))
+    packed = src.select("t").mapInArrow(leaving_nothing(_prefixes(j, slices, spark.sparkContext.broadcast(levels), hot_level)), "slice int, entries binary, sets binary")
+    found = cut(packed.groupBy("slice").applyInPandas(leaving_nothing(_places(j.percent)), "kind int, owner binary, g long, n int, end long, place long"))
     # Of each group the places where it meets others, sorted; of these groups the member sets.
     live = found.filter("kind = 1").groupBy("g", "place").agg(F.sum("n").cast("int").alias("k")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("place", "k"))).alias("x"))
     live = live.select("g", F.transform("x", lambda y: y["place"]).alias("places"), F.transform("x", lambda y: y["k"]).alias("times"))
@@ -556,13 +556,13 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", join: J
     spot = ["place", "x", "y", "block", "g"]
     groups = rows.groupBy(*spot).agg(F.count("*").alias("c"), F.min("sid").alias("sid")).join(members.select("sid", "n", "end", "places", "times"), "sid")
     n_rows, n_shingles = (rows.agg(F.count("*"), F.sum(F.col("n").cast("long"))).first()[i] or 0 for i in (0, 1))
-    needed = cut(_dealt(groups, n_rows // (4 * t.block_sets)).groupBy("key").applyInPandas(_filtered(j.percent), "place long, x int, y int, block int, g long"))
+    needed = cut(_dealt(groups, n_rows // (4 * t.block_sets)).groupBy("key").applyInPandas(leaving_nothing(_filtered(j.percent)), "place long, x int, y int, block int, g long"))
     meeting = rows.join(needed, spot, "left_semi")
     wanted = cut(members.join(meeting.select("sid").distinct(), "sid", "left_semi").drop("owner", "g", "n"))
     # A text that stands twice with its id gives the same set twice.
-    arrays = _texts_of(src, wanted, t).mapInArrow(_arrays(j.n), "sid long, shingles binary").dropDuplicates(["sid"])
+    arrays = _texts_of(src, wanted, t).mapInArrow(leaving_nothing(_arrays(j.n)), "sid long, shingles binary").dropDuplicates(["sid"])
     full_rows = meeting.join(arrays.join(wanted.drop("pick"), "sid"), "sid")
-    links = cut(_dealt(full_rows, n_shingles // t.block_shingles).groupBy("key").applyInPandas(_verified(j.percent), "a long, b long, links long"))
+    links = cut(_dealt(full_rows, n_shingles // t.block_shingles).groupBy("key").applyInPandas(leaving_nothing(_verified(j.percent)), "a long, b long, links long"))
     comp = components(links.filter("b is not null").select("a", "b"))
     roots = cut(owners.join(comp, owners["sid"] == comp["node"], "left").select("owner", "sid", F.coalesce("root", "sid").alias("root"), F.col("root").isNotNull().alias("linked"), "least", "copies"))
     least = roots.filter("linked").groupBy("root").agg(F.min("least").alias("component_id"))
