@@ -62,15 +62,6 @@ def canary(index, probe: str) -> None:
         raise RuntimeError(f"the index finds nothing for its probe {probe!r}")
 
 
-def dense(chunks: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:
-    """qid, cid, score, rank by cosine: chunks (cid, v) against queries (qid, qv), exact, over every pair.
-
-    The stated query set meets all chunks; a chunk of the query's own id is a hit like any other.
-    """
-    pairs = chunks.select("cid", "v").crossJoin(_hint(queries.select("qid", "qv"))).select("qid", "cid", tx.cosine(F.col("v"), F.col("qv")).alias("score"))
-    return ranked(pairs if least is None else pairs.filter(F.col("score") >= least), k)
-
-
 def rrf(lists: list[DataFrame], k: int = 5, c: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ranked lists: ties go to the earlier list, then to the better rank in it, then to cid."""
     rows = None
@@ -195,13 +186,6 @@ def centroid_clusters(rows: DataFrame, least: float = 0.75) -> DataFrame:
     return rows.groupBy("part").applyInPandas(go, "part long, id long, cluster int")
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.9) -> DataFrame:
-    """a, b, score: pairs of (id, v, block) of one block with a < b and cosine at least `least`."""
-    x = rows.select(F.col("id").alias("a"), F.col("v").alias("va"), "block")
-    y = rows.select(F.col("id").alias("b"), F.col("v").alias("vb"), "block")
-    return x.join(y, "block").filter("a < b").select("a", "b", tx.cosine(F.col("va"), F.col("vb")).alias("score")).filter(F.col("score") >= least)
-
-
 def cache_lookup(queries: DataFrame, cache: DataFrame, features, similarity, l2_least: float = 0.5, l3_least: float = 0.9, ttl: int = 3600) -> DataFrame:
     """qid, hit, tier, score of (qid, text, qv, at) against (key, text, v, created): exact key, then similarity, then cosine.
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import terms as te
 from marlstone.functions import text as tx
+from marlstone.operators import matching as ma
 from marlstone.operators import models as mo
 from marlstone.operators import retrieval as r
 from marlstone.operators import textindex as ti
+from marlstone.operators import vectors as ve
 from marlstone.plans.registry import ORACLES, plan, sql
 from marlstone.plans.rules import VOCABULARY, strong_sql, terms_sql
 from marlstone.session import scratch, table
@@ -80,7 +82,7 @@ QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id)
 def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
-    return r.dense(e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("v")), q, k)
+    return ve.search(e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("v")), q, k)
 
 
 @plan("r2_dense_search", _DENSE.format(k=10))
@@ -89,6 +91,17 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(_dense(spark, sf_dir, 10))
 
 
+@plan("s9_vector_collection", _DENSE.replace("a.vec_id % 20 = 0", "a.vec_id % 20 = 0 AND b.vec_id % 7 <> 5").format(k=10))
+def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection stored from two thirds of the vectors, opened again, grown by the others and some of those it had, with
+    some taken out, and searched exactly: lists that can't hold a near vector stay closed."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cid"), F.col("embedding").alias("v"))
+    path = scratch(spark, "collection")
+    ve.Collection.create(e.filter("cid % 3 <> 1"), path)
+    held = ve.Collection(spark, path).insert(e.filter("cid % 3 = 1 or cid % 11 = 0")).delete(e.filter("cid % 7 = 5"))
+    return _top(held.search(e.filter("cid % 20 = 0").select(F.col("cid").alias("qid"), F.col("v").alias("qv")), 10, exact=True))
+
+
 def _candidates(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     hits = _dense(spark, sf_dir, k)
@@ -111,7 +124,7 @@ def _two(spark: SparkSession, sf_dir: str, k: int = 15) -> tuple[DataFrame, Data
     """Two ranked lists per question: the vectors nearest to the question's (that of id 20 times its own), and BM25."""
     e = table(spark, sf_dir, "embeddings")
     asked = e.filter(F.col("vec_id").isin([20 * i for i in range(len(QUESTIONS))])).select((F.col("vec_id") / 20).cast("long").alias("qid"), F.col("embedding").alias("qv"))
-    near = r.dense(e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("v")), asked, k)
+    near = ve.search(e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("v")), asked, k)
     return near, _search(spark, sf_dir, k)
 
 
@@ -207,22 +220,26 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.centroid_clusters(table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("part"), F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.3)
 
 
-@plan("j5_theta_near_duplicates", f"""SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_COS} >= 0.25""")
-def theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one label whose cosine is 0.25 or more."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("block"))
-    return r.near_duplicates(e, 0.25).select("a", "b", F.round("score", 6).alias("score"))
+_ONE = "e AS (SELECT min(vec_id) AS vec_id, count(*) AS n, embedding FROM embeddings GROUP BY embedding)"
+_NEAR = f"""WITH {_ONE}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COS} AS s, a.n AS n_a, b.n AS n_b FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE {_COS} >= {{t}} UNION ALL SELECT vec_id, vec_id, 1.0, n, n FROM e WHERE n > 1)
+SELECT a, b, round(s, 6) AS score, n_a, n_b FROM p"""
 
 
-ORACLES["l4_top_pairs"] = f"""SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_COS} >= 0.3
-ORDER BY {_COS} DESC, a.vec_id, b.vec_id LIMIT 200"""
+def _pairs(spark: SparkSession, sf_dir: str, least: float, top: int | None = None) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return ve.near_pairs(e, least, top).withColumn("score", F.round("score", 6))
+
+
+@plan("j5_theta_near_duplicates", _NEAR.format(t=0.25))
+def theta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of all vectors whose cosine is 0.25 or more."""
+    return _pairs(spark, sf_dir, 0.25)
 
 
-@plan("l4_top_pairs", ORACLES["l4_top_pairs"])
+@plan("l4_top_pairs", _NEAR.format(t=0.2) + " ORDER BY s DESC, a, b LIMIT 200")
 def top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 200 nearest pairs."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("block"))
-    return r.near_duplicates(e, 0.3).orderBy(F.desc("score"), "a", "b").limit(200).select("a", "b", F.round("score", 6).alias("score"))
+    return _pairs(spark, sf_dir, 0.2, 200)
 
 
 _WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+'))"
@@ -231,14 +248,13 @@ _WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+'))"
 @plan("j13_leak", f"""WITH b AS (SELECT item_id, unnest({_WORDS}) AS w FROM benchmark), bn AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1),
 d AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents), dn AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
 i AS (SELECT item_id, doc_id, count(*) AS c FROM b JOIN d USING (w) GROUP BY 1, 2)
-SELECT item_id, round(max(c / (bn.n + dn.n - c)::DOUBLE), 6) AS best FROM i JOIN bn USING (item_id) JOIN dn USING (doc_id) GROUP BY item_id""")
+SELECT item_id, doc_id, round(c / (bn.n + dn.n - c)::DOUBLE, 6) AS best FROM i JOIN bn USING (item_id) JOIN dn USING (doc_id)
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY c / (bn.n + dn.n - c)::DOUBLE DESC, doc_id) = 1""")
 def leak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best word Jaccard of each benchmark item with any document, by an inverted index join."""
-    words = lambda d, k: d.select(k, F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("w"))
-    b, d = words(table(spark, sf_dir, "benchmark"), "item_id"), words(table(spark, sf_dir, "documents"), "doc_id")
-    bn, dn = b.groupBy("item_id").agg(F.count("*").alias("bn")), d.groupBy("doc_id").agg(F.count("*").alias("dn"))
-    both = b.join(d, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("c")).join(bn, "item_id").join(dn, "doc_id")
-    return both.groupBy("item_id").agg(F.round(F.max(F.col("c") / (F.col("bn") + F.col("dn") - F.col("c"))), 6).alias("best"))
+    """The document whose words are most like each benchmark item's, and their Jaccard similarity."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return ma.best_match(items, docs, tx.tokens).select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("best"))
 
 
 sql("j10_golden_rank", """
