@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as tx
 from marlstone.operators import lifecycle as lc
 from marlstone.plans.registry import plan
-from marlstone.session import table
+from marlstone.session import scratch, table
+from marlstone.sources.buckets import BucketTable
+from marlstone.streaming import watch
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,3 +125,29 @@ def fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encode_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by a pluggable encoder (here: a number of its length)."""
     return table(spark, sf_dir, "documents").select("doc_id", (F.length("text") % 7 + 1).cast("long").alias("norm"))
+
+
+@plan("s10_stored_upsert", """SELECT vec_id, label, n FROM (SELECT vec_id, CASE WHEN vec_id % 2 = 1 OR vec_id % 6 = 0 THEN label + 100 ELSE label END AS label, len(embedding)::BIGINT AS n FROM embeddings) x WHERE vec_id % 10 <> 3""")
+def stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table of the even vectors, into which the odd ones and some of those it had are put, and from which a tenth is deleted."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.size("embedding").cast("long").alias("n"))
+    held = BucketTable.create(rows.filter("vec_id % 2 = 0"), scratch(spark, "upsert"), "vec_id")
+    held = held.upsert(rows.filter("vec_id % 2 = 1 or vec_id % 6 = 0").withColumn("label", F.col("label") + 100))
+    return held.delete(rows.filter("vec_id % 10 = 3")).read()
+
+
+@plan("s21_watched_folder", """SELECT 'doc-' || doc_id AS name, v AS version, source, sha256(regexp_replace(text || CASE v WHEN 2 THEN ' changed' ELSE '' END, '\\s+', '', 'g')) AS content_hash
+FROM (SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, arg_min(text, doc_id) AS text FROM documents WHERE text IS NOT NULL GROUP BY regexp_replace(text, '\\s+', '', 'g')) d, (VALUES (1), (2)) t(v) WHERE v = 1 OR doc_id % 10 = 0""")
+def watched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of documents after a folder of their first texts was synced twice, and once more with changed ones beside repeated ones."""
+    w = Window.partitionBy(tx.content_hash(F.col("text"))).orderBy("doc_id")
+    docs = table(spark, sf_dir, "documents").filter("text is not null").withColumn("n", F.row_number().over(w)).filter("n = 1")
+    rows = docs.select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("name"), "source", "text", "doc_id")
+    folder, path, marks = (scratch(spark, f"watch-{x}") for x in ("in", "table", "marks"))
+    rows.drop("doc_id").write.json(folder)
+    for _ in range(2):
+        watch.sync(spark, folder, path, marks)
+    changed = rows.filter("doc_id % 10 = 0").withColumn("text", F.concat("text", F.lit(" changed")))
+    changed.unionByName(rows.filter("doc_id % 10 = 1")).drop("doc_id").write.mode("append").json(folder)
+    watch.sync(spark, folder, path, marks)
+    return watch.store(spark, path).read().select("name", "version", "source", "content_hash")

@@ -1,5 +1,6 @@
 """Stored structures: the text index, vector collections, bucketed tables and their manifests."""
 
+import json
 import math
 import random
 
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import retrieval as r
 from marlstone.operators import textindex as ti
+from marlstone.sources.buckets import BucketTable
 from marlstone.sources.manifest import Store
+from marlstone.streaming import watch
 
 CHUNK, ASK = "cid long, text string", "qid long, text string"
 
@@ -109,3 +112,78 @@ def test_a_table_is_indexed_once_until_its_files_change(spark, tmp_path, asked):
     assert ti.stored(spark, spark.read.parquet(at)).store.path == a.store.path
     spark.createDataFrame(corpus(60), CHUNK).write.mode("overwrite").parquet(at)
     assert ti.stored(spark, spark.read.parquet(at)).corpus()[0] == 60
+
+
+ROWS = "k long, v string, n int"
+
+
+def kept(t):
+    return sorted(((r.k, r.v) for r in t.read().collect()), key=repr)
+
+
+def test_bucketed_table_touches_the_buckets_of_its_changes_only(spark, tmp_path):
+    rows = [(i, f"v{i}", 0) for i in range(400)]
+    t = BucketTable.create(spark.createDataFrame(rows, ROWS), str(tmp_path / "t"), "k", 16)
+    assert kept(t) == sorted(((k, v) for k, v, _ in rows), key=repr)
+    before = dict(t.manifest["folders"])
+    new = t.upsert(spark.createDataFrame([(5, "a", 1), (5, "b", 2), (None, "null", 0)], ROWS), newest="n")
+    assert dict(kept(new))[5] == "b" and dict(kept(new))[None] == "null"
+    again = new.upsert(spark.createDataFrame([(None, "null2", 0)], ROWS))
+    assert dict(kept(again))[None] == "null2" and len(kept(again)) == 401
+    changed = {b for b, f in again.manifest["folders"].items() if before[b] != f}
+    assert 1 <= len(changed) <= 2
+    gone = again.delete(spark.createDataFrame([(7,), (None,), (9999,)], "k long"))
+    assert len(kept(gone)) == 399 and 7 not in dict(kept(gone))
+    assert [r.v for r in gone.lookup(spark.createDataFrame([(9,), (7,)], "k long")).collect()] == ["v9"]
+    # What was opened, or is opened at a version, stays.
+    assert len(kept(t)) == 400 and len(kept(BucketTable(spark, str(tmp_path / "t"), t.manifest["version"]))) == 400
+    assert kept(gone.delete(spark.createDataFrame([(i,) for i in range(400)], "k long"))) == []
+
+
+def test_a_write_that_fails_leaves_the_table_as_it_was(spark, tmp_path):
+    t = BucketTable.create(spark.createDataFrame([(i, "v", 0) for i in range(50)], ROWS), str(tmp_path / "t"), "k")
+
+    def broken(v):
+        raise ValueError("lost")
+
+    bad = spark.createDataFrame([(1, "x", 0)], ROWS).withColumn("v", F.udf(broken)("v"))
+    with pytest.raises(Exception, match="lost"):
+        t.upsert(bad)
+    now = BucketTable(spark, str(tmp_path / "t"))
+    assert now.manifest == t.manifest and len(kept(now)) == 50
+    # A job that dies between the files and the manifest.
+    write, Store.write = Store.write, lambda self, m: (_ for _ in ()).throw(OSError("gone"))
+    try:
+        with pytest.raises(OSError, match="gone"):
+            t.upsert(spark.createDataFrame([(1, "x", 0)], ROWS))
+    finally:
+        Store.write = write
+    assert kept(BucketTable(spark, str(tmp_path / "t"))) == kept(t)
+    assert dict(kept(t.upsert(spark.createDataFrame([(1, "x", 0)], ROWS))))[1] == "x"
+
+
+def test_a_batch_is_taken_once(spark, tmp_path):
+    t = BucketTable.create(spark.createDataFrame([], ROWS), str(tmp_path / "t"), "k")
+    one = t.upsert(spark.createDataFrame([(1, "a", 0)], ROWS), batch=("s", 0))
+    assert one.taken(("s", 0)) and not one.taken(("s", 1)) and not one.taken(("other", 0))
+    assert one.upsert(spark.createDataFrame([(1, "b", 0)], ROWS), batch=("s", 0)).manifest == one.manifest
+    assert kept(one.delete(spark.createDataFrame([(1,)], "k long"), batch=("s", 1))) == []
+
+
+def test_watched_folder_equals_its_batch_twin(spark, tmp_path):
+    folder, path, marks = (str(tmp_path / x) for x in ("in", "t", "marks"))
+    (tmp_path / "in").mkdir()
+    drop = lambda name, rows: (tmp_path / "in" / name).write_text("\n".join(json.dumps(dict(zip(("name", "source", "text"), r, strict=True))) for r in rows) + "\n{not json\n")
+    drop("1.json", [("a", "s", "one"), ("b", "s", "two"), ("c", "s", None)])
+    first = watch.sync(spark, folder, path, marks)
+    assert watch.sync(spark, folder, path, marks) == first  # nothing is taken twice
+    drop("2.json", [("a", "s", "one more"), ("d", "s", "t w o")])
+    watch.sync(spark, folder, path, marks)
+    got = sorted((r.name, r.version, r.text) for r in watch.store(spark, path).read().collect())
+    assert got == [("a", 1, "one"), ("a", 2, "one more"), ("b", 1, "two")]  # d has b's text
+    assert sorted((r.name, r.version) for r in watch.documents(spark, path, deleted=("b",)).collect()) == [("a", 2)]
+    twin = str(tmp_path / "twin")
+    for n, f in enumerate(("1.json", "2.json")):
+        watch.ingest_batch(spark.read.schema(watch.ROW).option("mode", "DROPMALFORMED").json(f"{folder}/{f}"), twin, "w", n)
+        watch.ingest_batch(spark.read.schema(watch.ROW).option("mode", "DROPMALFORMED").json(f"{folder}/{f}"), twin, "w", n)  # replayed
+    assert sorted((r.name, r.version, r.text) for r in watch.store(spark, twin).read().collect()) == got
