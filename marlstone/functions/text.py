@@ -115,6 +115,11 @@ def content_hash(text: Column) -> Column:
     return F.sha2(F.regexp_replace(text, "(?U)\\s+", ""), 256)
 
 
+def evidence_hash(hashes: Column) -> Column:
+    """sha256 of the sorted content hashes of one answer's evidence, joined by '|'; nulls are left out."""
+    return F.sha2(F.array_join(F.array_sort(F.filter(hashes, lambda h: h.isNotNull())), "|"), 256)
+
+
 def short_hash(text: Column) -> Column:
     """First 12 hex digits of the md5 of the raw text."""
     return F.substring(F.md5(text.cast("binary")), 1, 12)

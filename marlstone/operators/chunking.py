@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import let, short_hash
+from marlstone.operators.ordering import numbered
 from marlstone.session import ship
 
 # What headings look like, by level, and what is none.
@@ -196,10 +197,22 @@ def markdown_entries(files: DataFrame, path: str = "path", text: str = "text") -
     return e.select(path, "pos", F.trim(F.substring_index("part", "\n", 1)).alias("title"), F.trim(F.regexp_replace("part", "^[^\\n]*\\n?", "")).alias("body"))
 
 
-def uniform_sample(rows: DataFrame, n: int, limit: int, pos: str) -> DataFrame:
-    """limit rows spread evenly over n rows numbered by pos from 0: the nearest to i * (n - 1) / (limit - 1), half to even."""
-    at = rows.sparkSession.range(limit).select(F.bround(F.col("id") * (n - 1) / max(limit - 1, 1)).cast("long").alias(pos)).distinct()
-    return rows.join(F.broadcast(at), pos, "left_semi")  # limit rows
+def uniform_sample(rows: DataFrame, limit: int, *order: str) -> DataFrame:
+    """limit rows spread evenly over all rows in the order given: those at the places nearest to i * (n - 1) / (limit - 1),
+    half to even. All rows, where there are no more."""
+    placed = numbered(rows, *order, name="__pos")
+    n = placed.count()
+    at = rows.sparkSession.range(limit).select(F.bround(F.col("id") * (n - 1) / max(limit - 1, 1)).cast("long").alias("__pos")).distinct()
+    return (placed if n <= limit else placed.join(F.broadcast(at), "__pos", "left_semi")).drop("__pos")  # limit rows
+
+
+def stable_ids(chunks: DataFrame, title: str = "title", group: str = "source", order: str = "pos") -> DataFrame:
+    """chunks with chunk_id: ten digits of the title's sha1, with _2, _3 and so on where a group repeats a title, in
+    order (the first has no number). Null titles are empty."""
+    base = F.substring(F.sha1(F.coalesce(F.col(title), F.lit("")).cast("binary")), 1, 10)
+    n = F.row_number().over(Window.partitionBy(group, "__base").orderBy(order))
+    out = chunks.withColumn("__base", base).withColumn("__n", n)
+    return out.withColumn("chunk_id", F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat("__base", F.lit("_"), F.col("__n").cast("string")))).drop("__base", "__n")
 
 
 def weighted_choice(rows: DataFrame, weights: dict[str, float], key: Column) -> DataFrame:

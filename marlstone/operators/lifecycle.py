@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.ordering import numbered
+
 
 def upsert(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """base without the keys of new, and new (its last row per key by __seq, if there is one)."""
@@ -72,12 +74,10 @@ def move_tickets(tickets: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def promote(bad: DataFrame, golden: DataFrame, trace: str = "trace_id") -> DataFrame:
-    """golden with the bad cases whose trace it lacks, numbered on from its largest number."""
-    top = golden.agg(F.coalesce(F.max(F.regexp_extract("id", "([0-9]+)$", 1).cast("long")), F.lit(0)).alias("top"))
-    fresh = bad.join(golden, trace, "left_anti")
-    # Few cases are promoted at a time: one window numbers them.
-    n = F.row_number().over(Window.orderBy(trace))
-    fresh = fresh.crossJoin(F.broadcast(top)).withColumn("id", F.concat(F.lit("bad_"), (F.col("top") + n).cast("string"))).drop("top")  # one row
+    """golden with the bad cases whose trace it lacks, in the order of traces, numbered on from its largest number."""
+    top = golden.agg(F.coalesce(F.max(F.regexp_extract("id", "([0-9]+)$", 1).cast("long")), F.lit(0)).alias("top")).first().top
+    fresh = numbered(bad.join(golden, trace, "left_anti"), trace, name="__pos")
+    fresh = fresh.withColumn("id", F.concat(F.lit("bad_"), (F.col("__pos") + top + 1).cast("string"))).drop("__pos")
     return golden.unionByName(fresh, allowMissingColumns=True)
 
 

@@ -9,32 +9,56 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.session import cut
+
 # Risk classes of products and investors, lowest first.
 RISK_CLASSES = ("R1", "R2", "R3", "R4", "R5")
 
 
-def floor_percentiles(rows: DataFrame, groups: Sequence[str], value: str, ps: dict[str, float], cuts: int = 64) -> DataFrame:
-    """groups and one column per entry of ps (name -> p): the value at place min(n - 1, floor(n * p)), counted from 0.
+def _at_places(rows: DataFrame, groups: Sequence[str], value: str, places: dict[str, Column], cuts: int) -> DataFrame:
+    """__g, __total and for each name the value at its place, from 0 (an expression over __total, the group's values).
 
-    Exact, and no group's values meet in one task: equal values are counted first, cut points split each group into
-    ranges, and only the ranges that hold a wanted place are put in order. Nulls don't count; a group without values
-    has no row. A null is a group like any other.
+    No group's values meet in one task: equal values are counted first, cut points split each group into ranges, and only
+    the ranges that hold a wanted place are put in order.
     """
     key = F.struct(F.lit(0).alias("__all"), *groups)
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(key.alias("__g"), F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    counts = cut(rows.filter(F.col(value).isNotNull()).groupBy(key.alias("__g"), F.col(value).alias("__v")).agg(F.count("*").alias("__n")))
     points = counts.groupBy("__g").agg(F.percentile_approx("__v", [i / cuts for i in range(1, cuts)], 1000).alias("__cuts"))
     at = counts.join(points, "__g").withColumn("__b", F.size(F.filter("__cuts", lambda x: x < F.col("__v")))).drop("__cuts")
     ranges = at.groupBy("__g", "__b").agg(F.sum("__n").alias("__m"))
     whole = Window.partitionBy("__g")
     ranges = ranges.withColumn("__end", F.sum("__m").over(whole.orderBy("__b"))).withColumn("__total", F.sum("__m").over(whole))
-    names = F.explode(F.array(*[F.struct(F.lit(n).alias("__name"), F.lit(float(p)).alias("__p")) for n, p in ps.items()]))
-    place = F.least(F.col("__total") - 1, F.floor(F.col("__total") * F.col("__x.__p")))
-    wanted = ranges.withColumn("__x", names).withColumn("__k", place).filter((F.col("__end") - F.col("__m") <= F.col("__k")) & (F.col("__k") < F.col("__end")))
-    wanted = wanted.select("__g", "__b", "__x.__name", (F.col("__k") - F.col("__end") + F.col("__m")).alias("__rest"))
+    names = F.explode(F.array(*[F.struct(F.lit(n).alias("__name"), k.cast("long").alias("__k")) for n, k in places.items()]))
+    wanted = ranges.select("__g", "__b", "__m", "__end", "__total", names.alias("__x")).select("__g", "__b", "__m", "__end", "__total", "__x.*")
+    wanted = wanted.filter((F.col("__end") - F.col("__m") <= F.col("__k")) & (F.col("__k") < F.col("__end")))
+    wanted = wanted.select("__g", "__b", "__total", "__name", (F.col("__k") - F.col("__end") + F.col("__m")).alias("__rest"))
     run = Window.partitionBy("__g", "__b").orderBy("__v")
     near = at.join(wanted.select("__g", "__b").distinct(), ["__g", "__b"], "left_semi").withColumn("__to", F.sum("__n").over(run))
     hit = near.join(wanted, ["__g", "__b"]).filter((F.col("__to") - F.col("__n") <= F.col("__rest")) & (F.col("__rest") < F.col("__to")))
-    return hit.groupBy("__g").pivot("__name", list(ps)).agg(F.first("__v")).select(*[F.col("__g")[g].alias(g) for g in groups], *ps)
+    return hit.groupBy("__g", "__total").pivot("__name", list(places)).agg(F.first("__v"))
+
+
+def floor_percentiles(rows: DataFrame, groups: Sequence[str], value: str, ps: dict[str, float], cuts: int = 64) -> DataFrame:
+    """groups and one column per entry of ps (name -> p): the value at place min(n - 1, floor(n * p)), counted from 0.
+
+    Exact (see _at_places). Nulls don't count; a group without values has no row. A null is a group like any other.
+    """
+    place = lambda p: F.least(F.col("__total") - 1, F.floor(F.col("__total") * F.lit(float(p))))
+    found = _at_places(rows, groups, value, {n: place(p) for n, p in ps.items()}, cuts)
+    return found.select(*[F.col("__g")[g].alias(g) for g in groups], *ps)
+
+
+def linear_percentiles(rows: DataFrame, groups: Sequence[str], value: str, ps: dict[str, float], cuts: int = 64) -> DataFrame:
+    """groups and one column per entry of ps (name -> p): between the two values around place (n - 1) * p, in proportion.
+
+    Exact (see _at_places). Nulls don't count; a group without values has no row. A null is a group like any other.
+    """
+    at = lambda p: (F.col("__total") - 1) * F.lit(float(p))
+    places = {f"{n}{side}": f(at(p)) for n, p in ps.items() for side, f in (("<", F.floor), (">", F.ceil))}
+    found = _at_places(rows, groups, value, places, cuts)
+    low = lambda n: F.col(f"`{n}<`").cast("double")
+    mixed = [(low(n) + (F.col(f"`{n}>`").cast("double") - low(n)) * (at(p) - F.floor(at(p)))).alias(n) for n, p in ps.items()]
+    return found.select(*[F.col("__g")[g].alias(g) for g in groups], *mixed)
 
 
 def sli_snapshot(requests: DataFrame, now: datetime, hours: int = 24) -> DataFrame:

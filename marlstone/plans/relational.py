@@ -140,8 +140,6 @@ sql("a2_totals", "SELECT count(*) AS n, coalesce(sum(o_totalprice), 0) AS total
 sql("a3_status_counts", "SELECT o_orderstatus, count(*) AS n FROM {orders} GROUP BY o_orderstatus")
 sql("a4_handoff_rate", "SELECT round(count(*) FILTER (WHERE event_type = 'error') * 100.0D / greatest(count(*), 1), 1) AS rate FROM {events}",
     "SELECT round(count(*) FILTER (WHERE event_type = 'error') * 100.0 / greatest(count(*), 1), 1)::DOUBLE AS rate FROM events")
-sql("a7_percentile_linear", "SELECT event_type, round(percentile(value, 0.5), 6) AS p50, round(percentile(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean, min(value) AS lo, max(value) AS hi FROM {events} GROUP BY event_type",
-    "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type")
 sql("a10_ticket_sla", """
 SELECT round(avg(CASE WHEN days >= 0 THEN days END), 6) AS mean_days, round(avg(CASE WHEN days >= 0 THEN CASE WHEN days <= 30 THEN 1.0D ELSE 0.0D END END), 6) AS within
 FROM (SELECT datediff(l_shipdate, o_orderdate) AS days FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey) x""", """

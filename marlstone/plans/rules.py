@@ -354,8 +354,11 @@ def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 sql("f33_kb_version", "SELECT substring(sha2(array_join(array_sort(collect_list(concat(source, ':', h))), ';'), 256), 1, 12) AS version FROM (SELECT source, md5(CAST(sum(n_chars) AS STRING)) AS h FROM {documents} GROUP BY source) x",
     "SELECT substring(sha256(list_aggregate(list_sort(list(source || ':' || h)), 'string_agg', ';')), 1, 12) AS version FROM (SELECT source, md5(CAST(sum(n_chars) AS VARCHAR)) AS h FROM documents GROUP BY source) x")
-sql("f34_evidence_hash", "SELECT source, sha2(array_join(array_sort(collect_list(md5(text))), '|'), 256) AS h FROM {documents} GROUP BY source",
-    "SELECT source, sha256(list_aggregate(list_sort(list(md5(text))), 'string_agg', '|')) AS h FROM documents GROUP BY source")
+@plan("f34_evidence_hash", "SELECT l_orderkey, sha256(list_aggregate(list_sort(list(md5('part-' || l_partkey))), 'string_agg', '|')) AS h FROM lineitem GROUP BY l_orderkey")
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash of the evidence of each order, its parts: a handful for each."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.md5(F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).cast("binary")).alias("m"))
+    return lines.groupBy("l_orderkey").agg(tx.evidence_hash(F.collect_list("m")).alias("h"))
 
 
 @plan("f35_order_rules", "SELECT o_orderkey, CASE WHEN o_totalprice >= 99 THEN 0.0 ELSE 8.0 END::DOUBLE AS fee, date_diff('day', o_orderdate::DATE, DATE '1998-01-01') BETWEEN 0 AND 7 AS refundable FROM orders")

@@ -171,3 +171,12 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = _catalog(spark, sf_dir).filter("pos % 10 <> 0").withColumnRenamed("id", "product_id")
     held = b.filter("l_returnflag = 'R'").select(F.col("o_custkey").alias("user_id"), product)
     return sv.subscription_gate(asked, _profiles(spark, sf_dir), catalog, held).select("l_orderkey", "l_linenumber", "gate")
+
+
+@plan("a7_percentile_linear", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type")
+def linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and 95th percentile, interpolated, with mean and extremes of each event type."""
+    e = table(spark, sf_dir, "events")
+    ps = sv.linear_percentiles(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    rest = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return rest.join(ps, "event_type").select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "mean", "lo", "hi")
