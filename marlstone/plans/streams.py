@@ -28,10 +28,10 @@ def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("m3_dialog_state")
 def dialog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dialog state after each turn."""
-    t = table(spark, sf_dir, "conversations")
+    """Dialog state after each turn; turns come ever more slowly, and a session that was silent for half an hour begins anew."""
+    t = table(spark, sf_dir, "conversations").withColumn("at", F.timestamp_seconds(F.col("turn") * F.col("turn") * 300))
     x = F.col("text")
-    return st.dialog_state(t.select("conv_id", "turn", fallback_intent(x, LEX)["intent"].alias("intent"), slots(x, LEX)["product"].alias("product"), any_of(x, LEX.complaint + LEX.anxiety).alias("negative")))
+    return st.dialog_state(t.select("conv_id", "at", "turn", fallback_intent(x, LEX)["intent"].alias("intent"), slots(x, LEX)["product"].alias("product"), any_of(x, LEX.complaint + LEX.anxiety).alias("negative")))
 
 
 @plan("m4_sessions", """WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -6,6 +6,7 @@ event time bounds it by a watermark.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -98,6 +99,10 @@ def circuit_breaker(events: DataFrame, threshold: int = 5, timeout: float = 30.0
     return done.withColumnRenamed("key", key)
 
 
+#: The state of a session before its first turn; last, when its last turn was.
+FRESH = ("", "", 0, 0, "", "", -1)
+
+
 def dialog_steps(state: tuple, turns: Iterable[tuple[int, str, str, bool]]) -> tuple[tuple, list[tuple]]:
     """Dialog state over (turn, intent, product, negative): the intent stack, carried product, counts.
 
@@ -122,20 +127,37 @@ def dialog_steps(state: tuple, turns: Iterable[tuple[int, str, str, bool]]) -> t
     return (last, product, negative, count, "|".join(stack), "|".join(hist)), out
 
 
-def dialog_state(turns: DataFrame, key: str = "conv_id", ttl_ms: int = 30 * 60 * 1000) -> DataFrame:
-    """key, turn, intent, product, negative_turns, turn_count, topics after each turn (key, turn, intent, product, negative).
+def _sessions_of(state: tuple, turns: Iterable[tuple], ttl_ms: int) -> tuple[tuple, list[tuple]]:
+    """Dialog states over turns (at in ms, turn, intent, product, negative) in order: a gap of more than ttl_ms begins anew.
 
-    On a stream, a session's state goes after ttl_ms without a turn (processing time).
+    state: that of dialog_steps and, last, when the last turn was (-1: never).
+    """
+    out: list[tuple] = []
+    for at, *turn in turns:
+        if 0 <= state[-1] < at - ttl_ms:
+            state = FRESH
+        new, seen = dialog_steps(state[:-1], [tuple(turn)])
+        state = (*new, int(at))
+        out += seen
+    return state, out
+
+
+def dialog_state(turns: DataFrame, key: str = "conv_id", ttl: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """key, turn, intent, product, negative_turns, turn_count, topics after each turn (key, at timestamp, turn, intent,
+    product, negative), in the order of at, then turn. A session that is silent for longer than ttl begins anew; turns
+    without a time are left out.
+
+    On a stream, turns may come out of order by `late`: each waits in its session's state until the watermark has passed
+    it, then is taken in order; what comes later than that is left out. A timer wakes a session for its waiting turns, and
+    removes its state once it has been silent for ttl: state doesn't grow with the sessions there have been.
     """
-    ship(turns.sparkSession)
-    rows = turns.select(F.col(key).cast("long").alias("key"), F.col("turn").cast("int").alias("turn"), "intent", F.coalesce("product", F.lit("")).alias("product"), "negative")
+    spark = turns.sparkSession
+    ship(spark)
+    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
+    rows = turns.filter("at is not null").select(F.col(key).cast("long").alias("key"), "at", F.col("turn").cast("int").alias("turn"), "intent", F.coalesce("product", F.lit("")).alias("product"), F.coalesce("negative", F.lit(False)).alias("negative"))
     cols = ["turn", "intent", "product", "negative_turns", "turn_count", "topics"]
     out = "key long, turn int, intent string, product string, negative_turns int, turn_count int, topics string"
-    fresh = ("", "", 0, 0, "", "")
-
-    def take(f: pd.DataFrame) -> Iterable[tuple]:
-        f = f.sort_values("turn")
-        return zip(f["turn"], f["intent"], f["product"], f["negative"], strict=True)
+    ms = F.unix_millis("at").alias("ms")
 
     def frame(k: int, seen: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(seen, columns=cols).assign(key=k)[["key", *cols]]
@@ -143,18 +165,33 @@ def dialog_state(turns: DataFrame, key: str = "conv_id", ttl_ms: int = 30 * 60 *
     if turns.isStreaming:
 
         def on(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-            if state.hasTimedOut:
+            *held, waiting = state.get if state.exists else (*FRESH, "[]")
+            turns = [tuple(x) for x in json.loads(waiting)]
+            for f in () if state.hasTimedOut else frames:
+                turns += list(zip(f["ms"].tolist(), f["turn"].tolist(), f["intent"].tolist(), f["product"].tolist(), f["negative"].tolist(), strict=True))
+            mark = state.getCurrentWatermarkMs()
+            turns.sort()
+            ready = [t for t in turns if t[0] <= mark]
+            rest = turns[len(ready) :]
+            new, seen = _sessions_of(tuple(held), ready, ttl_ms)
+            if not rest and new[-1] + ttl_ms < mark:
                 state.remove()
-                return
-            new, seen = dialog_steps(state.get if state.exists else fresh, take(pd.concat(list(frames))))
-            state.update(new)
-            state.setTimeoutDuration(ttl_ms)
-            yield frame(k[0], seen)
-
-        st = "last string, product string, negative int, count int, topics string, history string"
-        done = rows.groupBy("key").applyInPandasWithState(on, out, st, "append", "ProcessingTimeTimeout")
+            else:
+                state.update((*new, json.dumps(rest)))
+                # The next waiting turn's time, or when the session will have been silent for too long.
+                state.setTimeoutTimestamp(max(rest[0][0] if rest else new[-1] + ttl_ms, mark) + 1)
+            if seen:
+                yield frame(k[0], seen)
+
+        st = "last string, product string, negative int, count int, topics string, history string, at long, waiting string"
+        done = rows.withWatermark("at", late).select("key", "at", ms, "turn", "intent", "product", "negative").groupBy("key").applyInPandasWithState(on, out, st, "append", "EventTimeTimeout")
     else:
-        done = rows.groupBy("key").applyInPandas(lambda f: frame(f["key"].iloc[0], dialog_steps(fresh, take(f))[1]), out)
+
+        def whole(f: pd.DataFrame) -> pd.DataFrame:
+            f = f.sort_values(["ms", "turn", "intent", "product"])
+            return frame(f["key"].iloc[0], _sessions_of(FRESH, zip(f["ms"], f["turn"], f["intent"], f["product"], f["negative"], strict=True), ttl_ms)[1])
+
+        done = rows.select("key", ms, "turn", "intent", "product", "negative").groupBy("key").applyInPandas(whole, out)
     return done.withColumnRenamed("key", key)
 
 

@@ -1,5 +1,7 @@
 """Operators on literal frames and edge cases."""
 
+from datetime import UTC, datetime
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st_
@@ -143,10 +145,40 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+TURN = "conv_id long, at timestamp, turn int, intent string, product string, negative boolean"
+
+
+def at(seconds):
+    return datetime.fromtimestamp(1_700_000_000 + seconds, UTC)
+
+
 def test_dialog_state_carries_slots_and_topics(spark):
-    rows = [(1, 1, "a", "p", False), (1, 2, "b", None, True), (1, 3, "b", None, True), (1, 4, "a", "q", False)]
-    got = st.dialog_state(spark.createDataFrame(rows, "conv_id long, turn int, intent string, product string, negative boolean")).orderBy("turn").collect()
-    assert [(x.product, x.negative_turns, x.turn_count, x.topics) for x in got] == [("p", 0, 1, ""), ("p", 1, 1, "a"), ("p", 2, 2, "a"), ("q", 0, 1, "")]
+    rows = [(1, at(60), 1, "a", "p", False), (1, at(70), 2, "b", None, True), (1, at(80), 3, "b", None, True), (1, at(90), 4, "a", "q", False), (1, None, 5, "a", "q", False), (1, at(90 + 1801), 6, "a", None, None)]
+    got = st.dialog_state(spark.createDataFrame(rows, TURN)).orderBy("turn").collect()
+    assert [(x.product, x.negative_turns, x.turn_count, x.topics) for x in got] == [("p", 0, 1, ""), ("p", 1, 1, "a"), ("p", 2, 2, "a"), ("q", 0, 1, ""), ("", 0, 1, "")]
+
+
+def test_dialog_stream_takes_turns_in_order_and_forgets_silent_sessions(spark, tmp_path):
+    drops = [
+        [(1, at(0), 1, "a", "p", False), (1, at(120), 3, "b", None, True), (2, at(5), 1, "a", "x", False)],
+        [(1, at(60), 2, "a", None, True), (3, at(900), 1, "c", None, False)],  # turn 2 comes late, within the watermark
+        [(1, at(4000), 4, "a", None, True), (3, at(8000), 2, "c", None, False)],  # sessions that were silent begin anew
+        [(9, at(20_000), 1, "z", None, False), (1, at(10), 7, "late", None, False)],  # too late: left out
+        [(9, at(40_000), 2, "z", None, False)],
+    ]
+    src, marks = tmp_path / "in", tmp_path / "marks"
+    for i, rows in enumerate(drops):
+        spark.createDataFrame(rows, TURN).coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(TURN).parquet(str(src))
+        done = st.dialog_state(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(marks)).trigger(availableNow=True).start()
+        done.awaitTermination()
+        progress = done.lastProgress or progress  # noqa: F821
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    every = [r for rows in drops for r in rows if r[3] != "late"]
+    want = sorted(map(tuple, st.dialog_state(spark.createDataFrame(every, TURN)).filter("conv_id <> 9 or turn = 1").collect()))
+    assert got == want and [x[4] for x in want if x[0] == 1] == [0, 1, 2, 1]
+    # Only the session whose turns still wait is left.
+    assert progress["stateOperators"][0]["numRowsTotal"] == 1
 
 
 def test_gateway_cache_thresholds_and_guards(spark):
