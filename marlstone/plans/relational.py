@@ -166,36 +166,6 @@ sql("a33_upload_outcomes", "SELECT count(*) FILTER (WHERE n_chars > 500) AS acce
 sql("a34_uncovered", "SELECT count(*) FILTER (WHERE l.doc_id IS NULL) AS uncovered FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
 sql("a35_parent_children", "SELECT l_orderkey, count(*) AS children, sum(l_quantity) AS quantity FROM {lineitem} GROUP BY l_orderkey")
 
-# --- windows -------------------------------------------------------------------------------------------------------------
-sql("w1_latest_version", "SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS rn FROM {documents}) x WHERE rn = 1")
-sql("w2_version_chain", """
-SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS version, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS prev_id
-FROM (SELECT source, doc_id, md5(text) AS h, lag(md5(text)) OVER (PARTITION BY source ORDER BY doc_id) AS ph FROM {documents}) x WHERE ph IS NULL OR h <> ph""")
-sql("w3_last_turns", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM {conversations}) x WHERE rn <= 5")
-sql("w4_distinct_interests", """
-SELECT user_id, event_type, first_seen FROM (SELECT user_id, event_type, min(event_id) AS first_seen, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id) DESC) AS rn
-  FROM {events} GROUP BY user_id, event_type) x WHERE rn <= 10""")
-_ISLE = """
-WITH f AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS bad FROM {events}),
-g AS (SELECT *, sum(1 - bad) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS grp FROM f)
-SELECT user_id, event_id, CAST(sum(bad) OVER (PARTITION BY user_id, grp ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS negative_turns FROM g"""
-sql("w5_negative_streak", _ISLE)
-sql("w6_turns_in_topic", """
-WITH f AS (SELECT user_id, event_id, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS switched FROM {events}),
-g AS (SELECT *, sum(switched) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS topic FROM f)
-SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, topic ORDER BY event_id) AS turn_count FROM g""")
-sql("w7_slot_carry", "SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END, true) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS slot FROM {events}",
-    "SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS slot FROM events")
-sql("w8_list_position", "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS position FROM {events}")
-sql("w9_lru", "SELECT event_id FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 500")
-sql("w10_hour_buckets", """
-WITH h AS (SELECT explode(sequence(TIMESTAMP '2024-01-10 00:00:00', TIMESTAMP '2024-01-10 23:00:00', INTERVAL 1 HOUR)) AS hour)
-SELECT CAST(h.hour AS TIMESTAMP_NTZ) AS hour, count(e.event_id) AS n FROM h LEFT JOIN {events} e ON CAST(date_trunc('HOUR', e.ts) AS TIMESTAMP) = h.hour GROUP BY h.hour""", """
-WITH h AS (SELECT unnest(range(TIMESTAMP '2024-01-10 00:00:00', TIMESTAMP '2024-01-11 00:00:00', INTERVAL 1 HOUR)) AS hour)
-SELECT h.hour, count(e.event_id) AS n FROM h LEFT JOIN events e ON date_trunc('hour', e.ts) = h.hour GROUP BY h.hour""")
-sql("w11_sample_cap", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY date_trunc('DAY', ts) ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) x WHERE rn <= 200")
-sql("w12_ring_buffer", "SELECT event_id, event_type FROM {events} WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 500")
-
 # --- top-k ---------------------------------------------------------------------------------------------------------------
 sql("l1_top_k", "SELECT event_id, value FROM {events} ORDER BY value DESC, event_id LIMIT 25")
 sql("l2_page", "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey DESC LIMIT 20 OFFSET 40")
