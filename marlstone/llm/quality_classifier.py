@@ -26,15 +26,15 @@ CHUNK = 1 << 20
 
 @dataclass(frozen=True)
 class CoTraining:
-    """labelled: rows at most that fitting takes, the first by a hash of their id; rounds; sure: least calibrated
-    probability of a pseudo-label; share of pool (500): documents that one view gives one label per round at most, the surest
-    of all unlabelled ones; threshold: of kept."""
+    """labelled: rows at most that fitting takes, the first by a hash of their id; least: labelled documents of each kind
+    without which nothing is fitted; rounds; sure: least calibrated probability of a pseudo-label; given: documents that one
+    view gives one label per round at most, the surest of all unlabelled ones; threshold: of kept."""
 
     labelled: int = 9000
-    pool: int = 5000
+    least: int = 10
+    given: int = 500
     rounds: int = 3
     sure: float = 0.95
-    share: float = 0.1
     threshold: float = 0.5
 
 
@@ -182,8 +182,8 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
 
     A document is good if all its labels say quality 1 and none says toxic; label rows without id or quality are
     left out. Null text: empty. Null metadata is a value of its own. Repeated rows are scored alike. With fewer than
-    10 good or 10 bad labelled documents nothing can be learnt: scores are null and every document is kept. Extra
-    columns are not read. An empty table gives no rows.
+    co.least good or bad labelled documents nothing can be fitted: scores are null and every document is kept, whatever
+    the table's size. Extra columns are not read. An empty table gives no rows.
     """
     c = co or CoTraining()
     spark = docs.sparkSession
@@ -220,13 +220,12 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
 
         every = src.filter("id is not null").withColumn("key", key).mapInPandas(views, "id long, key long, p0 double, p1 double")
         scored = cut(every.groupBy("id").agg(F.min_by(F.struct("p0", "p1"), "key").alias("p")).select("id", "p.*").join(told.select("id"), "id", "left_anti"))
-        most = max(1, int(c.share * c.pool))
         out: list[dict] = [{}, {}]
         for teacher in (0, 1):
             for label in (1, 0):
                 sure = F.col(f"p{teacher}") if label else 1 - F.col(f"p{teacher}")
-                best = scored.select("id", sure.alias("sure")).filter(F.col("sure") >= c.sure).orderBy(F.desc("sure"), F.xxhash64("id"), "id").limit(most)
-                out[teacher].update({x.id: label for x in best.collect()})  # at most share of pool
+                best = scored.select("id", sure.alias("sure")).filter(F.col("sure") >= c.sure).orderBy(F.desc("sure"), F.xxhash64("id"), "id").limit(c.given)
+                out[teacher].update({x.id: label for x in best.collect()})  # at most c.given
         ids = sorted(out[0].keys() | out[1].keys())
         got = collected(spark.createDataFrame([(i, -1) for i in ids], "id long, y int")) if ids else pd.DataFrame(columns=["id", "words", "form", "meta"])
         sent.unpersist()
@@ -235,7 +234,7 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
     got = collected(some)
     y = got["y"].to_numpy()
     out = "id long, p_text double, p_meta double, score double, kept boolean"
-    if not len(got) or (y == 1).sum() < 10 or (y == 0).sum() < 10:
+    if not len(got) or min((y == 1).sum(), (y == 0).sum()) < max(c.least, 1):
         null = F.lit(None).cast("double")
         return src.select(F.col("id").alias(id_col), null.alias("p_text"), null.alias("p_meta"), null.alias("score"), F.lit(True).alias("kept"))
     model = co_train([np.asarray(w, np.int64) for w in got["words"]], np.stack(got["form"].to_numpy()), np.stack(got["meta"].to_numpy()), y, c, surest)

@@ -253,7 +253,7 @@ def test_classifier_takes_the_surest_of_all_unlabelled_documents(spark, monkeypa
         return own(words, form, m, y, c, told)
 
     monkeypatch.setattr(quality_classifier, "co_train", spied)
-    co = quality_classifier.CoTraining(pool=60, share=0.1, sure=0.6)
+    co = quality_classifier.CoTraining(given=6, sure=0.6)
     assert quality_classifier.classify(d, labels, co=co).count() == len(rows) + 300
     rare = {x[0] for x in rows if x[0] >= 1000 and x[2] == "zz"}
     bad = {i for i, label in seen[0][1].items() if label == 0}
