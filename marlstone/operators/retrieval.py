@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
@@ -186,12 +186,18 @@ def centroid_clusters(rows: DataFrame, least: float = 0.75) -> DataFrame:
     return rows.groupBy("part").applyInPandas(go, "part long, id long, cluster int")
 
 
+def _slots(at: Column, ttl: int, back: bool) -> Column:
+    """Spans of ttl seconds: that of an entry's creation, or (back) the two that a query's live entries were created in."""
+    slot = F.floor(at / max(ttl, 1)).cast("long")
+    return F.explode(F.array(slot - 1, slot)) if back else slot
+
+
 def cache_lookup(queries: DataFrame, cache: DataFrame, features, similarity, l2_least: float = 0.5, l3_least: float = 0.9, ttl: int = 3600) -> DataFrame:
     """qid, hit, tier, score of (qid, text, qv, at) against (key, text, v, created): exact key, then similarity, then cosine.
 
     Each tier only sees what the ones before missed; entries older than ttl seconds don't count. Best match, ties
-    to the smaller key. features: of a text, computed once per row; similarity: of two of them. Blocks of queries
-    meet the live entries; the cache is bounded by its own eviction.
+    to the smaller key. features: of a text, computed once per row; similarity: of two of them. Queries meet the
+    entries of their two spans of ttl seconds by equality, whatever the cache's size; entries outside can't be live.
     """
     live = cache.withColumn("ckey", tx.cache_key(F.col("text")))
     q = queries.withColumn("qkey", tx.cache_key(F.col("text"))).withColumn("qf", features(F.col("text")))
@@ -199,10 +205,12 @@ def cache_lookup(queries: DataFrame, cache: DataFrame, features, similarity, l2_
     best = lambda d, t: d.groupBy("qid").agg(F.max_by(F.struct(F.col("key").alias("hit"), F.col("score")), F.struct("score", (-F.col("key")).alias("neg"))).alias("b")).select("qid", "b.hit", F.lit(t).alias("tier"), "b.score")
     c = live.select("key", features(F.col("text")).alias("cf"), "v", "created", "ckey")
     l1 = best(q.join(c, q["qkey"] == c["ckey"]).filter(fresh).withColumn("score", F.lit(1.0)), 1)
+    c = c.withColumn("slot", _slots(F.col("created"), ttl, False))
+    asked = lambda d: d.withColumn("slot", _slots(F.col("at"), ttl, True)).join(c, "slot")
     rest = q.join(l1, "qid", "left_anti")
-    l2 = best(rest.crossJoin(_hint(c)).filter(fresh).withColumn("score", similarity(F.col("qf"), F.col("cf"))).filter(F.col("score") >= l2_least), 2)
+    l2 = best(asked(rest).filter(fresh).withColumn("score", similarity(F.col("qf"), F.col("cf"))).filter(F.col("score") >= l2_least), 2)
     rest = rest.join(l2, "qid", "left_anti")
-    l3 = best(rest.crossJoin(_hint(c)).filter(fresh).withColumn("score", tx.cosine(F.col("qv"), F.col("v"))).filter(F.col("score") >= l3_least), 3)
+    l3 = best(asked(rest).filter(fresh).withColumn("score", tx.cosine(F.col("qv"), F.col("v"))).filter(F.col("score") >= l3_least), 3)
     return l1.unionByName(l2).unionByName(l3)
 
 
@@ -213,10 +221,10 @@ def gateway_lookup(queries: DataFrame, cache: DataFrame, high: float = 0.93, low
     its creation. Years and order numbers must agree; below high (tier 'near'; 'same' from high on) so must a share of
     the two-character sequences. Only the nearest entry is asked. Blank queries and zero vectors find nothing.
     """
-    q = _hint(queries.filter(F.trim("text") != "").select("qid", F.col("text").alias("asked"), "qv", "at"))
+    q = queries.filter(F.trim("text") != "").select("qid", "qv", "at", _slots(F.col("at"), ttl, True).alias("slot"))
     score = tx.cosine(F.col("v"), F.col("qv"))
     live = (F.col("created") <= F.col("at")) & (F.col("at") - F.col("created") <= ttl)
-    pairs = cache.join(q, live).select("qid", "key", F.round(score, 9).alias("score")).filter(F.col("score") >= low)
+    pairs = cache.withColumn("slot", _slots(F.col("created"), ttl, False)).join(q, "slot").filter(live).select("qid", "key", F.round(score, 9).alias("score")).filter(F.col("score") >= low)
     best = pairs.groupBy("qid").agg(F.max(F.struct("score", (-F.col("key")).alias("less"))).alias("x")).select("qid", F.col("x.score").alias("score"), (-F.col("x.less")).alias("key"))
     both = best.join(queries.select("qid", F.col("text").alias("asked")), "qid").join(cache.select("key", "text"), "key")
     x, y = tx.ngrams(F.col("asked"), 2), tx.ngrams(F.col("text"), 2)
