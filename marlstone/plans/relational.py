@@ -66,31 +66,12 @@ sql("s20_log_scan", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT)
 sql("p1_chunk_browse", "SELECT doc_id, source, substring(text, 1, 40) AS head FROM {documents} WHERE source = 'src3' AND text LIKE '%the%' ORDER BY doc_id LIMIT 20 OFFSET 5")
 sql("p6_orders_by_status", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM {orders} WHERE o_orderstatus = 'O' ORDER BY o_orderkey")
 sql("p10_cache_admissible", "SELECT event_id, event_type FROM {events} WHERE event_type NOT IN ('error', 'signup') AND value > 0 AND props NOT LIKE 'Error%'")
-sql("p11_low_confidence_queue", """
-SELECT event_id, CASE WHEN value < 10 THEN 'high' WHEN value < 30 THEN 'medium' ELSE 'low' END AS severity,
-  CASE WHEN value < 10 THEN 0 WHEN value < 30 THEN 1 ELSE 2 END AS severity_rank
-FROM {events} WHERE event_type = 'view' ORDER BY 3, 1 LIMIT 200""")
-sql("p14_review_policy", """
-SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'skip' WHEN toxic = 1 THEN 'regenerate' ELSE 'review' END AS route FROM {labels}""")
-sql("p15_agent_dispatch", """
-SELECT event_id, coalesce(node, 'general') AS node FROM {events} LEFT JOIN
-  (SELECT 'view' AS k, 'finance' AS node UNION ALL SELECT 'purchase', 'order' UNION ALL SELECT 'error', 'handoff') m ON event_type = k""")
-sql("p16_task_state", "SELECT o_orderkey, CASE upper(o_orderstatus) WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' WHEN 'F' THEN 'done' ELSE 'failed' END AS state FROM {orders}")
-sql("p18_evidence_format", "SELECT doc_id, concat(substring(text, 1, 1500), ' (', source, ')') AS evidence FROM {documents}")
-sql("p19_trust_badge", "SELECT event_id, CASE WHEN value >= 80 THEN 'high' WHEN value >= 50 THEN 'medium' ELSE 'low' END AS badge FROM {events}")
 sql("p20_log_samples", "SELECT event_id, value FROM {events} WHERE value BETWEEN 0 AND 86400000 AND event_type <> 'error' AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND event_type LIKE '%i%'")
-sql("p21_legacy_review", """
-SELECT event_id, CASE WHEN value >= 85 AND event_type <> 'error' THEN 'skip' WHEN event_id % 4 >= 2 THEN 'exhausted' ELSE 'retry' END AS outcome,
-  CASE WHEN event_id % 4 >= 2 AND value < 85 THEN least(value, 40.0) ELSE value END AS score FROM {events}""")
 
 # --- joins ---------------------------------------------------------------------------------------------------------------
 sql("j1_semi_downvoted", "SELECT o_orderkey FROM {orders} o WHERE EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')")
 sql("j2_scalar_min", "SELECT c.c_custkey, m.low FROM {customer} c LEFT JOIN (SELECT o_custkey, min(o_totalprice) AS low FROM {orders} GROUP BY o_custkey) m ON m.o_custkey = c.c_custkey")
 sql("j3_equi_vectors", "SELECT d.doc_id, d.source, e.label FROM {documents} d JOIN {embeddings} e ON d.doc_id = e.vec_id")
-sql("j4_child_parent", """
-SELECT o_orderkey, o_custkey, l_linenumber FROM (
-  SELECT o_orderkey, o_custkey, l_linenumber, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) AS rn
-  FROM {lineitem} LEFT JOIN {orders} ON l_orderkey = o_orderkey) x WHERE rn = 1 AND o_orderkey IS NOT NULL""")
 sql("j7_anti_known", "SELECT n_name FROM {nation} n WHERE NOT EXISTS (SELECT 1 FROM {supplier} s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 9000)")
 
 
@@ -119,10 +100,6 @@ def full_outer_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lc.diff(old, new, "doc_id", "h")
 
 
-sql("j12_report_compare", """
-WITH base AS (SELECT o_custkey AS id, avg(o_totalprice) AS m FROM {orders} WHERE o_orderkey % 2 = 0 GROUP BY o_custkey),
-     new AS (SELECT o_custkey AS id, avg(o_totalprice) AS m FROM {orders} WHERE o_orderkey % 2 = 1 GROUP BY o_custkey)
-SELECT base.id, CASE WHEN new.m < base.m THEN 'worse' WHEN new.m > base.m THEN 'better' ELSE 'same' END AS verdict FROM base JOIN new ON base.id = new.id""")
 sql("j14_user_scope", "SELECT c_custkey, o_orderkey, o_totalprice FROM {customer} JOIN {orders} ON c_custkey = o_custkey")
 sql("j15_ownership", "SELECT o_orderkey, CASE WHEN o_custkey = 10 THEN 'ok' ELSE 'denied' END AS access FROM {orders}")
 sql("j16_entity_join", "SELECT p_partkey, s_suppkey, n_name FROM {part} JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM {lineitem}) x ON p_partkey = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey")
@@ -147,9 +124,6 @@ SELECT round(avg(CASE WHEN days >= 0 THEN days END), 6) AS mean_days, round(avg(
 FROM (SELECT date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x""")
 sql("a12_duplicate_groups", "SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS first_id FROM {documents} GROUP BY md5(text) HAVING count(*) > 1")
 sql("a24_version_history", "SELECT source, max(doc_id) AS doc_id, max_by(n_chars, doc_id) AS n_chars FROM {documents} GROUP BY source")
-sql("a25_theme_vote", """
-SELECT conv_id, theme, votes FROM (SELECT conv_id, role AS theme, count(*) AS votes, row_number() OVER (PARTITION BY conv_id ORDER BY count(*) DESC, role) AS rn
-  FROM {conversations} WHERE turn < 3 GROUP BY conv_id, role) x WHERE rn = 1 AND votes >= 2""")
 sql("a26_asset_overview", """
 SELECT c_custkey, round(c_acctbal + coalesce(o.total, 0) - coalesce(o.open, 0), 2) AS net FROM {customer} LEFT JOIN
  (SELECT o_custkey, sum(o_totalprice) AS total, sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE 0 END) AS open FROM {orders} GROUP BY o_custkey) o ON o_custkey = c_custkey""")
@@ -170,11 +144,6 @@ sql("a35_parent_children", "SELECT l_orderkey, count(*) AS children, sum(l_quant
 sql("l1_top_k", "SELECT event_id, value FROM {events} ORDER BY value DESC, event_id LIMIT 25")
 sql("l2_page", "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey DESC LIMIT 20 OFFSET 40")
 sql("l3_queue", "SELECT o_orderkey, o_orderdate FROM {orders} WHERE o_orderstatus IN ('O', 'P') ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
-sql("l5_diverse_top_k", """
-WITH r AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rn FROM {events})
-SELECT event_id, event_type FROM r ORDER BY CASE WHEN rn = 1 THEN 0 ELSE 1 END, value DESC, event_id LIMIT 8""")
-sql("l6_first_per_group", "SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM {events}) x WHERE rn <= 4")
-sql("l7_multi_query_merge", "SELECT user_id, max(value) AS score, max_by(event_id, value) AS best FROM {events} GROUP BY user_id ORDER BY score DESC, user_id LIMIT 8")
 sql("l8_last_ascending", "SELECT event_id FROM (SELECT event_id FROM {events} ORDER BY event_id DESC LIMIT 20) x ORDER BY event_id")
 
 # --- sets ----------------------------------------------------------------------------------------------------------------
