@@ -50,7 +50,7 @@ def task_state(state: Column, known: tuple[str, ...] = TASK_STATES, workers: dic
     return F.when(F.lower(raw).isin(*known), F.lower(raw)).otherwise(F.coalesce(_mapped(F.upper(raw), workers or WORKER_STATES), F.lit("failed")))
 
 
-def node_of(intent: Column, nodes: dict[str, str] | None = None, other: str = "finance_node") -> Column:
+def node_of(intent: Column, nodes: dict[str, str] | None = None, other: str = "general_node") -> Column:
     """The node that answers an intent."""
     return F.coalesce(_mapped(intent, nodes or NODES), F.lit(other))
 

@@ -35,7 +35,7 @@ def review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", po.skips_review(v, i, s).alias("skips"), po.after_review(v, F.col("event_id") % 4).alias("next_node"))
 
 
-@plan("p15_agent_dispatch", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'finance_node' WHEN 'error' THEN 'handoff_node' WHEN 'click' THEN 'chitchat_node' ELSE 'finance_node' END AS node FROM events")
+@plan("p15_agent_dispatch", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'finance_node' WHEN 'error' THEN 'handoff_node' WHEN 'click' THEN 'chitchat_node' ELSE 'general_node' END AS node FROM events")
 def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The node that answers each event's intent."""
     intent = F.when(F.col("event_type") == "purchase", "buy_process").when(F.col("event_type") == "error", "complaint").when(F.col("event_type") == "click", "chitchat")
