@@ -18,27 +18,28 @@ from marlstone.session import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and every certified cutoff."""
+    """Documents that pass the base rules and every certified cutoff. Null and empty texts fail; repeated rows pass alike."""
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the 5-word shingle join at 0.8."""
+    """One document of each component of the 5-word shingle join at 0.8: the smallest id's. Texts without words are
+    components of their own; of rows that repeat id and text one stays."""
     return ngram_join.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked; n_chars follows the text."""
+    """Documents with personal data masked; n_chars follows the text. Null texts stay null, repeated rows stay."""
     return pii.mask_pii(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; a null source is a source, documents without words aren't taken."""
     return mixing.take_mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids."""
+    """doc_id, lang, source, n_tokens, ids of every row; a null text has no ids."""
     out = bpe.encode(docs, tokenizer_path())
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
