@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, text_of
+from marlstone.llm.common import cut, keep, leaving_nothing, text_of
 from marlstone.llm.ngram_join import word_hashes
 from marlstone.session import ship
 
@@ -38,7 +39,7 @@ class CoTraining:
     threshold: float = 0.5
 
 
-def style(t: str, words: np.ndarray) -> list[float]:
+def style(t: str, n_words: int, n_distinct: int) -> list[float]:
     """Measures of a text's form."""
     n = max(len(t), 1)
     raw = np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8)
@@ -47,8 +48,7 @@ def style(t: str, words: np.ndarray) -> list[float]:
     digits = ((raw >= 48) & (raw <= 57)).sum() / n
     lines = [x for x in t.split("\n") if x.strip()]
     dup = 1 - len(set(lines)) / max(len(lines), 1)
-    distinct = len(np.unique(words)) / max(len(words), 1)
-    return [symbols, upper, digits, dup, distinct, min(n / max(len(words), 1), 50.0), float(np.log1p(len(words)))]
+    return [symbols, upper, digits, dup, n_distinct / max(n_words, 1), min(n / max(n_words, 1), 50.0), float(np.log1p(n_words))]
 
 
 def meta(f: pd.DataFrame, columns: tuple[str, ...]) -> np.ndarray:
@@ -95,7 +95,7 @@ class TextView:
         half = np.arange(len(y)) % 2 == 0
         good, bad = np.ones(BUCKETS), np.ones(BUCKETS)
         for i in np.flatnonzero(half):
-            np.add.at(good if y[i] else bad, np.unique(words[i]), w[i])
+            (good if y[i] else bad)[words[i]] += w[i]
         n1, n0 = w[half & (y == 1)].sum() + 2, w[half & (y == 0)].sum() + 2
         self.odds = (np.log(good / n1) - np.log(bad / n0)).astype(np.float32)
         rest = ~half
@@ -107,7 +107,7 @@ class TextView:
     def rows(self, words: list[np.ndarray], form: np.ndarray) -> np.ndarray:
         out = np.zeros((len(words), 5))
         for i, x in enumerate(words):
-            o = np.sort(self.odds[np.unique(x)]) if len(x) else np.zeros(1)
+            o = np.sort(self.odds[x]) if len(x) else np.zeros(1)
             out[i] = o[0], o[min(1, len(o) - 1)], o[: max(1, min(5, len(o)))].mean(), o.mean(), o[-1]
         return np.hstack([out, form])
 
@@ -116,7 +116,7 @@ class TextView:
 
 
 def content(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Word buckets and measures of form of each text."""
+    """Distinct word buckets, sorted, and measures of form of each text."""
     words, form, i = [], [], 0
     while i < len(texts):
         j, n = i, 0
@@ -125,8 +125,9 @@ def content(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
             j += 1
         for t, h in zip(texts[i:j], word_hashes(texts[i:j]), strict=True):
             b = (h % np.uint64(BUCKETS)).astype(np.int32)
-            words.append(b)
-            form.append(style(t, b))
+            distinct = np.unique(b)
+            words.append(distinct)
+            form.append(style(t, len(b), len(distinct)))
         i = j
     return words, np.array(form).reshape(len(texts), -1)
 
@@ -191,20 +192,35 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
     told = labels.filter(f"{id_col} is not null and quality is not null").groupBy(F.col(id_col).cast("long").alias("id")).agg((F.min(F.col("quality")) * (1 - F.max(F.coalesce("toxic", F.lit(0))))).cast("int").alias("y"))
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_of(F.col(text)).alias("t"), *[F.col(x).alias(f"m{i}") for i, x in enumerate(metadata)])
     names = tuple(f"m{i}" for i in range(len(metadata)))
+    key = F.xxhash64("t", *names).alias("key")
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            words, form = content(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in words], pa.binary()), pa.array([x.tobytes() for x in form], pa.binary()), *b.columns[1:]], names=["words", "form", *b.schema.names[1:]])
+
+    # Texts are read once: their words' buckets and measures are kept, and every round works on these.
+    kinds = dict(src.dtypes)
+    schema = "words binary, form binary, id long, key long" + "".join(f", {n} {kinds[n]}" for n in names)
+    src = keep(src.select("t", "id", key, *names).mapInArrow(leaving_nothing(measured), schema), "features")
     first = lambda d, n: d.orderBy(F.xxhash64("id"), "id").limit(n)
     # The sample is bounded by a parameter, so its ids may be broadcast and its rows, one for each id, may come to the driver.
     some = first(told.join(src.select("id").distinct(), "id", "left_semi"), c.labelled).select("id", "y")
-    key = F.xxhash64("t", *names)
+
+    def held(f: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+        return [np.frombuffer(w, np.int32) for w in f["words"]], np.frombuffer(b"".join(f["form"]), np.float64).reshape(len(f), -1)
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                words, form = content(f["t"].tolist())
-                yield pd.DataFrame({"id": f["id"], "y": f["y"], "words": [np.unique(w) for w in words], "form": list(form), "meta": list(meta(f, names))})
+                words, form = held(f)
+                yield pd.DataFrame({"id": f["id"], "y": f["y"], "words": words, "form": list(form), "meta": list(meta(f, names))})
 
     def collected(chosen: DataFrame) -> pd.DataFrame:
         """Features of the chosen (id, y), of one row for each id."""
-        rows = src.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by(F.struct("t", *names), key).alias("x")).select("id", "y", "x.*")
+        rows = src.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by(F.struct("words", "form", *names), "key").alias("x")).select("id", "y", "x.*")
         return rows.mapInPandas(features, "id long, y int, words array<int>, form array<double>, meta array<double>").toPandas().sort_values("id", kind="stable")
 
     def surest(model: Model) -> tuple[list[dict], dict]:
@@ -214,11 +230,11 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
         def views(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 if len(f):
-                    words, form = content(f["t"].tolist())
+                    words, form = held(f)
                     a, b = sent.value.views(words, form, meta(f, names))
                     yield pd.DataFrame({"id": f["id"], "key": f["key"], "p0": _prob(a), "p1": _prob(b)})
 
-        every = src.filter("id is not null").withColumn("key", key).mapInPandas(views, "id long, key long, p0 double, p1 double")
+        every = src.filter("id is not null").mapInPandas(views, "id long, key long, p0 double, p1 double")
         scored = cut(every.groupBy("id").agg(F.min_by(F.struct("p0", "p1"), "key").alias("p")).select("id", "p.*").join(told.select("id"), "id", "left_anti"))
         out: list[dict] = [{}, {}]
         for teacher in (0, 1):
@@ -244,7 +260,7 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
         md = shared.value
         for f in frames:
             if len(f):
-                words, form = content(f["t"].tolist())
+                words, form = held(f)
                 a, b = md.views(words, form, meta(f, names))
                 s = md.score(a, b)
                 yield pd.DataFrame({"id": f["id"], "p_text": _prob(a), "p_meta": _prob(b), "score": s, "kept": s >= c.threshold})
