@@ -412,3 +412,50 @@ def test_stock_licences_are_told_by_version_and_inherited(spark):
     rows = [(f"{k}/LICENSE", t) for k, t in texts.items()] + [(f"{k}/a/b/x.py", "code") for k in texts]
     got = {x.path: x.license for x in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == {f"{k}/{p}": stock[k] for k in texts for p in ("LICENSE", "a/b/x.py")}
+
+
+def test_a_licence_is_its_whole_text_and_not_its_opening(spark):
+    """Openings of long licences grant nothing; a whole text is found within a longer file, and families are told apart."""
+    from pathlib import Path
+
+    whole = {p.stem: p.read_text(errors="replace") for p in Path(licenses.WHOLE).glob("*.txt")}
+    assert len(whole) == 13
+    mpl = " ".join(whole["MPL-2.0"].split()[:60]) + " and nothing else is granted to you here"
+    filler = "int value = table.next(key) + other; // moves on\n" * 900
+    advert = BSD3.replace("3. Neither", "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization.\n4. Neither")
+    zlib = "Copyright (c) 2020 Someone\n" + licenses.TEXTS["Zlib text"]
+    d = spark.createDataFrame([("o/LICENSE", mpl), ("w.c", filler + whole["MPL-2.0"] + filler), ("b4/LICENSE", advert), ("z.c", zlib + " license"), ("two/LICENSE", MIT + "\n or \n" + whole["Apache-2.0"])], "path string, text string")
+    got = {x.path: x for x in licenses.scan_licenses(d).collect()}
+    assert {k: x.own_license for k, x in got.items() if k != "two/LICENSE"} == {"o/LICENSE": None, "w.c": "MPL-2.0", "b4/LICENSE": "BSD-4-Clause", "z.c": "Zlib"}
+    assert {"MIT", "Apache-2.0"} <= set(got["two/LICENSE"].own_licenses) and got["o/LICENSE"].own_licenses is None
+
+
+def test_license_scores_equal_brute_force(spark):
+    """Every row's best cosine by plain counting over all windows of all templates."""
+    import math
+    from collections import Counter
+
+    words = lambda x: re.findall(licenses.TERM, x.lower())
+    texts = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0", "public domain, not more", "a license of 2.0 by nobody", "Licensed under the GNU General Public License"]
+    scan = licenses.Scan(texts="/nonexistent")
+    every = licenses.TEMPLATES | licenses.TEXTS
+    bags = [Counter(words(x)) for x in [*texts, *every.values()]]
+    n, df = len(bags), Counter(t for b in bags for t in b)
+    weight = lambda b: {t: (1 + math.log(k)) * (math.log((n + 1) / (df[t] + 1)) + 1) for t, k in b.items()}
+    norm = lambda w: math.sqrt(sum(x * x for x in w.values()))
+    want = {}
+    for i, x in enumerate(texts):
+        ws, best = words(x), None
+        for k, v in every.items():
+            t, size = weight(Counter(words(v))), len(words(v))
+            for at in range(len(ws)):
+                w = ws[at : at + size]
+                if ws[at] in t and (k not in licenses.NAMES or licenses.NAMES[k] in w):
+                    c = weight(Counter(w))
+                    score = round(sum(y * t.get(z, 0) for z, y in c.items()) / norm(c) / norm(t), 8)
+                    if score >= scan.least:
+                        best = min(best or (0, ""), (-score, "MIT" if k == "MIT-short" else k.split(" ")[0]))
+        want[i] = best and (best[1], -best[0])
+    hinted = spark.createDataFrame(list(enumerate(texts)), "__row long, text string")
+    got = {x["__row"]: (x.license, round(x.score, 8)) for x in licenses.scored(hinted, hinted.select(hinted.text.alias("passage")), scan).collect()}
+    assert got == {k: v for k, v in want.items() if v}
