@@ -222,6 +222,14 @@ def missing_slots(intent: Column, slot: Column) -> Column:
     return F.when((intent == "buy_process") & slot["amount"].isNotNull() & slot["product"].isNull(), F.array(F.lit("product"))).otherwise(F.array().cast("array<string>"))
 
 
+def enters_subscription(intent: Column, text: Column, slot: Column, code: str = r"\b(\d{6})\b", handoff: tuple[str, ...] = ("fraud_report", "complaint")) -> Column:
+    """Whether a turn is an order: it names a product (slot) and either is to buy with an amount, or asks about products
+    and holds the code that was asked for. Intents that are handed over never are."""
+    order = (intent == "buy_process") & slot["amount"].isNotNull()
+    confirm = (intent == "product_consult") & F.rlike(F.coalesce(text, F.lit("")), F.lit(code))
+    return F.coalesce(slot["product"].isNotNull() & (slot["product"] != "") & ~intent.isin(*handoff) & (order | confirm), F.lit(False))
+
+
 # Product types and intents of each product domain.
 DOMAIN_OF_TYPE = {"存款": "deposit", "结构性存款": "deposit", "现金管理": "wealth", "固定收益": "wealth", "固收增强": "wealth", "私银混合": "wealth", "公募基金": "fund", "保险": "insurance", "债券": "bond", "信托": "trust", "贵金属": "gold"}
 

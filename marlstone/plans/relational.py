@@ -25,16 +25,6 @@ def product_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.render_products(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), risk.alias("risk"), sections.alias("sections")))
 
 
-sql("s7_product_triples", """
-SELECT p_name AS head, 'is_type' AS relation, p_type AS tail FROM {part}
-UNION SELECT p_name, 'has_brand', p_brand FROM {part}
-UNION SELECT p_name, 'has_risk', concat('R', CAST(p_size % 5 + 1 AS STRING)) FROM {part}
-UNION SELECT s_name, 'is_a', 'supplier' FROM {supplier}""")
-sql("s8_schema_evolution", """
-SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, CAST(NULL AS INT) AS nation FROM {customer}
-UNION ALL SELECT s_suppkey, s_name, CAST(NULL AS STRING), s_nationkey FROM {supplier}""")
-
-
 @plan("s10_vector_upsert", """
 WITH incoming AS (SELECT vec_id, label + 100 AS label FROM embeddings WHERE vec_id % 7 = 0
   UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE vec_id % 50 = 0)
@@ -53,26 +43,15 @@ def delete_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lc.delete(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"), "doc_id")
 
 
-sql("s13_true_count", "SELECT count(*) AS total, count(*) FILTER (WHERE label = 3) AS soft_deleted, count(*) FILTER (WHERE label <> 3) AS live FROM {embeddings}")
 sql("s17_upload_checks", """
 SELECT doc_id, sha2(text, 256) AS content_hash, length(text) > 4000 AS too_large,
   row_number() OVER (PARTITION BY sha2(text, 256) ORDER BY doc_id) > 1 AS already_there FROM {documents}""", """
 SELECT doc_id, sha256(text) AS content_hash, length(text) > 4000 AS too_large,
   row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS already_there FROM documents""")
-sql("s20_log_scan", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k, regexp_extract(event_type, '^([a-z]+)', 1) AS path FROM {events} WHERE event_type <> 'error'",
-    "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, regexp_extract(event_type, '^([a-z]+)', 1) AS path FROM events WHERE event_type <> 'error'")
 
 # --- projections and filters ---------------------------------------------------------------------------------------
-sql("p1_chunk_browse", "SELECT doc_id, source, substring(text, 1, 40) AS head FROM {documents} WHERE source = 'src3' AND text LIKE '%the%' ORDER BY doc_id LIMIT 20 OFFSET 5")
-sql("p6_orders_by_status", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM {orders} WHERE o_orderstatus = 'O' ORDER BY o_orderkey")
-sql("p10_cache_admissible", "SELECT event_id, event_type FROM {events} WHERE event_type NOT IN ('error', 'signup') AND value > 0 AND props NOT LIKE 'Error%'")
-sql("p20_log_samples", "SELECT event_id, value FROM {events} WHERE value BETWEEN 0 AND 86400000 AND event_type <> 'error' AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND event_type LIKE '%i%'")
 
 # --- joins ---------------------------------------------------------------------------------------------------------------
-sql("j1_semi_downvoted", "SELECT o_orderkey FROM {orders} o WHERE EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')")
-sql("j2_scalar_min", "SELECT c.c_custkey, m.low FROM {customer} c LEFT JOIN (SELECT o_custkey, min(o_totalprice) AS low FROM {orders} GROUP BY o_custkey) m ON m.o_custkey = c.c_custkey")
-sql("j3_equi_vectors", "SELECT d.doc_id, d.source, e.label FROM {documents} d JOIN {embeddings} e ON d.doc_id = e.vec_id")
-sql("j7_anti_known", "SELECT n_name FROM {nation} n WHERE NOT EXISTS (SELECT 1 FROM {supplier} s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 9000)")
 
 
 @plan("j8_keep_uploads", """
@@ -100,51 +79,10 @@ def full_outer_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lc.diff(old, new, "doc_id", "h")
 
 
-sql("j14_user_scope", "SELECT c_custkey, o_orderkey, o_totalprice FROM {customer} JOIN {orders} ON c_custkey = o_custkey")
-sql("j15_ownership", "SELECT o_orderkey, CASE WHEN o_custkey = 10 THEN 'ok' ELSE 'denied' END AS access FROM {orders}")
-sql("j16_entity_join", "SELECT p_partkey, s_suppkey, n_name FROM {part} JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM {lineitem}) x ON p_partkey = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey")
-sql("j18_files_in_db", """
-WITH f AS (SELECT p.page_id, d.doc_id IS NOT NULL AS in_db FROM {pages} p LEFT JOIN (SELECT doc_id FROM {documents} WHERE doc_id % 3 = 0) d ON p.page_id = d.doc_id),
-n AS (SELECT count(*) FILTER (WHERE NOT in_db) AS unprocessed FROM f)
-SELECT page_id, in_db, unprocessed FROM f CROSS JOIN n""")
-sql("j19_append_new", """
-SELECT item_id FROM {benchmark} WHERE item_id % 2 = 0
-UNION ALL SELECT b.item_id FROM {benchmark} b WHERE NOT EXISTS (SELECT 1 FROM {benchmark} o WHERE o.item_id = b.item_id AND o.item_id % 2 = 0)""")
-
 # --- aggregations ------------------------------------------------------------------------------------------------------
-sql("a1_intent_distribution", "SELECT event_type, count(*) AS cnt FROM {events} GROUP BY event_type ORDER BY cnt DESC, event_type")
-sql("a2_totals", "SELECT count(*) AS n, coalesce(sum(o_totalprice), 0) AS total FROM {orders}", "SELECT count(*) AS n, coalesce(sum(o_totalprice), 0) AS total FROM orders")
-sql("a3_status_counts", "SELECT o_orderstatus, count(*) AS n FROM {orders} GROUP BY o_orderstatus")
-sql("a4_handoff_rate", "SELECT round(count(*) FILTER (WHERE event_type = 'error') * 100.0D / greatest(count(*), 1), 1) AS rate FROM {events}",
-    "SELECT round(count(*) FILTER (WHERE event_type = 'error') * 100.0 / greatest(count(*), 1), 1)::DOUBLE AS rate FROM events")
-sql("a10_ticket_sla", """
-SELECT round(avg(CASE WHEN days >= 0 THEN days END), 6) AS mean_days, round(avg(CASE WHEN days >= 0 THEN CASE WHEN days <= 30 THEN 1.0D ELSE 0.0D END END), 6) AS within
-FROM (SELECT datediff(l_shipdate, o_orderdate) AS days FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey) x""", """
-SELECT round(avg(CASE WHEN days >= 0 THEN days END), 6) AS mean_days, round(avg(CASE WHEN days >= 0 THEN CASE WHEN days <= 30 THEN 1.0 ELSE 0.0 END END)::DOUBLE, 6) AS within
-FROM (SELECT date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x""")
-sql("a12_duplicate_groups", "SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS first_id FROM {documents} GROUP BY md5(text) HAVING count(*) > 1")
-sql("a24_version_history", "SELECT source, max(doc_id) AS doc_id, max_by(n_chars, doc_id) AS n_chars FROM {documents} GROUP BY source")
-sql("a26_asset_overview", """
-SELECT c_custkey, round(c_acctbal + coalesce(o.total, 0) - coalesce(o.open, 0), 2) AS net FROM {customer} LEFT JOIN
- (SELECT o_custkey, sum(o_totalprice) AS total, sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE 0 END) AS open FROM {orders} GROUP BY o_custkey) o ON o_custkey = c_custkey""")
-sql("a27_cluster_profile", """
-SELECT label, event_type, n FROM (SELECT label, event_type, count(*) AS n, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, event_type) AS rn
-  FROM {embeddings} JOIN {events} ON vec_id = event_id GROUP BY label, event_type) x WHERE rn = 1""")
-sql("a28_cache_stats", "SELECT count(*) AS lookups, count(*) FILTER (WHERE event_type = 'click') AS l1, count(*) FILTER (WHERE event_type = 'view') AS l2, round(count(*) FILTER (WHERE event_type IN ('click', 'view')) / CAST(count(*) AS DOUBLE), 6) AS hit_ratio FROM {events}")
-sql("a29_worker_stats", "SELECT user_id % 2 AS worker, round(avg(value), 6) AS mean, max(value) AS longest, count(*) FILTER (WHERE value > 100) AS timeouts, count(*) FILTER (WHERE event_type = 'error') AS errors FROM {events} GROUP BY 1")
-sql("a30_cumulative_documents", "SELECT day, sum(n) OVER (ORDER BY day) AS total FROM (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM {orders} GROUP BY 1) x",
-    "SELECT day, sum(n) OVER (ORDER BY day)::BIGINT AS total FROM (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1) x")
-sql("a31_document_types", "SELECT regexp_extract(url, '^([a-z]+):', 1) AS kind, count(*) AS n FROM {pages} GROUP BY 1")
 sql("a32_mean_latency", "SELECT round(avg(value), 6) AS mean FROM {events}")
-sql("a33_upload_outcomes", "SELECT count(*) FILTER (WHERE n_chars > 500) AS accepted, count(*) FILTER (WHERE n_chars <= 500) AS rejected FROM {documents}")
-sql("a34_uncovered", "SELECT count(*) FILTER (WHERE l.doc_id IS NULL) AS uncovered FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
-sql("a35_parent_children", "SELECT l_orderkey, count(*) AS children, sum(l_quantity) AS quantity FROM {lineitem} GROUP BY l_orderkey")
 
 # --- top-k ---------------------------------------------------------------------------------------------------------------
-sql("l1_top_k", "SELECT event_id, value FROM {events} ORDER BY value DESC, event_id LIMIT 25")
-sql("l2_page", "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey DESC LIMIT 20 OFFSET 40")
-sql("l3_queue", "SELECT o_orderkey, o_orderdate FROM {orders} WHERE o_orderstatus IN ('O', 'P') ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
-sql("l8_last_ascending", "SELECT event_id FROM (SELECT event_id FROM {events} ORDER BY event_id DESC LIMIT 20) x ORDER BY event_id")
 
 # --- sets ----------------------------------------------------------------------------------------------------------------
 _U1 = """
@@ -153,9 +91,3 @@ s AS (SELECT item_id, count(*) AS n FROM w GROUP BY item_id)
 SELECT a, b, inter, x.n + y.n - inter AS uni FROM pairs JOIN s x ON x.item_id = a JOIN s y ON y.item_id = b"""
 sql("u1_jaccard_sizes", _U1.format(w="explode(split(lower(text), ' '))"), _U1.format(w="unnest(string_split(lower(text), ' '))"))
 sql("u2_union_triples", "SELECT n_name AS head, 'in' AS relation, r_name AS tail FROM {nation} JOIN {region} ON n_regionkey = r_regionkey UNION SELECT s_name, 'in', n_name FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey")
-sql("u3_except_keys", "SELECT doc_id FROM {documents} EXCEPT SELECT doc_id FROM {labels}")
-sql("u5_merge_distinct", """
-SELECT k, min(pos) AS pos FROM (SELECT coalesce(CAST(doc_id AS STRING), substring(text, 1, 50)) AS k, doc_id AS pos FROM {documents} WHERE doc_id % 2 = 0
-  UNION ALL SELECT CAST(doc_id AS STRING), doc_id + 100000000 FROM {labels}) x GROUP BY k""")
-sql("u6_graph_injection", """
-SELECT source FROM (SELECT DISTINCT source FROM {documents} WHERE doc_id % 2 = 1) g WHERE source NOT IN (SELECT source FROM {documents} WHERE doc_id < 10) ORDER BY source LIMIT 3""")

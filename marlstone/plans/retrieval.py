@@ -260,9 +260,6 @@ def leak(spark: SparkSession, sf_dir: str) -> DataFrame:
 sql("j10_golden_rank", """
 WITH g AS (SELECT vec_id, label FROM {embeddings}), ret AS (SELECT label AS qid, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rank FROM {embeddings})
 SELECT ret.qid, min(rank) AS first_rank, count(*) AS overlap FROM ret JOIN g ON g.vec_id = ret.vec_id AND g.vec_id % 4 = 0 GROUP BY ret.qid""")
-sql("j17_ticket_context", """
-SELECT conv_id, turn, role FROM (SELECT c.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM {conversations} c
-  WHERE conv_id IN (SELECT conv_id FROM {conversations} WHERE role = 'system')) x WHERE rn <= 6""")
 
 
 @plan("r12_gateway_cache")

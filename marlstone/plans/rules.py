@@ -116,9 +116,6 @@ def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("conv_id", "turn", F.array_join(ru.missing_slots(intent, s), ",").alias("missing"))
 
 
-sql("p13_subscribe_entry", "SELECT o_orderkey, o_orderstatus = 'O' AND o_totalprice > 1000 AND o_custkey IS NOT NULL AS enters FROM {orders}")
-
-
 @plan("p17_product_guard", f"""WITH m AS (SELECT conv_id, p, max(contains(text, p)::INT) AS found FROM conversations, (SELECT unnest({list(LEX.products)}) AS p) x GROUP BY 1, 2)
 SELECT conv_id, sum(found)::BIGINT AS found, sum(found) = 0 AS dropped FROM m GROUP BY conv_id""")
 def product_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,13 +330,6 @@ def verbalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.verbalise(near, {"in_nation": "is located in"}).select("node", "other", "direction", "sentence")
 
 
-sql("f27_parent_id", "SELECT o_orderkey, regexp_extract(concat('doc_', CAST(o_orderkey AS STRING), '_c', CAST(o_custkey AS STRING)), '^(.+)_c[0-9]+$', 1) AS parent FROM {orders}")
-sql("f28_strip_suffix", "SELECT o_orderkey, regexp_replace(concat('doc_', CAST(o_orderkey AS STRING), '_c', CAST(o_custkey AS STRING)), '_c[0-9]+$', '') AS stem FROM {orders}")
-sql("f29_triple_id", "SELECT s_suppkey, substring(md5(concat_ws('|', s_name, 'in', n_name)), 1, 12) AS id FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey")
-sql("f30_json", "SELECT event_id, from_json(props, 'k INT').k AS k FROM {events}", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
-sql("f31_ctime", "SELECT o_orderkey, CAST(to_timestamp(substring(date_format(o_orderdate, 'EEE MMM dd HH:mm:ss yyyy'), 5), 'MMM dd HH:mm:ss yyyy') AS TIMESTAMP_NTZ) AS at FROM {orders}", "SELECT o_orderkey, o_orderdate AS at FROM orders")
-
-
 @plan("f32_redact", f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{{"user": ' || user_id || ', "Password": "***REDACTED***", "token": ***REDACTED***}}' WHEN 1 THEN 'api_key=***REDACTED*** token: ***REDACTED***, ok'
 WHEN 2 THEN 'login password = ***REDACTED*** for ' || user_id ELSE event_type || ' ' || props END AS line FROM events""")
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,9 +356,6 @@ def order_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", ru.shipping_fee(F.col("o_totalprice")).alias("fee"), ru.refundable(F.col("o_orderdate"), F.to_date(F.lit("1998-01-01"))).alias("refundable"))
 
 
-sql("f36_next_id", "SELECT max(CAST(regexp_extract(concat('bad_', CAST(doc_id AS STRING)), '([0-9]+)$', 1) AS BIGINT)) + 1 AS next_id FROM {documents}")
-
-
 _WAYS = (("edst", "up"), ("tiea", "down"), ("inst", "up"), ("onen", "stable"), ("erth", "volatile"))
 
 

@@ -33,21 +33,33 @@ def read_documents(spark: SparkSession, path: str, parse=None, schema: str = "pa
     return pages.filter(F.length(F.trim("text")) >= least)
 
 
-def uploads(spark: SparkSession, path: str, known: DataFrame, most_bytes: int = 50 << 20) -> DataFrame:
-    """path, content_hash, size, outcome (accepted, too_large, duplicate) of files against known content hashes."""
-    f = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size"))
+def check_uploads(files: DataFrame, known: DataFrame, most_bytes: int = 50 << 20) -> DataFrame:
+    """path, content_hash, size, outcome of files (path, content_hash, size) against known content hashes: too_large,
+    duplicate (of a known file, or of an accepted one whose path sorts before) or accepted."""
     k = known.select("content_hash").distinct().withColumn("seen", F.lit(True))
-    out = F.when(F.col("size") > most_bytes, "too_large").when(F.col("seen"), "duplicate").otherwise("accepted")
-    return f.join(k, "content_hash", "left").select("path", "content_hash", "size", out.alias("outcome"))
+    first = files.filter(F.col("size") <= most_bytes).groupBy("content_hash").agg(F.min("path").alias("first"))
+    out = F.when(F.col("size") > most_bytes, "too_large").when(F.col("seen") | (F.col("path") != F.col("first")), "duplicate").otherwise("accepted")
+    return files.join(k, "content_hash", "left").join(first, "content_hash", "left").select("path", "content_hash", "size", out.alias("outcome"))
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Structured log lines: timestamp, level, message, path, status, latency_ms; fields of a message are JSON or 'name=value'."""
+def uploads(spark: SparkSession, path: str, known: DataFrame, most_bytes: int = 50 << 20) -> DataFrame:
+    """path, content_hash, size, outcome of the files of a folder, as `check_uploads` tells it."""
+    return check_uploads(spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size")), known, most_bytes)
+
+
+def parse_logs(lines: DataFrame) -> DataFrame:
+    """Structured log lines (value) as timestamp, level, message, trace_id, path, status, latency_ms, ttfb_ms, stream: fields of a
+    message are JSON or 'name=value'. Lines that aren't JSON, and those without a message, are left out."""
     line = "timestamp string, level string, message string, trace_id string, path string, status int, latency_ms double, ttfb_ms double, stream boolean"
-    j = spark.read.text(path).select(F.from_json("value", line).alias("j")).select("j.*").filter("message is not null")
+    j = lines.select(F.from_json("value", line).alias("j")).select("j.*").filter("message is not null")
     return j.withColumn("latency_ms", F.coalesce("latency_ms", F.expr("try_cast(nullif(regexp_extract(message, 'latency_ms=([0-9.]+)', 1), '') as double)")))
 
 
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """The log lines of files, as `parse_logs` gives them."""
+    return parse_logs(spark.read.text(path))
+
+
 def render_products(parts: DataFrame) -> DataFrame:
     """Catalog rows (id, name, type, risk, sections array<struct<title,body>>) as chunks: a head and one per section."""
     head = F.struct(F.lit("overview").alias("title"), F.concat_ws(" ", "type", "risk").alias("body"))
