@@ -42,15 +42,6 @@ def delete_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the toxic ones."""
     return lc.delete(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"), "doc_id")
 
-
-sql("s17_upload_checks", """
-SELECT doc_id, sha2(text, 256) AS content_hash, length(text) > 4000 AS too_large,
-  row_number() OVER (PARTITION BY sha2(text, 256) ORDER BY doc_id) > 1 AS already_there FROM {documents}""", """
-SELECT doc_id, sha256(text) AS content_hash, length(text) > 4000 AS too_large,
-  row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS already_there FROM documents""")
-
-# --- projections and filters ---------------------------------------------------------------------------------------
-
 # --- joins ---------------------------------------------------------------------------------------------------------------
 
 
@@ -78,7 +69,6 @@ def full_outer_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = d.filter("doc_id % 3 <> 0 OR doc_id % 5 = 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("h"))
     return lc.diff(old, new, "doc_id", "h")
 
-
 # --- aggregations ------------------------------------------------------------------------------------------------------
 sql("a32_mean_latency", "SELECT round(avg(value), 6) AS mean FROM {events}")
 
