@@ -36,6 +36,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def set_sizes(a: Column, b: Column) -> Column:
+    """struct<inter, uni>: sizes of the intersection and of the union of two sets."""
+    return let(F.size(F.array_intersect(a, b)), lambda n: F.struct(n.alias("inter"), (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - n).alias("uni")))
+
+
 def dice(a: Column, b: Column) -> Column:
     """Twice the intersection over the sum of sizes of two sets."""
     return F.when(F.size(a) + F.size(b) == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)))

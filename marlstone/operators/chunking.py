@@ -197,6 +197,11 @@ def markdown_entries(files: DataFrame, path: str = "path", text: str = "text") -
     return e.select(path, "pos", F.trim(F.substring_index("part", "\n", 1)).alias("title"), F.trim(F.regexp_replace("part", "^[^\\n]*\\n?", "")).alias("body"))
 
 
+def long_enough(rows: DataFrame, least: int, text: str = "text") -> DataFrame:
+    """rows whose text has `least` characters or more, white space (Unicode) at its ends left out; a null text has none."""
+    return rows.filter(F.length(F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")) >= least)
+
+
 def uniform_sample(rows: DataFrame, limit: int, *order: str) -> DataFrame:
     """limit rows spread evenly over all rows in the order given: those at the places nearest to i * (n - 1) / (limit - 1),
     half to even. All rows, where there are no more."""

@@ -147,6 +147,20 @@ def merge_distinct(lists: DataFrame, chars: int = 50) -> DataFrame:
     return best.select("qid", "key", "x.cid", "x.content", "at")
 
 
+def ordered_distinct(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """key, values: the distinct values of each key in the order in which they come first. Nulls are left out."""
+    first = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("at"))
+    return first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", value))).alias("v")).select(key, F.transform("v", lambda x: x[value]).alias("values"))
+
+
+def union_distinct(*frames: DataFrame) -> DataFrame:
+    """Rows of all frames, by column name, each once."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
 def injected(entries: DataFrame, local: DataFrame, most: int = 3) -> DataFrame:
     """Graph entries (qid, pos, source) whose source isn't among those of the question's local chunks (qid, source): the first
     `most` of each question."""

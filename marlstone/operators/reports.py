@@ -150,3 +150,8 @@ def latency_samples(logs: DataFrame, since: str = "", paths: Sequence[str] = (),
         x = x.filter(suspect | F.coalesce(F.nullif("status", F.lit(0)), part(3).try_cast("int")).between(200, 299))
     kind = F.when(suspect, "suspect").when(F.col("ttfb_ms").isNotNull() | F.coalesce("stream", F.lit(False)), "stream").when(F.endswith("path", F.lit("/stream")), "ignored").otherwise("http")
     return x.withColumn("kind", kind)
+
+
+def mean_latency(samples: DataFrame) -> DataFrame:
+    """kind, n, mean of samples (kind, ms), suspect ones left out."""
+    return samples.filter("kind <> 'suspect'").groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("ms"), 6).alias("mean"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
 from marlstone.operators import chunking as ch
-from marlstone.plans.registry import plan, sql
+from marlstone.plans.registry import plan
 from marlstone.session import table
 
 
@@ -103,8 +103,10 @@ def stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.stable_ids(d, "title", "source", "doc_id").select("source", "doc_id", "chunk_id")
 
 
-sql("c14_hashes", "SELECT doc_id, sha2(regexp_replace(text, '[ \\\\t\\\\n\\\\r]+', ''), 256) AS content_hash, substring(md5(text), 1, 12) AS raw_hash FROM {documents}",
-    "SELECT doc_id, sha256(regexp_replace(text, '[ \\t\\n\\r]+', '', 'g')) AS content_hash, substring(md5(text), 1, 12) AS raw_hash FROM documents")
+@plan("c14_hashes", "SELECT doc_id, sha256(regexp_replace(text, '[ \\t\\n\\r]+', '', 'g')) AS content_hash, substring(md5(text), 1, 12) AS raw_hash FROM documents")
+def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of documents, without white space and as they are."""
+    return _docs(spark, sf_dir).select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"), tx.short_hash(F.col("text")).alias("raw_hash"))
 
 
 @plan("c15_keep_first", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha256(regexp_replace(text, '[ \\t\\n\\r]+', '', 'g')) ORDER BY doc_id) AS n FROM documents) x WHERE n = 1")
@@ -121,7 +123,10 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.uniform_sample(table(spark, sf_dir, "documents").select("doc_id").filter("doc_id % 3 <> 1"), 50, "doc_id")
 
 
-sql("c17_min_length", "SELECT doc_id FROM {documents} WHERE length(trim(text)) >= 60")
+@plan("c17_min_length", "SELECT doc_id FROM documents WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 60")
+def long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of 60 characters or more between their ends' white space."""
+    return ch.long_enough(_docs(spark, sf_dir), 60).select("doc_id")
 
 
 @plan("c12_recursive_chunks")
@@ -155,4 +160,7 @@ def two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("page_id", "pos", F.concat(F.lit("["), "title", F.lit("] "), plain).alias("content")).filter(F.length("content") > 30)
 
 
-sql("s3_pages_min_length", "SELECT page_id, length(html) AS n FROM {pages} WHERE length(trim(html)) >= 30")
+@plan("s3_pages_min_length", "SELECT page_id, length(html) AS n FROM pages WHERE length(trim(html, ' ' || chr(9) || chr(10) || chr(13))) >= 30")
+def long_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of 30 characters or more."""
+    return ch.long_enough(table(spark, sf_dir, "pages"), 30, "html").select("page_id", F.length("html").alias("n"))

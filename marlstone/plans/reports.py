@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import ids
 from marlstone.functions import rules as ru
+from marlstone.functions import text as tx
 from marlstone.operators import lifecycle as lc
 from marlstone.operators import listing as li
 from marlstone.operators import reports as re_
@@ -313,6 +314,13 @@ def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return re_.distribution(_t(spark, sf_dir, "pages").select(F.lower(F.regexp_extract("url", "([^./]*)$", 1)).alias("kind")), "kind")
 
 
+@plan("a32_mean_latency", _LOG + """ SELECT kind, count(*) AS n, round(avg(ms), 6) AS mean FROM (SELECT ms, CASE WHEN n % 5 = 0 THEN 'stream' WHEN n % 7 = 0 THEN 'ignored' ELSE 'http' END AS kind
+FROM e WHERE n % 17 <> 0 AND ms <= 86400000) x GROUP BY kind""")
+def mean_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean times of the requests of a log, by how they were timed."""
+    return re_.mean_latency(re_.latency_samples(files.parse_logs(_lines(spark, sf_dir))))
+
+
 @plan("a33_upload_outcomes", "SELECT count(*) AS total, count(*) FILTER (WHERE n_chars > 500) AS accepted, count(*) FILTER (WHERE n_chars BETWEEN 101 AND 500) AS skipped, count(*) FILTER (WHERE n_chars BETWEEN 51 AND 100) AS rejected FROM documents")
 def upload_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of a batch of documents, by their length."""
@@ -360,6 +368,26 @@ def last_ascending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.tail(_t(spark, sf_dir, "events").select("event_id"), 20, "event_id")
 
 
+@plan("u1_jaccard_sizes", """WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+')) AS ws FROM documents)
+SELECT a.doc_id, b.doc_id AS next_id, len(list_intersect(a.ws, b.ws)) AS inter, len(list_distinct(list_concat(a.ws, b.ws))) AS uni FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""")
+def set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common and all words of every document and the one of the next id."""
+    w = _t(spark, sf_dir, "documents").select("doc_id", F.array_distinct(tx.tokens(c("text"))).alias("ws"))
+    nxt = w.select((c("doc_id") - 1).alias("doc_id"), c("doc_id").alias("next_id"), c("ws").alias("other"))
+    return w.join(nxt, "doc_id").select("doc_id", "next_id", tx.set_sizes(c("ws"), c("other")).alias("x")).select("doc_id", "next_id", "x.inter", "x.uni")
+
+
+@plan("u2_union_triples", """SELECT n_name AS head, 'in' AS relation, r_name AS tail FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION SELECT s_name, 'in', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT n_name, 'in', r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def union_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples of nations, of suppliers, and of customers' nations, which are there already."""
+    t = lambda n: _t(spark, sf_dir, n)
+    of = lambda h, x: F.struct(c(h).alias("head"), F.lit("in").alias("relation"), c(x).alias("tail")).alias("t")
+    nation = t("nation").join(t("region"), F.expr("n_regionkey = r_regionkey"))
+    frames = (nation.select(of("n_name", "r_name")), t("supplier").join(t("nation"), F.expr("s_nationkey = n_nationkey")).select(of("s_name", "n_name")), t("customer").join(nation, F.expr("c_nationkey = n_nationkey")).select(of("n_name", "r_name")))
+    return li.union_distinct(*[f.select("t.*") for f in frames])
+
+
 @plan("u3_except_keys", "SELECT doc_id, 'removed' AS change FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'added' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
 def key_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that only documents have, and that only embeddings have."""

@@ -72,8 +72,11 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(grown.delete(docs.filter("cid % 10 = 3")).search(_queries(spark), 10))
 
 
-sql("a11_bm25_statistics", "SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, explode(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+', 0)) AS term FROM {documents}) x GROUP BY term HAVING count(*) > 20",
-    f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents) x GROUP BY term HAVING count(*) > 20")
+@plan("a11_bm25_statistics", f"""WITH t AS (SELECT doc_id, {_TOK} AS ts FROM documents), n AS (SELECT count(*) AS n FROM t)
+SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6)::DOUBLE AS idf FROM (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(ts) AS term FROM t) x GROUP BY term) y, n""")
+def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies and weights of all terms."""
+    return r.index(table(spark, sf_dir, "documents"), "doc_id")["terms"].select("term", "df", F.round("idf", 6).alias("idf"))
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 _DENSE = f"""SELECT a.vec_id AS qid, b.vec_id AS cid, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0
 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= {{k}}"""

@@ -11,6 +11,7 @@ from marlstone.functions import terms as te
 from marlstone.functions import text as tx
 from marlstone.functions.rules import FIXTURE as LEX
 from marlstone.operators import graph as g
+from marlstone.operators import listing as li
 from marlstone.plans.registry import plan, sql
 from marlstone.session import table
 
@@ -184,7 +185,10 @@ def signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.signature(F.col("text")), ",").alias("signature"))
 
 
-sql("f9_key", "SELECT item_id, md5(regexp_replace(lower(trim(text)), '[^a-z0-9]', '')) AS key FROM {benchmark}", "SELECT item_id, md5(regexp_replace(lower(trim(text)), '[^a-z0-9]', '', 'g')) AS key FROM benchmark")
+@plan("f9_key", "SELECT item_id, md5(regexp_replace(lower(trim(text)), '[^\\pL\\pM\\pN_]', '', 'g')) AS key FROM benchmark")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of items for exact lookups."""
+    return table(spark, sf_dir, "benchmark").select("item_id", tx.cache_key(F.col("text")).alias("key"))
 
 
 @plan("f10_pii_mask")
@@ -366,5 +370,7 @@ def trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 sql("f38_settings_diff", "SELECT k FROM (SELECT explode(array_sort(map_keys(map_filter(map('size', 350, 'overlap', 70, 'k', 60), (k, v) -> v <> map('size', 350, 'overlap', 30, 'k', 10)[k])))) AS k) x", "SELECT unnest(['k', 'overlap']) AS k")
-sql("u4_ordered_distinct", "SELECT conv_id, array_join(array_distinct(transform(array_sort(collect_list(struct(turn, role))), x -> x.role)), ',') AS roles FROM {conversations} GROUP BY conv_id",
-    "SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY 1, 2) x GROUP BY conv_id")
+@plan("u4_ordered_distinct", "SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY 1, 2) x GROUP BY conv_id")
+def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of conversations in the order in which they first speak."""
+    return li.ordered_distinct(table(spark, sf_dir, "conversations"), "conv_id", "role", "turn").select("conv_id", F.array_join("values", ",").alias("roles"))

@@ -9,6 +9,8 @@ from dataclasses import asdict, dataclass, fields, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.operators.chunking import long_enough
+
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; corrupt lines are left out."""
@@ -30,7 +32,7 @@ def read_documents(spark: SparkSession, path: str, parse=None, schema: str = "pa
         pages = files.select("path", F.lit(1).alias("page"), F.decode("content", "UTF-8").alias("text"))
     else:
         pages = files.mapInPandas(parse, schema)
-    return pages.filter(F.length(F.trim("text")) >= least)
+    return long_enough(pages, least)
 
 
 def check_uploads(files: DataFrame, known: DataFrame, most_bytes: int = 50 << 20) -> DataFrame:

@@ -145,3 +145,17 @@ def test_answers_are_audited_by_their_numbers(spark):
     ctx = spark.createDataFrame([(i, "业绩比较基准3.00%，封闭30天。") for i in range(1, 5)], "qid long, text string")
     assert sorted(tuple(x) for x in st.audited(attempts, ctx).collect()) == [(1, 1, "收益3.00%", True, None), (2, 2, "97", False, "97"), (3, 0, "第1条", True, None), (4, 0, None, True, None), (5, 0, "30", False, "30")]
     assert st.audited(attempts.limit(0), ctx).count() == 0
+
+
+def test_lengths_sets_and_orders(spark):
+    from marlstone.functions import text as tx
+    from marlstone.operators import chunking as ch
+
+    d = spark.createDataFrame([("　 abc \n",), ("ab",), (None,), ("",)], "text string")
+    assert [x.text for x in ch.long_enough(d, 3).collect()] == ["　 abc \n"]
+    rows = [(["a", "b"], ["b", "c", "c"]), ([], ["x"]), ([], [])]
+    got = col(spark, tx.set_sizes(F.col("a"), F.col("b")), rows, "a array<string>, b array<string>")
+    assert [tuple(x) for x in got] == [(1, 3), (0, 1), (0, 0)]
+    seen = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (1, "b", 3), (1, None, 0), (2, "z", 5)], "k int, v string, at int")
+    assert sorted((x.k, x["values"]) for x in li.ordered_distinct(seen, "k", "v", "at").collect()) == [(1, ["b", "a"]), (2, ["z"])]
+    assert sorted(tuple(x) for x in li.union_distinct(seen.select("k"), seen.select("k")).collect()) == [(1,), (2,)]
