@@ -4,9 +4,10 @@ A document is its set of word shingles, held as sorted 64-bit hashes; documents
 are one set from the start. All shingles have one order, rarest first by a count sketch of fixed size, then by hash;
 two sets that are similar enough share a shingle of their prefixes in that order. Sets with identical prefixes and
 size form a group. Prefix shingles are dealt to slices by hash; what several groups of fitting sizes share makes a
-place, and shingles that the same groups share make the same place. Only there do groups meet: pairs of groups are
-filtered by size and by what their prefixes have in common, each pair is taken at the first place that both have, and
-then the members of the pairs that stay are fetched and verified by counting common shingles. Large places are split into blocks of bounded size.
+place, and shingles that the same groups share make the same place. A group of several sets has a place of its own, as
+it may share nothing with others. Only there do groups meet: pairs of groups are filtered by size and by what their
+prefixes have in common, each pair is taken at the first place that both have, and then the members of the pairs that
+stay are fetched and verified by counting common shingles. Large places are split into blocks of bounded size.
 
 Any order that all sets agree on gives the same links: the sketch only decides how much there is to do.
 """
@@ -246,6 +247,11 @@ def _slice_of(h: np.ndarray, slices: int) -> np.ndarray:
     return (((h >> _U(32)) * _U(slices)) >> _U(32)).astype(np.int64)
 
 
+def prefix_size(n, percent: int):
+    """Shingles in the prefix of a set of n (or of an array of sizes)."""
+    return n - -(-percent * n // 100) + 1
+
+
 def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """The first shingles of a sorted set, so many that a similar set must share one, and the place of the last in the order.
 
@@ -253,7 +259,7 @@ def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray,
     prefixes with equal places either may end first, and the filter then takes the larger of both bounds.
     """
     key = (levels[s & _U(len(levels) - 1)].astype(np.uint64) << _U(48)) | (s >> _U(16))
-    first = np.argsort(key, kind="stable")[: len(s) - -(-percent * len(s) // 100) + 1]
+    first = np.argsort(key, kind="stable")[: prefix_size(len(s), percent)]
     return s[first], int(key[first[-1]])
 
 
@@ -320,8 +326,12 @@ def _places(percent: int):
 
     Groups that share a shingle stand by size; where one is too large for the one before it, the list ends and
     another begins. The place of a list is a hash of its groups, so shingles with the same list have the same place.
+    A group of several sets, which are all in its slice, has the place of a list of its own, which stands for its prefix.
     """
 
+    def of_lists(g: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return _mixed(np.add.reduceat(_mixed(g), at) + size.astype(np.uint64)) if len(g) else np.zeros(0, np.uint64)
+
     def run(f: pd.DataFrame) -> pd.DataFrame:
         hot = f["slice"].iloc[0] < 0
         e = np.frombuffer(b"".join(f["entries"]), ENTRY)
@@ -341,9 +351,13 @@ def _places(percent: int):
             head[1:] = (t[1:] != t[:-1]) | (n[:-1] * 100 < percent * n[1:])
             at = np.flatnonzero(head)
             size = np.diff(np.append(at, len(t)))
-            place = _mixed(np.add.reduceat(_mixed(g), at) + size.astype(np.uint64)) if len(t) else np.zeros(0, np.uint64)
+            place = of_lists(g, at, size)
             g, place = g[np.repeat(size > 1, size)], np.repeat(place[size > 1], size[size > 1])
         both, times = np.unique(np.stack([g, place], axis=1), axis=0, return_counts=True) if len(g) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
+        own, head, sets = np.unique(s["g"], return_index=True, return_counts=True)
+        own, head = own[sets > 1], head[sets > 1]
+        both = np.concatenate([both, np.stack([own, of_lists(own, np.arange(len(own)), np.ones(len(own)))], axis=1)])
+        times = np.concatenate([times, prefix_size(s["n"][head].astype(np.int64), percent)])
         return pd.DataFrame(
             {
                 "kind": np.repeat([0, 1], [len(s), len(both)]).astype(np.int32),

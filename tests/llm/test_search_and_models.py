@@ -70,6 +70,20 @@ def test_join_equals_all_pairs(spark, tuning):
     assert [got[i] for i in range(len(texts))] == classes_of(texts)
 
 
+@pytest.mark.parametrize("tuning", [ngram_join.Tuning(), ngram_join.Tuning(counters=64, slice_entries=100, block_sets=4, block_shingles=200, broadcast_rows=0), ngram_join.Tuning(hot=3)])
+def test_join_links_sets_of_one_prefix_that_no_other_shares(spark, tuning):
+    """Sets that differ in frequent shingles only have one prefix, and no other set has any of it."""
+    texts = []
+    for body in ([f"{b}{i}" for i in range(12)] for b in "abc"):
+        texts += [" ".join([h, *body]) for h in ("x", "y", "z")]
+        texts += [" ".join([h, *body[:4], f"{h}{body[0]}{i}", f"q{body[0]}{i}"]) for h in ("x", "y", "z") for i in range(20)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in ngram_join.classes(d, tuning=tuning).collect()}
+    want = classes_of(texts)
+    assert sum(w[2] for w in want) == 18
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_join_tells_long_words_and_large_sets_apart(spark):
     def thue_morse(n):
         return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
