@@ -37,10 +37,10 @@ def last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan("w4_distinct_interests", """SELECT user_id, event_type, min(event_id) AS first_seen FROM events GROUP BY user_id, event_type
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY min(event_id) DESC) <= 3""")
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY min(event_id) DESC) <= 10""")
 def interests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three kinds of events of each user that came up last for the first time."""
-    return hi.first_seen(_events(spark, sf_dir), "user_id", "event_type", "event_id", 3)
+    """The ten kinds of events of each user that came up last for the first time."""
+    return hi.first_seen(_events(spark, sf_dir), "user_id", "event_type", "event_id", 10)
 
 
 @plan("w5_negative_streak", """WITH f AS (SELECT user_id, event_id, (event_type = 'error')::INT AS bad FROM events), g AS (SELECT *, sum(1 - bad) OVER (PARTITION BY user_id ORDER BY event_id) AS grp FROM f)

@@ -50,6 +50,19 @@ def test_plan_without_sql_runs_and_agrees_with_itself(spark, sf, name):
     assert a == b
 
 
+def test_ten_last_interests_of_each_user_are_kept(spark, tmp_path):
+    """One user has twelve kinds of events, two of them seen again at the end; the other has four."""
+    seen = [(1, f"k{i}") for i in range(12)] + [(2, f"k{i}") for i in range(4)] + [(1, "k0"), (1, "k5")]
+    rows = [(i, u, k) for i, (u, k) in enumerate(seen)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    want = [(1, f"k{i}", i) for i in range(2, 12)] + [(2, f"k{i}", 12 + i) for i in range(4)]
+    got = plans.QUERIES["w4_distinct_interests"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(con.execute(plans.ORACLES["w4_distinct_interests"]).fetchall()) == sorted(want)
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 
