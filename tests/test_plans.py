@@ -63,6 +63,22 @@ def test_ten_last_interests_of_each_user_are_kept(spark, tmp_path):
     assert sorted(con.execute(plans.ORACLES["w4_distinct_interests"]).fetchall()) == sorted(want)
 
 
+def test_every_customer_gets_their_own_orders(spark, tmp_path):
+    """Customers of three segments, one null, one customer twice and one without orders; orders of nobody and of others."""
+    users = [(1, "BUILDING"), (2, "MACHINERY"), (3, None), (4, "BUILDING"), (2, "MACHINERY"), (None, "BUILDING")]
+    orders = [(10, 1, 1.5), (11, 2, 2.5), (12, 3, 3.5), (13, 9, 4.5), (14, None, 5.5), (15, 1, None)]
+    spark.createDataFrame(users, "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    want = [(1, 10, 1.5), (1, 15, None), (2, 11, 2.5), (2, 11, 2.5), (3, 12, 3.5)]
+    got = plans.QUERIES["j14_user_scope"](spark, str(tmp_path))
+    assert got.columns == ["c_custkey", "o_orderkey", "o_totalprice"]
+    assert sorted(map(tuple, got.collect())) == want
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(con.execute(plans.ORACLES["j14_user_scope"]).fetchall()) == want
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 
