@@ -1,12 +1,15 @@
 """Exact vector search and joins, the stored collection, and best matches, against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
 from marlstone.operators import matching as ma
+from marlstone.operators import retrieval as re
 from marlstone.operators import vectors as ve
 
 VEC, ASK, ROW = "cid long, v array<float>", "qid long, qv array<float>", "id long, v array<float>"
@@ -117,3 +120,39 @@ def test_best_match_equals_all_pairs(spark):
     for share in (0.2, 0.5, 1.0):
         assert {x["item"]: (x.doc, round(x.score, 9)) for x in ma.best_match(i, d, tx.tokens, share).collect()} == want
     assert ma.best_match(i.limit(0), d, tx.tokens).count() == 0 and ma.best_match(i, d.limit(0), tx.tokens).count() == 0
+
+
+def test_nearest_live_entry_of_each_query_against_all_pairs(spark):
+    """Blocks of both sides, spans of times, equal vectors, ties, vectors without a cosine and of another length."""
+    r = random.Random(5)
+    x = clustered(5000, dims=8, centres=40)
+    entries = [(i, x[i].tolist(), r.randrange(0, 300)) for i in range(5000)]
+    entries += [(9000 + i, x[i % 7].tolist(), 100) for i in range(300)] + [(-1, None, 5), (-2, [0.0] * 8, 5), (-3, [1.0, None] + [0.0] * 6, 5), (-4, [float("nan")] * 8, 5), (-5, [1.0, 2.0], 5), (-6, x[0].tolist(), None)]
+    asked = [(i, clustered(1, dims=8, centres=40, seed=i)[0].tolist() if i % 2 else x[i].tolist(), r.randrange(-20, 420)) for i in range(60)]
+    asked += [(100, None, 9), (101, [0.0] * 8, 9), (102, [2.0, 4.0], 9), (103, x[3].tolist(), None), (104, [-1.0, 0.0], 9)]
+    slot = lambda c, back: re._slots(F.col(c), 100, back).alias("slot")
+    e = spark.createDataFrame(entries, "key long, v array<float>, created long").select("*", slot("created", False))
+    q = spark.createDataFrame(asked, "qid long, qv array<float>, at long").select("*", slot("at", True))
+    got = {g.qid: (g.key, g.score) for g in ve.nearest_live(e, q, 0.9, 100).collect()}
+    held = np.array([v for _, v, _ in entries[:5300]])
+    ids, made = np.array([k for k, _, _ in entries[:5300]]), np.array([c for _, _, c in entries[:5300]])
+    want = {102: (-5, 1.0)}
+    for qid, v, at in asked[:60]:
+        s = np.where((made <= at) & (at - made <= 100), np.round(cosine(np.array([v], np.float32).astype(float), held)[0], 9), -2)
+        if s.max() >= 0.9:
+            want[qid] = (int(ids[s == s.max()].min()), s.max())
+    assert len(want) > 20
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 2e-9 for k in want)
+    assert ve.nearest_live(e.limit(0), q, 0.9, 100).count() == 0 == ve.nearest_live(e, q.limit(0), 0.9, 100).count()
+
+
+def test_gateway_lookup_of_millions_of_pairs_takes_seconds(spark):
+    """400 queries and 4,000 entries of one span: 1.6 million pairs, which took minutes as rows."""
+    g = np.random.default_rng(1)
+    x = g.normal(size=(4000, 256)).astype(np.float32)
+    c = spark.createDataFrame([(i, f"text {i}", v.tolist(), 0) for i, v in enumerate(x)], "key long, text string, v array<float>, created long")
+    began = time.time()
+    got = re.gateway_lookup(c.filter("key % 10 = 0").selectExpr("key AS qid", "text", "v AS qv", "9 AS at"), c).collect()
+    assert sorted((r.qid, r.key, r.score, r.tier) for r in got) == [(i, i, 1.0, "same") for i in range(0, 4000, 10)]
+    assert time.time() - began < 60
