@@ -13,6 +13,8 @@ DataFrame functions only.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from marlstone.llm.pii import masked
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++"""
 ASSIGN_HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+#: One of these stands, in either case, in every text that ASSIGN matches in.
+HINTS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = "AKIA[A-Z0-9]++"
 HEX = "[0-9a-f]++"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
@@ -59,74 +63,93 @@ class Battery:
 
 def _normal_tail(z: Column) -> Column:
     """P(N > z) for z >= 0: Abramowitz and Stegun 26.2.17 (error below 1e-7)."""
-    t = 1 / (1 + 0.2316419 * z)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.exp(-z * z / 2) / 2.5066282746310002 * poly
 
+    def tail(z: Column) -> Column:
+        poly = lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return F.exp(-z * z / 2) / 2.5066282746310002 * let(1 / (1 + 0.2316419 * z), poly)
 
-def _upper(z: Column) -> Column:
-    return F.when(z >= 0, _normal_tail(z)).otherwise(1 - _normal_tail(-z))
+    return let(z, tail)
 
 
-def randomness(token: Column) -> Column:
-    """struct<encoding,p>: inferred encoding of a token and the combined p-value of the tests; null if none fits."""
-    bare = F.rtrim(token, F.lit("="))
-    alphabet = name = None
-    for n, look, letters in ENCODINGS:
-        hit = F.rlike(bare, F.lit(look))
-        alphabet = F.when(hit, F.lit(letters)) if alphabet is None else alphabet.when(hit, F.lit(letters))
-        name = F.when(hit, F.lit(n)) if name is None else name.when(hit, F.lit(n))
-
-    def battery(x: Column) -> Column:
-        size = F.length(x["a"]).cast("double")
-        n = F.length(x["t"]).cast("double")
-        codes = F.transform(F.split(x["t"], ""), lambda c: (F.position(c, x["a"]) - 1).cast("double"))
-
-        def tests(c: Column) -> Column:
-            # Eight cells of equal width: few enough for short tokens. Cells of an uneven alphabet have uneven weights.
-            cell = lambda b: F.filter(c, lambda v: F.floor(v * 8 / size) == b)
-            width = lambda b: (F.ceil((b + 1) * size / 8) - F.ceil(b * size / 8)).cast("double")
-            chi = F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0.0), lambda acc, b: acc + F.pow(F.size(cell(b)) - n * width(b) / size, F.lit(2)) / (n * width(b) / size))
-            # Wilson and Hilferty: the cube root of a chi-squared variable is nearly normal.
-            z_chi = (F.pow(chi / 7, F.lit(1 / 3)) - (1 - 2 / 63)) / (2 / 63) ** 0.5
-            above = F.transform(c, lambda v: (v >= size / 2).cast("int"))
+def _upper(z: Column) -> Column:
+    return let(z, lambda z: F.when(z >= 0, _normal_tail(z)).otherwise(1 - _normal_tail(-z)))
+
+
+def _alphabet(name: str, letters: str) -> Column:
+    """What the tests ask of an encoding, as constants: its name n, letters a and their number size; how many are capitals,
+    small letters and others; the probability q that a pair of characters changes between capitals, small letters, digits
+    and others, and that two neighbouring pairs both do (b)."""
+    size = float(len(letters))
+    upper, lower, digits = (float(sum(lo <= c <= hi for c in letters)) for lo, hi in ("AZ", "az", "09"))
+    same = both = 0.0
+    for f in (upper / size, lower / size, digits / size, (size - upper - lower - digits) / size):
+        same, both = same + f * f, both + f * (1 - f) * (1 - f)
+    values = {"n": name, "a": letters, "size": size, "upper": upper, "lower": lower, "other": size - upper - lower, "q": 1 - same, "b": both}
+    return F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
+
+
+def _battery(token: Column, x: Column) -> Column:
+    """Combined p-value of a token without padding, by the alphabet x. Every value that is used twice is bound by let():
+    an expression is computed anew wherever it stands."""
+
+    def tests(y: Column) -> Column:
+        c, n, size = y["c"], y["n"], x["size"]
+        # Eight cells of equal width: few enough for short tokens. Cells of an uneven alphabet have uneven weights.
+        width = lambda b: (F.ceil((b + 1) * size / 8) - F.ceil(b * size / 8)).cast("double")
+        off = lambda cells, b: let(n * width(b) / size, lambda e: F.pow(F.size(F.filter(cells, lambda v: v == b)) - e, F.lit(2)) / e)
+        chi = let(F.transform(c, lambda v: F.floor(v * 8 / size)), lambda cells: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0.0), lambda acc, b: acc + off(cells, b)))
+        # Wilson and Hilferty: the cube root of a chi-squared variable is nearly normal.
+        z_chi = (F.pow(chi / 7, F.lit(1 / 3)) - (1 - 2 / 63)) / (2 / 63) ** 0.5
+
+        def z_runs(above: Column) -> Column:
             n1 = F.aggregate(above, F.lit(0), lambda a, v: a + v).cast("double")
-            n2 = n - n1
             runs = F.aggregate(above, F.struct(F.lit(0).alias("r"), F.lit(-1).alias("p")), lambda a, v: F.struct((a["r"] + (a["p"] != v).cast("int")).alias("r"), v.alias("p")))["r"]
-            mean = 2 * n1 * n2 / n + 1
-            var = (mean - 1) * (mean - 2) / (n - 1)
-            z_runs = F.when(var > 0, F.abs(runs - mean) / F.sqrt(var)).otherwise(F.sqrt(n))
-            mid = F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / n
+            mean = let(n1, lambda n1: 2 * n1 * (n - n1) / n + 1)
+            z = lambda mean, var: F.when(var > 0, F.abs(runs - mean) / F.sqrt(var)).otherwise(F.sqrt(n))
+            return let(mean, lambda mean: let((mean - 1) * (mean - 2) / (n - 1), lambda var: z(mean, var)))
+
+        def z_ser(mid: Column) -> Column:
             den = F.aggregate(c, F.lit(0.0), lambda a, v: a + (v - mid) * (v - mid))
             num = F.aggregate(F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda u, v: (u - mid) * (v - mid)), F.lit(0.0), lambda a, v: a + v)
-            z_ser = F.when(den > 0, F.abs(num / den) * F.sqrt(n)).otherwise(F.sqrt(n))
-            ln = lambda p: F.log(F.greatest(p, F.lit(1e-15)))
-            half = -(ln(_upper(z_chi)) + ln(2 * _normal_tail(z_runs)) + ln(2 * _normal_tail(z_ser)))
-            # Fisher: minus twice the sum of logs is chi-squared with six degrees; its tail has a closed form.
-            return F.least(F.lit(1.0), 3 * F.least(F.exp(-half) * (1 + half + half * half / 2), classes(), switches()))
-
-        def classes() -> Column:
-            """p-value of the numbers of capitals, small letters and others; an alphabet of one case has two classes."""
-            upper, lower = ((lambda v, out=out: F.length(F.regexp_replace(v, out, "")).cast("double")) for out in ("[^A-Z]", "[^a-z]"))
-            other = lambda v: F.length(v) - upper(v) - lower(v)
-            part = lambda f: F.when(f(x["a"]) > 0, F.pow(f(x["t"]) - n * f(x["a"]) / size, F.lit(2)) / (n * f(x["a"]) / size)).otherwise(0.0)
-            chi = part(upper) + part(lower) + part(other)
-            return F.when((upper(x["a"]) > 0) & (lower(x["a"]) > 0), F.exp(-chi / 2)).otherwise(2 * _normal_tail(F.sqrt(chi)))
-
-        def switches() -> Column:
-            """p-value of few changes between capitals, small letters, digits and others: identifiers keep to a class for long."""
-            kinds = ("[A-Z]", "[a-z]", "[0-9]", "[^A-Za-z0-9]")
-            runs = F.regexp_count(x["t"], F.lit("|".join(f"{k}++" for k in kinds))).cast("double")
-            share = [F.regexp_count(x["a"], F.lit(k)) / size for k in kinds]
-            # One pair changes with probability q, two neighbouring pairs both with probability both.
-            q = 1 - sum((f * f for f in share), F.lit(0.0))
-            both = sum((f * (1 - f) * (1 - f) for f in share), F.lit(0.0))
-            z = let(F.struct(q.alias("q"), both.alias("b")), lambda y: (((n - 1) * y["q"] - (runs - 1)) / F.sqrt((n - 1) * y["q"] * (1 - y["q"]) + 2 * (n - 2) * (y["b"] - y["q"] * y["q"]))))
-            return _upper(z)
-
-        return F.struct(x["n"].alias("encoding"), F.when(F.length(x["t"]) >= 16, let(codes, tests)).alias("p"))
-
-    return F.when(alphabet.isNotNull(), let(F.struct(bare.alias("t"), alphabet.alias("a"), name.alias("n")), battery))
+            return let(den, lambda den: F.when(den > 0, F.abs(num / den) * F.sqrt(n)).otherwise(F.sqrt(n)))
+
+        runs = let(F.transform(c, lambda v: (v >= size / 2).cast("int")), z_runs)
+        serial = let(F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / n, z_ser)
+        ln = lambda p: F.log(F.greatest(p, F.lit(1e-15)))
+        half = -(ln(_upper(z_chi)) + ln(2 * _normal_tail(runs)) + ln(2 * _normal_tail(serial)))
+        # Fisher: minus twice the sum of logs is chi-squared with six degrees; its tail has a closed form.
+        fisher = let(half, lambda half: F.exp(-half) * (1 + half + half * half / 2))
+        return F.least(F.lit(1.0), 3 * F.least(fisher, classes(n), switches(n)))
+
+    def classes(n: Column) -> Column:
+        """p-value of the numbers of capitals, small letters and others; an alphabet of one case has two classes."""
+        size = x["size"]
+        upper, lower = (F.length(F.regexp_replace(token, out, "")).cast("double") for out in ("[^A-Z]", "[^a-z]"))
+        part = lambda got, of: F.when(of > 0, let(n * of / size, lambda e: F.pow(got - e, F.lit(2)) / e)).otherwise(0.0)
+        chi = let(F.struct(upper.alias("u"), lower.alias("l")), lambda g: part(g["u"], x["upper"]) + part(g["l"], x["lower"]) + part(n - g["u"] - g["l"], x["other"]))
+        return let(chi, lambda chi: F.when((x["upper"] > 0) & (x["lower"] > 0), F.exp(-chi / 2)).otherwise(2 * _normal_tail(F.sqrt(chi))))
+
+    def switches(n: Column) -> Column:
+        """p-value of few changes between capitals, small letters, digits and others: identifiers keep to a class for long."""
+        runs = F.regexp_count(token, F.lit("[A-Z]++|[a-z]++|[0-9]++|[^A-Za-z0-9]++")).cast("double")
+        q, b = x["q"], x["b"]
+        return _upper(((n - 1) * q - (runs - 1)) / F.sqrt((n - 1) * q * (1 - q) + 2 * (n - 2) * (b - q * q)))
+
+    codes = F.transform(F.split(token, ""), lambda c: (F.position(c, x["a"]) - 1).cast("double"))
+    return let(F.struct(codes.alias("c"), F.length(token).cast("double").alias("n")), tests)
+
+
+def randomness(token: Column) -> Column:
+    """struct<encoding,p>: inferred encoding of a token and the combined p-value of the tests; null if none fits."""
+
+    def fitting(bare: Column) -> Column:
+        found = F  # the first that fits
+        for name, look, letters in ENCODINGS:
+            found = found.when(F.rlike(bare, F.lit(look)), _alphabet(name, letters))
+        tested = lambda x: F.struct(x["n"].alias("encoding"), F.when(F.length(bare) >= 16, _battery(bare, x)).alias("p"))
+        return let(found, lambda x: F.when(x.isNotNull(), tested(x)))
+
+    return let(F.rtrim(token, F.lit("=")), fitting)
 
 
 def _band(token: Column) -> Column:
@@ -144,26 +167,29 @@ def scan(docs: DataFrame, text: str, b: Battery) -> DataFrame:
     def assigned(x: Column) -> Column:
         return F.length(F.regexp_replace(x["m"], ASSIGN_HEAD, "")) >= 12
 
-    hinted = F.rlike(t, F.lit("(?i)passw|secret|token|api_?key"))
-    out = docs.withColumns(
+    def inside(x: Column, pattern: str) -> Column:
+        """Spans of a pattern within a span."""
+        return F.transform(spans_of(x["m"], pattern), lambda y: F.struct((x["s"] + y["s"]).alias("s"), (x["s"] + y["e"]).alias("e"), y["m"].alias("m")))
+
+    hinted = reduce(or_, (F.contains(F.lower(t), F.lit(w)) for w in HINTS))
+    out = docs.withColumn("__runs", spans_of(t, TOKEN)).withColumns(
         {
             "__assign": kind(F.when(hinted, spans_of(t, ASSIGN)).otherwise(none), "assign", assigned),
             "__access": kind(F.when(F.contains(t, F.lit("AKIA")), spans_of(t, ACCESS)).otherwise(none), "access", lambda x: F.length(x["m"]) >= 18),
-            # Only runs of 16 and more can pass: shorter ones are never built.
-            "__hex": kind(spans_of(t, HEX[:-2] + "{16,}+"), "hex", lambda x: F.length(x["m"]) >= 16),
+            # Only runs of 16 and more can pass: shorter ones are never built. Each lies in one run of a token's characters.
+            "__hex": kind(F.flatten(F.transform("__runs", lambda x: inside(x, HEX[:-2] + "{16,}+"))), "hex", lambda x: F.length(x["m"]) >= 16),
         }
     )
     base = F.concat("__assign", "__access", "__hex")
 
     def whole_or_parts(x: Column) -> Column:
-        parts = F.transform(spans_of(x["m"], PART), lambda y: F.struct((x["s"] + y["s"]).alias("s"), (x["s"] + y["e"]).alias("e"), y["m"].alias("m")))
-        return F.when(F.rlike(x["m"], F.lit("[+/]")) & F.rlike(x["m"], F.lit("[_-]")), parts).otherwise(F.array(x))
+        return F.when(F.rlike(x["m"], F.lit("[+/]")) & F.rlike(x["m"], F.lit("[_-]")), inside(x, PART)).otherwise(F.array(x))
 
     def free(x: Column) -> Column:
         return ~F.exists(base, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
 
-    tokens = F.transform(F.filter(F.flatten(F.transform(spans_of(t, TOKEN), whole_or_parts)), free), lambda x: F.struct(x["s"], x["e"], x["m"], randomness(x["m"]).alias("r"), _band(x["m"]).alias("band")))
-    return out.withColumn("__tokens", F.filter(tokens, lambda x: x["r"]["p"].isNotNull()))
+    tokens = F.transform(F.filter(F.flatten(F.transform("__runs", whole_or_parts)), free), lambda x: F.struct(x["s"], x["e"], x["m"], randomness(x["m"]).alias("r"), _band(x["m"]).alias("band")))
+    return out.withColumn("__tokens", F.filter(tokens, lambda x: x["r"]["p"].isNotNull())).drop("__runs")
 
 
 def dismissals(scanned: DataFrame, b: Battery) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -459,3 +460,25 @@ def test_license_scores_equal_brute_force(spark):
     hinted = spark.createDataFrame(list(enumerate(texts)), "__row long, text string")
     got = {x["__row"]: (x.license, round(x.score, 8)) for x in licenses.scored(hinted, hinted.select(hinted.text.alias("passage")), scan).collect()}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_secrets_battery_of_long_tokens_takes_seconds(spark):
+    """4,000 tokens of 100 characters: each value of the tests is computed once a token, not wherever it is used."""
+    token = F.substring(F.concat(F.sha2(F.col("id").cast("string"), 256), F.sha2((-F.col("id")).cast("string"), 256)), 1, 100)
+    began = time.time()
+    p = [x.p for x in spark.range(1, 4001, 1, 4).select(secrets.randomness(token)["p"].alias("p")).collect()]
+    assert len(p) == 4000 and 0.9 < sum(x > 0.05 for x in p) / 4000 <= 1
+    assert time.time() - began < 30
+
+
+def test_secrets_hex_within_other_characters_and_hints_in_any_case(spark):
+    """Runs of hex digits between other characters of a token, two in one run, and beyond ASCII; hint words in odd cases."""
+    hexes = "0123456789abcdef"
+    texts = [f"zz{hexes}zz-{hexes}A+é{hexes}==x", f"é{hexes}", f"{hexes[:15]}g{hexes[:15]}", 'PassWD = "abcdefghijkl"', "API_Key:abcdefghijkl", "ApiKEY=abcdefghijkl é toKen: 123456789012", "api-key=abcdefghijkl"]
+    rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for x in rows:
+        t = texts[x.doc_id]
+        assert [(y.s, y.e, y.m) for y in x.hex] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9a-f]{16,}", t)]
+        want = [m for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", t, re.I) if len(m[2]) >= 12]
+        assert [(y.s, y.e) for y in x.assign] == [m.span() for m in want]
+    assert sum(len(x.hex) for x in rows) == 4 and sum(len(x.assign) for x in rows) == 4
