@@ -23,7 +23,8 @@ def _at_places(rows: DataFrame, groups: Sequence[str], value: str, places: dict[
     """
     key = F.struct(F.lit(0).alias("__all"), *groups)
     counts = cut(rows.filter(F.col(value).isNotNull()).groupBy(key.alias("__g"), F.col(value).alias("__v")).agg(F.count("*").alias("__n")))
-    points = counts.groupBy("__g").agg(F.percentile_approx("__v", [i / cuts for i in range(1, cuts)], 1000).alias("__cuts"))
+    # Cut points depend on the order in which rows come: they are read twice, so they are computed once.
+    points = cut(counts.groupBy("__g").agg(F.percentile_approx("__v", [i / cuts for i in range(1, cuts)], 1000).alias("__cuts")))
     at = counts.join(points, "__g").withColumn("__b", F.size(F.filter("__cuts", lambda x: x < F.col("__v")))).drop("__cuts")
     ranges = at.groupBy("__g", "__b").agg(F.sum("__n").alias("__m"))
     whole = Window.partitionBy("__g")

@@ -24,7 +24,8 @@ def sli_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, mean and percentiles of every hour."""
     e = table(spark, sf_dir, "events").select(F.date_trunc("HOUR", "ts").alias("hour"), "event_type", "value")
     sums = e.groupBy("hour").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") != "error").alias("ok"), F.round(F.avg("value"), 6).alias("mean"))
-    return sums.join(sv.floor_percentiles(e, ["hour"], "value", {"p50": 0.5, "p90": 0.9, "p99": 0.99}), "hour", "left")
+    found = sv.floor_percentiles(e, ["hour"], "value", {"p50": 0.5, "p90": 0.9, "p99": 0.99}).withColumnRenamed("hour", "of")
+    return sums.join(found, sums["hour"].eqNullSafe(found["of"]), "left").drop("of")  # events without a time are an hour of their own
 
 
 @plan("a6_percentile_floor_index", f"SELECT event_type, {_at('value', p95=0.95)} FROM events GROUP BY event_type")

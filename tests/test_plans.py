@@ -1,5 +1,6 @@
 """Every plan with SQL of its own against DuckDB, and the shape of all others."""
 
+import datetime
 import math
 
 import duckdb
@@ -93,6 +94,22 @@ def test_words_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
     assert sorted(con.execute(plans.ORACLES["f1_tokens"]).fetchall()) == want
 
 
+def test_service_levels_of_events_without_a_time_are_those_of_the_sql(spark, tmp_path):
+    """An hour with values, one without any, and events without a time, type or value."""
+    at = lambda h, m: datetime.datetime(2024, 1, 1, h, m)
+    rows = [(at(1, 5), "view", 1.25), (at(1, 59), "error", 2.5), (at(1, 0), None, None), (at(2, 0), "view", None), (None, "view", 4.0), (None, "error", 8.0), (None, None, 6.0)]
+    spark.createDataFrame(rows, "ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want = {(None, 3, 1, 6.0, 6.0, 8.0, 8.0), (at(1, 0), 3, 1, 1.875, 2.5, 2.5, 2.5), (at(2, 0), 1, 1, None, None, None, None)}
+    cols = ["hour", "total", "ok", "mean", "p50", "p90", "p99"]
+    got = plans.QUERIES["a5_sli_by_hour"](spark, str(tmp_path))
+    assert got.columns == cols
+    assert set(map(tuple, got.collect())) == want
+    con = duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    con.execute(f"create view events as select ts::timestamp AS ts, event_type, value from '{tmp_path}/events.parquet/*.parquet'")
+    assert set(con.execute(f"SELECT {', '.join(cols)} FROM ({plans.ORACLES['a5_sli_by_hour']})").fetchall()) == want
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 
